@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python task works on at once.
@@ -70,3 +71,8 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def filesystem(uri: str) -> tuple[FileSystem, str]:
+    """The file system of a URI or of a plain path, and the path in it."""
+    return FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (LocalFileSystem(), uri)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup
+from . import chat, exact_dedup, quality, tokens
 
 QUERIES = {
+    "op1_mcd_outliers": quality.op1,
+    "op2_token_files": tokens.op2,
     "op4_reply_trees": chat.op4,
     "op10_content_sort": exact_dedup.op10,
 }
