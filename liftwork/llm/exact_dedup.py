@@ -2,7 +2,8 @@
 
 Range partitioning with sampled splitters sends equal normalised texts to the same place, the
 external sort inside each partition makes them neighbours, and the window walks the sorted rows
-comparing each whole text with its neighbour's.
+comparing each whole text with its neighbour's. The splitters are heads of texts with a hash of
+the whole, so that the sample stays small however long the texts are.
 
 Hot texts: a text whose copies exceed a quarter of an average partition would fill one task. At
 most four times as many such texts exist as there are partitions, so the table of their hashes
@@ -39,11 +40,12 @@ def content_sort(df: DataFrame, text: str = "text", ident: str = "doc_id", keep:
     hot = scratch(hashed.groupBy("__hash").count().filter(F.col("count") > limit).select("__hash"), "hot")  # at most p / hot_share rows
     key: Column = F.xxhash64("__text") == F.col("__hash")
 
-    w = Window.partitionBy("__text")
+    w = Window.partitionBy("__head", "__hash", "__text")
     ranked = w.orderBy(order(ident))
     rest = (
         rows.join(F.broadcast(hot), key, "left_anti")
-        .repartitionByRange(p, "__text")
+        .withColumns({"__head": F.left("__text", F.lit(64)), "__hash": F.xxhash64("__text")})
+        .repartitionByRange(p, "__head", "__hash")
         .withColumns({
             "__keep_id": F.first(ident).over(ranked),
             "__group_size": F.count(F.lit(1)).over(w),
@@ -58,8 +60,8 @@ def content_sort(df: DataFrame, text: str = "text", ident: str = "doc_id", keep:
     copies = copies.join(F.broadcast(totals), F.col("__sha256").eqNullSafe(F.col("__of"))).drop("__of")
     first = F.col(ident).eqNullSafe(F.col("__keep_id"))
     top = copies.filter(first).withColumn("__kept", F.row_number().over(Window.partitionBy("__sha256").orderBy(F.col("__sha256"))) == 1)
-    copies = top.unionByName(copies.filter(~first).withColumn("__kept", F.lit(False)))
-    return rest.unionByName(copies.select(rest.columns)).drop("__text")
+    copies = top.unionByName(copies.filter(~first).withColumn("__kept", F.lit(False))).withColumns({"__head": F.lit(""), "__hash": F.lit(0)})
+    return rest.unionByName(copies.select(rest.columns)).drop("__text", "__head", "__hash")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
