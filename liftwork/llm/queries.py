@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, quality, tokens
+from . import chat, exact_dedup, pieces, quality, token_counts, tokens
 
 QUERIES = {
     "op1_mcd_outliers": quality.op1,
     "op2_token_files": tokens.op2,
+    "op3_piece_merges": pieces.op3,
     "op4_reply_trees": chat.op4,
+    "op5_token_transducer": token_counts.op5,
     "op10_content_sort": exact_dedup.op10,
 }
 
