@@ -18,6 +18,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Bytes of text that a Python task works on at once.
 SLICE_BYTES = 4 << 20
@@ -76,3 +77,8 @@ def partitions(spark: SparkSession) -> int:
 def filesystem(uri: str) -> tuple[FileSystem, str]:
     """The file system of a URI or of a plain path, and the path in it."""
     return FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (LocalFileSystem(), uri)
+
+
+def widened(df: DataFrame, more: dict[str, str]) -> StructType:
+    """The schema of `df` with the columns `more` (name: type) after its own."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(", ".join(f"{k} {v}" for k, v in more.items())).fields])

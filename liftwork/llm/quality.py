@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, scratch, ship, slices
+from .common import documents, scratch, ship, slices, widened
 
 SPACE, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
@@ -71,13 +71,10 @@ def _add_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, found.T)], [*part.schema.names, *(f"__{s}" for s in STATS)])
 
 
-def with_statistics(df: DataFrame, *drop: str) -> DataFrame:
-    """`df` with the columns __n_words ... __n_lines, and without `drop`; it needs a column text."""
+def with_statistics(df: DataFrame) -> DataFrame:
+    """`df` with the columns __n_words ... __n_lines; it needs a column text."""
     ship(df.sparkSession)
-    schema = df.schema
-    for s in STATS:
-        schema = schema.add(f"__{s}", "long")
-    return df.mapInArrow(_add_statistics, schema).drop(*drop)
+    return df.mapInArrow(_add_statistics, widened(df, {f"__{s}": "long" for s in STATS}))
 
 
 def _drop_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
