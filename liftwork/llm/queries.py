@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, language, packing, pieces, quality, token_counts, tokens
+from . import chat, exact_dedup, language, near_dedup, packing, pieces, quality, token_counts, tokens
 
 QUERIES = {
     "op1_mcd_outliers": quality.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_piece_merges": pieces.op3,
     "op4_reply_trees": chat.op4,
     "op5_token_transducer": token_counts.op5,
+    "op6_coordinate_join": near_dedup.op6,
     "op7_dominance_packing": packing.op7,
     "op8_piece_language": language.op8,
     "op10_content_sort": exact_dedup.op10,
