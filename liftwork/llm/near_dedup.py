@@ -9,9 +9,9 @@
 3. Short lists give all their pairs, long lists only the pairs with their least member. Pairs whose
    full signatures collide often enough are confirmed on the full shingle sets. Links give components.
 4. Long lists whose members are now in one component are skipped. In the others, members outside the
-   list's largest component are compared with all others in blocks: collisions are counted in numpy,
-   pairs are confirmed on full sets, and a block returns only the links that join components. So no
-   link between different components is lost and no group emits all its pairs.
+   largest component are compared with all others in blocks: products of 0/1 matrices give the sizes of
+   the full sets' intersections, and a block returns only the links that join components. So no link
+   between different components is lost and no group emits all its pairs.
 
 A pair at similarity 0.85 has 28 or more collisions of 48 but for about 3 in a million.
 
@@ -148,51 +148,73 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("id"), F.col("a").alias("label")).unionByName(edges.select(F.col("a").alias("id"), F.col("a").alias("label")).distinct())
 
 
-BLOCKS = "key long, i long, j long, id long, label long, main boolean, sig array<long>, items array<long>"
+BLOCKS = "grp long, i long, j long, id long, label long, main boolean, items array<long>"
 
 
-def _block_links(part: pd.DataFrame) -> pd.DataFrame:
-    """Links that join different labels between the rows of one block pair."""
-    part = part.sort_values("id", kind="stable")
-    ids, labels, main = part["id"].to_numpy(), part["label"].to_numpy(), part["main"].to_numpy()
-    sig, items = np.array(list(part["sig"])), [np.asarray(x) for x in part["items"]]
-    root = {x: x for x in labels.tolist()}
+def overlaps(items: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """Sizes of all pairs' intersections, by products of 0/1 matrices over the items that two sets share."""
+    owner = np.repeat(np.arange(len(items)), list(map(len, items)))
+    _, item, times = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+    shared = times[item] > 1
+    owner, item = owner[shared], np.unique(item[shared], return_inverse=True)[1]
+    order = np.argsort(item, kind="stable")
+    owner, item = owner[order], item[order]
+    out = np.zeros((len(items), len(items)), np.float32)
+    for low in range(0, int(item[-1]) + 1 if len(item) else 0, columns):
+        some = slice(*np.searchsorted(item, [low, low + columns]))
+        has = np.zeros((len(items), columns), np.float32)
+        has[owner[some], item[some] - low] = 1
+        out += has @ has.T
+    return out
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
 
+def _block_links(part: pd.DataFrame) -> pd.DataFrame:
+    """Links that join different labels between the rows of one block pair."""
+    part = part.drop_duplicates("id").sort_values("id")
+    ids, root, main = part["id"].to_numpy(), part["label"].to_numpy().copy(), part["main"].to_numpy()
+    items = [np.asarray(x, np.int64) for x in part["items"]]
+    size, inter = np.array(list(map(len, items)), np.float32), overlaps(items)
+    alike = 100 * inter >= PERCENT * (size[:, None] + size - inter)
+    alike &= ~(main[:, None] & main)
     out = []
-    for k in np.flatnonzero(~main):
-        for m in np.flatnonzero((sig == sig[k]).sum(1) >= LEAST):
-            a, b = find(labels[k]), find(labels[m])
-            if a != b:
-                inter = len(np.intersect1d(items[k], items[m], assume_unique=True))
-                if 100 * inter >= PERCENT * (len(items[k]) + len(items[m]) - inter):
-                    root[max(a, b)] = min(a, b)
-                    out.append((min(ids[k], ids[m]), max(ids[k], ids[m])))
+    for k in range(len(ids)):
+        for m in np.flatnonzero(alike[k] & (root != root[k])):
+            if root[m] != root[k]:
+                out.append((min(ids[k], ids[m]), max(ids[k], ids[m])))
+                root[root == root[m]] = root[k]
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def rest_links(posted: DataFrame, lists: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """Links between members of long lists that are still in different components."""
-    members = posted.join(lists.filter(F.col("n") > SHORT).select("key", "n"), "key").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    sizes = scratch(members.groupBy("key", "n", "label").agg(F.count(F.lit(1)).alias("size")), "sizes")
-    mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("label", F.struct("size", "label")).alias("most"), F.max("size").alias("size")).filter("parts > 1")
-    mixed = scratch(mixed, "mixed")
+def rest_links(posted: DataFrame, lists: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """Links between members of long lists that are still in different components.
+
+    Lists that share members are worked off as one group, so that a pair in several of them meets once, unless
+    they chain to a group of more than four times their longest list.
+    """
+    long = lists.filter(F.col("n") > SHORT)
+    members = posted.join(long.select("key", "n", "centre"), "key").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    mixed = scratch(members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key"), "mixed")
     if mixed.isEmpty():
         return None
-    rows = scratch(members.join(mixed.select("key", "most", "size"), "key").withColumn("main", F.col("label") == F.col("most")), "mixed_members")
+    rows = scratch(members.join(mixed, "key"), "mixed_members")
+    chained = components(rows.filter("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()).withColumnRenamed("label", "cluster")
+    rows = rows.join(chained, "id")
+    extent = rows.groupBy("cluster").agg(F.count_distinct("id").alias("all"), F.max("n").alias("longest"))
+    together = F.when(F.col("all") <= 4 * F.col("longest"), F.col("cluster")).otherwise(F.col("key"))
+    rows = scratch(rows.join(extent, "cluster").select(together.alias("grp"), "id", "label").distinct(), "grouped")
+
+    sizes = rows.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("size"))
+    sizes = sizes.groupBy("grp").agg(F.max_by("label", F.struct("size", "label")).alias("most"), F.max("size").alias("size"), F.sum("size").alias("n"))
+    rows = rows.join(sizes, "grp").withColumn("main", F.col("label") == F.col("most"))
     # blocks of the largest component, then blocks of the others; each of the latter meets all blocks
     n_main, n_rest = F.ceil(F.col("size") / BLOCK), F.ceil((F.col("n") - F.col("size")) / BLOCK)
     own = F.when(F.col("main"), F.pmod(F.xxhash64("id"), n_main)).otherwise(n_main + F.pmod(F.xxhash64("id"), n_rest))
     meets = F.when(F.col("main"), F.sequence(n_main, n_main + n_rest - 1)).otherwise(F.sequence(F.lit(0), n_main + n_rest - 1))
-    placed = rows.withColumn("own", own).withColumn("other", F.explode(meets)).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label", "main")
-    some = rows.select("id").distinct()
-    sets = scratch(docs.join(some.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, items array<long>").dropDuplicates(["id"]), "mixed_sets")
-    full = placed.join(nodes.select("id", "sig"), "id").join(sets, "id").select(*(f.split()[0] for f in BLOCKS.split(", ")))
-    return full.groupBy("key", "i", "j").applyInPandas(_block_links, "a long, b long").distinct()
+    placed = rows.withColumn("own", own).withColumn("other", F.explode(meets)).select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label", "main")
+    some = rows.select(F.col("id").alias("doc_id")).distinct()
+    sets = scratch(docs.join(some, "doc_id", "left_semi").mapInArrow(_sets, "id long, items array<long>").dropDuplicates(["id"]), "mixed_sets")
+    full = placed.join(sets, "id").select(*(f.split()[0] for f in BLOCKS.split(", ")))
+    return full.groupBy("grp", "i", "j").applyInPandas(_block_links, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -212,7 +234,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     sets = scratch(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, items array<long>").dropDuplicates(["id"]), "sets")
     links = scratch(confirmed(pairs, sets), "confirmed")
     labels = components(links)
-    more = rest_links(posted, lists, labels, nodes, docs)
+    more = rest_links(posted, lists, labels, docs)
     if more is not None:
         labels = components(links.unionByName(more))
     of_class = classes.select("h1", "h2", "n", "id").join(labels, "id", "left").select("h1", "h2", "n", F.coalesce("label", "id").alias("component_id"))
