@@ -43,25 +43,23 @@ def tree_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     which only cycles are left.
     """
     there = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
-    first = nodes.join(there, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.col("score").cast("double").alias("score"))
-    jumps = [scratch(first, "jump0")]
-    rounds = max(1, nodes.count()).bit_length() + 1
-    reach = jumps[0]
-    while not reach.filter("up IS NOT NULL").isEmpty() and len(jumps) <= rounds:
-        above = reach.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("score").alias("more"))
-        reach = scratch(
-            reach.join(above, ["tree", "up"], "left").select("tree", "node", F.col("next").alias("up"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score")),
-            f"jump{len(jumps)}",
-        )
-        jumps.append(reach)
-    parents = jumps[0].filter("up IS NOT NULL").select("tree", F.col("up").alias("node")).distinct()
-    leaves = reach.filter("up IS NULL").join(parents, ["tree", "node"], "left_anti")
+    first = nodes.join(there, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    first = scratch(first, "jump0")
+    rooted, climbing = first.filter("up IS NULL"), first.filter("up IS NOT NULL")
+    jumps, rounds = [], max(1, nodes.count()).bit_length() + 1
+    while len(jumps) < rounds and not climbing.isEmpty():
+        jumps.append(climbing.select("tree", "node", "up"))
+        above = rooted.unionByName(climbing).select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("score").alias("more"))
+        moved = climbing.join(above, ["tree", "up"]).select("tree", "node", F.col("next").alias("up"), (F.col("score") + F.col("more")).alias("score"))
+        moved = scratch(moved, f"jump{len(jumps)}")  # only nodes that are not at their root yet go on
+        rooted, climbing = rooted.unionByName(moved.filter("up IS NULL")), moved.filter("up IS NOT NULL")
+    parents = first.filter("up IS NOT NULL").select("tree", F.col("up").alias("node")).distinct()
+    leaves = rooted.join(parents, ["tree", "node"], "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc("score"), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= branches)
     paths = scratch(chosen.select("tree", F.col("node").alias("leaf"), "rank", "node", F.lit(0).alias("dist")), "paths")
-    for k, jump in enumerate(jumps[:-1]):
-        step = jump.filter("up IS NOT NULL").select("tree", "node", "up")
-        more = paths.join(step, ["tree", "node"]).select("tree", "leaf", "rank", F.col("up").alias("node"), (F.col("dist") + 2**k).alias("dist"))
+    for k, jump in enumerate(jumps):
+        more = paths.join(jump, ["tree", "node"]).select("tree", "leaf", "rank", F.col("up").alias("node"), (F.col("dist") + 2**k).alias("dist"))
         paths = scratch(paths.unionByName(more), f"paths{k}")
     return paths
 
