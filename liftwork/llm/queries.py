@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, language, near_dedup, packing, pieces, quality, token_counts, tokens
+from . import chat, exact_dedup, language, lm_scores, near_dedup, packing, pieces, quality, token_counts, tokens
 
 QUERIES = {
     "op1_mcd_outliers": quality.op1,
@@ -13,10 +13,12 @@ QUERIES = {
     "op6_coordinate_join": near_dedup.op6,
     "op7_dominance_packing": packing.op7,
     "op8_piece_language": language.op8,
+    "op9_backoff_scores": lm_scores.op9,
     "op10_content_sort": exact_dedup.op10,
 }
 
 SQL = {
     "op4_reply_trees": chat.OP4_SQL,
+    "op9_backoff_scores": lm_scores.OP9_SQL,
     "op10_content_sort": exact_dedup.OP10_SQL,
 }
