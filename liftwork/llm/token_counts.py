@@ -21,7 +21,9 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,8 @@ from .common import documents, ship, slices
 from .tokens import BYTES, tokenizer_path
 
 CHUNK = 2048
-STATES = 400_000
+STATES = 250_000
+SLICE = 2 << 20
 #: Character classes of the pre-tokenizer.
 SPACE, WHITE, QUOTE, S, T, R, E, V, M, L, D, LETTER, NUMBER, OTHER = range(14)
 
@@ -148,36 +151,43 @@ class Encoder:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.ranks[bytes(letters[c] for c in a), bytes(letters[c] for c in b)] = k
         self.tokens = list(vocab)
-        self.children: list[dict[int, int]] = [{}]
-        self.token: list[int] = [-1]
+        self.child: dict[int, int] = {}  # 256 * node + byte -> node
+        self.token = array("i", [-1])
         for i, t in enumerate(self.tokens):
             node = 0
             for b in t:
-                if b not in self.children[node]:
-                    self.children[node][b] = len(self.token)
-                    self.children.append({})
+                after = self.child.get(256 * node + b)
+                if after is None:
+                    after = self.child[256 * node + b] = len(self.token)
                     self.token.append(-1)
-                node = self.children[node][b]
+                node = after
             self.token[node] = i
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.inner = bytearray(len(self.token))  # nodes with children
+        for k in self.child:
+            self.inner[k >> 8] = 1
+        self.fits: dict[int, bool] = {}
         self.column = np.full(256, -1, np.int16)
         self.reset()
 
     def reset(self) -> None:
-        self.states: dict[tuple, int] = {}
-        self.what: list[tuple] = []
-        self.to = np.full((1024, 64 if self.column.max() < 63 else 256), -1, np.int32)
+        self.states: dict[bytes, int] = {}
+        self.what: list[bytes] = []
+        self.fits.clear()
+        self.to = self.change = None  # frees the old table first
+        self.to = np.zeros((STATES + STATES // 8, 32 * (self.column.max() // 32 + 4)), np.int32)  # 0: not compiled; memory is taken when it is written
         self.change = np.zeros(self.to.shape, np.int8)
-        self.number(((0, -1, 0),))
+        self.number([(0, -1, 0)])
 
-    def number(self, key: tuple) -> int:
+    def number(self, entries: list[tuple[int, int, int]]) -> int:
+        key = array("i", chain.from_iterable(entries)).tobytes()
         k = self.states.get(key)
         if k is None:
             k = self.states[key] = len(self.what)
             self.what.append(key)
             if k == len(self.to):
-                self.to = np.concatenate([self.to, np.full_like(self.to, -1)])
-                self.change = np.concatenate([self.change, np.zeros_like(self.change)])
+                more = len(self.to) // 2
+                self.to = np.concatenate([self.to, np.zeros_like(self.to[:more])])
+                self.change = np.concatenate([self.change, np.zeros_like(self.change[:more])])
         return k
 
     def merged(self, symbols: list[bytes]) -> list[bytes]:
@@ -199,27 +209,25 @@ class Encoder:
 
     def right(self, a: int, b: int) -> bool:
         """Whether tokens a and b may stand side by side (a = -1: the start)."""
-        if (a, b) not in self.fits:
+        key = (a + 1 << 20) + b
+        if key not in self.fits:
             x, y = self.tokens[a] if a >= 0 else b"", self.tokens[b]
-            self.fits[a, b] = self.merged([bytes([c]) for c in x + y]) == ([x, y] if x else [y])
-        return self.fits[a, b]
+            self.fits[key] = self.merged([bytes([c]) for c in x + y]) == ([x, y] if x else [y])
+        return self.fits[key]
 
     def compile(self, state: int, byte: int) -> None:
         """Adds the transition. A key is (trie node, token before it, count since) for each open start."""
-        moved = [(self.children[n][byte], last, since) for n, last, since in self.what[state] if byte in self.children[n]]
+        entries = array("i", self.what[state])
+        moved = [(after, last, since) for n, last, since in zip(entries[::3], entries[1::3], entries[2::3], strict=True) if (after := self.child.get(256 * n + byte)) is not None]
         node, last, since = next(x for x in moved if self.token[x[0]] >= 0 and self.right(x[1], self.token[x[0]]))
         change = 1 - since
-        key = tuple((n, t, s + change) for n, t, s in moved if self.children[n]) + ((0, self.token[node], 0),)
-        to = self.number(key)
+        to = self.number([*((n, t, s + change) for n, t, s in moved if self.inner[n]), (0, self.token[node], 0)])
         if self.column[byte] < 0:
             self.column[byte] = self.column.max() + 1
             if self.column[byte] == self.to.shape[1]:
-                wide = np.full((len(self.to), 256), -1, np.int32)
-                wide[:, : self.to.shape[1]] = self.to
-                more = np.zeros(wide.shape, np.int8)
-                more[:, : self.to.shape[1]] = self.change
-                self.to, self.change = wide, more
-        self.to[state, self.column[byte]] = to
+                more = np.zeros((len(self.to), 32), np.int8)
+                self.to, self.change = np.hstack([self.to, more.astype(np.int32)]), np.hstack([self.change, more])
+        self.to[state, self.column[byte]] = to + 1
         self.change[state, self.column[byte]] = change
 
     def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -235,13 +243,13 @@ class Encoder:
             byte = data[at[:n] + k]
             s = state[:n]
             column = self.column[byte]
-            missing = (column < 0) | (self.to[s, column] < 0)
+            missing = (column < 0) | (self.to[s, column] == 0)
             if missing.any():
                 for x in np.unique(s[missing].astype(np.int64) * 256 + byte[missing]):
                     self.compile(int(x >> 8), int(x & 255))
                 column = self.column[byte]
             total[:n] += self.change[s, column]
-            state[:n] = self.to[s, column]
+            state[:n] = self.to[s, column] - 1
         out = np.empty(len(at), np.int32)
         out[order] = total
         return out
@@ -298,7 +306,7 @@ def token_counts(df: DataFrame, path: str | None = None, limit: int = 1024) -> D
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch):
+            for part, texts in slices(batch, most=SLICE):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array(count_tokens(texts, where))], ["doc_id", "n_bytes", "n_tokens"])
 
     found = df.select("doc_id", "text").mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")
