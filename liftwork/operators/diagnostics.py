@@ -12,9 +12,15 @@ from .validate import require
 def point_biserial(df: DataFrame, columns: list[str]) -> DataFrame:
     """name, r, p of each column with y; constants have r = 0 and p = 1. One aggregation for all columns."""
     n = F.count(F.lit(1))
-    pairs = [F.struct(F.lit(c).alias("name"), F.corr(F.col(c).cast("double"), F.col("y").cast("double")).alias("r"), n.alias("n")) for c in columns]
+    y = F.col("y").cast("double")
+
+    def correlation(x):
+        scale = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+        return F.when(scale > 1e-12, F.covar_pop(x, y) / scale)
+
+    pairs = [F.struct(F.lit(c).alias("name"), correlation(F.col(c).cast("double")).alias("r"), n.alias("n")) for c in columns]
     rows = df.agg(F.array(*pairs).alias("all")).select(F.inline("all"))
-    r = F.coalesce(F.when(~F.isnan("r"), F.greatest(F.least("r", F.lit(0.999999)), F.lit(-0.999999))), F.lit(0.0))
+    r = F.coalesce(F.when(F.col("r").isNotNull() & ~F.isnan("r"), F.greatest(F.least("r", F.lit(0.999999)), F.lit(-0.999999))), F.lit(0.0))
     p = F.when(F.col("r").isNull() | F.isnan("r"), 1.0).otherwise(F.least(F.lit(1.0), 2 * normal_tail(fisher_z(F.col("r"), F.col("n")))))
     return rows.select("name", r.alias("r"), p.alias("p"))
 

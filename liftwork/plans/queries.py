@@ -174,7 +174,7 @@ def category_counts(spark, d):
 
 
 @query("standardize", f"""+{SPLIT}, med AS (SELECT median(balance) AS m FROM split WHERE split = 'train'), st AS (SELECT avg(coalesce(balance, m)) AS mean, stddev_pop(coalesce(balance, m)) AS scale FROM split, med WHERE split = 'train')
-SELECT split, count(*) AS n, round(avg((coalesce(balance, m) - mean) / scale), 5) AS mean, round(stddev_pop((coalesce(balance, m) - mean) / scale), 5) AS std FROM split, med, st GROUP BY split""", "trial")
+SELECT split, count(*) AS n, round(avg((coalesce(balance, m) - mean) / scale), 5) + 0.0 AS mean, round(stddev_pop((coalesce(balance, m) - mean) / scale), 5) AS std FROM split, med, st GROUP BY split""", "trial")
 def standardize(spark, d):
     rows, _ = prepare.prepare(splits.stratified_split(trial(spark, d), 7), ["balance"], [], ["epk_id", "split"])
     x = F.col("balance").cast("double")
