@@ -181,7 +181,7 @@ def token_pieces(df: DataFrame, path: str, end_id: int, most: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen, end = TaskContext.get().partitionId(), np.zeros(most + 1, np.int64), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for some, texts in slices(batch):
+            for some, texts in slices(batch, most=2 << 20):
                 ids = [x + end for x in encoder(path).ids(texts)]
                 sizes = np.array([len(x) // 4 for x in ids], np.int64)
                 n = -(-sizes // most)

@@ -1,8 +1,9 @@
 """Token ids of whole texts by a public tokenizer file, and flat token files.
 
-Texts are cut where the tokenizer's own pre-tokenizer always cuts, each distinct chunk is encoded
-once by the tokenizers library and its ids are kept as little-endian 32-bit bytes; a text's ids
-are its chunks' bytes joined. The cache is bounded and starts anew when it is full.
+Texts are cut, in numpy, where the tokenizer's own pre-tokenizer always cuts; each distinct chunk,
+named by a 64-bit hash, is encoded once by the tokenizers library, and a text's ids are gathered from
+those of its chunks. The cache is bounded and starts anew when it is full. Texts that hold the
+tokenizer's special strings, or white space that the cut does not know, go to the library whole.
 
 Token files: documents are range-partitioned by doc_id, and each task writes `.ids` (flat unsigned
 integers), `.offsets` (unsigned 64-bit document starts inside the file) and `.docs` (the doc_ids)
@@ -22,6 +23,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyarrow.fs import LocalFileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,10 +32,33 @@ from pyspark.sql import functions as F
 from .common import documents, filesystem, partitions, scratch, scratch_dir, ship, slices
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
-#: White space as the pre-tokenizer's \s has it.
-SPACES = "\t-\r \x85\xa0  -     　"
 #: Distinct chunks that a Python worker keeps.
-CACHE = 1_200_000
+CACHE = 700_000
+
+
+BLOCK = 1 << 20
+_random = np.random.default_rng(7)
+LETTER = _random.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+BASE = 0x9E3779B97F4A7C15
+POWERS, INVERSES = (np.cumprod(np.full(BLOCK, x, np.uint64)) for x in (BASE, pow(BASE, -1, 1 << 64)))
+
+
+def chunk_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end]: differences of prefix polynomials, a block of chunks at a time."""
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, "right")))
+        low, high = starts[i], ends[j - 1]
+        if high - low > BLOCK:  # one very long chunk
+            out[i] = xxhash.xxh3_64_intdigest(data[low:high].tobytes())
+        else:
+            upto = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(LETTER[data[low:high]] * POWERS[: high - low], out=upto[1:])
+            out[i:j] = (upto[ends[i:j] - low] - upto[starts[i:j] - low]) * INVERSES[starts[i:j] - low]
+        i = j
+    x = out ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
 
 class Encoder:
@@ -46,57 +71,149 @@ class Encoder:
         self.separator, self.special = separator, special
         self.mark = self.library.encode(separator, add_special_tokens=False).ids
         assert len(self.mark) == 1
-        self.known: dict = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[int, int] = {}  # hash -> place in begin and size
+        self.begin, self.size, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
 
     def whole(self, text: bytes) -> bytes:
         return np.array(self.library.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, chunks: list) -> None:
-        if len(self.known) + len(chunks) > CACHE:
-            self.known.clear()
-        texts = [c.decode() if isinstance(c, bytes) else c for c in chunks]
+    def encode_chunks(self, chunks: list[bytes]) -> list[np.ndarray]:
+        """The ids of each chunk, by the library; many chunks go through one call with the separator between."""
+        texts = [c.decode() for c in chunks]
+        out: list = [None] * len(texts)
         plain = [i for i, t in enumerate(texts) if self.separator not in t]
         groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        joined = [self.separator.join(texts[i] for i in g) for g in groups]
+        joined = [self.separator.join([texts[i] for i in g]) for g in groups]
         for g, e in zip(groups, self.library.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark[0])
-            flat, starts, ends = ids.tobytes(), [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
-            assert len(starts) == len(g)
-            self.known.update(zip((chunks[i] for i in g), (flat[a:b] for a, b in zip(starts, ends, strict=True)), strict=True))
-        for i in set(range(len(chunks))).difference(plain):
-            self.known[chunks[i]] = self.whole(texts[i].encode())
+            ids = np.array(e.ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.mark[0]).tolist()
+            assert len(cuts) == len(g) - 1
+            for i, a, b in zip(g, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True):
+                out[i] = ids[a:b]
+        for i in set(range(len(texts))).difference(plain):
+            out[i] = np.frombuffer(self.whole(chunks[i]), "<u4")
+        return out
+
+    def learn(self, hashes: list[int], chunks: list[bytes]) -> None:
+        found = self.encode_chunks(chunks)
+        sizes = np.array(list(map(len, found)), np.int64)
+        n, at = len(self.known), self.used
+        self.used += int(sizes.sum())
+        while n + len(hashes) > len(self.size):
+            self.begin, self.size = np.concatenate([self.begin, np.zeros_like(self.begin)]), np.concatenate([self.size, np.zeros_like(self.size)])
+        while self.used > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[at : self.used] = np.concatenate(found)
+        self.begin[n : n + len(sizes)], self.size[n : n + len(sizes)] = at + np.cumsum(sizes) - sizes, sizes
+        self.known.update(zip(hashes, range(n, n + len(hashes)), strict=True))
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        cut = [None if self.special in t else self.chunks(t) for t in texts]
-        new = set(chain.from_iterable(c for c in cut if c))
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-        if missing := new.difference(self.known):
-            self.learn(list(missing))
-        get = self.known.__getitem__
-        return [self.whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
+        """The ids of each text as little-endian 32-bit bytes."""
+        odd = [self.special in t or self.uncut(t) for t in texts]
+        plain = [t for t, o in zip(texts, odd, strict=True) if not o]
+        data = np.frombuffer(b"".join(plain), np.uint8)
+        text_starts = np.cumsum([0, *map(len, plain)])
+        starts, ends = self.cut(data, text_starts)
+        names, first, inverse = np.unique(chunk_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        names = names.tolist()
+        place = list(map(self.known.get, names))  # one look-up for each distinct chunk
+        if missing := [i for i, k in enumerate(place) if k is None]:
+            if len(self.known) + len(missing) > CACHE:
+                self.clear()
+                missing = range(len(names))
+            self.learn([names[i] for i in missing], [data[a:b].tobytes() for a, b in zip(starts[first[missing]].tolist(), ends[first[missing]].tolist(), strict=True)])
+            place = [self.known[x] for x in names]
+        place = np.array(place, np.int64)[inverse]
+        n = self.size[place]
+        upto = np.cumsum(n)
+        flat = self.flat[np.repeat(self.begin[place] - upto + n, n) + np.arange(upto[-1] if len(upto) else 0)]
+        edges = np.concatenate([[0], upto])[np.searchsorted(starts, text_starts)].tolist()
+        done = iter([flat[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)])
+        return [self.whole(t) if o else next(done) for t, o in zip(texts, odd, strict=True)]
+
+
+WHITE, LETTERS, MARKS = np.zeros((3, 256), bool)
+WHITE[[9, 10, 11, 12, 13, 32]] = True
+LETTERS[[*range(65, 91), *range(97, 123)]] = True
+MARKS[33:127] = ~LETTERS[33:127]
+
+
+def after_letter(data: np.ndarray) -> np.ndarray:
+    """Where an ASCII mark or digit follows an ASCII letter: both tokenizers always cut there."""
+    out = MARKS[data]
+    out[1:] &= LETTERS[data[:-1]]
+    out[:1] = False
+    return out
 
 
 class WordEncoder(Encoder):
-    """Drops white space; no token crosses it."""
+    """Chunks are runs between ASCII white space, cut after letters; case does not matter."""
 
     def __init__(self, path: str):
-        super().__init__(path, "<|startoftext|>", b"<|startoftext|>")
+        super().__init__(path, "<|startoftext|>", b"<|")
+        vocab = self.library.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def uncut(self, text: bytes) -> bool:
+        return False
 
-    def chunks(self, text: bytes) -> list:
-        return text.split()
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        return super().ids([t if self.special in t else t.lower() for t in texts])  # ASCII alone; the library does the rest
+
+    def encode_chunks(self, chunks: list[bytes]) -> list[np.ndarray]:
+        """Words of ASCII letters are one pretoken each, so that one space between them is enough to tell them apart."""
+        words = [i for i, c in enumerate(chunks) if c.isalpha()]
+        rest = [i for i, c in enumerate(chunks) if not c.isalpha()]
+        out: list = [None] * len(chunks)
+        for i, x in zip(rest, super().encode_chunks([chunks[i] for i in rest]), strict=True):
+            out[i] = x
+        groups = [words[i : i + 256] for i in range(0, len(words), 256)]
+        for g, e in zip(groups, self.library.encode_batch_fast([b" ".join([chunks[i] for i in g]).decode() for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+            for i, a, b in zip(g, [0, *ends], ends, strict=False):
+                out[i] = ids[a:b]
+            assert len(ends) == len(g)
+        return out
+
+    def cut(self, data: np.ndarray, text_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        edge = np.zeros(len(data) + 1, bool)
+        edge[text_starts] = True
+        word, inside = ~WHITE[data], after_letter(data)
+        starts = word & (edge[:-1] | ~np.append(False, word[:-1])[: len(data)] | inside)
+        ends = word & (edge[1:] | ~np.append(word[1:], False)[: len(data)] | np.append(inside[1:], False)[: len(data)])
+        return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
 class ByteEncoder(Encoder):
-    """A chunk is a run of non-space with the one space before it, or a run of other white space."""
+    """A chunk is a run of non-space with the one space before it, cut after letters, or other white space: the last character of a run before a word stands alone."""
 
     def __init__(self, path: str):
         super().__init__(path, "\n", b"<|endoftext|>")
-        self.cut = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+").findall
 
-    def chunks(self, text: bytes) -> list:
-        return self.cut(text.decode())
+    def uncut(self, text: bytes) -> bool:
+        """Whether white space outside ASCII (U+0085, U+00A0 and so on) may be in the text."""
+        if text.isascii():
+            return False
+        return any(x in text for x in (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")) or (b"\xe2\x80" in text and WIDE(text) is not None)
+
+    def cut(self, data: np.ndarray, text_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        white = WHITE[data]
+        edge = np.zeros(len(data) + 1, bool)
+        edge[text_starts] = True
+        before = np.append(False, white[:-1])[: len(data)] & ~edge[:-1]
+        word_next = np.append(~white[1:], False)[: len(data)] & ~edge[1:]
+        after_other = before & np.append(False, data[:-1] != 32)[: len(data)]
+        starts = np.flatnonzero(edge[:-1] | (white & (~before | word_next)) | (~white & after_other) | after_letter(data))
+        return starts, np.append(starts[1:], len(data)) if len(starts) else starts
+
+
+#: White space in the general punctuation block.
+WIDE = re.compile(b"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]").search
 
 
 _encoders: dict[str, Encoder] = {}
@@ -122,12 +239,11 @@ def token_files(df: DataFrame, path: str | None = None, end_id: int = 1, dtype:
     """Writes the ids of `df` (doc_id, text) in ascending doc_id order to the shared folder; returns the index of the files.
 
     dtype: an unsigned type that holds the vocabulary. The index has part, stem, n_docs, n_ids and base, the number
-    of ids in all files before it. Equal doc_ids are ordered by text; null doc_ids come first, null text is empty.
+    of ids in all files before it. Equal doc_ids are ordered by text hash and text; null doc_ids come first, null text is empty.
     """
     spark = df.sparkSession
     ship(spark)
     tokenizer, folder = path or tokenizer_path(WORDS), f"{scratch_dir(spark)}/liftwork-{uuid.uuid4().hex}/tokens"
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text")]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -138,7 +254,7 @@ def token_files(df: DataFrame, path: str | None = None, end_id: int = 1, dtype:
         out = {kind: fs.open_output_stream(f) for kind, f in mine.items()}
         end, n_docs, n_ids = np.array([end_id], "<u4").tobytes(), 0, 0
         for batch in batches:
-            for part, texts in slices(batch):
+            for part, texts in slices(batch, most=2 << 20):
                 ids = [x + end for x in encoder(tokenizer).ids(texts)]
                 sizes = np.array([len(x) // 4 for x in ids], np.int64)
                 out["ids"].write(np.frombuffer(b"".join(ids), "<u4").astype(dtype).tobytes())
@@ -151,7 +267,8 @@ def token_files(df: DataFrame, path: str | None = None, end_id: int = 1, dtype:
         if n_docs:
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (task.partitionId(), f"{folder}/{stem}", n_docs, n_ids)], ["part", "stem", "n_docs", "n_ids"])
 
-    placed = df.select("doc_id", "text").repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    ranges = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]  # a small sample, however long the texts are
+    placed = df.select("doc_id", "text").repartitionByRange(partitions(spark), *ranges).sortWithinPartitions(*ranges, "text")
     index = scratch(placed.mapInArrow(write, "part long, stem string, n_docs long, n_ids long"), "index")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     return scratch(index.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), "bases")
