@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import documents, scratch, ship, slices
 
 K, LEAST, WORDS, PERCENT = 48, 28, 5, 85
-SHORT, BLOCK, CACHE = 8, 256, 600_000
+SHORT, BLOCK, CACHE, SLICE = 8, 256, 300_000, 2 << 20
+#: Ids up to which texts are picked by broadcast (8 MB); beyond, the texts are shuffled.
+MOST_IDS = 1_000_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _random = np.random.default_rng(20240229)
 MULTIPLY = _random.integers(0, 1 << 63, K, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -78,7 +80,7 @@ def signature(found: np.ndarray) -> np.ndarray:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, texts in slices(batch):
+        for part, texts in slices(batch, most=SLICE):
             sets = [shingles(t) for t in texts]
             first = pa.array([int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64())
             second = pa.array([int(mix(s + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64())
@@ -88,10 +90,17 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, texts in slices(batch):
+        for part, texts in slices(batch, most=SLICE):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t).view(np.int64) for t in texts], pa.list_(pa.int64()))], ["id", "items"])
 
 
+def full_sets(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """id, items of the documents in `ids` (doc_id), from their whole texts."""
+    ids = scratch(ids.distinct(), f"{name}_ids")
+    ids = F.broadcast(ids) if ids.count() <= MOST_IDS else ids
+    return scratch(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, items array<long>").dropDuplicates(["id"]), name)
+
+
 def postings(nodes: DataFrame) -> DataFrame:
     """key, id of each class's prefix: its rarest coordinate values that other classes hold too."""
     posted = nodes.select("id", F.explode("sig").alias("key"))
@@ -211,8 +220,7 @@ def rest_links(posted: DataFrame, lists: DataFrame, labels: DataFrame, docs: Dat
     own = F.when(F.col("main"), F.pmod(F.xxhash64("id"), n_main)).otherwise(n_main + F.pmod(F.xxhash64("id"), n_rest))
     meets = F.when(F.col("main"), F.sequence(n_main, n_main + n_rest - 1)).otherwise(F.sequence(F.lit(0), n_main + n_rest - 1))
     placed = rows.withColumn("own", own).withColumn("other", F.explode(meets)).select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label", "main")
-    some = rows.select(F.col("id").alias("doc_id")).distinct()
-    sets = scratch(docs.join(some, "doc_id", "left_semi").mapInArrow(_sets, "id long, items array<long>").dropDuplicates(["id"]), "mixed_sets")
+    sets = full_sets(docs, rows.select(F.col("id").alias("doc_id")), "mixed_sets")
     full = placed.join(sets, "id").select(*(f.split()[0] for f in BLOCKS.split(", ")))
     return full.groupBy("grp", "i", "j").applyInPandas(_block_links, "a long, b long").distinct()
 
@@ -230,8 +238,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     sig = nodes.select("id", "sig")
     pairs = first_pairs(posted, lists).join(sig.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
     pairs = scratch(pairs.filter(F.size(F.array_intersect("x", "y")) >= LEAST).select("a", "b"), "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = scratch(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, items array<long>").dropDuplicates(["id"]), "sets")
+    sets = full_sets(docs, pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))), "sets")
     links = scratch(confirmed(pairs, sets), "confirmed")
     labels = components(links)
     more = rest_links(posted, lists, labels, docs)
