@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as fn
-from ..operators import bootstrap, curves, diagnostics, prepare, regimes, resample, splits, trials, validate
+from ..operators import bootstrap, curves, diagnostics, kernels, learners, prepare, regimes, resample, semisynth, splits, trials, validate
 from ..sources import tables
+from . import runs as runs_of
 from .views import draws, runs, scored, sql, sql_u, table, trial, truth
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -512,3 +513,48 @@ def lineitem_qini(spark, d):
     key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     rows = table(spark, d, "lineitem").select(F.lit("lineitem").alias("cell"), (fn.uniform(key, "T") < 0.5).cast("int").alias("t"), (F.col("l_returnflag") == "R").cast("int").alias("y"), F.floor(F.col("l_extendedprice") / 100).cast("double").alias("score"))
     return curves.areas(rows, ["cell"]).select("cell", F.round("qini_area", 2).alias("qini_area"))
+
+
+# ---- learners, on orders with a known effect; scores of the test split
+
+def learner_cell(spark, d):
+    rows = trial(spark, d).withColumn("balance", F.coalesce("balance", F.lit(0.0))).select("epk_id", (F.col("price") / 1e5).alias("price"), (F.col("balance") / 1e4).alias("balance"), F.col("order_month").cast("double").alias("order_month"))
+    known = semisynth.generate(rows, ["price", "balance", "order_month"], semisynth.Spec(0.3, 0.15, 0.8, seed=2))
+    return runs_of.prepare_cell(known, ["price", "balance", "order_month"], [], 2)
+
+
+FEATURES = ["price", "balance", "order_month"]
+TREES = learners.Trees(rounds=5, depth=3, step=0.3)
+
+
+def _learner(name: str, fit) -> None:
+    @query(name)
+    def run(spark, d):
+        cell = learner_cell(spark, d)
+        model = fit(cell.filter("split = 'train'"))
+        return model.predict(cell.filter("split = 'test'")).select("epk_id", F.lit(model.name).alias("model"), F.round("cate", 6).alias("cate"), F.round("tau", 6).alias("tau"))
+
+
+for _name, _fit in {
+    "constant_ate": learners.constant_effect,
+    "t_learner": lambda rows: learners.t_learner(rows, TREES),
+    "x_learner": lambda rows: learners.x_learner(rows, TREES),
+    "dr_learner": lambda rows: learners.dr_learner(rows, TREES, folds=2),
+    "q_learner": lambda rows: learners.q_learner(rows, TREES),
+    "q_learner_ratio": lambda rows: learners.q_learner(rows, TREES, ratio=True),
+    "residual_correction": lambda rows: learners.residual_correction(rows, learners.constant_effect, TREES, folds=2),
+    "gp_cate": lambda rows: kernels.gp_cate(rows, FEATURES, 3, 600, 300),
+    "dragonnet": lambda rows: kernels.dragonnet(rows, FEATURES, width=32, epochs=10),
+    "neighbour_stand_in": lambda rows: kernels.neighbour_stand_in(rows, FEATURES),
+}.items():
+    _learner(_name, _fit)
+
+
+@query("overlap_summary")
+def overlap_summary(spark, d):
+    return rounded(diagnostics.overlap(learners.cross_fitted_propensity(learner_cell(spark, d).filter("split = 'train'"), TREES, 2)), 4)
+
+
+@query("risk_scores")
+def risk_scores(spark, d):
+    return learners.risk_scores(learner_cell(spark, d), TREES, 2).select("epk_id", "split", F.round("risk", 6).alias("risk"))
