@@ -35,6 +35,8 @@ from .tokens import tokenizer_path
 
 MOST_DOCS, MOST_LABELS, ROUNDS, LONGEST, CACHE = 2000, 1000, 3, 8, 600_000
 LETTERS = re.compile(r"[^\W\d_]+").findall
+#: ASCII letters in lower case and bytes of other characters; the rest of ASCII parts words.
+PLAIN = bytes(c if 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 UNKNOWN_SHARE = 1e-5
 
 
@@ -49,21 +51,54 @@ def vocabulary(path: str) -> dict[str, int]:
     return {p: i for i, p in enumerate(good)}
 
 
+class Trie:
+    """The vocabulary as a dense table: next[row, class of character], rows of inner nodes alone; node 0 is dead, node 1 the root."""
+
+    def __init__(self, vocab: dict[str, int]):
+        self.unknown = len(vocab)
+        self.single = np.full(0x110000, self.unknown, np.int32)
+        letters = sorted({c for p in vocab if len(p) > 1 for c in p})
+        self.kind = np.zeros(0x110000, np.uint16)
+        self.kind[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        prefixes = sorted({p[:k] for p in vocab for k in range(1, len(p))})  # inner nodes come first
+        node = {x: i + 1 for i, x in enumerate(["", *prefixes])}
+        for p in vocab:
+            node.setdefault(p, len(node) + 1)
+        self.inner = len(prefixes) + 2
+        self.piece = np.full(len(node) + 1, -1, np.int32)
+        self.next = np.zeros((self.inner, len(letters) + 1), np.int32)
+        for p, i in vocab.items():
+            self.piece[node[p]] = i
+            if len(p) == 1:
+                self.single[ord(p)] = i
+        for p, n in node.items():
+            if p and self.kind[ord(p[-1])]:
+                self.next[node[p[:-1]], self.kind[ord(p[-1])]] = n
+
+
+@lru_cache(2)
+def trie(path: str) -> Trie:
+    return Trie(vocabulary(path))
+
+
 class Lattice:
     """The pieces of some words, longest word first: piece[l - 1][start + i] is the number of word[i:i+l], or -1."""
 
-    def __init__(self, words: list[str], vocab: dict[str, int]):
+    def __init__(self, words: list[str], tree: Trie):
         self.order = sorted(range(len(words)), key=lambda i: -len(words[i]))
-        self.lengths = np.array([len(words[i]) for i in self.order], np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        get, unknown = vocab.get, len(vocab)
-        flat: list[list[int]] = [[] for _ in range(LONGEST)]
-        for i in self.order:
-            w = words[i]
-            for k in range(1, LONGEST + 1):
-                flat[k - 1] += [get(w[a : a + k], -1) if a + k <= len(w) else -1 for a in range(len(w))]
-        self.piece = np.array(flat, np.int64).reshape(LONGEST, -1)
-        self.piece[0][self.piece[0] < 0] = unknown
+        words = [words[i] for i in self.order]
+        self.lengths = np.array(list(map(len, words)), np.int64)
+        ends = np.cumsum(self.lengths)
+        self.starts = ends - self.lengths
+        points = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        left = np.repeat(ends, self.lengths) - np.arange(len(points))  # characters up to the word's end
+        kinds, node = tree.kind[points], np.ones(len(points), np.int32)
+        self.piece = np.full((LONGEST, len(points)), -1, np.int32)
+        for k in range(LONGEST):
+            row = np.where(node < tree.inner, node, 0)
+            node = tree.next[row, np.append(kinds[k:], np.zeros(k, np.uint16))[: len(points)]] * (left > k)
+            self.piece[k] = tree.piece[node]
+        self.piece[0] = tree.single[points]
         top = int(self.lengths[0]) if len(words) else 0
         self.live = np.searchsorted(-self.lengths, -np.arange(top + 1), side="right")
 
@@ -121,7 +156,7 @@ class Scorer:
     """Log likelihoods of raw words, kept for the worker's later batches. p: pieces x languages, priors: log."""
 
     def __init__(self, p: np.ndarray, priors: np.ndarray, path: str):
-        self.p, self.priors, self.vocab = p, priors, vocabulary(path)
+        self.p, self.priors, self.tree = p, priors, trie(path)
         self.clear()
 
     def clear(self) -> None:
@@ -136,7 +171,7 @@ class Scorer:
             owner = np.repeat(np.arange(len(part)), [len(c) for c in cut])
             found = np.zeros((len(part), self.rows.shape[1]))
             if flat:
-                np.add.at(found[:, :-1], owner, Lattice(flat, self.vocab).forward(self.p))
+                np.add.at(found[:, :-1], owner, Lattice(flat, self.tree).forward(self.p))
                 found[owner, -1] = 1
             at = len(self.known)
             while at + len(part) > len(self.rows):
@@ -146,7 +181,7 @@ class Scorer:
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(best language or -1, its posterior, has a letter)."""
-        cut = [t.split() for t in texts]
+        cut = [t.translate(PLAIN).split() for t in texts]
         new = {w for c in cut for w in c}
         if len(self.known) + len(new) > CACHE:
             self.clear()
@@ -188,7 +223,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for part, texts in slices(batch):
                 found: dict = defaultdict(Counter)
                 for lang, text in zip(part.column("lang").to_pylist(), texts, strict=True):
-                    found[lang].update(text.split())
+                    found[lang].update(text.translate(PLAIN).split())
                 for lang, words in found.items():
                     letters: Counter = Counter()
                     for w, n in words.items():
@@ -217,12 +252,12 @@ def fit(docs: DataFrame, most_docs: int = MOST_DOCS, rounds: int = ROUNDS, path:
         model = spark.sparkContext.broadcast(p)
 
         def expect(parts: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
-            vocab, sums = vocabulary(where), {}
+            tree, sums = trie(where), {}
             for part in parts:
                 for lang, rows in part.groupby("lang"):
                     for k in range(0, len(rows), 5000):
                         some = rows.iloc[k : k + 5000]
-                        got = Lattice(list(some["word"]), vocab).expected(model.value[:, langs.index(lang)], some["n"].to_numpy(float))
+                        got = Lattice(list(some["word"]), tree).expected(model.value[:, langs.index(lang)], some["n"].to_numpy(float))
                         sums[lang] = sums.get(lang, 0) + got
             for lang, got in sums.items():
                 at = np.flatnonzero(got)
