@@ -4,22 +4,25 @@
   cut, every executor can reread it, and its size is known to the planner.
 * `ship` makes this package importable on the executors.
 * `slices` walks an Arrow batch in pieces of bounded text size.
+* `held` keeps one large table in a Python worker.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from collections.abc import Iterator
-from pathlib import Path
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from ..shipping import ship as send
+
+T = TypeVar("T")
+
 #: Bytes of text that a Python task works on at once.
 SLICE_BYTES = 4 << 20
 
@@ -41,18 +44,25 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once for each Spark context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_liftwork_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    path = os.path.join(tempfile.mkdtemp(prefix="spark-liftwork-"), "liftwork_tasks.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent))
-    sc.addPyFile(path)
-    sc._liftwork_shipped = True
+    """Sends this package to the executors, and keeps batches of whole texts small unless the user chose their size."""
+    send(spark)
+    if spark.conf.get(BATCH) == "10000":  # Spark's default
+        spark.conf.set(BATCH, "1000")
+
+
+_held: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], T]) -> T:
+    """The one large table that a Python worker keeps between tasks; asking for another frees the last."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, scratch, ship, slices, widened
+from .common import documents, held, scratch, ship, slices, widened
 from .pieces import MARK, MODEL
 from .tokens import tokenizer_path
 
@@ -197,9 +197,6 @@ class Scorer:
         return np.where(has, best, -1), np.where(has, score, 0.0), has
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -280,12 +277,10 @@ def with_language(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarra
     shared = docs.sparkSession.sparkContext.broadcast((p, priors))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _scorers:
-            _scorers.clear()
-            _scorers[name] = Scorer(*shared.value, where)
+        scorer = held(f"language {name}", lambda: Scorer(*shared.value, where))
         for batch in batches:
             for part, texts in slices(batch):
-                best, score, _ = _scorers[name].score(texts)
+                best, score, _ = scorer.score(texts)
                 said = pa.array([langs[i] if i >= 0 else "und" for i in best.tolist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, said, pa.array(score, pa.float64())], [*part.schema.names, "__lang_pred", "__score"])
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, scratch, ship, slices
+from .common import documents, held, scratch, ship, slices
 
 K, LEAST, WORDS, PERCENT = 48, 28, 5, 85
 SHORT, BLOCK, CACHE, SLICE = 8, 256, 300_000, 2 << 20
@@ -42,7 +42,6 @@ _random = np.random.default_rng(20240229)
 MULTIPLY = _random.integers(0, 1 << 63, K, np.uint64) * np.uint64(2) + np.uint64(1)
 FLIP = _random.integers(0, 1 << 63, K, np.uint64)
 PLACE = _random.integers(0, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
-_words: dict[bytes, int] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,16 +51,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    known: dict[bytes, int] = held("words", dict)
+    if len(known) > CACHE:
+        known.clear()
+    for w in set(words).difference(known):
+        known[w] = xxhash.xxh3_64_intdigest(w)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
 def shingles(text: bytes) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles."""
     words = text.translate(LOWER).split()
     if not words:
         return np.empty(0, np.uint64)
-    if len(_words) > CACHE:
-        _words.clear()
-    for w in set(words).difference(_words):
-        _words[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = word_hashes(words)
     if len(h) < WORDS:
         return mix((h * PLACE[: len(h)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(h)))
     total = h[: len(h) - WORDS + 1] * PLACE[0]

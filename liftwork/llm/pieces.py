@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, ship, slices
+from .common import documents, held, ship, slices
 from .tokens import tokenizer_path
 
 MODEL, MARK, LONG, CACHE = "piece_bpe_32k.model", "▁", 200, 700_000
@@ -156,13 +156,8 @@ class Pieces:
             return self.library.decode(ids)
 
 
-_pieces: dict[str, Pieces] = {}
-
-
 def pieces(path: str) -> Pieces:
-    if path not in _pieces:
-        _pieces[path] = Pieces(path)
-    return _pieces[path]
+    return held(f"pieces {path}", lambda: Pieces(path))
 
 
 def encode_ids(texts: list[bytes], path: str) -> list[list[int]]:

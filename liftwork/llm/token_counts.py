@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, ship, slices
+from .common import documents, held, ship, slices
 from .tokens import BYTES, tokenizer_path
 
 CHUNK = 2048
@@ -262,13 +262,8 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-_compiled: dict = {}
-
-
 def compiled(path: str) -> tuple[np.ndarray, PreTokenizer, Encoder]:
-    if path not in _compiled:
-        _compiled[path] = (class_table(), PreTokenizer(), Encoder(path))
-    return _compiled[path]
+    return held(f"transducers {path}", lambda: (class_table(), PreTokenizer(), Encoder(path)))
 
 
 def count_tokens(texts: list[bytes], path: str) -> np.ndarray:

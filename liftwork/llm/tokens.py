@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, filesystem, partitions, scratch, scratch_dir, ship, slices
+from .common import documents, filesystem, held, partitions, scratch, scratch_dir, ship, slices
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
 #: Distinct chunks that a Python worker keeps.
@@ -216,14 +216,9 @@ class ByteEncoder(Encoder):
 WIDE = re.compile(b"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]").search
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The worker's encoder for `path`: it stays for later tasks."""
-    if path not in _encoders:
-        _encoders[path] = (WordEncoder if "word_bpe" in path else ByteEncoder)(path)
-    return _encoders[path]
+    return held(f"tokens {path}", lambda: (WordEncoder if "word_bpe" in path else ByteEncoder)(path))
 
 
 def tokenizer_path(name: str) -> str:
