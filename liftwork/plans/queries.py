@@ -524,7 +524,6 @@ def learner_cell(spark, d):
 
 
 FEATURES = ["price", "balance", "order_month"]
-TREES = learners.Trees(rounds=5, depth=3, step=0.3)
 
 
 def _learner(name: str, fit) -> None:
@@ -537,14 +536,14 @@ def _learner(name: str, fit) -> None:
 
 for _name, _fit in {
     "constant_ate": learners.constant_effect,
-    "t_learner": lambda rows: learners.t_learner(rows, TREES),
-    "x_learner": lambda rows: learners.x_learner(rows, TREES),
-    "dr_learner": lambda rows: learners.dr_learner(rows, TREES, folds=2),
-    "q_learner": lambda rows: learners.q_learner(rows, TREES),
-    "q_learner_ratio": lambda rows: learners.q_learner(rows, TREES, ratio=True),
-    "residual_correction": lambda rows: learners.residual_correction(rows, learners.constant_effect, TREES, folds=2),
-    "gp_cate": lambda rows: kernels.gp_cate(rows, FEATURES, 3, 600, 300),
-    "dragonnet": lambda rows: kernels.dragonnet(rows, FEATURES, width=32, epochs=10),
+    "t_learner": learners.t_learner,
+    "x_learner": learners.x_learner,
+    "dr_learner": learners.dr_learner,
+    "q_learner": learners.q_learner,
+    "q_learner_ratio": lambda rows: learners.q_learner(rows, ratio=True),
+    "residual_correction": lambda rows: learners.residual_correction(rows, learners.constant_effect),
+    "gp_cate": lambda rows: kernels.gp_cate(rows, FEATURES),
+    "dragonnet": lambda rows: kernels.dragonnet(rows, FEATURES),
     "neighbour_stand_in": lambda rows: kernels.neighbour_stand_in(rows, FEATURES),
 }.items():
     _learner(_name, _fit)
@@ -552,9 +551,9 @@ for _name, _fit in {
 
 @query("overlap_summary")
 def overlap_summary(spark, d):
-    return rounded(diagnostics.overlap(learners.cross_fitted_propensity(learner_cell(spark, d).filter("split = 'train'"), TREES, 2)), 4)
+    return rounded(diagnostics.overlap(learners.cross_fitted_propensity(learner_cell(spark, d).filter("split = 'train'"))), 4)
 
 
 @query("risk_scores")
 def risk_scores(spark, d):
-    return learners.risk_scores(learner_cell(spark, d), TREES, 2).select("epk_id", "split", F.round("risk", 6).alias("risk"))
+    return learners.risk_scores(learner_cell(spark, d)).select("epk_id", "split", F.round("risk", 6).alias("risk"))
