@@ -9,6 +9,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
@@ -44,13 +45,13 @@ class Trees:
         model = GBTClassifier(labelCol="__label", **self._common()).fit(rows.select("features", F.col(label).cast("double").alias("__label")))
         return lambda df, out: model.transform(df).withColumn(out, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
-    def regressor(self, rows: DataFrame, label: str) -> Adder:
+    def regressor(self, rows: DataFrame, label: str, features: str = "features") -> Adder:
         """Adds the predicted label. Too few or constant labels give their mean."""
         facts = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("m"), F.stddev_pop(label).alias("s")).first()
         require(facts["n"] > 0, f"no rows to learn {label} from")
         if facts["n"] < 2 or facts["s"] < 1e-12:
             return lambda df, out: df.withColumn(out, F.lit(facts["m"]))
-        model = GBTRegressor(labelCol=label, predictionCol="__p", **self._common()).fit(rows.select("features", label))
+        model = GBTRegressor(labelCol=label, predictionCol="__p", **(self._common() | {"featuresCol": features})).fit(rows.select(features, label))
         return lambda df, out: model.transform(df).withColumnRenamed("__p", out)
 
 
@@ -104,10 +105,10 @@ def out_of_fold(train: DataFrame, folds: int, seed: int, fit: Callable[[DataFram
     return out.drop("fold")
 
 
-def outcome_means(trees: Trees) -> Callable[[DataFrame], Callable[[DataFrame], DataFrame]]:
+def outcome_means(trees: Trees, names: tuple[str, str] = ("mu0", "mu1")) -> Callable[[DataFrame], Callable[[DataFrame], DataFrame]]:
     def fit(rows: DataFrame) -> Callable[[DataFrame], DataFrame]:
         mu0, mu1 = (trees.classifier(arm(rows, a), "y") for a in (0, 1))
-        return lambda df: mu1(mu0(df, "mu0"), "mu1")
+        return lambda df: mu1(mu0(df, names[0]), names[1])
 
     return fit
 
@@ -146,26 +147,34 @@ def q_learner(train: DataFrame, trees: Trees = Trees(), ratio: bool = False, lea
     return Fitted("q_learner_ratio" if ratio else "q_learner", add, vars(trees) | {"n_converters": facts["n"], "least_converters": least_converters})
 
 
-def residual_correction(train: DataFrame, base: Callable[[DataFrame], Fitted], trees: Trees = Trees(), folds: int = 3, low: float = 0.02, strength: float = 1.0, trim: float = 0.01, linear: bool = True) -> Fitted:
-    """A base scorer plus `strength` times a learnt, winsorised doubly robust residual."""
-    scorer = base(train)
+def residual_correction(train: DataFrame, base: Callable[[DataFrame], Fitted], trees: Trees = Trees(), folds: int = 3, low: float = 0.02, strength: float = 1.0, trim: float = 0.01, linear: bool = True, centre: bool = False) -> Fitted:
+    """A base scorer plus `strength` times a learnt, winsorised doubly robust residual.
+
+    The correction's features are the rows' own with cate and both outcome means: out of fold in training, from models
+    of all training rows in scoring. `centre` takes the correction's mean over the training rows off.
+    """
+    outcomes = outcome_means(trees, ("__m0", "__m1"))
+    assemble = VectorAssembler(inputCols=["features", "cate", "__m0", "__m1"], outputCol="__x").transform
 
     def fit(rows: DataFrame):
-        inner, means = base(rows), outcome_means(trees)(rows)
-        return lambda df: means(inner.predict(df))
+        inner, means = base(rows), outcomes(rows)
+        return lambda df: assemble(means(inner.predict(df)))
 
+    scorer, means = base(train), outcomes(train)
     e = treated_share(train, low)
     rows = out_of_fold(train, fold_count(train, folds), trees.seed, fit)
-    rows = rows.withColumn("__r", aipw(F.col("mu0"), F.col("mu1"), F.lit(e), F.col("t"), F.col("y")) - F.col("cate"))
+    rows = rows.withColumn("__r", aipw(F.col("__m0"), F.col("__m1"), F.lit(e), F.col("t"), F.col("y")) - F.col("cate"))
     bounds = rows.agg(F.percentile("__r", trim).alias("low"), F.percentile("__r", 1 - trim).alias("high"), F.min("__r").alias("least"), F.max("__r").alias("most")).first()
     low_r, high_r = (bounds["low"], bounds["high"]) if trim else (bounds["least"], bounds["most"])
     rows = rows.withColumn("__r", clip(F.col("__r"), low_r, high_r))
     if linear:
-        model = LinearRegression(featuresCol="features", labelCol="__r", predictionCol="__c", regParam=1.0, elasticNetParam=0.0).fit(rows.select("features", "__r"))
+        model = LinearRegression(featuresCol="__x", labelCol="__r", predictionCol="__c", regParam=1.0, elasticNetParam=0.0).fit(rows.select("__x", "__r"))
         correct: Adder = lambda df, out: model.transform(df).withColumnRenamed("__c", out)
     else:
-        correct = trees.regressor(rows, "__r")
-    return Fitted("residual_correction", lambda df: correct(scorer.predict(df), "__c").withColumn("cate", F.col("cate") + strength * clip(F.col("__c"), low_r, high_r)).drop("__c"), scorer.settings | {"strength": strength, "trim": trim})
+        correct = trees.regressor(rows, "__r", "__x")
+    middle = correct(rows, "__c").agg(F.avg("__c")).first()[0] if centre else 0.0
+    added = strength * clip(F.col("__c") - F.lit(middle), low_r, high_r)
+    return Fitted("residual_correction", lambda df: correct(assemble(means(scorer.predict(df))), "__c").withColumn("cate", F.col("cate") + added).drop("__c", "__x", "__m0", "__m1"), scorer.settings | {"strength": strength, "trim": trim, "centre": centre})
 
 
 def cross_fitted_propensity(train: DataFrame, trees: Trees = Trees(), folds: int = 5) -> DataFrame:
