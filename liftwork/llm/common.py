@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,8 +24,8 @@ from ..shipping import ship as send
 
 T = TypeVar("T")
 
-#: Bytes of text that a Python task works on at once.
-SLICE_BYTES = 4 << 20
+#: Bytes of text and rows that a Python task works on at once; row numbers in a slice fit 16 bits.
+SLICE_BYTES, SLICE_ROWS = 4 << 20, 1 << 16
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -61,21 +62,30 @@ def held(name: str, make: Callable[[], T]) -> T:
     """The one large table that a Python worker keeps between tasks; asking for another frees the last."""
     if name not in _held:
         _held.clear()
+        give_back()
         _held[name] = make()
     return _held[name]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: workers are reused, and Spark's memory beside them is not theirs."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Parts of `batch` with the UTF-8 bytes of `column` (null: empty), about `most` bytes each."""
+    """Parts of `batch` with the UTF-8 bytes of `column` (null: empty), about `most` bytes and at most SLICE_ROWS rows each."""
     texts = [t or b"" for t in batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()]
     start = size = 0
     for i, t in enumerate(texts):
         size += len(t)
-        if size >= most or i + 1 == len(texts):
+        if size >= most or i + 1 == len(texts) or i + 1 - start == SLICE_ROWS:
             yield batch.slice(start, i + 1 - start), texts[start : i + 1]
             start, size = i + 1, 0
 

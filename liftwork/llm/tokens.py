@@ -1,9 +1,14 @@
 """Token ids of whole texts by a public tokenizer file, and flat token files.
 
-Texts are cut, in numpy, where the tokenizer's own pre-tokenizer always cuts; each distinct chunk,
-named by a 64-bit hash, is encoded once by the tokenizers library, and a text's ids are gathered from
-those of its chunks. The cache is bounded and starts anew when it is full. Texts that hold the
-tokenizer's special strings, or white space that the cut does not know, go to the library whole.
+Texts are cut, in numpy, where the tokenizer's own pre-tokenizer always cuts; each distinct chunk is
+encoded once by the tokenizers library, and a text's ids are gathered from those of its chunks. A hash
+finds the distinct chunks of a batch, then every chunk is compared with the one that stands for it, byte
+for byte; texts with a chunk that differs go to the library whole. The cache over batches goes by the bytes
+themselves; it is bounded and starts anew when it is full. Texts that hold the tokenizer's special
+strings, or white space that the cut does not know, go to the library whole too.
+
+Defined cases: null and empty texts have the end id alone; equal and null doc_ids are all written, nulls
+first; extra columns are not read; an empty table gives no file and an empty result.
 
 Token files: documents are range-partitioned by doc_id, and each task writes `.ids` (flat unsigned
 integers), `.offsets` (unsigned 64-bit document starts inside the file) and `.docs` (the doc_ids)
@@ -18,7 +23,7 @@ import os
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -32,11 +37,11 @@ from pyspark.sql import functions as F
 from .common import documents, filesystem, held, partitions, scratch, scratch_dir, ship, slices
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
-#: Distinct chunks that a Python worker keeps.
-CACHE = 700_000
+#: Distinct chunks, and bytes of them, that a Python worker keeps.
+CACHE, CACHE_BYTES = 600_000, 24 << 20
 
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _random = np.random.default_rng(7)
 LETTER = _random.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
@@ -44,7 +49,7 @@ POWERS, INVERSES = (np.cumprod(np.full(BLOCK, x, np.uint64)) for x in (BASE, pow
 
 
 def chunk_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end]: differences of prefix polynomials, a block of chunks at a time."""
+    """64-bit hashes of data[start:end]: differences of prefix polynomials, a block of chunks at a time. Different chunks may share one."""
     out, i = np.empty(len(starts), np.uint64), 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, "right")))
@@ -61,10 +66,32 @@ def chunk_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return x ^ (x >> np.uint64(32))
 
 
+def unlike(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    """The chunks that are not, byte for byte, the one that stands for them (chunk first[inverse])."""
+    length, model = ends - starts, first[inverse]
+    long = length != length[model]
+    same = np.flatnonzero(~long & (model != np.arange(len(model))))
+    bad, i = [np.flatnonzero(long)], 0
+    upto = np.cumsum(length[same])
+    while i < len(same):
+        base = upto[i] - length[same[i]]
+        j = max(i + 1, int(np.searchsorted(upto, base + BLOCK, "right")))
+        some = same[i:j]
+        n = length[some]
+        step = np.arange(upto[j - 1] - base, dtype=np.int32)
+        begin = upto[i:j] - n - base
+        differ = data[np.repeat(starts[some] - begin, n) + step] != data[np.repeat(starts[model[some]] - begin, n) + step]
+        if differ.any():
+            bad.append(some[np.unique(np.searchsorted(upto[i:j] - base, np.flatnonzero(differ), "right"))])
+        i = j
+    return np.concatenate(bad)
+
+
 class Encoder:
     """ids(texts) for one tokenizer file. separator: a string whose one id no chunk's ids contain."""
 
     def __init__(self, path: str, separator: str, special: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would only keep memory
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -74,7 +101,8 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}  # hash -> place in begin and size
+        self.known: dict[bytes, int] = {}  # chunk -> place in begin and size
+        self.bytes = 0
         self.begin, self.size, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
 
     def whole(self, text: bytes) -> bytes:
@@ -97,35 +125,41 @@ class Encoder:
             out[i] = np.frombuffer(self.whole(chunks[i]), "<u4")
         return out
 
-    def learn(self, hashes: list[int], chunks: list[bytes]) -> None:
+    def learn(self, chunks: list[bytes]) -> None:
         found = self.encode_chunks(chunks)
         sizes = np.array(list(map(len, found)), np.int64)
         n, at = len(self.known), self.used
         self.used += int(sizes.sum())
-        while n + len(hashes) > len(self.size):
+        while n + len(chunks) > len(self.size):
             self.begin, self.size = np.concatenate([self.begin, np.zeros_like(self.begin)]), np.concatenate([self.size, np.zeros_like(self.size)])
         while self.used > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[at : self.used] = np.concatenate(found)
         self.begin[n : n + len(sizes)], self.size[n : n + len(sizes)] = at + np.cumsum(sizes) - sizes, sizes
-        self.known.update(zip(hashes, range(n, n + len(hashes)), strict=True))
+        self.known.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+        self.bytes += sum(map(len, chunks))
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit bytes."""
         odd = [self.special in t or self.uncut(t) for t in texts]
         plain = [t for t, o in zip(texts, odd, strict=True) if not o]
-        data = np.frombuffer(b"".join(plain), np.uint8)
+        data = np.frombuffer(raw := b"".join(plain), np.uint8)
         text_starts = np.cumsum([0, *map(len, plain)])
         starts, ends = self.cut(data, text_starts)
-        names, first, inverse = np.unique(chunk_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        names = names.tolist()
-        place = list(map(self.known.get, names))  # one look-up for each distinct chunk
+        _, first, inverse = np.unique(chunk_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        bad = unlike(data, starts, ends, first, inverse)
+        if len(bad):  # these texts do not go by their chunks
+            of = set((np.searchsorted(text_starts, starts[bad], "right") - 1).tolist())
+            lone = iter([i in of for i in range(len(plain))])
+            return self.mixed(texts, [o or next(lone) for o in odd])
+        chunks = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        place = list(map(self.known.get, chunks))  # one look-up for each distinct chunk
         if missing := [i for i, k in enumerate(place) if k is None]:
-            if len(self.known) + len(missing) > CACHE:
+            if len(self.known) + len(missing) > CACHE or self.bytes > CACHE_BYTES:
                 self.clear()
-                missing = range(len(names))
-            self.learn([names[i] for i in missing], [data[a:b].tobytes() for a, b in zip(starts[first[missing]].tolist(), ends[first[missing]].tolist(), strict=True)])
-            place = [self.known[x] for x in names]
+                missing = range(len(chunks))
+            self.learn([chunks[i] for i in missing])
+            place = [self.known[x] for x in chunks]
         place = np.array(place, np.int64)[inverse]
         n = self.size[place]
         upto = np.cumsum(n)
@@ -134,6 +168,11 @@ class Encoder:
         done = iter([flat[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)])
         return [self.whole(t) if o else next(done) for t, o in zip(texts, odd, strict=True)]
 
+    def mixed(self, texts: list[bytes], alone: list[bool]) -> list[bytes]:
+        """Texts that go to the library whole, and the others by their chunks."""
+        rest = iter(Encoder.ids(self, [t for t, o in zip(texts, alone, strict=True) if not o]))
+        return [self.whole(t) if o else next(rest) for t, o in zip(texts, alone, strict=True)]
+
 
 WHITE, LETTERS, MARKS = np.zeros((3, 256), bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -269,13 +308,14 @@ def token_files(df: DataFrame, path: str | None = None, end_id: int = 1, dtype:
     return scratch(index.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))), "bases")
 
 
-def mapped(uri: str, dtype: str) -> np.ndarray:
-    """The file as an array: memory-mapped where the file system is local, else read."""
+def mapped(uri: str, dtype: str) -> Callable[[int, int], np.ndarray]:
+    """The values low:high of the file: of a memory map where the file system is local, else by ranged reads."""
     fs, path = filesystem(uri)
     if isinstance(fs, LocalFileSystem):
-        return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.empty(0, dtype)
-    with fs.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype)
+        whole = np.memmap(path, dtype, "r") if os.path.getsize(path) else np.empty(0, dtype)
+        return lambda low, high: whole[low:high]
+    file, width = fs.open_input_file(path), np.dtype(dtype).itemsize
+    return lambda low, high: np.frombuffer(file.read_at((high - low) * width, low * width), dtype)
 
 
 def read_token_files(index: DataFrame, dtype: str = "<u2", docs_at_once: int = 2000) -> DataFrame:
@@ -283,15 +323,16 @@ def read_token_files(index: DataFrame, dtype: str = "<u2", docs_at_once: int = 2
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in chain.from_iterable(b.to_pylist() for b in batches):
-            ids, docs = mapped(row["stem"] + ".ids", dtype), mapped(row["stem"] + ".docs", "<i8")
-            starts = np.append(mapped(row["stem"] + ".offsets", "<u8").astype(np.int64), len(ids))
-            for k in range(0, len(docs), docs_at_once):
-                a = starts[k : k + docs_at_once + 1]
-                crc = [zlib.crc32(ids[x:y].astype("<u4").tobytes()) for x, y in zip(a[:-1], a[1:], strict=True)]
-                d = np.array(docs[k : k + docs_at_once])
+            ids, docs, starts = mapped(row["stem"] + ".ids", dtype), mapped(row["stem"] + ".docs", "<i8"), mapped(row["stem"] + ".offsets", "<u8")
+            for k in range(0, row["n_docs"], docs_at_once):
+                last = k + docs_at_once >= row["n_docs"]
+                a = starts(k, min(k + docs_at_once + 1, row["n_docs"])).astype(np.int64)
+                a = np.append(a, row["n_ids"]) if last else a
+                crc = [zlib.crc32(ids(x, y).astype("<u4").tobytes()) for x, y in zip(a[:-1].tolist(), a[1:].tolist(), strict=True)]
+                d = np.array(docs(k, min(k + docs_at_once, row["n_docs"])))
                 yield pa.RecordBatch.from_arrays([pa.array(d, mask=d == NULL_ID), pa.array(a[:-1] + row["base"]), pa.array(np.diff(a)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    spread = index.select("stem", "base").repartition(partitions(index.sparkSession))
+    spread = index.select("stem", "base", "n_docs", "n_ids").repartition(partitions(index.sparkSession))
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
