@@ -18,6 +18,7 @@ from typing import TypeVar
 import pyarrow as pa
 from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..shipping import ship as send
@@ -102,3 +103,13 @@ def filesystem(uri: str) -> tuple[FileSystem, str]:
 def widened(df: DataFrame, more: dict[str, str]) -> StructType:
     """The schema of `df` with the columns `more` (name: type) after its own."""
     return StructType([*df.schema.fields, *StructType.fromDDL(", ".join(f"{k} {v}" for k, v in more.items())).fields])
+
+
+def bundled(docs: DataFrame) -> DataFrame:
+    """doc (a struct of all columns but text) and text: stages add columns of their own beside them, whatever the documents' are named."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("doc"), "text")
+
+
+def unbundled(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The documents again, with the columns in their order."""
+    return df.select(*(F.col("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in columns))

@@ -96,8 +96,7 @@ def test_chi_square():
     assert quality.chi2_quantile(0.95, 4) == pytest.approx(9.4877, abs=1e-3) and quality.consistency(1.0) == 1
 
 
-def test_determinant_is_no_larger_than_that_of_random_subsets(spark):
-    """The fitted covariance against many random starts of the same concentration steps."""
+def test_centre_is_that_of_the_rows_without_planted_outliers(spark):
     draw = np.random.default_rng(1)
     x = draw.normal(0, 1, (120, 4)) * [0.2, 0.3, 0.3, 0.3]
     x[:20] += 3
