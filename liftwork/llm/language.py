@@ -7,12 +7,12 @@ by a forward algorithm that runs over the distinct words of a batch at once. Wor
 runs of letters in lower case with the vocabulary's word mark in front; letters that no piece
 spells count as the unknown piece.
 
-The classifier is fitted on at most `most_docs` training documents of each language, those with the
-least hash of doc_id (a documented bound). Class priors count all training documents.
+The classifier is fitted on about `most_docs` training documents of each language, those whose hash of doc_id lies
+under a threshold that the language's count gives (a documented bound). Class priors count all training documents.
 
 Defined cases: null text, and text without a letter, is `und` with score 0; with no labelled training
 document all texts are; documents with null lang or null doc_id never train; repeated rows are scored
-each; words of more than 64 letters are scored but do not train.
+each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,33 +21,31 @@ import re
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, held, scratch, ship, slices, widened
+from .common import bundled, documents, held, scratch, ship, slices, unbundled, widened
 from .pieces import MARK, MODEL
 from .tokens import tokenizer_path
 
-MOST_DOCS, MOST_LABELS, ROUNDS, LONGEST, CACHE = 2000, 1000, 3, 8, 600_000
+MOST_DOCS, ROUNDS, CACHE, POINTS = 2000, 3, 300_000, 200_000
 LETTERS = re.compile(r"[^\W\d_]+").findall
 #: ASCII letters in lower case and bytes of other characters; the rest of ASCII parts words.
 PLAIN = bytes(c if 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 UNKNOWN_SHARE = 1e-5
 
 
-@lru_cache(2)
 def vocabulary(path: str) -> dict[str, int]:
-    """Lower-case pieces of letters, up to LONGEST characters; the unknown piece has the number after them."""
+    """Lower-case pieces of letters; the unknown piece has the number after them."""
     from sentencepiece import SentencePieceProcessor
 
     lib = SentencePieceProcessor(model_file=path)
     names = (lib.id_to_piece(i) for i in range(lib.vocab_size()))
-    good = dict.fromkeys(p for p in names if len(p) <= LONGEST and p == p.lower() and (p == MARK or p.removeprefix(MARK).isalpha()))
+    good = dict.fromkeys(p for p in names if p == p.lower() and (p == MARK or p.removeprefix(MARK).isalpha()))
     return {p: i for i, p in enumerate(good)}
 
 
@@ -55,7 +53,7 @@ class Trie:
     """The vocabulary as a dense table: next[row, class of character], rows of inner nodes alone; node 0 is dead, node 1 the root."""
 
     def __init__(self, vocab: dict[str, int]):
-        self.unknown = len(vocab)
+        self.unknown, self.longest = len(vocab), max(map(len, vocab))
         self.single = np.full(0x110000, self.unknown, np.int32)
         letters = sorted({c for p in vocab if len(p) > 1 for c in p})
         self.kind = np.zeros(0x110000, np.uint16)
@@ -76,7 +74,6 @@ class Trie:
                 self.next[node[p[:-1]], self.kind[ord(p[-1])]] = n
 
 
-@lru_cache(2)
 def trie(path: str) -> Trie:
     return Trie(vocabulary(path))
 
@@ -93,29 +90,51 @@ class Lattice:
         points = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
         left = np.repeat(ends, self.lengths) - np.arange(len(points))  # characters up to the word's end
         kinds, node = tree.kind[points], np.ones(len(points), np.int32)
-        self.piece = np.full((LONGEST, len(points)), -1, np.int32)
-        for k in range(LONGEST):
+        rows = [tree.single[points]]
+        for k in range(tree.longest):
             row = np.where(node < tree.inner, node, 0)
             node = tree.next[row, np.append(kinds[k:], np.zeros(k, np.uint16))[: len(points)]] * (left > k)
-            self.piece[k] = tree.piece[node]
-        self.piece[0] = tree.single[points]
+            if not node.any():
+                break
+            if k:
+                rows.append(tree.piece[node])
+        self.piece = np.array(rows, np.int32).reshape(len(rows), -1)
+        self.longest = len(rows)
+        self.sizes = np.arange(1, self.longest + 1)[:, None]
         top = int(self.lengths[0]) if len(words) else 0
         self.live = np.searchsorted(-self.lengths, -np.arange(top + 1), side="right")
 
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """Log likelihood of each word (in the order given) under each column of p; p's last row is 0, for no piece."""
-        k = p.shape[1]
-        ring = np.zeros((LONGEST + 1, len(self.lengths), k))
+    def step(self, ring: np.ndarray, p: np.ndarray, j: int, n: int, back: bool) -> np.ndarray:
+        """The sums over the pieces that end at j (begin there, if `back`) of the first n words; ring holds the sums around j."""
+        most, total, around = min(self.longest, j if not back else len(self.live) - 1 - j), np.zeros((n, p.shape[1])), len(ring)
+        if n <= 16:  # long words are few: all sizes at once
+            size = self.sizes[:most]
+            at = j - size if not back else j + size
+            first = np.where(back, j, at) + self.starts[:n]
+            ids = self.piece[size - 1, np.minimum(first, self.piece.shape[1] - 1)]
+            fits = at <= self.lengths[:n]
+            return np.einsum("snk,snk->nk", ring[at % around, np.arange(n)], p[np.where(fits, ids, -1)])
+        for size in range(1, most + 1):
+            at = j - size if not back else j + size
+            m = n if not back else self.live[at]
+            ids = self.piece[size - 1, self.starts[:m] + min(j, at)]
+            hit = np.flatnonzero(ids >= 0)
+            total[hit] += ring[at % around, hit] * p[ids[hit]]
+        return total
+
+    def forward(self, p: np.ndarray, every: np.ndarray | None = None) -> np.ndarray:
+        """Log likelihood of each word (in the order given) under each column of p; p's last row is 0, for no piece. every: takes the logs at all positions, for one column."""
+        ring = np.zeros((self.longest + 1, len(self.lengths), p.shape[1]))
         ring[0] = 1
-        scale, out = np.zeros((len(self.lengths), k)), np.zeros((len(self.lengths), k))
+        scale, out = np.zeros(ring.shape[1:]), np.zeros(ring.shape[1:])
         for j in range(1, len(self.live)):
             n = self.live[j]
-            total = np.zeros((n, k))
-            for size in range(1, min(LONGEST, j) + 1):
-                total += ring[(j - size) % (LONGEST + 1), :n] * p[self.piece[size - 1, self.starts[:n] + j - size]]
-            ring[j % (LONGEST + 1), :n] = total
+            total = self.step(ring, p, j, n, False)
+            ring[j % len(ring), :n] = total
             ends = slice(self.live[j + 1] if j + 1 < len(self.live) else 0, n)
             out[ends] = np.log(total[ends]) + scale[ends]
+            if every is not None:
+                every[j, :n] = np.log(total[:, 0]) + scale[:n, 0]
             if j % 8 == 0:
                 ring[:, :n] /= total
                 scale[:n] += np.log(total)
@@ -123,31 +142,47 @@ class Lattice:
         back[self.order] = out
         return back
 
+    def backward(self, p: np.ndarray, every: np.ndarray) -> None:
+        """Fills every[j, word] with the log of the sum over all segmentations of word[j:]."""
+        ring, scale = np.zeros((self.longest + 1, len(self.lengths), 1)), np.zeros((len(self.lengths), 1))
+        for j in range(len(self.live) - 1, -1, -1):
+            n = self.live[j]
+            ending = slice(self.live[j + 1] if j + 1 < len(self.live) else 0, n)
+            total = self.step(ring, p, j, n, True)
+            total[ending] = 1
+            ring[j % len(ring), :n] = total
+            every[j, :n] = np.log(total[:, 0]) + scale[:n, 0]
+            if j % 8 == 0:
+                ring[:, :n] /= total
+                scale[:n] += np.log(total)
+
     def expected(self, p: np.ndarray, times: np.ndarray) -> np.ndarray:
         """Expected number of each piece over all segmentations, words counted `times`."""
-        times = times[self.order]
-        top, w = len(self.live) - 1, len(self.lengths)
-        a, b = np.zeros((top + 1, w)), np.zeros((top + 1, w))
-        a[0] = 1
-        b[self.lengths, np.arange(w)] = 1
-        for j in range(1, top + 1):
-            n = self.live[j]
-            for size in range(1, min(LONGEST, j) + 1):
-                a[j, :n] += a[j - size, :n] * p[self.piece[size - 1, self.starts[:n] + j - size]]
-        for j in range(top - 1, -1, -1):
-            for size in range(1, min(LONGEST, top - j) + 1):
-                n = self.live[j + size]
-                b[j, :n] += b[j + size, :n] * p[self.piece[size - 1, self.starts[:n] + j]]
-        out = np.zeros(len(p))
-        for j in range(top):
-            for size in range(1, min(LONGEST, top - j) + 1):
-                n = self.live[j + size]
-                pieces = self.piece[size - 1, self.starts[:n] + j]
-                share = times[:n] * a[j, :n] * p[pieces] * b[j + size, :n] / b[0, :n]
-                out += np.bincount(pieces % len(p), share, len(p))  # no piece is -1, whose p is 0
+        times, top, w = times[self.order], len(self.live) - 1, len(self.lengths)
+        a, b, out = np.zeros((top + 1, w)), np.zeros((top + 1, w)), np.zeros(len(p))
+        self.forward(p[:, None], a)
+        self.backward(p[:, None], b)
+        with np.errstate(divide="ignore"):
+            log = np.log(p)
+        word = np.repeat(np.arange(w), self.lengths)
+        place = np.arange(len(word)) - self.starts[word]
+        for size in range(1, self.longest + 1):
+            at = np.flatnonzero(self.piece[size - 1] >= 0)
+            ids, x, j = self.piece[size - 1, at], word[at], place[at]
+            out += np.bincount(ids, times[x] * np.exp(a[j, x] + log[ids] + b[j + size, x] - b[0, x]), len(p))
         return out
 
 
+def in_batches(lengths: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Numbers of words, longest first, in batches of at most `most` for longest x words (or one word)."""
+    order = np.argsort(-lengths, kind="stable")
+    i = 0
+    while i < len(order):
+        n = max(1, most // int(lengths[order[i]]))
+        yield order[i : i + n]
+        i += n
+
+
 def runs(word: bytes) -> list[str]:
     return [MARK + x for x in LETTERS(word.decode().lower()) if x.isalpha()]
 
@@ -164,8 +199,8 @@ class Scorer:
         self.rows = np.zeros((1024, len(self.priors) + 1))
 
     def learn(self, words: list[bytes]) -> None:
-        for k in range(0, len(words), 20_000):
-            part = words[k : k + 20_000]
+        for some in in_batches(np.array([len(w) + 1 for w in words], np.int64), POINTS):
+            part = [words[i] for i in some]
             cut = [runs(w) for w in part]
             flat = [x for c in cut for x in c]
             owner = np.repeat(np.arange(len(part)), [len(c) for c in cut])
@@ -201,15 +236,15 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training(docs: DataFrame, most_docs: int) -> tuple[DataFrame, list]:
-    """(the documents to fit on, (lang, training documents) of each language)."""
+def training(docs: DataFrame, most_docs: int) -> tuple[DataFrame | None, list]:
+    """(the documents to fit on, (lang, training documents) of each language). A hash threshold for each language needs no ranking."""
     rows = docs.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    labels = rows.groupBy("lang").count().orderBy("lang").limit(MOST_LABELS + 1).collect()
-    if len(labels) > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} languages to learn")
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = scratch(rows.select("doc_id", "lang").withColumn("nth", nth).filter(F.col("nth") <= most_docs).select("doc_id").distinct(), "chosen")
-    return rows.join(F.broadcast(chosen), "doc_id", "left_semi"), [(r["lang"], r["count"]) for r in labels]  # at most most_docs for each label
+    labels = [(r["lang"], r["count"]) for r in rows.groupBy("lang").count().orderBy("lang").collect()]  # the classes of the model
+    if not labels:
+        return None, labels
+    share = F.create_map(*(F.lit(x) for lang, n in labels for x in (lang, most_docs / n)))
+    uniform = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return rows.filter(uniform < share[F.col("lang")]), labels
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -244,17 +279,17 @@ def fit(docs: DataFrame, most_docs: int = MOST_DOCS, rounds: int = ROUNDS, path:
     priors = np.log(np.array([n for _, n in labels], float) / max(1, sum(n for _, n in labels)))
     if not langs:
         return langs, p, priors
-    words = scratch(word_counts(sample).filter(F.length("word") <= 65), "words")
+    words = scratch(word_counts(sample), "words")
     for _ in range(rounds):
         model = spark.sparkContext.broadcast(p)
 
         def expect(parts: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
-            tree, sums = trie(where), {}
+            tree, sums = held(f"trie {where}", lambda: trie(where)), {}
             for part in parts:
                 for lang, rows in part.groupby("lang"):
-                    for k in range(0, len(rows), 5000):
-                        some = rows.iloc[k : k + 5000]
-                        got = Lattice(list(some["word"]), tree).expected(model.value[:, langs.index(lang)], some["n"].to_numpy(float))
+                    known, n = rows["word"].to_numpy(), rows["n"].to_numpy(float)
+                    for some in in_batches(rows["word"].str.len().to_numpy(), POINTS):
+                        got = Lattice(known[some].tolist(), tree).expected(model.value[:, langs.index(lang)], n[some])
                         sums[lang] = sums.get(lang, 0) + got
             for lang, got in sums.items():
                 at = np.flatnonzero(got)
@@ -295,4 +330,5 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least_score: float = 0.5) -> DataFrame:
     """Documents with a language that is likelier than all others together."""
-    return with_language(docs, fit(docs)).filter((F.col("__lang_pred") != "und") & (F.col("__score") >= least_score)).select(docs.columns)
+    found = with_language(bundled(docs), fit(docs.select("doc_id", "lang", "text")))
+    return unbundled(found.filter((F.col("__lang_pred") != "und") & (F.col("__score") >= least_score)), docs.columns)
