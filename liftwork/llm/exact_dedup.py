@@ -11,7 +11,7 @@ is bounded and broadcast; their rows are counted by partial aggregation before t
 never gathered.
 
 Defined cases: null text counts as empty; rows with a null id rank last; of several rows with the
-kept id, exactly one is kept; an empty table gives an empty result; other columns pass through.
+kept id, exactly one is kept; an empty table gives an empty result; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, scratch
+from .common import bundled, documents, partitions, scratch, unbundled
 
 NORMALISERS = {
     "none": lambda c: c,
@@ -33,7 +33,11 @@ def content_sort(df: DataFrame, text: str = "text", ident: str = "doc_id", keep:
     spark = df.sparkSession
     p = partitions(spark)
     best, order = (F.max, F.desc_nulls_last) if keep == "max" else (F.min, F.asc_nulls_last)
-    rows = df.withColumn("__text", F.coalesce(NORMALISERS[normalise](F.col(text)), F.lit("")))
+    if normalise == "none":  # the text is carried once
+        rows = df.select(*(c for c in df.columns if c != text), F.col(text).isNull().alias("__none"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+        was = F.when(~F.col("__none"), F.col("__text")).alias(text)
+    else:
+        rows, was = df.withColumn("__text", F.coalesce(NORMALISERS[normalise](F.col(text)), F.lit(""))), F.col(text)
     limit = max(64, int(hot_share * df.select(ident).count() / p))
 
     hashed = rows.select(F.xxhash64("__text").alias("__hash"))
@@ -61,7 +65,7 @@ def content_sort(df: DataFrame, text: str = "text", ident: str = "doc_id", keep:
     first = F.col(ident).eqNullSafe(F.col("__keep_id"))
     top = copies.filter(first).withColumn("__kept", F.row_number().over(Window.partitionBy("__sha256").orderBy(F.col("__sha256"))) == 1)
     copies = top.unionByName(copies.filter(~first).withColumn("__kept", F.lit(False))).withColumns({"__head": F.lit(""), "__hash": F.lit(0)})
-    return rest.unionByName(copies.select(rest.columns)).drop("__text", "__head", "__hash")
+    return rest.unionByName(copies.select(rest.columns)).select(*(was if c == text else F.col(c) for c in df.columns), "__keep_id", "__group_size", "__kept", "__sha256")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +74,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return content_sort(docs).filter("__kept").select(docs.columns)
+    """One document of each text; null and empty texts are one group."""
+    rows = bundled(docs).withColumn("id", F.col("doc").getField("doc_id"))
+    return unbundled(content_sort(rows, ident="id").filter("__kept"), docs.columns)
 
 
 OP10_SQL = """

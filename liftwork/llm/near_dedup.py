@@ -1,10 +1,10 @@
 """Near-duplicate groups by a signature-coordinate inverted join.
 
-1. Each text's set of 5-word shingles (64-bit hashes) gives K MinHash coordinates. Documents with equal
-   sets are one class from here on, so copies are never paired.
-2. Classes are posted under their coordinate-value pairs. Two sets are candidates when at least LEAST of
+1. Each text's set of 5-word shingles (64-bit hashes) gives K MinHash coordinates. Rows with equal
+   sets are one class from here on, with a number of its own, so copies are never paired.
+2. Classes are posted under their coordinate-value pairs. Two sets are candidates when at least `least` of
    the K coordinates collide. Ordered by how many classes hold a value, rarest first, such a pair shares a
-   value among the first K - LEAST + 1 of each (prefix filter), so only those are posted, and values that
+   value among the first K - least + 1 of each (prefix filter), so only those are posted, and values that
    one class holds are no posting at all. Posting lists with the same members are merged once.
 3. Short lists give all their pairs, long lists only the pairs with their least member. Pairs whose
    full signatures collide often enough are confirmed on the full shingle sets. Links give components.
@@ -13,11 +13,11 @@
    the full sets' intersections, and a block returns only the links that join components. So no link
    between different components is lost and no group emits all its pairs.
 
-A pair at similarity 0.85 has 28 or more collisions of 48 but for about 3 in a million.
+A pair at similarity 0.85 has 28 or more collisions of 48, and one at 0.80 has 24, but for two in a million.
 
 Defined cases: text without words and null text have an empty set and link with nothing; text of fewer
-than five words is one shingle; rows with a null doc_id link with nothing and are kept; repeated rows
-are judged each; empty tables give empty results.
+than five words is one shingle; rows with a null doc_id link with nothing and are kept; rows that repeat a
+doc_id are judged each by its own text; empty tables give empty results; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -31,9 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, held, scratch, ship, slices
+from .common import bundled, documents, held, partitions, scratch, ship, slices, unbundled
 
-K, LEAST, WORDS, PERCENT = 48, 28, 5, 85
+K, WORDS = 48, 5
+#: Similarity in hundredths, and the collisions that a pair needs for it.
+PERCENT, LEAST = 85, 28
+STAGE_PERCENT, STAGE_LEAST = 80, 24
 SHORT, BLOCK, CACHE, SLICE = 8, 256, 300_000, 2 << 20
 #: Ids up to which texts are picked by broadcast (8 MB); beyond, the texts are shuffled.
 MOST_IDS = 1_000_000
@@ -82,36 +85,47 @@ def signature(found: np.ndarray) -> np.ndarray:
     return mix(least ^ (np.arange(1, K + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
 
 
+def set_names(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Size and two 64-bit sums of hashes of each set: equal for equal sets alone."""
+    first = pa.array([int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64())
+    second = pa.array([int(mix(s + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64())
+    return [pa.array(list(map(len, sets)), pa.int64()), first, second]
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, texts in slices(batch, most=SLICE):
             sets = [shingles(t) for t in texts]
-            first = pa.array([int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64())
-            second = pa.array([int(mix(s + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64())
             signed = pa.array([signature(s) if len(s) else None for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, sets)), pa.int64()), first, second, signed], ["doc_id", "n", "h1", "h2", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column(0), *set_names(sets), signed], ["doc_id", "n", "h1", "h2", "sig"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, texts in slices(batch, most=SLICE):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t).view(np.int64) for t in texts], pa.list_(pa.int64()))], ["id", "items"])
+            sets = [shingles(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([part.column(0), *set_names(sets), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "n", "h1", "h2", "items"])
+
+
+NAME = ["doc_id", "n", "h1", "h2"]
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """id, items of the documents in `ids` (doc_id), from their whole texts."""
-    ids = scratch(ids.distinct(), f"{name}_ids")
-    ids = F.broadcast(ids) if ids.count() <= MOST_IDS else ids
-    return scratch(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, items array<long>").dropDuplicates(["id"]), name)
+def full_sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """id, items of the classes in `ids`, from the whole texts of the rows that stand for them."""
+    wanted = scratch(classes.join(ids.distinct(), "id").select("id", *NAME), f"{name}_ids")
+    few = wanted.count() <= MOST_IDS
+    rows = wanted.select("doc_id").distinct()
+    found = docs.join(F.broadcast(rows) if few else rows, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, n long, h1 long, h2 long, items array<long>")
+    return scratch(found.join(F.broadcast(wanted) if few else wanted, NAME).select("id", "items").dropDuplicates(["id"]), name)
 
 
-def postings(nodes: DataFrame) -> DataFrame:
+def postings(nodes: DataFrame, least: int) -> DataFrame:
     """key, id of each class's prefix: its rarest coordinate values that other classes hold too."""
     posted = nodes.select("id", F.explode("sig").alias("key"))
     shared = posted.groupBy("key").count().filter(F.col("count") > 1)
     own = Window.partitionBy("id")
     ranked = posted.join(shared, "key").select("id", "key", F.count(F.lit(1)).over(own).alias("m"), F.row_number().over(own.orderBy("count", "key")).alias("nth"))
-    return ranked.filter(F.col("nth") <= F.col("m") - (LEAST - 1)).select("key", "id")
+    return ranked.filter(F.col("nth") <= F.col("m") - (least - 1)).select("key", "id")
 
 
 def posting_lists(posted: DataFrame) -> DataFrame:
@@ -129,20 +143,21 @@ def first_pairs(posted: DataFrame, lists: DataFrame) -> DataFrame:
     return each.unionByName(star).distinct()
 
 
-def similar(inter: F.Column, a: F.Column, b: F.Column) -> F.Column:
-    return 100 * inter >= PERCENT * (a + b - inter)
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that are similar by their full sets."""
     a = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
     b = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
     both = pairs.join(a, "a").join(b, "b")
-    return both.filter(similar(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b")
+    inter = F.size(F.array_intersect("x", "y"))
+    return both.filter(100 * inter >= percent * (F.size("x") + F.size("y") - inter)).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id, label (the least id reachable) of each linked id, by large-star and small-star rounds."""
+    """id, label (the least id reachable) of each linked id, by large-star and small-star rounds.
+
+    The least neighbours are counted before the shuffle and written, so that the join with them deals a hot
+    centre's edges over several tasks (by broadcast while they are few, by AQE's skewed join beyond).
+    """
     edges = scratch(links.select("a", "b"), "links")
 
     def state(df: DataFrame) -> tuple:
@@ -152,10 +167,10 @@ def components(links: DataFrame) -> DataFrame:
     while (now := state(edges)) != was:
         was, turn = now, turn + 1
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = scratch(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), f"near{turn}")
         large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").filter("a != b").distinct()
         down = scratch(large, f"large{turn}").select(F.col("b").alias("u"), F.col("a").alias("v"))  # v < u
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        least = scratch(down.groupBy("u").agg(F.min("v").alias("m")), f"low{turn}")
         small = down.join(least, "u").select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b")).filter("a != b").distinct()
         edges = scratch(small, f"small{turn}")
     return edges.select(F.col("b").alias("id"), F.col("a").alias("label")).unionByName(edges.select(F.col("a").alias("id"), F.col("a").alias("label")).distinct())
@@ -181,13 +196,13 @@ def overlaps(items: list[np.ndarray], columns: int = 8192) -> np.ndarray:
     return out
 
 
-def _block_links(part: pd.DataFrame) -> pd.DataFrame:
+def block_links(part: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links that join different labels between the rows of one block pair."""
     part = part.drop_duplicates("id").sort_values("id")
     ids, root, main = part["id"].to_numpy(), part["label"].to_numpy().copy(), part["main"].to_numpy()
     items = [np.asarray(x, np.int64) for x in part["items"]]
     size, inter = np.array(list(map(len, items)), np.float32), overlaps(items)
-    alike = 100 * inter >= PERCENT * (size[:, None] + size - inter)
+    alike = 100 * inter >= percent * (size[:, None] + size - inter)
     alike &= ~(main[:, None] & main)
     out = []
     for k in range(len(ids)):
@@ -198,7 +213,7 @@ def _block_links(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def rest_links(posted: DataFrame, lists: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame | None:
+def rest_links(posted: DataFrame, lists: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame | None:
     """Links between members of long lists that are still in different components.
 
     Lists that share members are worked off as one group, so that a pair in several of them meets once, unless
@@ -224,32 +239,42 @@ def rest_links(posted: DataFrame, lists: DataFrame, labels: DataFrame, docs: Dat
     own = F.when(F.col("main"), F.pmod(F.xxhash64("id"), n_main)).otherwise(n_main + F.pmod(F.xxhash64("id"), n_rest))
     meets = F.when(F.col("main"), F.sequence(n_main, n_main + n_rest - 1)).otherwise(F.sequence(F.lit(0), n_main + n_rest - 1))
     placed = rows.withColumn("own", own).withColumn("other", F.explode(meets)).select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label", "main")
-    sets = full_sets(docs, rows.select(F.col("id").alias("doc_id")), "mixed_sets")
+    sets = full_sets(docs, classes, rows.select("id"), "mixed_sets")
     full = placed.join(sets, "id").select(*(f.split()[0] for f in BLOCKS.split(", ")))
-    return full.groupBy("grp", "i", "j").applyInPandas(_block_links, "a long, b long").distinct()
+    return full.groupBy("grp", "i", "j").applyInPandas(lambda part: block_links(part, percent), "a long, b long").distinct()
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
+def near_groups(docs: DataFrame, percent: int = PERCENT, least: int = LEAST) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of `docs` (doc_id, text)."""
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     docs = docs.select("doc_id", "text")
     signed = scratch(docs.mapInArrow(_signed, "doc_id long, n long, h1 long, h2 long, sig array<long>"), "signed")
     full = signed.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = scratch(full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"), F.any_value("sig").alias("sig")), "classes")
+    classes = full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("doc_id"), F.any_value("sig").alias("sig"), F.count(F.lit(1)).alias("rows"))
+    classes = scratch(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     nodes = classes.select("id", "n", "sig")
-    posted = scratch(postings(nodes), "postings")
+    posted = scratch(postings(nodes, least), "postings")
     lists = scratch(posting_lists(posted), "lists")
     sig = nodes.select("id", "sig")
     pairs = first_pairs(posted, lists).join(sig.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
-    pairs = scratch(pairs.filter(F.size(F.array_intersect("x", "y")) >= LEAST).select("a", "b"), "pairs")
-    sets = full_sets(docs, pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))), "sets")
-    links = scratch(confirmed(pairs, sets), "confirmed")
+    pairs = scratch(pairs.filter(F.size(F.array_intersect("x", "y")) >= least).select("a", "b"), "pairs")
+    sets = full_sets(docs, classes, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))), "sets")
+    links = scratch(confirmed(pairs, sets, percent), "confirmed")
     labels = components(links)
-    more = rest_links(posted, lists, labels, docs)
+    more = rest_links(posted, lists, labels, docs, classes, percent)
     if more is not None:
         labels = components(links.unionByName(more))
-    of_class = classes.select("h1", "h2", "n", "id").join(labels, "id", "left").select("h1", "h2", "n", F.coalesce("label", "id").alias("component_id"))
-    found = full.select("doc_id", "n", "h1", "h2").join(of_class, ["h1", "h2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    least_doc = scratch(labels.join(classes.select("id", "doc_id"), "id").groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
+    linked = labels.join(least_doc, "label").select("id", "component_id")
+    of_class = classes.join(linked, "id", "left").select("h1", "h2", "n", "rows", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_class = scratch(of_class, "of_class")
+    # classes with many copies: at most four for each partition
+    hot = F.col("rows") > max(64, int(0.25 * (of_class.agg(F.sum("rows")).first()[0] or 0) / partitions(spark)))
+    key, many = ["h1", "h2", "n"], F.broadcast(of_class.filter(hot).drop("rows"))
+    rows = full.select("doc_id", *key)
+    found = rows.join(many, key).unionByName(rows.join(many.drop("component_id"), key, "left_anti").join(of_class.filter(~hot).drop("rows"), key))
+    found = found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = signed.filter("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -260,6 +285,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with the least doc_id of their group."""
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__name")
-    kept = near_groups(docs).filter("kept").select(name)
-    return docs.withColumn("__name", name).join(kept, "__name", "left_semi").select(docs.columns)
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    kept = scratch(near_groups(docs).filter("kept").select(name.alias("name")).distinct(), "kept")
+    rows = bundled(docs).withColumn("name", F.coalesce(F.col("doc").getField("doc_id").cast("string"), F.lit("")))
+    return unbundled(rows.join(kept, "name", "left_semi"), docs.columns)
