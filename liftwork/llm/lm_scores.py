@@ -241,14 +241,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = r"""
 WITH docs AS (
   SELECT row_number() OVER () AS r, doc_id,
-         CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '|lm'), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE < 0.75 AS train,
          list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
   FROM documents
 ), tokens AS (
-  SELECT r, train, unnest(words) AS w, unnest(list_prepend(NULL, words[:-2])) AS v FROM docs WHERE len(words) > 0
-), pairs AS (SELECT v, w, count(*) FILTER (WHERE train) AS n FROM tokens GROUP BY v, w),
+  SELECT r, unnest(words) AS w, unnest(list_prepend(NULL, words[:-2])) AS v FROM docs WHERE len(words) > 0
+), pairs AS (SELECT v, w, count(*) AS n FROM tokens GROUP BY v, w),
 contexts AS (SELECT v, sum(n) AS n FROM pairs GROUP BY v),
-words AS (SELECT w, count(*) FILTER (WHERE train) AS n FROM tokens GROUP BY w),
+words AS (SELECT w, count(*) AS n FROM tokens GROUP BY w),
 total AS (SELECT greatest(sum(n), 1) AS n FROM words),
 valued AS (
   SELECT pairs.v, pairs.w, pairs.n = 0 AS backed,

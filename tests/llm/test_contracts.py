@@ -171,7 +171,7 @@ def test_token_counts_of_random_strings():
     assert token_counts.count_tokens([t.encode() for t in texts], path("byte_bpe_50k.json")).tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
-def brute_groups(rows):
+def brute_groups(rows, percent=85):
     """doc_id -> (shingles, least id of its component)."""
     sets = {}
     for d, t in rows:
@@ -188,7 +188,7 @@ def brute_groups(rows):
     for i, a in enumerate(ids):
         for b in ids[:i]:
             inter = len(sets[a] & sets[b])
-            if 100 * inter >= 85 * (len(sets[a]) + len(sets[b]) - inter):
+            if 100 * inter >= percent * (len(sets[a]) + len(sets[b]) - inter):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {d: (len(sets[d]), find(d)) for d in sets}
