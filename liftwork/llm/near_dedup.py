@@ -284,8 +284,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the least doc_id of their group."""
+    """The documents with the least doc_id of their group, linked from a similarity of 0.8 on."""
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    kept = scratch(near_groups(docs).filter("kept").select(name.alias("name")).distinct(), "kept")
+    kept = scratch(near_groups(docs, STAGE_PERCENT, STAGE_LEAST).filter("kept").select(name.alias("name")).distinct(), "kept")
     rows = bundled(docs).withColumn("name", F.coalesce(F.col("doc").getField("doc_id").cast("string"), F.lit("")))
     return unbundled(rows.join(kept, "name", "left_semi"), docs.columns)
