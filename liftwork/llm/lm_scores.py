@@ -1,20 +1,23 @@
 """Stupid-backoff scores as relational joins of n-gram counts with exploded n-grams.
 
 A document's score is the sum of log S(w | v) over its words, v being the word before (a start mark for the
-first): count(v w) / count(v) where the pair occurs in the training documents, else 0.4 count(w) / N, with at
-least one for count(w).
+first): count(v w) / count(v) where the pair occurs in the counted documents, else 0.4 count(w) / N, with at
+least one for count(w). All documents are counted unless `train` says which; then pairs of the others may back off.
 
 Exploded bigrams are shuffled in columns: a task takes the documents of one batch, keeps each distinct pair
 once with its documents, and sends one row of flat arrays to each hash bucket. Buckets go by the pair's first
-word, so that a bucket holds all pairs of a context; contexts with more than 1 / HOT of all training words (at most HOT
-of them, a bounded table that is broadcast with exact counts) go by the whole pair instead. In a bucket the
-counts are sums over equal pairs, joined at once to the pairs that they came from. Pairs without a training
+word, so that a bucket holds all pairs of a context; hot contexts go by the whole pair instead. In a bucket the
+counts are sums over equal pairs, joined at once to the pairs that they came from. Pairs without a
 count go on to the buckets of their second word, where they meet the unigram counts. Partial sums of a batch's
 documents meet by batch.
 
+Words and pairs are hot beyond 2^20 occurrences, or beyond a share of 2^-20 where that is more: at most 2^20 of
+each, in tables that are broadcast with exact counts. Hot pairs are scored from their table, where they stand, and
+never shuffled, so a bucket does not grow with the corpus.
+
 Words are runs of anything but ASCII white space, as they stand. Defined cases: null and empty texts score 0;
-repeated rows are scored each; with no training documents every count is one of N = 1; empty tables give empty
-results.
+repeated rows are scored each; with no counted document every count is one of N = 1; empty tables give empty
+results; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -30,66 +33,138 @@ from pyspark.sql import functions as F
 from .common import documents, partitions, scratch, ship, slices
 from .near_dedup import mix, word_hashes
 
-ALPHA, HOT, GROUP_BYTES, SLICE = 0.4, 4096, 16 << 20, 3 << 20
+ALPHA, HOT, GROUP_BYTES, SLICE = 0.4, 1 << 20, 16 << 20, 3 << 20
 START = np.uint64(0x5354415254)
 
 
-def pair_bucket(first: np.ndarray, second: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
-    """Of hot contexts by the pair, of others by the context."""
-    key = np.where(np.isin(first, hot), mix(first * np.uint64(3) + second), mix(first))
-    return (key % np.uint64(n)).astype(np.int64)
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words of each text, hashes of all words, number of the text of each)."""
+    hashes = [word_hashes(t.split()) for t in texts]
+    sizes = np.array(list(map(len, hashes)), np.int64)
+    return sizes, np.concatenate(hashes), np.repeat(np.arange(len(texts)), sizes)
+
+
+def words_before(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    first = np.append(START, words[:-1])[: len(words)]
+    first[np.append(True, doc[1:] != doc[:-1])[: len(doc)]] = START
+    return first
 
 
 def unigrams(docs: DataFrame) -> DataFrame:
-    """h, n (occurrences), c (occurrences as a context) in the training documents, and the start mark."""
+    """h, n (occurrences), c (occurrences as a context) in the counted documents, and a (occurrences in all), with a row for the start mark."""
+
+    def rows(h: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *(pa.array(x.astype(np.int64)) for x in columns)], ["h", "n", "c", "a"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in slices(batch, "text", SLICE):
-                hashes = [word_hashes(t.split()) for t in texts]
-                full = [h for h in hashes if len(h)]
-                if full:
-                    h, n = np.unique(np.concatenate(full), return_counts=True)
-                    last = np.bincount(np.searchsorted(h, [x[-1] for x in full]), minlength=len(h))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.append(h, START).view(np.int64)), pa.array(np.append(n, 0)), pa.array(np.append(n - last, len(full)))], ["h", "n", "c"])
+            for part, texts in slices(batch, "text", SLICE):
+                sizes, words, doc = words_of(texts)
+                train = part.column("train").to_numpy(zero_copy_only=False).astype(bool)
+                every, own = train.all(), train[doc]
+                if not every:
+                    h, a = np.unique(words, return_counts=True)
+                    none = np.zeros(len(h) + 1)
+                    yield rows(np.append(h, START), none, none, np.append(a, (sizes > 0).sum()))
+                h, n = np.unique(words[own], return_counts=True)
+                last = words[np.cumsum(sizes)[(sizes > 0) & train] - 1]
+                c = n - np.bincount(np.searchsorted(h, last), minlength=len(h)) if len(h) else n
+                n, c = np.append(n, 0), np.append(c, len(last))
+                yield rows(np.append(h, START), n, c, np.maximum(n, c) if every else 0 * n)
+
+    return docs.mapInArrow(count, "h long, n long, c long, a long").groupBy("h").agg(*(F.sum(x).alias(x) for x in "nca"))
+
+
+class Hot:
+    """Hot words (sorted hashes h, counts n, as a context c) and hot pairs of them (sorted codes, values, whether backed off)."""
+
+    def __init__(self, words: pa.Table):
+        h, n, c = (words[x].to_numpy() for x in "hnc")
+        order = np.argsort(h.view(np.uint64))
+        self.h, self.n, self.c = h.view(np.uint64)[order], n[order], c[order]
+        self.codes, self.values, self.backed = np.empty(0, np.int64), np.empty(0), np.empty(0, bool)
+
+    def place(self, words: np.ndarray) -> np.ndarray:
+        """The number of each word among the hot ones, or -1."""
+        if not len(self.h):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.h, words), len(self.h) - 1)
+        return np.where(self.h[at] == words, at, -1)
+
+    def code(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The code of each pair of hot words, or -1."""
+        a, b = self.place(first), self.place(second)
+        return np.where((a >= 0) & (b >= 0), a * len(self.h) + b, -1)
+
+    def learn(self, pairs: pa.Table, total: int) -> None:
+        code, n = pairs["code"].to_numpy(), pairs["n"].to_numpy()
+        order = np.argsort(code)
+        self.codes, n = code[order], n[order]
+        first, second = self.codes // max(1, len(self.h)), self.codes % max(1, len(self.h))
+        self.backed = n == 0
+        with np.errstate(divide="ignore"):
+            self.values = np.where(self.backed, np.log(ALPHA * np.maximum(self.n[second], 1) / total), np.log(n) - np.log(np.maximum(self.c[first], 1)))
+
+    def buckets(self, first: np.ndarray, second: np.ndarray, n: int) -> np.ndarray:
+        """Of hot contexts by the pair, of others by the context."""
+        key = np.where(self.place(first) >= 0, mix(first * np.uint64(3) + second), mix(first))
+        return (key % np.uint64(n)).astype(np.int64)
+
+
+def pairs_of_hot_words(docs: DataFrame, hot: Hot) -> DataFrame:
+    """code, n, a (occurrences in the counted documents and in all) of the pairs whose words are both hot."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in slices(batch, "text", SLICE):
+                _, words, doc = words_of(texts)
+                code = hot.code(words_before(words, doc), words)
+                both = code >= 0
+                codes, of, a = np.unique(code[both], return_inverse=True, return_counts=True)
+                n = np.bincount(of, part.column("train").to_numpy(zero_copy_only=False)[doc[both]], len(codes))
+                yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64)), pa.array(a)], ["code", "n", "a"])
 
-    found = docs.filter("train").select("text").mapInArrow(count, "h long, n long, c long")
-    return found.groupBy("h").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
+    return docs.mapInArrow(count, "code long, n long, a long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("a").alias("a"))
 
 
-BLOCK = "bucket long, slice long, first binary, runs binary, second binary, trained binary, posts binary, doc binary, doc_ids array<long>, words binary"
+BLOCK = "bucket long, slice long, first binary, runs binary, second binary, trained binary, posts binary, doc binary, total binary, backed binary, doc_ids array<long>, words binary"
 SUMS = "slice long, total binary, backed binary, bucket long, second binary, posts binary, doc binary, doc_ids array<long>, words binary"
 
 
-def exploded(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
-    """The bigrams of each batch of documents, a row for each bucket, and a row with the batch's documents."""
+def exploded(docs: DataFrame, hot: Hot, buckets: int) -> DataFrame:
+    """The bigrams of each batch of documents, a row for each bucket, and a row with the batch's documents and their sums over hot pairs."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nth = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part, texts in slices(batch, "text", SLICE):
-                hashes = [word_hashes(t.split()) for t in texts]
-                sizes = np.array(list(map(len, hashes)), np.int64)
-                second = np.concatenate(hashes)
-                doc = np.repeat(np.arange(len(texts)), sizes)
-                first = np.append(START, second[:-1])
-                first[np.append(True, doc[1:] != doc[:-1])[: len(doc)]] = START
-                first = first[: len(doc)]
-                bucket = pair_bucket(first, second, hot, buckets)
+                sizes, second, doc = words_of(texts)
+                first = words_before(second, doc)
+                total, backed = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+                if len(hot.codes):
+                    code = hot.code(first, second)
+                    at = np.minimum(np.searchsorted(hot.codes, code), len(hot.codes) - 1)
+                    known = hot.codes[at] == code
+                    total = np.bincount(doc[known], hot.values[at[known]], len(texts))
+                    backed = np.bincount(doc[known], hot.backed[at[known]], len(texts))
+                    first, second, doc = first[~known], second[~known], doc[~known]
+                bucket = hot.buckets(first, second, buckets)
                 order = np.lexsort((doc, second, first, bucket))
                 first, second, doc, bucket = first[order], second[order], doc[order], bucket[order]
                 new = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]))[: len(doc)])
-                trains = part.column("train").to_numpy(zero_copy_only=False)[doc].astype(np.int64)
-                trained, posts = (np.add.reduceat(trains, new), np.diff(np.append(new, len(doc)))) if len(new) else (new, new)
-                rows = [[-1, nth, None, None, None, None, None, None, part.column("doc_id").to_pylist(), sizes.tobytes()]]
+                posts, trained, train = np.diff(np.append(new, len(doc))), None, part.column("train").to_numpy(zero_copy_only=False).astype(bool)
+                if not train.all() and len(new):
+                    trained = np.add.reduceat(train[doc].astype(np.int64), new)
+                rows = [[-1, nth, None, None, None, None, None, None, total.tobytes(), backed.astype("<u4").tobytes(), part.column("doc_id").to_pylist(), sizes.tobytes()]]
                 names, starts = np.unique(bucket[new], return_index=True)
                 for b, low, high in zip(names.tolist(), starts, np.append(starts[1:], len(new))[: len(names)], strict=True):
                     at = slice(low, high)
                     some = doc[new[low] : new[high] if high < len(new) else len(doc)]
                     contexts, runs = np.unique(first[new[at]], return_counts=True)  # sorted already: each context once, with its pairs
-                    rows.append([b, nth, contexts.tobytes(), runs.astype("<u4").tobytes(), second[new[at]].tobytes(), trained[at].astype("<u4").tobytes(), posts[at].astype("<u4").tobytes(), some.astype("<u2").tobytes(), None, None])
+                    counted = trained[at].astype("<u4").tobytes() if trained is not None else None
+                    rows.append([b, nth, contexts.tobytes(), runs.astype("<u4").tobytes(), second[new[at]].tobytes(), counted, posts[at].astype("<u4").tobytes(), some.astype("<u2").tobytes(), None, None, None, None])
                 nth += 1
-                types = [pa.int64(), pa.int64(), *[pa.binary()] * 6, pa.list_(pa.int64()), pa.binary()]
+                types = [pa.int64(), pa.int64(), *[pa.binary()] * 8, pa.list_(pa.int64()), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [f.split()[0] for f in BLOCK.split(", ")])
 
     return docs.mapInArrow(explode, BLOCK)
@@ -114,37 +189,37 @@ def _table(rows: list, schema: str) -> pa.Table:
     return pa.table([pa.array(list(c), kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
-def pair_scores(blocks: DataFrame, hot: np.ndarray, hot_contexts: np.ndarray, hot_counts: np.ndarray, total: int, buckets: int) -> DataFrame:
+def pair_scores(blocks: DataFrame, hot: Hot, total: int, buckets: int) -> DataFrame:
     """Joins the counts of pairs and contexts to the pairs of each bucket; pairs without a count go on."""
 
     def join(table: pa.Table) -> pa.Table:
         if table["bucket"][0].as_py() < 0:
-            return _table([[s, None, None, -1, None, None, None, d, w] for s, d, w in zip(table["slice"].to_pylist(), table["doc_ids"].to_pylist(), table["words"].to_pylist(), strict=True)], SUMS)
+            columns = (table[c].to_pylist() for c in ("slice", "total", "backed", "doc_ids", "words"))
+            return _table([[s, t, k, -1, None, None, None, d, w] for s, t, k, d, w in zip(*columns, strict=True)], SUMS)
         first = np.repeat(_many(table["first"], "<u8")[0], _many(table["runs"], "<u4")[0])
-        (second, of_row), (trained, _), (posts, _) = _many(table["second"], "<u8"), _many(table["trained"], "<u4"), _many(table["posts"], "<u4")
+        (second, of_row), (posts, _) = _many(table["second"], "<u8"), _many(table["posts"], "<u4")
+        trained = np.concatenate([np.frombuffer(p if t is None else t, "<u4") for t, p in zip(table["trained"].to_pylist(), table["posts"].to_pylist(), strict=True)])
         doc, docs_of_row = _many(table["doc"], "<u2")
         order = np.lexsort((second, first))
         run, starts = _runs(first[order], second[order])
         pair_count = np.add.reduceat(trained[order].astype(np.int64), starts)[run]
         context, context_starts = _runs(first[order])
         context_count = np.add.reduceat(trained[order].astype(np.int64), context_starts)[context]
-        at = np.minimum(np.searchsorted(hot, first[order]), max(0, len(hot) - 1))
-        if len(hot):
-            context_count = np.where(hot[at] == first[order], hot_contexts[at], context_count)
+        at = hot.place(first[order])
+        context_count[at >= 0] = hot.c[at[at >= 0]]
         value = np.full(len(first), np.nan)
         with np.errstate(divide="ignore"):
             value[order] = np.where(pair_count > 0, np.log(pair_count) - np.log(np.maximum(context_count, 1)), np.nan)
         unseen = np.isnan(value)
-        at = np.minimum(np.searchsorted(hot, second), max(0, len(hot) - 1))
-        if len(hot):
-            known = unseen & (hot[at] == second)
-            value[known] = np.log(ALPHA * np.maximum(hot_counts[at[known]], 1) / total)
+        at = np.where(unseen, hot.place(second), -1)
+        value[at >= 0] = np.log(ALPHA * np.maximum(hot.n[at[at >= 0]], 1) / total)
         rows, rest, low, doc_low = [], [], 0, 0
         for s, n, m in zip(table["slice"].to_pylist(), of_row, docs_of_row, strict=True):
             mine, docs = slice(low, low + n), doc[doc_low : doc_low + m]
             v = np.repeat(value[mine], posts[mine])
             here = np.unique(docs)
-            rows.append([s, np.bincount(docs, np.nan_to_num(v))[here].tobytes(), np.bincount(docs, np.repeat(unseen[mine], posts[mine]))[here].astype("<u4").tobytes(), -1, None, None, here.astype("<u2").tobytes(), None, None])
+            backed = np.bincount(docs, np.repeat(unseen[mine], posts[mine]))[here].astype("<u4").tobytes() if unseen[mine].any() else None
+            rows.append([s, np.bincount(docs, np.nan_to_num(v))[here].tobytes(), backed, -1, None, None, here.astype("<u2").tobytes(), None, None])
             left = np.isnan(value[mine])
             if left.any():
                 rest.append((second[mine][left], posts[mine][left], docs[np.isnan(v)], np.full(left.sum(), s)))
@@ -202,8 +277,8 @@ def gathered(sums: DataFrame) -> DataFrame:
         words = next(np.frombuffer(w, "<i8") for d, w in zip(table["doc_ids"].to_pylist(), table["words"].to_pylist(), strict=True) if d is not None)
         total, backed = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
         parts = [x for x in zip(*(table[c].to_pylist() for c in ("total", "doc", "backed")), strict=True) if x[0] is not None]
-        for t, d, b in sorted(parts, key=lambda x: x[:2]):  # in one order, whatever came first
-            at = np.frombuffer(d, "<u2")
+        for t, d, b in sorted(parts, key=lambda x: (x[0], x[1] or b"")):  # in one order, whatever came first
+            at = np.frombuffer(d, "<u2") if d is not None else slice(None)
             total[at] += np.frombuffer(t, "<f8")
             if b is not None:
                 backed[at] += np.frombuffer(b, "<u4")
@@ -212,30 +287,27 @@ def gathered(sums: DataFrame) -> DataFrame:
     return sums.groupBy("slice").applyInArrow(lambda t: add(t), "doc_id long, n_words long, n_backed_off long, log_score double")
 
 
-def backoff_scores(docs: DataFrame, train: Column) -> DataFrame:
-    """doc_id, n_words, n_backed_off, log_score of each row of `docs` (doc_id, text); `train` says which rows are counted."""
+def backoff_scores(docs: DataFrame, train: Column | None = None, hot_count: int = HOT, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """doc_id, n_words, n_backed_off, log_score of each row of `docs` (doc_id, text); `train` says which rows are counted (none given: all)."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train"))
+    docs = docs.select("doc_id", "text", F.lit(True).alias("train") if train is None else F.coalesce(train, F.lit(False)).alias("train"))
     counts = scratch(unigrams(docs), "unigrams")
-    size = counts.agg(F.sum("n").alias("n"), F.sum("c").alias("c")).first()
-    total = size["n"] or 1
-    frequent = counts.filter((F.col("c") > (size["c"] or 0) / HOT) | (F.col("n") > total / HOT)).orderBy("h").collect()  # at most 2 x HOT rows
-    table = np.array([(r["h"], r["c"], r["n"]) for r in frequent], np.int64).reshape(-1, 3)
-    hot = table[:, 0].copy().view(np.uint64)
-    by = np.argsort(hot)
-    hot, contexts, frequency = hot[by], table[by, 1], table[by, 2]
-    buckets = max(partitions(spark), int(16 * total / GROUP_BYTES))
-    scored = scratch(pair_scores(exploded(docs, hot, buckets), hot, contexts, frequency, total, buckets), "pair_scores")
+    size = counts.agg(F.sum("n").alias("n"), F.sum("a").alias("a")).first()
+    total, every = size["n"] or 1, size["a"] or 0
+    limit = max(hot_count, every >> 20)  # at most 2^20 words, and pairs, are beyond it
+    hot = Hot(counts.filter(F.col("a") > limit).select("h", "n", "c").toArrow())
+    if len(hot.h):
+        hot.learn(pairs_of_hot_words(docs, hot).filter(F.col("a") > limit).select("code", "n").toArrow(), total)
+    buckets = max(partitions(spark), int(16 * every / group_bytes))
+    scored = scratch(pair_scores(exploded(docs, hot, buckets), hot, total, buckets), "pair_scores")
     rest = backed_off(scored.filter("bucket >= 0"), counts, total, buckets)
     return gathered(scored.filter("bucket < 0").unionByName(rest))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three quarters of the documents, by a hash of doc_id, are counted; all are scored."""
-    half = F.conv(F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("|lm")).cast("binary")), 1, 12), 16, 10).cast("bigint") / F.lit(281474976710656.0)
-    found = backoff_scores(documents(spark, sf_dir), half < 0.75)
-    return found.select("doc_id", "n_words", "n_backed_off", F.round("log_score", 4).alias("log_score"))
+    """All documents are counted and scored."""
+    return backoff_scores(documents(spark, sf_dir)).select("doc_id", "n_words", "n_backed_off", F.round("log_score", 4).alias("log_score"))
 
 
 OP9_SQL = r"""
