@@ -11,16 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite, uniform
+from ..sources.scratch import settled
 from .curves import COUNTS, cumulative, qini_gain, uplift_gain
-
-
-def numbered(rows: DataFrame, ident: str = "epk_id") -> DataFrame:
-    """`rows` with idx from 0 by id: positions within range partitions, plus the partitions before."""
-    placed = rows.repartitionByRange(ident).sortWithinPartitions(ident).withColumn("__p", F.spark_partition_id())
-    local = placed.withColumn("__k", F.row_number().over(Window.partitionBy("__p").orderBy(ident)))
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
-    bases = placed.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).select("__p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return local.join(bases, "__p").withColumn("idx", F.col("base") + F.col("__k") - 1).drop("__p", "__k", "base")
+from .splits import numbered
 
 
 def draw_weights(spark, n: int, draws: int, seed: int) -> DataFrame:

@@ -4,6 +4,9 @@ Input is long: cell keys, t, y and score. Rows of one score make one vertex, so
 first, and the cumulative counts come from a two-level prefix sum: scores fall in buckets between
 approximate quantiles, a window runs inside each bucket, and the buckets' totals are summed
 before it. The result does not depend on the quantiles, and no cell is sorted in one task.
+
+Counts are written once and reread: all metrics of a cell come from one pass over its rows, and a second one over
+the rows of the last score of an uplift@k.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import divide
+from ..sources.scratch import settled
 
 COUNTS = ("nt", "nc", "yt", "yc")
 
@@ -22,10 +26,16 @@ def score_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys, "score").agg(F.sum(t).alias("nt"), F.sum(1 - t).alias("nc"), F.sum(y * t).alias("yt"), F.sum(y * (1 - t)).alias("yc"))
 
 
+BUCKET_ROWS, MOST_BUCKETS = 100_000, 1024
+
+
 def cumulative(counts: DataFrame, keys: list[str], columns: tuple[str, ...] = COUNTS, buckets: int = 64) -> DataFrame:
-    """`counts` with c<column> for each of the columns: the sum over this and all higher scores of the cell."""
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx("score", [k / buckets for k in range(1, buckets)], 1000).alias("cuts"))
+    """`counts` with c<column> for each of the columns: the sum over this and all higher scores of the cell. More counts make more buckets."""
+    counts = settled(counts, "counts")
+    buckets = max(buckets, min(MOST_BUCKETS, counts.count() // BUCKET_ROWS))
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx("score", [k / buckets for k in range(1, buckets)], 10 * buckets).alias("cuts"))
     placed = counts.join(cuts, keys).withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col("score")))).drop("cuts")
+    placed = settled(placed, "placed")
     above = Window.partitionBy(*keys).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy(*keys, "bucket").agg(*(F.sum(c).alias(c) for c in columns))
     totals = totals.select(*keys, "bucket", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"b{c}") for c in columns))
@@ -34,6 +44,11 @@ def cumulative(counts: DataFrame, keys: list[str], columns: tuple[str, ...] = CO
     return sums.select(*keys, "score", *columns, *((F.col(f"c{c}") + F.col(f"b{c}")).alias(f"c{c}") for c in columns))
 
 
+def cumulative_counts(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The written cumulative counts of each score: all curves and metrics follow from them."""
+    return settled(cumulative(score_counts(df, keys), keys), "cumulative")
+
+
 def qini_gain(nt: Column, nc: Column, yt: Column, yc: Column) -> Column:
     """Treated outcomes minus the control outcomes scaled to as many rows; 0 while there is no control row."""
     return F.when(nc > 0, yt - yc.cast("double") * nt / nc).otherwise(F.lit(0.0))
@@ -52,11 +67,11 @@ def average_ranks(df: DataFrame, keys: list[str]) -> DataFrame:
     return counts.join(sizes, keys).select(*keys, "score", rank.alias("rank"), ((rank - 1) / F.greatest(F.lit(1), F.col("rows") - 1)).alias("unit_rank"))
 
 
-def vertices(df: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, score, x, qini, uplift after each score, best first, with the values before it (x0, qini0, uplift0)."""
+def vertices(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, score, x, qini, uplift after each score, best first, with the values before it (x0, qini0, uplift0). sums: cumulative counts."""
     now = [F.col(f"c{c}") for c in COUNTS]
     was = [F.col(f"c{c}") - F.col(c) for c in COUNTS]
-    return cumulative(score_counts(df, keys), keys).select(
+    return sums.select(
         *keys, "score", (now[0] + now[1]).alias("x"), qini_gain(*now).alias("qini"), uplift_gain(*now).alias("uplift"),
         (was[0] + was[1]).alias("x0"), qini_gain(*was).alias("qini0"), uplift_gain(*was).alias("uplift0"),
     )
@@ -64,17 +79,18 @@ def vertices(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def curve(df: DataFrame, keys: list[str], kind: str) -> DataFrame:
     """keys, x, gain of the Qini or uplift curve, with its origin."""
-    points = vertices(df, keys).select(*keys, F.col("x").cast("long").alias("x"), F.col(kind).alias("gain"))
-    origin = df.select(*keys).distinct().select(*keys, F.lit(0).cast("long").alias("x"), F.lit(0.0).alias("gain"))
+    sums = cumulative_counts(df, keys)
+    points = vertices(sums, keys).select(*keys, F.col("x").cast("long").alias("x"), F.col(kind).alias("gain"))
+    origin = sums.select(*keys).distinct().select(*keys, F.lit(0).cast("long").alias("x"), F.lit(0.0).alias("gain"))
     return origin.unionByName(points)
 
 
-def classes(df: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, tr, tn, cr, cn: treated and control responders and non-responders; n."""
-    t, y = F.col("t") == 1, F.col("y") == 1
-    n = {"tr": t & y, "tn": t & ~y, "cr": ~t & y, "cn": ~t & ~y}
-    return df.groupBy(*keys).agg(*(F.count_if(c).cast("double").alias(k) for k, c in n.items()), F.count(F.lit(1)).cast("double").alias("n"))
-
+def classes(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, tr, tn, cr, cn: treated and control responders and non-responders; n. counts: rows with t and y, or counts of scores."""
+    if "nt" not in counts.columns:
+        counts = score_counts(counts.select(*keys, "t", "y", F.lit(0).alias("score")), keys)
+    n = {"tr": F.col("yt"), "tn": F.col("nt") - F.col("yt"), "cr": F.col("yc"), "cn": F.col("nc") - F.col("yc"), "n": F.col("nt") + F.col("nc")}
+    return counts.groupBy(*keys).agg(*(F.sum(c).cast("double").alias(k) for k, c in n.items()))
 
 
 def _class_columns() -> tuple[Column, ...]:
@@ -108,15 +124,18 @@ def perfect_uplift_area() -> Column:
     return sum(((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(points, points[1:], strict=False)), F.lit(0.0))
 
 
+def areas_of(sums: DataFrame, keys: list[str]) -> DataFrame:
+    width = F.col("x") - F.col("x0")
+    return vertices(sums, keys).groupBy(*keys).agg(F.sum(width * (F.col("qini") + F.col("qini0")) / 2).alias("qini_area"), F.sum(width * (F.col("uplift") + F.col("uplift0")) / 2).alias("uplift_area"))
+
+
 def areas(df: DataFrame, keys: list[str]) -> DataFrame:
     """keys, qini_area, uplift_area by trapezoids."""
-    width = F.col("x") - F.col("x0")
-    return vertices(df, keys).groupBy(*keys).agg(F.sum(width * (F.col("qini") + F.col("qini0")) / 2).alias("qini_area"), F.sum(width * (F.col("uplift") + F.col("uplift0")) / 2).alias("uplift_area"))
+    return areas_of(cumulative_counts(df, keys), keys)
 
 
-def ranking_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, qini_auc_normalized, qini_coefficient, uplift_auc_normalized, auuc. Undefined values are null."""
-    whole = classes(df, keys).join(areas(df, keys), keys)
+def metrics_of(sums: DataFrame, keys: list[str]) -> DataFrame:
+    whole = classes(sums, keys).join(areas_of(sums, keys), keys)
     line = F.col("n") * endpoint() / 2
     flat = F.col("n") * perfect_uplift_points()[-1][1] / 2
     best_q, best_u = perfect_qini_area() - line, perfect_uplift_area() - flat
@@ -129,37 +148,64 @@ def ranking_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def top_threshold(df: DataFrame, keys: list[str], fraction: float) -> DataFrame:
-    """keys, k, cut, before: rows to take, the score of the last of them, and the rows above that score."""
-    if not 0 < fraction <= 1:
+def ranking_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, qini_auc_normalized, qini_coefficient, uplift_auc_normalized, auuc. Undefined values are null."""
+    return metrics_of(cumulative_counts(df, keys), keys)
+
+
+def top_cuts(sums: DataFrame, keys: list[str], fractions: tuple[float, ...]) -> DataFrame:
+    """keys, fraction, k, cut, x: rows to take, the score of the last of them, the rows down to that score, and b<count>, the counts above it."""
+    if any(not 0 < f <= 1 for f in fractions):
         raise ValueError("fraction must be in (0, 1]")
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    k = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(fraction)))
+    sizes = sums.groupBy(*keys).agg(F.sum(F.col("nt") + F.col("nc")).alias("n")).withColumn("fraction", F.explode(F.array(*map(F.lit, fractions))))
+    sizes = sizes.withColumn("k", F.greatest(F.lit(1), F.floor(F.col("n") * F.col("fraction"))))
     x, x0 = F.col("cnt") + F.col("cnc"), F.col("cnt") + F.col("cnc") - F.col("nt") - F.col("nc")
-    reached = cumulative(score_counts(df, keys), keys).join(sizes.withColumn("k", k), keys).filter((x >= F.col("k")) & (x0 < F.col("k")))
-    return reached.select(*keys, "k", F.col("score").alias("cut"), x0.alias("before"))
+    reached = sums.join(sizes, keys).filter((x >= F.col("k")) & (x0 < F.col("k")))
+    return reached.select(*keys, "fraction", "k", F.col("score").alias("cut"), x.alias("x"), *((F.col(f"c{c}") - F.col(c)).alias(f"b{c}") for c in COUNTS), *COUNTS)
+
+
+def top_of(rows: DataFrame, sums: DataFrame, keys: list[str], fractions: tuple[float, ...], ident: str, weight: Column | None = None) -> DataFrame:
+    """keys, fraction, uplift. rows: keys, ident, t, y, score, each counted `weight` times (once); sums: their cumulative counts.
+
+    Above the last score the cumulative counts are enough. The last score's rows are counted in ascending id, by the same
+    prefix sums, unless all of them are taken.
+    """
+    found = settled(top_cuts(sums, keys, fractions), "cuts")  # one row for each cell and fraction
+    whole = found.filter("x = k").select(*keys, "fraction", *((F.col(f"b{c}") + F.col(c)).alias(c) for c in COUNTS))
+    part = found.filter("x > k").select(*keys, "fraction", "cut", (F.col("k") - F.col("bnt") - F.col("bnc")).alias("more"), *(f"b{c}" for c in COUNTS))
+    w = F.lit(1) if weight is None else weight
+    tied = rows.select(*keys, ident, "t", "y", "score", w.alias("w")).join(part.select(*keys, "fraction", "cut"), keys).filter(F.col("score") == F.col("cut"))
+    t, y, by = F.col("t"), F.col("y"), [*keys, "fraction"]
+    each = tied.groupBy(*by, (-F.col(ident).cast("long")).alias("score")).agg(F.sum(F.col("w") * t).alias("nt"), F.sum(F.col("w") * (1 - t)).alias("nc"), F.sum(F.col("w") * y * t).alias("yt"), F.sum(F.col("w") * y * (1 - t)).alias("yc"))
+    x0 = F.col("cnt") + F.col("cnc") - F.col("nt") - F.col("nc")
+    last = cumulative(each, by).join(part, by).filter((F.col("cnt") + F.col("cnc") >= F.col("more")) & (x0 < F.col("more")))
+    share = (F.col("more") - x0) / (F.col("nt") + F.col("nc"))  # of a row that is drawn several times
+    last = last.select(*by, *((F.col(f"b{c}") + F.col(f"c{c}") - F.col(c) + F.col(c) * share).alias(c) for c in COUNTS))
+    taken = whole.unionByName(last)
+    return taken.select(*by, (divide(F.col("yt"), F.col("nt")) - divide(F.col("yc"), F.col("nc"))).alias("uplift"))
 
 
 def uplift_at(df: DataFrame, keys: list[str], fraction: float, ident: str = "epk_id") -> DataFrame:
     """keys, uplift: rate difference among the best floor(n * fraction) rows (one at least); null where an arm is missing.
 
-    Rows of the last score are taken by ascending id; only that score's rows are ranked.
+    Rows of the last score are taken by ascending id, a whole number.
     """
-    placed = df.join(top_threshold(df, keys, fraction), keys)
-    tied = placed.filter(F.col("score") == F.col("cut")).withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(ident)))
-    taken = placed.filter(F.col("score") > F.col("cut")).select(*keys, "t", "y").unionByName(tied.filter(F.col("nth") <= F.col("k") - F.col("before")).select(*keys, "t", "y"))
-    return taken.groupBy(*keys).agg((F.avg(F.when(F.col("t") == 1, F.col("y"))) - F.avg(F.when(F.col("t") == 0, F.col("y")))).alias("uplift"))
+    return top_of(df, cumulative_counts(df, keys), keys, (fraction,), ident).drop("fraction")
 
 
-def moments(df: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, ate_observed, cate_mean, cate_std (population)."""
-    y = F.col("y")
-    return df.groupBy(*keys).agg((F.avg(F.when(F.col("t") == 1, y)) - F.avg(F.when(F.col("t") == 0, y))).alias("ate_observed"), F.avg("score").alias("cate_mean"), F.stddev_pop("score").alias("cate_std"))
+def moments(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ate_observed, cate_mean, cate_std (population). counts: rows with t, y and score, or counts of scores."""
+    if "nt" not in counts.columns:
+        counts = settled(score_counts(counts, keys), "counts")
+    n = F.col("nt") + F.col("nc")
+    means = counts.groupBy(*keys).agg((divide(F.sum("yt"), F.sum("nt")) - divide(F.sum("yc"), F.sum("nc"))).alias("ate_observed"), (F.sum(F.col("score") * n) / F.sum(n)).alias("cate_mean"))
+    far = F.pow(F.col("score") - F.col("cate_mean"), F.lit(2)) * n
+    return counts.join(means, keys).groupBy(*keys, "ate_observed", "cate_mean").agg(F.sqrt(F.sum(far) / F.sum(n)).alias("cate_std"))
 
 
 def evaluate_uplift(df: DataFrame, keys: list[str], ident: str = "epk_id") -> DataFrame:
     """The nine metrics of each cell."""
-    out = ranking_metrics(df, keys)
-    for name, fraction in (("uplift_at_10pct", 0.1), ("uplift_at_20pct", 0.2)):
-        out = out.join(uplift_at(df, keys, fraction, ident).withColumnRenamed("uplift", name), keys, "left")
-    return out.join(moments(df, keys), keys)
+    sums = cumulative_counts(df, keys)
+    out = metrics_of(sums, keys)
+    tops = top_of(df, sums, keys, (0.1, 0.2), ident).groupBy(*keys).agg(*(F.max(F.when(F.col("fraction") == f, F.col("uplift"))).alias(name) for name, f in (("uplift_at_10pct", 0.1), ("uplift_at_20pct", 0.2))))
+    return out.join(tops, keys, "left").join(moments(sums, keys), keys)
