@@ -12,32 +12,38 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import finite, uniform
 from ..sources.scratch import settled
-from .curves import COUNTS, cumulative, qini_gain, uplift_gain
+from .curves import COUNTS, cumulative, evaluate_uplift, qini_gain, top_of, uplift_gain
 from .splits import numbered
 
 
 def draw_weights(spark, n: int, draws: int, seed: int) -> DataFrame:
-    """b, idx, w: how often row idx is in draw b."""
+    """b, idx, w: how often row idx is in draw b. Picks are dealt by idx, which the join with the rows needs too."""
     pick = F.floor(uniform(F.col("id"), f"boot{seed}") * n).cast("long")
-    return spark.range(n * draws).select(F.floor(F.col("id") / n).cast("int").alias("b"), pick.alias("idx")).groupBy("b", "idx").agg(F.count(F.lit(1)).alias("w"))
+    picks = spark.range(n * draws).select(F.floor(F.col("id") / n).cast("int").alias("b"), pick.alias("idx"))
+    return picks.repartition("idx").groupBy("b", "idx").agg(F.count(F.lit(1)).alias("w"))
 
 
-def metric_draws(rows: DataFrame, keys: list[str], draws: int, seed: int, ident: str = "epk_id") -> DataFrame:
-    """keys, b, qini_auc_normalized, qini_coefficient, auuc, ate of each draw that holds both arms.
+TOPS = {"uplift_at_10pct": 0.1, "uplift_at_20pct": 0.2}
 
-    rows: keys (cell and model), ident, t, y, score, the same rows for each model.
+
+def metric_draws(rows: DataFrame, keys: list[str], draws: int, seed: int, ident: str = "epk_id", tops: bool = False) -> DataFrame:
+    """keys, b, qini_auc_normalized, qini_coefficient, auuc, ate, and with `tops` uplift_at_10pct and uplift_at_20pct, of each draw that holds both arms.
+
+    rows: keys (cell and model), ident, t, y, score, the same rows for each model. In an uplift@k a row counts as often as it was
+    drawn; rows of the last score are taken by ascending id.
     """
     spark = rows.sparkSession
-    ids = numbered(rows.select(ident, "t", "y").distinct(), ident)
-    weights = draw_weights(spark, ids.count(), draws, seed)
-    weighted = weights.join(ids.select(ident, "idx"), "idx").join(rows, ident)
+    ids = settled(numbered(rows.select(ident).distinct(), ident), "ids")
+    placed = settled(rows.join(ids, ident), "rows")
+    weighted = draw_weights(spark, ids.count(), draws, seed).join(placed, "idx")
     w, t, y = F.col("w"), F.col("t"), F.col("y")
     by = [*keys, "b"]
     counts = weighted.groupBy(*by, "score").agg(F.sum(w * t).alias("nt"), F.sum(w * (1 - t)).alias("nc"), F.sum(w * t * y).alias("yt"), F.sum(w * (1 - t) * y).alias("yc"))
+    totals = settled(cumulative(counts, by), "cumulative")
     now = [F.col(f"c{c}") for c in COUNTS]
     was = [F.col(f"c{c}") - F.col(c) for c in COUNTS]
     width = F.col("nt") + F.col("nc")
-    sums = cumulative(counts, by).groupBy(*by).agg(
+    sums = totals.groupBy(*by).agg(
         F.sum(width * (qini_gain(*now) + qini_gain(*was)) / 2).alias("qini_area"), F.sum(width * (uplift_gain(*now) + uplift_gain(*was)) / 2).alias("uplift_area"),
         *(F.sum(c).cast("double").alias(c) for c in COUNTS),
     )
@@ -46,10 +52,36 @@ def metric_draws(rows: DataFrame, keys: list[str], draws: int, seed: int, ident:
     line = n * end / 2
     middle = F.when(F.col("nc") > F.col("yc"), F.col("yt")).otherwise(F.lit(0.0))
     best = (F.col("nt") - F.col("yt") + F.col("nc") - F.col("yc")) * middle / 2 + F.col("yc") * (middle + end) / 2 - line
-    return sums.filter("nt > 0 AND nc > 0").select(
+    out = sums.filter("nt > 0 AND nc > 0").select(
         *by, F.when(F.abs(best) > 1e-12, (F.col("qini_area") - line) / best).alias("qini_auc_normalized"), ((F.col("qini_area") - line) / (n * n)).alias("qini_coefficient"),
         (F.col("uplift_area") / (n * n)).alias("auuc"), (F.col("yt") / F.col("nt") - F.col("yc") / F.col("nc")).alias("ate"),
     )
+    if not tops:
+        return out
+    top = top_of(weighted, totals, by, tuple(TOPS.values()), ident, w).groupBy(*by).agg(*(F.max(F.when(F.col("fraction") == f, F.col("uplift"))).alias(name) for name, f in TOPS.items()))
+    return out.join(top, by, "left")
+
+
+METRICS = ("qini_auc_normalized", "qini_coefficient", "auuc", "ate", *TOPS)
+
+
+def long_draws(drawn: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, b, metric, value."""
+    names = [m for m in METRICS if m in drawn.columns]
+    return drawn.select(*keys, "b", F.explode(F.create_map(*(x for m in names for x in (F.lit(m), F.col(m))))).alias("metric", "value"))
+
+
+def draw_table(rows: DataFrame, keys: list[str], draws: int, seed: int, level: float = 0.95, ident: str = "epk_id") -> DataFrame:
+    """keys, metric, point_estimate, n_rows, ci_low, ci_high, n_draws, n_failed_resamples: the metrics of the rows themselves beside those of the draws.
+
+    A draw fails for a metric that it leaves undefined, or if it lacks an arm.
+    """
+    seen = evaluate_uplift(rows, keys, ident).withColumnRenamed("ate_observed", "ate")
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    points = seen.select(*keys, F.explode(F.create_map(*(x for m in METRICS for x in (F.lit(m), F.col(m))))).alias("metric", "point_estimate"))
+    drawn = long_draws(metric_draws(rows, keys, draws, seed, ident, True), keys).groupBy(*keys, "metric").agg(*interval(F.col("value"), level))
+    out = points.join(sizes, keys).join(drawn, [*keys, "metric"], "left").withColumn("n_draws", F.coalesce("n_draws", F.lit(0)))
+    return out.withColumn("n_failed_resamples", F.lit(draws) - F.col("n_draws"))
 
 
 def interval(value: Column, level: float = 0.95) -> list[Column]:

@@ -342,11 +342,32 @@ def bootstrap_ate(spark, d):
     return rounded(bootstrap.metric_draws(rows, ["model"], 10, 11).select("b", "ate"))
 
 
-@query("bootstrap_qini")
+DRAWN = f"""+ ids AS (SELECT epk_id, row_number() OVER (ORDER BY epk_id) - 1 AS idx FROM trial), n AS (SELECT count(*) AS n FROM trial),
+w AS (SELECT CAST(i // n AS INT) AS b, CAST(floor({sql_u("i", "boot11")} * n) AS BIGINT) AS idx, count(*) AS w FROM n, range((SELECT DRAWS * count(*) FROM trial)) AS r(i) GROUP BY 1, 2),
+rows AS (SELECT b, model, epk_id, t, y, score, w FROM w JOIN ids USING (idx) JOIN scored USING (epk_id) WHERE model <> 'constant'),
+counts AS (SELECT model, b, score, sum(w * t) AS nt, sum(w * (1 - t)) AS nc, sum(w * y * t) AS yt, sum(w * y * (1 - t)) AS yc FROM rows GROUP BY model, b, score),
+sums AS (SELECT *, sum(nt) OVER k AS cnt, sum(nc) OVER k AS cnc, sum(yt) OVER k AS cyt, sum(yc) OVER k AS cyc FROM counts WINDOW k AS (PARTITION BY model, b ORDER BY score DESC)),
+points AS (SELECT model, b, cnt + cnc AS x, CASE WHEN cnc > 0 THEN cyt - cyc::DOUBLE * cnt / cnc ELSE 0.0 END AS q,
+    (CASE WHEN cnt > 0 THEN cyt::DOUBLE / cnt ELSE 0 END - CASE WHEN cnc > 0 THEN cyc::DOUBLE / cnc ELSE 0 END) * (cnt + cnc) AS u FROM sums UNION ALL SELECT DISTINCT model, b, 0, 0.0, 0.0 FROM counts),
+area AS (SELECT model, b, sum((x - x0) * (q + q0) / 2) AS qa, sum((x - x0) * (u + u0) / 2) AS ua FROM (SELECT *, lag(x) OVER k AS x0, lag(q) OVER k AS q0, lag(u) OVER k AS u0 FROM points WINDOW k AS (PARTITION BY model, b ORDER BY x)) GROUP BY model, b),
+cls AS (SELECT model, b, sum(yt)::DOUBLE AS tr, sum(nt - yt)::DOUBLE AS tn, sum(yc)::DOUBLE AS cr, sum(nc - yc)::DOUBLE AS cn, sum(nt + nc)::DOUBLE AS n FROM counts GROUP BY model, b),
+ends AS (SELECT *, tr - cr * (tr + tn) / (cr + cn) AS e, CASE WHEN cn > 0 THEN tr ELSE 0.0 END AS m FROM cls)"""
+
+
+@query("bootstrap_qini", DRAWN.replace("DRAWS", "20") + """
+SELECT model, b, round((qa - n * e / 2) / ((tn + cn) * m / 2 + cr * (m + e) / 2 - n * e / 2), 8) AS qini_auc_normalized, round((qa - n * e / 2) / (n * n), 8) AS qini_coefficient,
+  round(ua / (n * n), 8) AS auuc, round(tr / (tr + tn) - cr / (cr + cn), 8) AS ate FROM area JOIN ends USING (model, b)""", "scored")
 def bootstrap_qini(spark, d):
     return rounded(bootstrap.metric_draws(scored(spark, d).filter("model <> 'constant'"), ["model"], 20, 11))
 
 
+@query("bootstrap_uplift_at_k", DRAWN.replace("DRAWS", "5") + """, one AS (SELECT *, row_number() OVER (PARTITION BY model, b ORDER BY score DESC, epk_id, i) AS k, count(*) OVER (PARTITION BY model, b) AS size FROM (SELECT *, unnest(range(w)) AS i FROM rows))
+SELECT model, b, round(avg(y) FILTER (WHERE t = 1 AND k <= greatest(1, floor(size * 0.1::DOUBLE))) - avg(y) FILTER (WHERE t = 0 AND k <= greatest(1, floor(size * 0.1::DOUBLE))), 8) AS uplift_at_10pct,
+  round(avg(y) FILTER (WHERE t = 1 AND k <= greatest(1, floor(size * 0.2::DOUBLE))) - avg(y) FILTER (WHERE t = 0 AND k <= greatest(1, floor(size * 0.2::DOUBLE))), 8) AS uplift_at_20pct FROM one GROUP BY model, b""", "scored")
+def bootstrap_uplift_at_k(spark, d):
+    return rounded(bootstrap.metric_draws(scored(spark, d).filter("model <> 'constant'"), ["model"], 5, 11, tops=True)).select("model", "b", *bootstrap.TOPS)
+
+
 @query("percentile_interval", "SELECT axis, model, round(quantile_cont(value, 0.025), 8) AS ci_low, round(quantile_cont(value, 0.975), 8) AS ci_high, count(value) AS n_draws FROM draws GROUP BY axis, model", "draws")
 def percentile_interval(spark, d):
     return rounded(draws(spark, d).groupBy("axis", "model").agg(*bootstrap.interval(F.col("value"))))

@@ -112,9 +112,8 @@ def cell_draws(scored: DataFrame, draws: int, seed: int, most_rows: int | None =
         if most_rows:
             own = own.join(splits.exact_cap(own.select("epk_id").distinct(), most_rows, f"boot{seed}"), "epk_id", "left_semi")
         validate.require(bootstrap.aligned(own).isEmpty(), "models score different rows")
-        drawn = bootstrap.metric_draws(own, ["model"], draws, seed)
-        value = F.explode(F.create_map(*(x for m in ("qini_auc_normalized", "qini_coefficient", "auuc", "ate") for x in (F.lit(m), F.col(m))))).alias("metric", "value")
-        out.append(drawn.select(*(F.lit(c[k]).alias(k) for k in keys), "model", "b", value))
+        drawn = bootstrap.long_draws(bootstrap.metric_draws(own, ["model"], draws, seed, tops=True), ["model"])
+        out.append(drawn.select(*(F.lit(c[k]).alias(k) for k in keys), "model", "b", "metric", "value"))
     return trials.union(*out)
 
 
