@@ -11,10 +11,15 @@ Two deterministic transducers run one after the other:
   the prefix may still complete, the trie node reached, the token that ends there and the count
   since. That is enough, as an encoding is right exactly when all neighbouring tokens are, and each
   prefix of an encoding is the encoding of that prefix. States are compiled when first met and
-  stay for the worker's life; past a bounded number the table starts anew.
+  stay for the worker's life; past a bounded number the table starts anew. Runs of more than LONG bytes without
+  a cut (base64, scripts without spaces) hardly meet a state twice, so the same transitions are taken without
+  being kept: for each prefix the one token that may end it, found by a trie of reversed tokens.
 
 Special strings inside texts count as one token each, and text around them is cut there, as the
-library does. Null text is empty; empty text has no tokens.
+library does.
+
+Defined cases: null text is empty; empty text has no tokens; repeated rows are counted each; an empty table
+gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ from .common import documents, held, ship, slices
 from .tokens import BYTES, tokenizer_path
 
 CHUNK = 2048
-STATES = 250_000
+STATES, LONG, PAIRS = 250_000, 96, 2_000_000
 SLICE = 2 << 20
 #: Character classes of the pre-tokenizer.
 SPACE, WHITE, QUOTE, S, T, R, E, V, M, L, D, LETTER, NUMBER, OTHER = range(14)
@@ -166,6 +171,8 @@ class Encoder:
         for k in self.child:
             self.inner[k >> 8] = 1
         self.fits: dict[int, bool] = {}
+        self.ending: dict[int, int] = {}  # 256 * node + byte -> node of the reversed tokens
+        self.ended: list[int] = []
         self.column = np.full(256, -1, np.int16)
         self.reset()
 
@@ -230,8 +237,52 @@ class Encoder:
         self.to[state, self.column[byte]] = to + 1
         self.change[state, self.column[byte]] = change
 
+    def reverse(self) -> None:
+        """The trie of reversed tokens, made when a long run is first met."""
+        self.ended.append(-1)
+        for i, t in enumerate(self.tokens):
+            node = 0
+            for b in reversed(t):
+                after = self.ending.get(256 * node + b)
+                if after is None:
+                    after = self.ending[256 * node + b] = len(self.ended)
+                    self.ended.append(-1)
+                node = after
+            self.ended[node] = i
+
+    def long_count(self, data: bytes) -> int:
+        """Tokens of one run: for each prefix its last token and count, from those of the prefixes before."""
+        if not self.ended:
+            self.reverse()
+        if len(self.fits) > PAIRS:
+            self.fits.clear()
+        ending, ended, fits = self.ending.get, self.ended, self.fits.get
+        last, count = array("i", [-1]), array("i", [0])
+        for i in range(1, len(data) + 1):
+            node, at = 0, i
+            while True:  # exactly one token may end here
+                at -= 1
+                node = ending(256 * node + data[at])
+                token = ended[node]
+                if token >= 0:
+                    before = last[at]
+                    good = fits((before + 1 << 20) + token)
+                    if good or (good is None and self.right(before, token)):
+                        break
+            last.append(token)
+            count.append(count[at] + 1)
+        return count[-1]
+
     def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Tokens of each pretoken data[start:end]: all pretokens step together, the longest last."""
+        """Tokens of each pretoken data[start:end]: all pretokens step together, the longest last; long runs go one by one."""
+        out = np.empty(len(starts), np.int32)
+        short = ends - starts <= LONG
+        for i in np.flatnonzero(~short).tolist():
+            out[i] = self.long_count(data[starts[i] : ends[i]].tobytes())
+        out[short] = self.short_counts(data, starts[short], ends[short])
+        return out
+
+    def short_counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if len(self.what) > STATES:
             self.reset()
         order = np.argsort(starts - ends, kind="stable")  # longest first
