@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Only a local session may go without: it makes one, as all its tasks share the machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,6 +25,22 @@ def scratch_dir(spark: SparkSession) -> str:
 def settled(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared folder as Parquet and reread."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/liftwork-{uuid.uuid4().hex}/{name}"
+    folder = f"{scratch_dir(spark)}/liftwork-{uuid.uuid4().hex}"
+    path = f"{folder}/{name}"
+    _made.append(folder)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def made() -> int:
+    """How many intermediate tables there are so far: a mark for `discard`."""
+    return len(_made)
+
+
+def discard(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the intermediate tables written since the mark; what still reads them must have been written itself."""
+    files = spark._jvm.org.apache.hadoop.fs.Path  # the session's own file systems: the folder may be anywhere that Spark reads
+    for folder in _made[since:]:
+        path = files(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    del _made[since:]
