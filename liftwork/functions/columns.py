@@ -21,6 +21,11 @@ def normal(ident: Column | str, salt: str) -> Column:
     return radius * F.cos(2 * F.pi() * uniform(ident, salt + "/a"))
 
 
+def seed_of(*parts: Column | str) -> Column:
+    """A whole number that follows from the parts alone: the CRC-32 of their text with / between."""
+    return F.crc32(F.concat_ws("/", *(F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts)).cast("binary"))
+
+
 def clip(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.least(x, F.lit(high)), F.lit(low))
 

@@ -45,6 +45,12 @@ def precondition(df: DataFrame, columns: list[str], alpha: float = 0.05) -> Data
     return tests
 
 
+def spreads(df: DataFrame, columns: list[str]) -> DataFrame:
+    """name, least, most, mean, std (population) of each column: what a learner's pseudo-outcomes look like."""
+    facts = [F.struct(F.lit(c).alias("name"), F.min(c).cast("double").alias("least"), F.max(c).cast("double").alias("most"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")) for c in columns]
+    return df.agg(F.array(*facts).alias("all")).select(F.inline("all"))
+
+
 def overlap(df: DataFrame, propensity: str = "e", low: float = 0.01) -> DataFrame:
     """Range and mean of cross-fitted propensities, and the share outside [low, 1 - low]."""
     e = F.col(propensity)

@@ -25,14 +25,15 @@ ROWS = "t int, y double, x array<double>"
 
 
 def _in_one_task(sample: DataFrame, columns: list[str], fit) -> dict:
-    """fit(x, t, y) on a bounded sample, in an executor; returns its dict of arrays."""
+    """fit(x, t, y, and hold if it takes that) on a bounded sample, in an executor; returns its dict of arrays."""
     ship(sample.sparkSession)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("id")
-        return pd.DataFrame({"model": [pickle.dumps(fit(np.array(part["x"].tolist(), float), part["t"].to_numpy(), part["y"].to_numpy(float)))]})
+        part = part.sort_values(["hold", "id"])
+        given = [np.array(part["x"].tolist(), float), part["t"].to_numpy(), part["y"].to_numpy(float), part["hold"].to_numpy(bool)]
+        return pd.DataFrame({"model": [pickle.dumps(fit(*given[: fit.__code__.co_argcount]))]})
 
-    rows = sample.select(F.lit(0).alias("one"), F.col("epk_id").cast("long").alias("id"), F.col("t").cast("int").alias("t"), F.col("y").cast("double").alias("y"), F.array(*(F.col(c).cast("double") for c in columns)).alias("x"))
+    rows = sample.select(F.lit(0).alias("one"), F.col("epk_id").cast("long").alias("id"), F.col("t").cast("int").alias("t"), F.col("y").cast("double").alias("y"), (F.coalesce("hold", F.lit(False)) if "hold" in sample.columns else F.lit(False)).alias("hold"), F.array(*(F.col(c).cast("double") for c in columns)).alias("x"))
     return pickle.loads(rows.groupBy("one").applyInPandas(run, "model binary").first()[0])
 
 
@@ -119,12 +120,14 @@ def _trunk(w: dict, x: np.ndarray) -> list[np.ndarray]:
 
 
 def _fit_network(width: int, epochs: int, batch: int, step: float, decay: float, patience: int, seed: int):
-    def fit(x: np.ndarray, t: np.ndarray, y: np.ndarray) -> dict:
+    def fit(x: np.ndarray, t: np.ndarray, y: np.ndarray, hold: np.ndarray) -> dict:
         draw = np.random.default_rng(seed)
         d = x.shape[1]
         w = {"w1": draw.normal(0, d**-0.5, (d, width)), "b1": np.zeros(width), "w2": draw.normal(0, width**-0.5, (width, width)), "b2": np.zeros(width), "w3": draw.normal(0, width**-0.5, (width, 3)), "b3": np.zeros(3)}
-        fixed = {"centre": x.mean(0), "spread": np.where(x.std(0) > 1e-9, x.std(0), 1.0)}
-        hold = draw.random(len(x)) < 0.15
+        own = x[~hold] if not hold.all() else x
+        fixed = {"centre": own.mean(0), "spread": np.where(own.std(0) > 1e-9, own.std(0), 1.0)}
+        if not hold.any():  # no validation rows were given
+            hold = draw.random(len(x)) < 0.15
         rows, first, second = np.flatnonzero(~hold), {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
 
         def losses(some: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, float]:
@@ -136,8 +139,9 @@ def _fit_network(width: int, epochs: int, batch: int, step: float, decay: float,
 
         best, since, n = (np.inf, w), 0, 0
         for _ in range(epochs):
-            for low in range(0, len(rows), batch):
-                some = rows[draw.permutation(len(rows))[:batch]] if low == 0 else rows[low : low + batch]
+            draw.shuffle(rows)
+            for low in range(0, len(rows), batch):  # each row once an epoch
+                some = rows[low : low + batch]
                 layers, error, _ = losses(some)
                 error = error / len(some)
                 grad = {"w3": layers[2].T @ error, "b3": error.sum(0)}
@@ -150,7 +154,6 @@ def _fit_network(width: int, epochs: int, batch: int, step: float, decay: float,
                 for k, g in grad.items():
                     first[k], second[k] = 0.9 * first[k] + 0.1 * g, 0.999 * second[k] + 0.001 * g * g
                     w[k] = w[k] - step * (first[k] / (1 - 0.9**n) / (np.sqrt(second[k] / (1 - 0.999**n)) + 1e-8) + decay * w[k])
-            draw.shuffle(rows)
             loss = losses(np.flatnonzero(hold))[2] if hold.any() else losses(rows)[2]
             best, since = ((loss, {k: v.copy() for k, v in w.items()}), 0) if loss < best[0] else (best, since + 1)
             if since > patience:
@@ -165,9 +168,12 @@ def _network_effect(w: dict, x: np.ndarray) -> tuple[np.ndarray, ...]:
     return (p[:, 1] - p[:, 0],)
 
 
-def dragonnet(train: DataFrame, columns: list[str], width: int = 64, epochs: int = 60, batch: int = 512, step: float = 1e-3, decay: float = 1e-4, patience: int = 8, most_rows: int = 200_000, seed: int = 0) -> Fitted:
-    """Fitted on at most `most_rows` rows of each arm."""
+def dragonnet(train: DataFrame, columns: list[str], width: int = 64, epochs: int = 60, batch: int = 512, step: float = 1e-3, decay: float = 1e-4, patience: int = 8, most_rows: int = 200_000, seed: int = 0, validation: DataFrame | None = None) -> Fitted:
+    """Fitted on at most `most_rows` rows of each arm. It stops by the loss on `validation` (at most a quarter as many rows), or on 15 % of the rows if none is given."""
     sample = per_arm_cap(train, {0: most_rows, 1: most_rows}, f"dragon{seed}")
+    if validation is not None:
+        held = per_arm_cap(validation, {0: most_rows // 4, 1: most_rows // 4}, f"dragon{seed}")
+        sample = sample.select("epk_id", "t", "y", *columns).unionByName(held.select("epk_id", "t", "y", *columns).withColumn("hold", F.lit(True)), allowMissingColumns=True)
     model = _in_one_task(sample, columns, _fit_network(width, epochs, batch, step, decay, patience, seed))
     return Fitted("dragonnet", lambda df: _score(df, columns, model, _network_effect), {"width": width, "epochs": epochs, "most_rows": most_rows})
 

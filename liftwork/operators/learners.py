@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import aipw, clip, q_means, q_ratio
+from .diagnostics import spreads
+from .prepare import frequency_ordinal
 from .splits import fold_count, kfold
 from .validate import require
 
@@ -166,6 +168,7 @@ def residual_correction(train: DataFrame, base: Callable[[DataFrame], Fitted], t
     rows = rows.withColumn("__r", aipw(F.col("__m0"), F.col("__m1"), F.lit(e), F.col("t"), F.col("y")) - F.col("cate"))
     bounds = rows.agg(F.percentile("__r", trim).alias("low"), F.percentile("__r", 1 - trim).alias("high"), F.min("__r").alias("least"), F.max("__r").alias("most")).first()
     low_r, high_r = (bounds["low"], bounds["high"]) if trim else (bounds["least"], bounds["most"])
+    seen = spreads(rows, ["__r", "cate"]).collect()
     rows = rows.withColumn("__r", clip(F.col("__r"), low_r, high_r))
     if linear:
         model = LinearRegression(featuresCol="__x", labelCol="__r", predictionCol="__c", regParam=1.0, elasticNetParam=0.0).fit(rows.select("__x", "__r"))
@@ -174,7 +177,7 @@ def residual_correction(train: DataFrame, base: Callable[[DataFrame], Fitted], t
         correct = trees.regressor(rows, "__r", "__x")
     middle = correct(rows, "__c").agg(F.avg("__c")).first()[0] if centre else 0.0
     added = strength * clip(F.col("__c") - F.lit(middle), low_r, high_r)
-    return Fitted("residual_correction", lambda df: correct(assemble(means(scorer.predict(df))), "__c").withColumn("cate", F.col("cate") + added).drop("__c", "__x", "__m0", "__m1"), scorer.settings | {"strength": strength, "trim": trim, "centre": centre})
+    return Fitted("residual_correction", lambda df: correct(assemble(means(scorer.predict(df))), "__c").withColumn("cate", F.col("cate") + added).drop("__c", "__x", "__m0", "__m1"), scorer.settings | {"strength": strength, "trim": trim, "centre": centre, "diagnostics": [r.asDict() for r in seen]})
 
 
 def cross_fitted_propensity(train: DataFrame, trees: Trees = Trees(), folds: int = 5) -> DataFrame:
@@ -200,7 +203,10 @@ def risk_scores(df: DataFrame, trees: Trees = Trees(), folds: int = 5) -> DataFr
 
 
 def natural_risk(df: DataFrame, column: str) -> Column:
-    """A column of the data as risk, gaps filled with its median over the rows given."""
+    """A column of the data as risk: numbers with gaps at their median over the rows given, else the place of the value by how often it occurs."""
+    if dict(df.dtypes)[column] in ("string", "boolean"):
+        places = {r["value"]: r["ordinal"] for r in frequency_ordinal(df, column).collect()}  # one for each category
+        return F.create_map(*(F.lit(x) for pair in places.items() for x in pair))[F.coalesce(F.col(column).cast("string"), F.lit("__missing__"))].cast("double")
     median = df.agg(F.percentile(F.col(column).cast("double"), 0.5)).first()[0]
     return F.coalesce(F.col(column).cast("double"), F.lit(median))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import finite, hparam_tag
 from ..functions.statistics import pearson, spearman
 from ..shipping import ship
+from .bootstrap import paired
 from .resample import severity_order
 
 
@@ -60,6 +61,47 @@ def breakpoint_shift(indexed: DataFrame) -> DataFrame:
     )
 
 
+def hparam_values(metrics: DataFrame) -> DataFrame:
+    """model, hparam_value: the first value that a run of the series states, by dataset, axis, severity and seed."""
+    given = metrics.filter("model IS NOT NULL AND hparam_value IS NOT NULL")
+    return given.groupBy("model").agg(F.min_by("hparam_value", F.struct("dataset", "axis", "severity_tag", "seed")).alias("hparam_value"))
+
+
+def hparam_influence(draws: DataFrame, metrics: DataFrame, level: float = 0.95) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(breakpoint and robustness index of each series of a family, shifts against the defaults, verdicts).
+
+    draws: long bootstrap draws. Every series of a base that was fitted under more than one setting is compared with
+    the best model of another base, as the reference is. A base without a default series has no shift.
+    """
+    families = {r["base_model"]: r["series"] for r in variant_families(with_series(draws.select("model").distinct())).collect()}
+    each = None
+    for base, members in families.items():  # a few series for each model
+        for series in members:
+            found = breakpoints(paired(draws, series, level), metrics).withColumn("model", F.lit(series))
+            each = found if each is None else each.unionByName(found)
+    if each is None:
+        raise ValueError("no model was fitted under more than one setting")
+    values = hparam_values(metrics) if "hparam_value" in metrics.columns else metrics.select("model").distinct().withColumn("hparam_value", F.lit(None).cast("double"))
+    indexed = robustness_index(with_series(each), metrics).join(F.broadcast(values), "model", "left").withColumn("is_default", F.col("hparam_tag") == "default")
+    shifts = breakpoint_shift(indexed)
+    return indexed, shifts, influence_verdict(shifts)
+
+
+def regime_map(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """dataset, metric, axis, severity_tag, outcome at each severity: wins, ties or loses against the best alternative, and whether it is the breakpoint. found: breakpoints."""
+    best = pairs.filter("comparison = 'best_alternative'")
+    outcome = F.when(F.col("excludes_zero") & (F.col("mean_difference") > 0), "wins").when(F.col("excludes_zero"), "loses").otherwise("ties")
+    at = found.select("dataset", "axis", "metric", F.col("breakpoint_severity_tag").alias("at"))
+    return best.join(at, ["dataset", "axis", "metric"], "left").select("dataset", "metric", "axis", "severity_tag", outcome.alias("outcome"), "mean_difference", F.coalesce(F.col("severity_tag") == F.col("at"), F.lit(False)).alias("is_breakpoint"))
+
+
+def regime_verdict(found: DataFrame) -> DataFrame:
+    """dataset, metric, axes, axes_that_break, verdict over the axes."""
+    n, broken = F.count(F.lit(1)), F.count_if(F.col("breaks"))
+    verdict = F.when(broken == 0, "robust on all axes").when(broken == n, "breaks on all axes").otherwise(F.concat(F.lit("breaks on "), F.array_join(F.sort_array(F.collect_set(F.when(F.col("breaks"), F.col("axis")))), ", ")))
+    return found.groupBy("dataset", "metric").agg(n.alias("axes"), broken.alias("axes_that_break"), verdict.alias("verdict"))
+
+
 def influence_verdict(shifts: DataFrame) -> DataFrame:
     """base_model, the largest shift and what it means."""
     top = F.max(F.abs("breakpoint_shift_steps"))

@@ -185,3 +185,12 @@ def strided(df: DataFrame, order: str, n: int) -> DataFrame:
 def taken(df: DataFrame, positions: DataFrame, ident: str = "epk_id") -> DataFrame:
     """The rows of `df` at the positions (a column idx, from 0 in the order of `ident`), as often as a position occurs."""
     return numbered(df, ident).join(positions.select("idx"), "idx").drop("idx")
+
+
+def in_order(df: DataFrame, name: str) -> DataFrame:
+    """A sorted `df` with its rows numbered from 1: positions within the sort's range partitions, plus the partitions before."""
+    placed = settled(df.select("*", F.monotonically_increasing_id().alias("__at")), "sorted")
+    part = F.shiftrightunsigned("__at", 33)
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    bases = placed.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("n")).select("__p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return placed.withColumn("__p", part).join(F.broadcast(bases), "__p").withColumn(name, F.col("base") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1).drop("__p", "__at", "base")

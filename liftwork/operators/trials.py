@@ -55,6 +55,31 @@ def sweep_matrix(spark: SparkSession, datasets: list[str], axes: list[str], seed
     return spark.createDataFrame(rows, "dataset string, axis string, severity_tag string, severity double, seed int")
 
 
+def variants(model: str, setting: str, values: list, default) -> list[tuple[str, dict]]:
+    """(series id, settings) for each distinct value and the default, in order; the default keeps the plain id and states nothing."""
+    return [(model, {}) if v == default else (f"{model}#{setting}{v}", {setting: v}) for v in sorted({default, *values})]
+
+
+def unique(names: list) -> list:
+    """The names in their order, each once."""
+    return list(dict.fromkeys(names))
+
+
+def ordered(df: DataFrame, orders: dict[str, list], *then: str) -> DataFrame:
+    """`df` sorted by the places that its values have in the lists (others after them, by value), then by more columns."""
+    keys = []
+    for column, values in orders.items():
+        keys += [F.coalesce(*(F.when(F.col(column) == v, F.lit(k)) for k, v in enumerate(values)), F.lit(len(values))), F.col(column).asc_nulls_last()]
+    return df.orderBy(*keys, *(F.col(c).asc_nulls_last() for c in then))
+
+
+def row_differences(a: DataFrame, b: DataFrame, ident: str = "epk_id") -> DataFrame:
+    """ident, in_a, in_b of the ids that one side lacks: empty when both score the same rows."""
+    left, right = a.select(ident).distinct().withColumn("in_a", F.lit(True)), b.select(ident).distinct().withColumn("in_b", F.lit(True))
+    both = left.join(right, ident, "full").select(ident, F.coalesce("in_a", F.lit(False)).alias("in_a"), F.coalesce("in_b", F.lit(False)).alias("in_b"))
+    return both.filter("NOT (in_a AND in_b)")
+
+
 def reusable(runs: DataFrame, models: list[str], axis: str, tag: str) -> DataFrame:
     """Rows of finished runs as rows of a sweep cell, with where they are from."""
     return runs.filter(F.col("model").isin(models)).withColumns({"axis": F.lit(axis), "severity_tag": F.lit(tag), "reused_from": F.col("source")})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -519,6 +520,79 @@ def keep_first(spark, d):
     return trials.first_of(runs(spark, d), ["axis", "severity_tag"], ["seed", "model"]).select("axis", "severity_tag", "severity")
 
 
+@query("take_positions", "SELECT epk_id, t, y FROM (SELECT *, row_number() OVER (ORDER BY epk_id) - 1 AS idx FROM trial) WHERE idx % 7 = 3", "trial")
+def take_positions(spark, d):
+    rows = trial(spark, d)
+    return splits.taken(rows.select("epk_id", "t", "y"), spark.range(3, rows.count(), 7).withColumnRenamed("id", "idx"))
+
+
+@query("strided_partition", "SELECT epk_id, CAST((row_number() OVER (ORDER BY epk_id) - 1) % 4 AS BIGINT) AS slot FROM trial", "trial")
+def strided_partition(spark, d):
+    return splits.strided(trial(spark, d).select("epk_id"), "epk_id", 4).select("epk_id", F.col("slot").cast("long").alias("slot"))
+
+
+@query("group_exact_split", f"""+{GROUPS}, gs AS (SELECT g, row_number() OVER (ORDER BY {sql_u('g', 'group7')}, g) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT g FROM grp))
+SELECT epk_id, CASE WHEN k <= floor(n * 0.2::DOUBLE + 0.5) THEN 'test' WHEN k <= floor(n * 0.2::DOUBLE + 0.5) + floor(n * 0.2::DOUBLE + 0.5) THEN 'validation' ELSE 'train' END AS split FROM grp JOIN gs USING (g)""", "trial")
+def group_exact_split(spark, d):
+    rows = trial(spark, d).withColumn("g", splits.group_key("priority", "segment", "nation", "order_month"))
+    return splits.group_exact_split(rows, "g", 7).select("epk_id", "split")
+
+
+@query("row_differences", "SELECT coalesce(a.epk_id, b.epk_id) AS epk_id, a.epk_id IS NOT NULL AS in_a, b.epk_id IS NOT NULL AS in_b FROM (SELECT epk_id FROM trial WHERE epk_id % 3 <> 0) a FULL JOIN (SELECT epk_id FROM trial WHERE epk_id % 5 <> 0) b ON a.epk_id = b.epk_id WHERE a.epk_id IS NULL OR b.epk_id IS NULL", "trial")
+def row_differences(spark, d):
+    rows = trial(spark, d)
+    return trials.row_differences(rows.filter("epk_id % 3 <> 0"), rows.filter("epk_id % 5 <> 0"))
+
+
+VALUED = "valued AS (SELECT *, CASE WHEN contains(model, '#') AND seed > 0 THEN length(severity_tag) * 10.0 + seed END AS hparam_value FROM runs)"
+
+
+@query("hparam_values", f"+{VALUED} SELECT model, hparam_value FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY dataset, axis, severity_tag, seed) AS k FROM valued WHERE hparam_value IS NOT NULL) WHERE k = 1", "runs")
+def hparam_values(spark, d):
+    value = F.when(F.col("model").contains("#") & (F.col("seed") > 0), F.length("severity_tag") * 10.0 + F.col("seed"))
+    return regimes.hparam_values(runs(spark, d).withColumn("hparam_value", value))
+
+
+def _of_series(series: str, k: int) -> str:
+    """The CTEs of BREAKS for another reference series, their names numbered."""
+    text = BREAKS.replace("'dr_learner'", f"'{series}'").replace(f"split_part(model, '#', 1) <> '{series}'", "split_part(model, '#', 1) <> 'dr_learner'").replace(f"split_part(o.model, '#', 1) <> '{series}'", "split_part(o.model, '#', 1) <> 'dr_learner'")
+    for name in ("pooled", "best", "diff", "each", "paired", "sev", "placed", "losing", "worst", "breaks"):
+        text = re.sub(rf"(?<![\w'.]){name}(?= AS \()|(?<=FROM ){name}\b|(?<=JOIN ){name}\b", f"{name}{k}", text)
+    return text.replace("each.*", f"each{k}.*").replace("paired.*", f"paired{k}.*")
+
+
+INFLUENCE = _of_series("dr_learner", 1) + ", " + _of_series("dr_learner#depth3", 2) + """, grid AS (SELECT axis, severity_tag, CAST(row_number() OVER (PARTITION BY axis ORDER BY CASE WHEN severity IS NULL THEN CAST('-inf' AS DOUBLE) WHEN axis = 'scale' THEN -severity ELSE severity END, severity_tag) - 1 AS BIGINT) AS nth, count(*) OVER (PARTITION BY axis) AS size FROM sev1),
+ix AS (SELECT b.*, coalesce(g.nth, (SELECT max(size) FROM grid WHERE grid.axis = b.axis)) AS i FROM (SELECT 1 AS s, * FROM breaks1 UNION ALL SELECT 2, * FROM breaks2) b LEFT JOIN grid g ON g.axis = b.axis AND g.severity_tag = b.breakpoint_severity_tag)"""
+
+
+@query("hparam_influence", f"+{INFLUENCE} SELECT v.dataset, v.axis, 'dr_learner' AS base_model, 'depth3' AS hparam_tag, v.breaks AS variant_breaks, v.breakpoint_severity_tag AS variant_breakpoint, d.breaks AS default_breaks, d.breakpoint_severity_tag AS default_breakpoint, v.i - d.i AS breakpoint_shift_steps FROM ix v JOIN ix d ON d.dataset = v.dataset AND d.axis = v.axis AND d.metric = v.metric AND d.s = 1 WHERE v.s = 2", "draws")
+def hparam_influence(spark, d):
+    shifts = regimes.hparam_influence(draws(spark, d), runs(spark, d))[1]
+    return shifts.select("dataset", "axis", "base_model", "hparam_tag", "variant_breaks", "variant_breakpoint", "default_breaks", "default_breakpoint", F.col("breakpoint_shift_steps").cast("long").alias("breakpoint_shift_steps"))
+
+
+@query("regime_map", f"+{BREAKS} SELECT p.dataset, p.metric, p.axis, p.severity_tag, CASE WHEN excludes_zero AND p.mean_difference > 0 THEN 'wins' WHEN excludes_zero THEN 'loses' ELSE 'ties' END AS outcome, round(p.mean_difference, 7) AS mean_difference, coalesce(b.breakpoint_severity_tag = p.severity_tag, false) AS is_breakpoint FROM paired p LEFT JOIN breaks b USING (dataset, axis, metric) WHERE comparison = 'best_alternative'", "draws")
+def regime_map(spark, d):
+    return rounded(regimes.regime_map(found_breaks(spark, d), bootstrap.paired(draws(spark, d), "dr_learner")), 7)
+
+
+@query("pseudo_spreads", "SELECT 'pseudo' AS name, round(min(p), 8) AS least, round(max(p), 8) AS most, round(avg(p), 7) AS mean, round(stddev_pop(p), 7) AS std FROM (SELECT (0.35 - 0.3) + t * (y - 0.35) / 0.5 - (1 - t) * (y - 0.3) / 0.5 AS p FROM trial)", "trial")
+def pseudo_spreads(spark, d):
+    rows = trial(spark, d).select(fn.aipw(F.lit(0.3), F.lit(0.35), F.lit(0.5), F.col("t"), F.col("y")).alias("pseudo"))
+    return rounded(rounded(diagnostics.spreads(rows, ["pseudo"]), 8, ("mean", "std")), 7, ("least", "most"))
+
+
+@query("natural_risk", "SELECT epk_id, CAST(o.k AS DOUBLE) AS risk FROM trial JOIN (SELECT value, row_number() OVER (ORDER BY n DESC, value) - 1 AS k FROM (SELECT coalesce(segment, '__missing__') AS value, count(*) AS n FROM trial GROUP BY 1)) o ON o.value = coalesce(segment, '__missing__')", "trial")
+def natural_risk(spark, d):
+    rows = trial(spark, d)
+    return rows.select("epk_id", learners.natural_risk(rows, "segment").alias("risk"))
+
+
+@query("ordered_runs", "SELECT model, seed, axis, row_number() OVER (ORDER BY CASE model WHEN 'x_learner' THEN 0 WHEN 't_learner' THEN 1 ELSE 2 END, model, seed, axis, severity_tag) AS place FROM runs", "runs")
+def ordered_runs(spark, d):
+    return splits.in_order(trials.ordered(runs(spark, d), {"model": ["x_learner", "t_learner"]}, "seed", "axis", "severity_tag"), "place").select("model", "seed", "axis", "place")
+
+
 # ---- effect arithmetic
 
 @query("dr_pseudo_outcome", "SELECT epk_id, round((0.35 - 0.3) + t * (y - 0.35) / 0.5 - (1 - t) * (y - 0.3) / 0.5, 8) AS pseudo FROM trial", "trial")
@@ -562,7 +636,7 @@ for _name, _fit in {
     "dr_learner": learners.dr_learner,
     "q_learner": learners.q_learner,
     "q_learner_ratio": lambda rows: learners.q_learner(rows, ratio=True),
-    "residual_correction": lambda rows: learners.residual_correction(rows, learners.constant_effect),
+    "residual_correction": lambda rows: learners.residual_correction(rows, lambda some: kernels.neighbour_stand_in(some, FEATURES)),
     "gp_cate": lambda rows: kernels.gp_cate(rows, FEATURES),
     "dragonnet": lambda rows: kernels.dragonnet(rows, FEATURES),
     "neighbour_stand_in": lambda rows: kernels.neighbour_stand_in(rows, FEATURES),

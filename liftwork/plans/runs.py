@@ -14,7 +14,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bootstrap, curves, learners, prepare, regimes, resample, splits, trials, validate
+from ..operators import bootstrap, curves, diagnostics, learners, prepare, regimes, resample, splits, trials, validate
 from ..sources import tables
 
 METRICS = ("qini_auc_normalized", "qini_coefficient", "uplift_auc_normalized", "auuc", "uplift_at_10pct", "uplift_at_20pct", "ate_observed", "cate_mean", "cate_std")
@@ -40,10 +40,29 @@ def degrade(rows: DataFrame, axis: str, severity, seed: int, risk: str | None =
     return out
 
 
-def prepare_cell(rows: DataFrame, numeric: list[str], categorical: list[str], seed: int, axis: str = "scale", severity=None, group: str | None = None, risk: str | None = None) -> DataFrame:
-    """epk_id, split, t, y, (tau,) features: split, resample, check the events, preprocess by the resampled train split."""
-    rows = splits.group_safe_split(rows, group, seed) if group else splits.stratified_split(rows, seed)
+def with_risk(rows: DataFrame, numeric: list[str], categorical: list[str], risk: str) -> tuple[DataFrame, str]:
+    """(`rows` with the risk that a conversion axis selects by, its name): "fitted" learns P(y | features) out of fold, another name is a column as it stands."""
+    if risk != "fitted":
+        return rows.withColumn("row_risk", learners.natural_risk(rows, risk)), "row_risk"
+    keep = ["epk_id", "split", "t", "y"]
+    ready, fitted = prepare.prepare(rows, numeric, categorical, keep)
+    scored = learners.risk_scores(VectorAssembler(inputCols=fitted.names(), outputCol="features").transform(ready))
+    return rows.join(scored.select("epk_id", F.col("risk").alias("row_risk")), "epk_id"), "row_risk"
+
+
+def prepare_cell(rows: DataFrame, numeric: list[str], categorical: list[str], seed: int, axis: str = "scale", severity=None, group: str | None = None, risk: str | None = None, equal_rows: int | None = None, alpha: float | None = None) -> DataFrame:
+    """epk_id, split, t, y, (tau,) features: split, check that covariates tell about the outcome (`alpha`), resample by the
+    axis, cap the splits alike (`equal_rows`), check the events, preprocess by the resampled train split."""
+    rows = splits.group_exact_split(rows, group, seed) if group else splits.stratified_split(rows, seed)
+    if alpha is not None:
+        diagnostics.precondition(rows.filter("split = 'train'"), numeric, alpha)
+    if risk is not None and not resample.AXES[axis].is_anchor(severity) and resample.AXES[axis].kind == "lambda":
+        rows, risk = with_risk(rows, numeric, categorical, risk)
     rows = degrade(rows, axis, severity, seed, risk)
+    if equal_rows:
+        rows, reached = resample.equalize(rows, equal_rows, f"equal{seed}")
+        short = [r["split"] for r in reached.filter("NOT reached").collect()]
+        validate.require(not short, f"degenerate_regime: fewer than {equal_rows} rows in {short}")
     gate = validate.event_gate(rows, ["split"]).filter("degenerate").select("split").collect()
     validate.require(not gate, f"degenerate_regime: too few events in {[r['split'] for r in gate]}")
     keep = ["epk_id", "split", "t", "y", *(["tau"] if "tau" in rows.columns else [])]
@@ -100,6 +119,7 @@ def sweep(spark: SparkSession, load: Callable[[str], DataFrame], datasets: Itera
         metrics.write.mode("overwrite").parquet(f"{folder}/metrics")
         if scored is not None:
             scored.write.mode("overwrite").parquet(f"{folder}/predictions")
+        tables.write_json(f"{folder}/run_config.json", where | {"models": sorted(models), "numeric": numeric, "categorical": categorical, "risk": risk, "status": {r["model"]: r["status"] for r in metrics.select("model", "status").collect()}, "made": tables.stamp()})
         tables.write_json(f"{folder}/done.json", where)
 
 
@@ -117,13 +137,25 @@ def cell_draws(scored: DataFrame, draws: int, seed: int, most_rows: int | None =
     return trials.union(*out)
 
 
+def cell_table(scored: DataFrame, draws: int, seed: int, level: float = 0.95) -> DataFrame:
+    """dataset, axis, severity_tag, seed, model, metric, point_estimate, n_rows, ci_low, ci_high, n_draws, n_failed_resamples of each cell."""
+    keys, out = [*bootstrap.CELL, "seed"], []
+    for c in scored.select(*keys).distinct().collect():  # one row for each cell
+        own = scored.filter(" AND ".join(f"{k} = {c[k]!r}" for k in keys)).select("epk_id", "model", "t", "y", "score")
+        out.append(bootstrap.draw_table(own, ["model"], draws, seed, level).select(*(F.lit(c[k]).alias(k) for k in keys), "*"))
+    return trials.union(*out)
+
+
 def analyse(metrics: DataFrame, scored: DataFrame, reference: str, draws: int = 1000, seed: int = 0, level: float = 0.95, metric: str = "qini_auc_normalized") -> dict[str, DataFrame]:
     """The tables of a sweep: pooled, paired, breakpoints, robustness index, effect errors and rank agreement."""
     long = cell_draws(scored, draws, seed).filter(F.col("metric") == metric).persist()
     pairs = bootstrap.paired(long, reference, level)
     breaks = regimes.breakpoints(pairs, metrics)
     effects = regimes.effect_table(metrics.withColumn("qini", F.col("qini_auc_normalized")))
-    return {"pooled": bootstrap.pooled(long, level), "paired": pairs, "breakpoints": breaks, "robustness": regimes.robustness_index(breaks, metrics), "effects": effects, "agreement": regimes.rank_agreement(effects)}
+    more = {}
+    if not regimes.variant_families(regimes.with_series(long.select("model").distinct())).isEmpty():
+        more = dict(zip(("series", "shifts", "influence"), regimes.hparam_influence(long, metrics, level), strict=True))
+    return more | {"map": regimes.regime_map(breaks, pairs), "verdict": regimes.regime_verdict(breaks)} | {"pooled": bootstrap.pooled(long, level), "paired": pairs, "breakpoints": breaks, "robustness": regimes.robustness_index(breaks, metrics), "effects": effects, "agreement": regimes.rank_agreement(effects)}
 
 
 TRIAL = "model string, trial int, status string, objective double, uplift_at_10pct double, fit_seconds double, params_json string"

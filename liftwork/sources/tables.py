@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 import json
 import os
+import time
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -93,8 +95,45 @@ def metrics_scan(spark: SparkSession, root: str) -> DataFrame:
     return df if "severity" in df.columns else df.withColumn("severity", F.lit(None).cast("double"))
 
 
+PREDICTION = ("epk_id", "t", "y", "score", "model")
+
+
 def predictions_scan(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").option("mergeSchema", True).parquet(root)
+    """All Parquet files under `root`; files that cannot be read, and rows without a prediction's columns, are left out."""
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").option("ignoreCorruptFiles", True)
+    rows = read.option("mergeSchema", True).parquet(root)
+    return rows.dropna(subset=[c for c in PREDICTION if c in rows.columns])
+
+
+TRIAL_ROW = "model string, trial int, status string, objective double, uplift_at_10pct double, fit_seconds double, params_json string"
+
+
+def read_trials(spark: SparkSession, path: str) -> DataFrame:
+    """Trials of a search kept as CSV, to resume from; none where there is no file yet."""
+    if not os.path.exists(path):
+        return spark.createDataFrame([], TRIAL_ROW)
+    return spark.read.option("header", True).option("escape", '"').schema(TRIAL_ROW).csv(path)
+
+
+def write_rows(path, rows: list[dict], columns: list[str]) -> None:
+    """A small CSV file, written beside and moved into place."""
+    with open(f"{path}.tmp", "w", newline="") as f:
+        out = csv.DictWriter(f, columns, extrasaction="ignore")
+        out.writeheader()
+        out.writerows(rows)
+    os.replace(f"{path}.tmp", path)
+
+
+def stamp() -> str:
+    """The time as part of a folder's name."""
+    return time.strftime("%Y%m%d_%H%M%S")
+
+
+def manifest(kind: str, rows: DataFrame, **facts) -> dict:
+    """What a run's folder says about itself: kind, time, columns, rows and rates by split, versions and what else is given."""
+    by = [c for c in ("split",) if c in rows.columns]
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("t").cast("double")).alias("treatment_rate"), F.avg(F.col("y").cast("double")).alias("outcome_rate"))
+    return {"kind": kind, "made": stamp(), "spark": rows.sparkSession.version, "columns": rows.columns, "rows": [r.asDict() for r in sizes.collect()]} | facts
 
 
 def find_run(root: str, need: dict) -> str | None:
@@ -125,6 +164,18 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def regime_report(title: str, regimes: DataFrame, verdict: DataFrame, sections: dict[str, DataFrame]) -> str:
+    """A report whose first table has a row for each axis and a column for each severity (at most 50 rows), then the verdict, then other tables."""
+    signs = {"wins": "+", "ties": "=", "loses": "-"}
+    lines = [f"# {title}", "", "## Regime map", "", "+ better than the best alternative, = no difference, - worse, * breakpoint"]
+    cells: dict[tuple, list[str]] = {}
+    for r in regimes.orderBy("dataset", "metric", "axis", "severity_tag").limit(10_000).collect():  # one row for each cell of a sweep
+        cells.setdefault((r["dataset"], r["metric"], r["axis"]), []).append(f"{r['severity_tag']} {signs[r['outcome']]}{'*' if r['is_breakpoint'] else ''}")
+    lines += [f"- {d} / {m} / {a}: " + ", ".join(v) for (d, m, a), v in cells.items()] or ["No cell."]
+    lines += ["", "## Verdict", ""] + [f"- {r['dataset']} / {r['metric']}: {r['verdict']} ({r['axes_that_break']} of {r['axes']})" for r in verdict.orderBy("dataset", "metric").collect()]
+    return "\n".join(lines) + "\n\n" + markdown("Tables", sections)
+
+
 def markdown(title: str, sections: dict[str, DataFrame], most_rows: int = 200) -> str:
     """A report of small tables."""
     out = [f"# {title}"]
