@@ -36,7 +36,7 @@ def degrade(rows: DataFrame, axis: str, severity, seed: int, risk: str | None =
         else:
             validate.require(risk is not None, "the conversion axis needs a risk column")
             part = resample.conversion(part, risk, float(severity), salt)
-        out = out.unionByName(part)
+        out = out.unionByName(part.select(rows.columns))
     return out
 
 
