@@ -102,12 +102,12 @@ def test_network_takes_each_row_once_an_epoch_and_stops_by_validation_rows(spark
 
 
 def test_natural_risk_and_cells(spark):
-    rows = spark.createDataFrame([(i, i % 2, int(i % 3 == 0), "abbccc"[i % 6], float(i % 7)) for i in range(600)], "epk_id long, t int, y int, kind string, x double")
+    rows = spark.createDataFrame([(i, i * 7907 % 97 % 2, int(i * 7919 % 101 < 40), "abbccc"[i % 6], float(i % 7)) for i in range(6000)], "epk_id long, t int, y int, kind string, x double")
     assert [r[0] for r in rows.select("kind", learners.natural_risk(rows, "kind").alias("r")).distinct().orderBy("kind").select("r").collect()] == [2.0, 1.0, 0.0]
-    cell = runs.prepare_cell(rows, ["x"], ["kind"], 1, "conversion", 2.0, risk="kind", equal_rows=90)
-    assert {r["split"]: r["count"] for r in cell.groupBy("split").count().collect()} == {"train": 90, "validation": 30, "test": 30}
+    cell = runs.prepare_cell(rows, ["x"], ["kind"], 1, "conversion", 2.0, risk="kind", equal_rows=900)
+    assert {r["split"]: r["count"] for r in cell.groupBy("split").count().collect()} == {"train": 900, "validation": 300, "test": 300}
     with pytest.raises(ValueError, match="fewer than"):
-        runs.prepare_cell(rows, ["x"], ["kind"], 1, equal_rows=1000)
+        runs.prepare_cell(rows, ["x"], ["kind"], 1, equal_rows=10_000)
     with pytest.raises(ValueError, match="no covariate"):
         runs.prepare_cell(rows.withColumn("x", F.lit(1.0)), ["x"], ["kind"], 1, alpha=0.05)
 
