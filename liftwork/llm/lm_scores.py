@@ -236,7 +236,9 @@ def pair_scores(blocks: DataFrame, hot: Hot, total: int, buckets: int) -> DataFr
                 rows.append([None, None, None, b, words[pick].tobytes(), n_posts[pick].astype("<u4").tobytes(), those.tobytes(), None, batch[pick].astype("<i8").tobytes()])
         return _table(rows, SUMS)
 
-    return blocks.groupBy("bucket", F.when(F.col("bucket") < 0, F.col("slice")).alias("of")).applyInArrow(lambda t: join(t), SUMS)
+    # as many partitions as buckets: both grow with the corpus
+    dealt = blocks.withColumn("of", F.when(F.col("bucket") < 0, F.col("slice"))).repartition(buckets, "bucket", "of")
+    return dealt.groupBy("bucket", "of").applyInArrow(lambda t: join(t.drop(["of"])), SUMS)
 
 
 def backed_off(unseen: DataFrame, counts: DataFrame, total: int, buckets: int) -> DataFrame:
