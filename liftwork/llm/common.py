@@ -1,6 +1,6 @@
 """Small helpers shared by the training-data operators.
 
-* `scratch` writes a DataFrame to the shared checkpoint folder and reads it back: lineage is
+* `scratch` (of the sources) writes a DataFrame to the shared checkpoint folder and reads it back: lineage is
   cut, every executor can reread it, and its size is known to the planner.
 * `ship` makes this package importable on the executors.
 * `slices` walks an Arrow batch in pieces of bounded text size.
@@ -10,8 +10,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from typing import TypeVar
 
@@ -22,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..shipping import ship as send
+from ..sources.scratch import scratch_dir as scratch_dir
+from ..sources.scratch import settled as scratch
 
 T = TypeVar("T")
 
@@ -29,23 +29,6 @@ T = TypeVar("T")
 SLICE_BYTES, SLICE_ROWS = 4 << 20, 1 << 16
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where it is unset (tests), one is made and set."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="spark-liftwork-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the shared folder as Parquet and reread."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/liftwork-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

@@ -4,7 +4,9 @@ Pieces of one length are interchangeable, so the whole instance is its histogram
 numbers as a sequence has tokens, whatever the corpus holds. The plan is made on the histogram:
 sets of one, two or three pieces that provably dominate every other way to place their longest
 piece are fixed for good and leave the instance, then best-fit decreasing packs the rest, both with
-multiplicities. Pieces find their place by their number among the pieces of their length, which
+multiplicities. Each length adds at most three patterns to the plan, and a pattern has at most 45 different
+lengths (1 + ... + 45 > 1024), so the plan's runs are bounded by the length of a sequence too and are broadcast.
+Pieces find their place by their number among the pieces of their length, which
 is a number within the task plus a prefix sum over tasks, so no task sees more than its share.
 
 Defined cases: null text is empty and packs as its end id; empty tables give empty results; repeated
