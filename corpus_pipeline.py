@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from liftwork.llm import exact_dedup, language, near_dedup, packing, quality
 from liftwork.llm.common import documents, scratch
+from liftwork.sources.scratch import discard, made
 
 STAGES = [
     ("quality rules", quality.stage),
@@ -23,7 +24,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, start = documents(spark, sf_dir), made()
     for name, stage in STAGES:
         docs = scratch(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        discard(spark, start, made() - 1)  # the stage's own tables and what it read
     return docs

@@ -37,10 +37,10 @@ def made() -> int:
     return len(_made)
 
 
-def discard(spark: SparkSession, since: int = 0) -> None:
-    """Deletes the intermediate tables written since the mark; what still reads them must have been written itself."""
+def discard(spark: SparkSession, since: int = 0, upto: int | None = None) -> None:
+    """Deletes the intermediate tables written between the marks; what still reads them must have been written itself. Not while another thread makes some."""
     files = spark._jvm.org.apache.hadoop.fs.Path  # the session's own file systems: the folder may be anywhere that Spark reads
-    for folder in _made[since:]:
+    for folder in _made[since:upto]:
         path = files(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    del _made[since:]
+    del _made[since:upto]
