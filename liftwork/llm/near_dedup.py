@@ -38,8 +38,8 @@ K, WORDS = 48, 5
 PERCENT, LEAST = 85, 28
 STAGE_PERCENT, STAGE_LEAST = 80, 24
 SHORT, BLOCK, CACHE, SLICE = 8, 256, 300_000, 2 << 20
-#: Ids up to which texts are picked by broadcast (8 MB); beyond, the texts are shuffled.
-MOST_IDS = 1_000_000
+#: Classes up to which texts are picked by broadcast (five numbers each, 10 MB); beyond, the texts are shuffled.
+MOST_IDS = 250_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _random = np.random.default_rng(20240229)
 MULTIPLY = _random.integers(0, 1 << 63, K, np.uint64) * np.uint64(2) + np.uint64(1)
