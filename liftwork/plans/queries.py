@@ -652,3 +652,76 @@ def overlap_summary(spark, d):
 @query("risk_scores")
 def risk_scores(spark, d):
     return learners.risk_scores(learner_cell(spark, d)).select("epk_id", "split", F.round("risk", 6).alias("risk"))
+
+
+# ---- row by row what other queries only sum up
+
+@query("context_sample", f"SELECT epk_id FROM (SELECT epk_id, u, row_number() OVER (PARTITION BY t, y ORDER BY u, epk_id) AS k FROM (SELECT *, {sql_u('epk_id', 'context')} AS u FROM trial)) ORDER BY k > 1, u, epk_id LIMIT 400", "trial")
+def context_sample(spark, d):
+    return splits.context_sample(trial(spark, d), 400, "context").select("epk_id")
+
+
+@query("standardize_rows", f"""+{SPLIT}, med AS (SELECT median(balance) AS m FROM split WHERE split = 'train'), st AS (SELECT avg(coalesce(balance, m)) AS mean, stddev_pop(coalesce(balance, m)) AS scale FROM split, med WHERE split = 'train')
+SELECT epk_id, CAST(CAST((coalesce(balance, m) - mean) / scale AS FLOAT) AS DOUBLE) AS balance FROM split, med, st""", "trial")
+def standardize_rows(spark, d):
+    rows, _ = prepare.prepare(splits.stratified_split(trial(spark, d), 7), ["balance"], [], ["epk_id", "split"])
+    return rows.select("epk_id", F.col("balance").cast("double").alias("balance"))
+
+
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+@query("one_hot_rows", f"""+{SPLIT}, mo AS (SELECT segment AS mode FROM split WHERE split = 'train' AND segment IS NOT NULL GROUP BY segment ORDER BY count(*) DESC, segment LIMIT 1)
+SELECT epk_id, {", ".join(f"CAST(coalesce(segment, mode) = '{v}' AS DOUBLE) AS segment_{v}" for v in SEGMENTS)} FROM split, mo""", "trial")
+def one_hot_rows(spark, d):
+    rows, _ = prepare.prepare(splits.stratified_split(trial(spark, d), 7), [], ["segment"], ["epk_id", "split"])
+    return rows.select("epk_id", *(F.col(f"segment_{v}").cast("double").alias(f"segment_{v}") for v in SEGMENTS))
+
+
+@query("equalize_facts", f"+{SPLIT} SELECT split, CASE split WHEN 'train' THEN 1500 ELSE 500 END AS target, count(*) >= CASE split WHEN 'train' THEN 1500 ELSE 500 END AS reached FROM split GROUP BY split", "trial")
+def equalize_facts(spark, d):
+    return resample.equalize(splits.stratified_split(trial(spark, d), 7), 1500, "eq")[1]
+
+
+@query("breakpoint_intervals", f"+{BREAKS} SELECT b.dataset, b.axis, b.metric, CASE WHEN l.k IS NOT NULL THEN printf('[%.4f, %.4f]', l.ci_low, l.ci_high) END AS ci_at_breakpoint FROM breaks b LEFT JOIN losing l ON l.dataset = b.dataset AND l.axis = b.axis AND l.metric = b.metric AND l.k = 1", "draws")
+def breakpoint_intervals(spark, d):
+    return found_breaks(spark, d).select("dataset", "axis", "metric", "ci_at_breakpoint")
+
+
+SUMMED = ("qini", "pehe", "abs_ate_error")
+
+
+@query("seed_summary_all", "SELECT dataset, axis, model, " + ", ".join(f"count({m}) AS {m}_n, round(avg({m}), 7) AS {m}_mean, round(coalesce(stddev_samp({m}), 0), 7) AS {m}_std, round(1.96 * coalesce(stddev_samp({m}), 0) / sqrt(count({m})), 7) AS {m}_ci95" for m in SUMMED) + " FROM runs GROUP BY dataset, axis, model", "runs")
+def seed_summary_all(spark, d):
+    return rounded(trials.seed_summary(runs(spark, d), ["dataset", "axis", "model"], list(SUMMED)), 7)
+
+
+@query("rank_agreement", """+ et AS (SELECT dataset, axis, severity_tag, model, avg(abs(qini - 0.01)) AS p, avg(qini) AS q FROM runs WHERE status = 'ok' AND isfinite(qini) GROUP BY ALL),
+r AS (SELECT *, rank() OVER (PARTITION BY dataset, axis, severity_tag ORDER BY -p) + (count(*) OVER (PARTITION BY dataset, axis, severity_tag, p) - 1) / 2.0 AS rp, rank() OVER (PARTITION BY dataset, axis, severity_tag ORDER BY q) + (count(*) OVER (PARTITION BY dataset, axis, severity_tag, q) - 1) / 2.0 AS rq FROM et)
+SELECT dataset, axis, severity_tag, CAST(count(*) AS INT) AS n_methods, round(corr(rp, rq), 6) AS spearman_rho, round(corr(-p, q), 6) AS value_correlation FROM r GROUP BY ALL HAVING count(*) >= 3""", "runs")
+def rank_agreement(spark, d):
+    rows = runs(spark, d).withColumn("pehe", F.abs(F.col("qini") - 0.01))
+    return rounded(regimes.rank_agreement(regimes.effect_table(rows)).select("dataset", "axis", "severity_tag", "n_methods", "spearman_rho", "value_correlation"), 6)
+
+
+PARTS_OF_Q = f"q AS (SELECT epk_id, 0.2 + 0.6 * {sql_u('epk_id', 'e')} AS e, 0.05 + 0.9 * {sql_u('epk_id', 'p')} AS p, {sql_u('epk_id', 'm')} AS m FROM trial)"
+
+
+@query("q_arithmetic", f"+{PARTS_OF_Q} SELECT epk_id, round(greatest(least(m * p / e, 1.0), 0.0), 8) AS mu1, round(greatest(least(m * (1 - p) / (1 - e), 1.0), 0.0), 8) AS mu0, round(greatest(least(p / (1 - p) * (1 - e) / e, 100.0), 0.01), 7) AS ratio FROM q", "trial")
+def q_arithmetic(spark, d):
+    e, p, m = 0.2 + 0.6 * fn.uniform("epk_id", "e"), 0.05 + 0.9 * fn.uniform("epk_id", "p"), fn.uniform("epk_id", "m")
+    mu1, mu0 = fn.q_means(e, p, m)
+    return trial(spark, d).select("epk_id", F.round(mu1, 8).alias("mu1"), F.round(mu0, 8).alias("mu0"), F.round(fn.q_ratio(e, p), 7).alias("ratio"))
+
+
+@query("normal_tails", """+ z AS (SELECT nation, count(*) AS n, atanh(abs(greatest(least(corr(price, y), 0.999999), -0.999999))) * sqrt(count(*) - 3) AS z FROM trial GROUP BY nation), k AS (SELECT *, 1 / (1 + 0.2316419::DOUBLE * z) AS k FROM z)
+SELECT nation, round(z, 8) AS z, round(exp(-z * z / 2) / sqrt(2 * pi()) * k * (0.319381530::DOUBLE + k * (-0.356563782::DOUBLE + k * (1.781477937::DOUBLE + k * (-1.821255978::DOUBLE + k * 1.330274429::DOUBLE)))), 8) AS tail FROM k""", "trial")
+def normal_tails(spark, d):
+    rows = trial(spark, d).groupBy("nation").agg(F.corr("price", "y").alias("r"), F.count(F.lit(1)).alias("n")).withColumn("z", fn.fisher_z(F.col("r"), F.col("n")))
+    return rows.select("nation", F.round("z", 8).alias("z"), F.round(fn.normal_tail(F.col("z")), 8).alias("tail"))
+
+
+@query("standardised_signal", "SELECT epk_id, round((s - avg(s) OVER ()) / stddev_pop(s) OVER (), 7) AS signal FROM (SELECT epk_id, 0.6::DOUBLE * price / 1e5 + 0.8::DOUBLE * order_month AS s FROM trial)", "trial")
+def standardised_signal(spark, d):
+    rows = semisynth.standardised(trial(spark, d), {"signal": 0.6 * F.col("price") / 1e5 + 0.8 * F.col("order_month")})
+    return rows.select("epk_id", F.round("signal", 7).alias("signal"))
