@@ -698,10 +698,10 @@ def seed_summary_all(spark, d):
 
 @query("rank_agreement", """+ et AS (SELECT dataset, axis, severity_tag, model, avg(abs(qini - 0.01)) AS p, avg(qini) AS q FROM runs WHERE status = 'ok' AND isfinite(qini) GROUP BY ALL),
 r AS (SELECT *, rank() OVER (PARTITION BY dataset, axis, severity_tag ORDER BY -p) + (count(*) OVER (PARTITION BY dataset, axis, severity_tag, p) - 1) / 2.0 AS rp, rank() OVER (PARTITION BY dataset, axis, severity_tag ORDER BY q) + (count(*) OVER (PARTITION BY dataset, axis, severity_tag, q) - 1) / 2.0 AS rq FROM et)
-SELECT dataset, axis, severity_tag, CAST(count(*) AS INT) AS n_methods, round(corr(rp, rq), 6) AS spearman_rho, round(corr(-p, q), 6) AS value_correlation FROM r GROUP BY ALL HAVING count(*) >= 3""", "runs")
+SELECT dataset, axis, severity_tag, CAST(count(*) AS INT) AS n_methods, round(corr(rp, rq), 6) + 0.0 AS spearman_rho, round(corr(-p, q), 6) + 0.0 AS value_correlation FROM r GROUP BY ALL HAVING count(*) >= 3""", "runs")
 def rank_agreement(spark, d):
     rows = runs(spark, d).withColumn("pehe", F.abs(F.col("qini") - 0.01))
-    return rounded(regimes.rank_agreement(regimes.effect_table(rows)).select("dataset", "axis", "severity_tag", "n_methods", "spearman_rho", "value_correlation"), 6)
+    return regimes.rank_agreement(regimes.effect_table(rows)).select("dataset", "axis", "severity_tag", "n_methods", *((F.round(c, 6) + 0.0).alias(c) for c in ("spearman_rho", "value_correlation")))
 
 
 PARTS_OF_Q = f"q AS (SELECT epk_id, 0.2 + 0.6 * {sql_u('epk_id', 'e')} AS e, 0.05 + 0.9 * {sql_u('epk_id', 'p')} AS p, {sql_u('epk_id', 'm')} AS m FROM trial)"
