@@ -117,11 +117,20 @@ def consistency(share: float) -> float:
 
 
 def quantile(df: DataFrame, keys: list[str], bins: Column, share: float, out: str) -> DataFrame:
-    """For each of `keys`, the least bin up to which at least `share` of the rows lie. Rows are counted by bin first, so a window holds bins, not rows."""
-    counts = df.groupBy(*keys, bins.cast("long").alias("__bin")).count()
+    """For each of `keys`, the least bin up to which at least `share` of the rows lie.
+
+    Rows are counted by bin first. Sums of 64 bins each show which 64 hold the quantile, and only these are looked at
+    one by one, so that no window holds more than a few hundred numbers of a key.
+    """
+    counts = df.groupBy(*keys, bins.cast("long").alias("__bin")).count().withColumn("__wide", F.floor(F.col("__bin") / 64).cast("long"))
+    wide = counts.groupBy(*keys, "__wide").agg(F.sum("count").alias("__sum"))
     w = Window.partitionBy(*keys)
-    need = F.ceil(F.lit(share) * F.sum("count").over(w))
-    return counts.select(*keys, "__bin", (F.sum("count").over(w.orderBy("__bin")) >= need).alias("__ok")).filter("__ok").groupBy(*keys).agg(F.min("__bin").alias(out))
+    upto = F.sum("__sum").over(w.orderBy("__wide"))
+    place = wide.select(*keys, "__wide", F.ceil(F.lit(share) * F.sum("__sum").over(w)).alias("__need"), upto.alias("__upto"), (upto - F.col("__sum")).alias("__base"))
+    place = place.filter("__upto >= __need AND __base < __need").drop("__upto")
+    inside = counts.join(place, [*keys, "__wide"])
+    reached = F.col("__base") + F.sum("count").over(Window.partitionBy(*keys).orderBy("__bin")) >= F.col("__need")
+    return inside.select(*keys, "__bin", reached.alias("__ok")).filter("__ok").groupBy(*keys).agg(F.min("__bin").alias(out))
 
 
 def distance() -> Column:
