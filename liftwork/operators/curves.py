@@ -26,13 +26,14 @@ def score_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys, "score").agg(F.sum(t).alias("nt"), F.sum(1 - t).alias("nc"), F.sum(y * t).alias("yt"), F.sum(y * (1 - t)).alias("yc"))
 
 
-BUCKET_ROWS, MOST_BUCKETS = 100_000, 1024
+BUCKET_ROWS, MOST_BUCKETS = 10_000, 1024
 
 
-def cumulative(counts: DataFrame, keys: list[str], columns: tuple[str, ...] = COUNTS, buckets: int = 64) -> DataFrame:
-    """`counts` with c<column> for each of the columns: the sum over this and all higher scores of the cell. More counts make more buckets."""
+def cumulative(counts: DataFrame, keys: list[str], columns: tuple[str, ...] = COUNTS) -> DataFrame:
+    """`counts` with c<column> for each of the columns: the sum over this and all higher scores of the cell. The largest cell sets the number of buckets."""
     counts = settled(counts, "counts")
-    buckets = max(buckets, min(MOST_BUCKETS, counts.count() // BUCKET_ROWS))
+    largest = counts.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    buckets = max(4, min(MOST_BUCKETS, largest // BUCKET_ROWS))
     cuts = counts.groupBy(*keys).agg(F.percentile_approx("score", [k / buckets for k in range(1, buckets)], 10 * buckets).alias("cuts"))
     placed = counts.join(cuts, keys).withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col("score")))).drop("cuts")
     placed = settled(placed, "placed")
