@@ -250,10 +250,10 @@ def evaluate_uplift(spark, d):
     return rounded(curves.evaluate_uplift(scored(spark, d), ["model"]))
 
 
-@query("average_rank", """SELECT model, score, round(min(r) + (count(*) - 1) / 2.0, 4) AS rank, round((min(r) + (count(*) - 1) / 2.0 - 1) / greatest(1, max(n) - 1), 8) AS unit_rank
-FROM (SELECT model, score, rank() OVER (PARTITION BY model ORDER BY score) AS r, count(*) OVER (PARTITION BY model) AS n FROM scored WHERE model <> 'fine') GROUP BY model, score""", "scored")
+@query("average_rank", """SELECT model, round(score, 8) AS score, round(min(r) + (count(*) - 1) / 2.0, 4) AS rank, round((min(r) + (count(*) - 1) / 2.0 - 1) / greatest(1, max(n) - 1), 8) AS unit_rank
+FROM (SELECT model, score, rank() OVER (PARTITION BY model ORDER BY score) AS r, count(*) OVER (PARTITION BY model) AS n FROM scored) GROUP BY model, score""", "scored")
 def average_rank(spark, d):
-    return rounded(curves.average_ranks(scored(spark, d).filter("model <> 'fine'"), ["model"]))
+    return rounded(curves.average_ranks(scored(spark, d), ["model"]))
 
 
 # ---- resampling and diagnostics
