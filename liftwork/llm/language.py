@@ -184,7 +184,9 @@ def in_batches(lengths: np.ndarray, most: int) -> Iterator[np.ndarray]:
 
 
 def runs(word: bytes) -> list[str]:
-    return [MARK + x for x in LETTERS(word.decode().lower()) if x.isalpha()]
+    """The maximal runs of letters; whatever is no letter, also a subscript or a fraction, parts them."""
+    found = LETTERS(word.decode().lower())
+    return [MARK + part for x in found for part in ([x] if x.isalpha() else "".join(c if c.isalpha() else " " for c in x).split())]
 
 
 class Scorer:
