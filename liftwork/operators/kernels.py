@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..shipping import ship
-from .learners import Fitted, Trees, aipw, fold_count, out_of_fold, treated_share
+from .learners import Fitted, Trees, aipw, out_of_fold, treated_share
 from .splits import context_sample, per_arm_cap
 from .validate import require
 
@@ -214,14 +214,14 @@ def neighbour_stand_in(train: DataFrame, columns: list[str], neighbours: int = 6
 def stand_in_pseudo_labels(train: DataFrame, columns: list[str], folds: int = 2, low: float = 0.02, seed: int = 0) -> DataFrame:
     """`train` with the cross-fitted doubly robust pseudo-label of the stand-in, clipped to [0, 1]."""
     e = treated_share(train, low)
-    crossed = out_of_fold(train, fold_count(train, folds), seed, lambda rows: neighbour_stand_in(rows, columns, seed=seed).predict)
+    crossed = out_of_fold(train, folds, seed, lambda rows: neighbour_stand_in(rows, columns, seed=seed).predict)
     return crossed.withColumn("label", F.greatest(F.lit(0.0), F.least(F.lit(1.0), aipw(F.col("mu0"), F.col("mu1"), F.lit(e), F.col("t"), F.col("y")))))
 
 
 def x_over_stand_in(train: DataFrame, columns: list[str], folds: int = 2, seed: int = 0, trees: Trees = Trees()) -> Fitted:
     """X-learner whose outcome means come from the stand-in, out of fold, and whose effects are boosted trees on `features`."""
     g = treated_share(train, 1e-3)
-    crossed = out_of_fold(train, fold_count(train, folds), seed, lambda rows: neighbour_stand_in(rows, columns, seed=seed).predict)
+    crossed = out_of_fold(train, folds, seed, lambda rows: neighbour_stand_in(rows, columns, seed=seed).predict)
     d = F.when(F.col("t") == 1, F.col("y") - F.col("mu0")).otherwise(F.col("mu1") - F.col("y"))
     rows = crossed.withColumn("__d", d)
     tau0, tau1 = (trees.regressor(rows.filter(F.col("t") == a), "__d") for a in (0, 1))

@@ -1,60 +1,57 @@
-"""Effect learners on pyspark.ml trees. A learner is fitted on rows (id, t, y, features) and adds cate to rows.
+"""Effect learners on boosted trees. A learner is fitted on rows (id, t, y, features) and adds cate to rows.
 
-Trees are boosted level by level, unlike leaf-wise histogram boosting, so scores agree in order and not in value.
+All models that a learner needs at once, of both arms and of every fold, grow in one stage (see `boosting`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import aipw, clip, q_means, q_ratio
+from ..sources.scratch import settled
+from . import boosting
+from .boosting import Forest, Goal
 from .diagnostics import spreads
 from .prepare import frequency_ordinal
+from .quantiles import percentiles
 from .splits import fold_count, kfold
-from .validate import require
+from .validate import check_range, check_whole, require
 
 Adder = Callable[[DataFrame, str], DataFrame]
 
 
 @dataclass(frozen=True)
 class Trees:
-    """Settings of the boosted trees."""
+    """Settings of the boosted trees. The seed deals folds; trees themselves draw nothing."""
 
     seed: int = 42
     rounds: int = 150
-    depth: int = 5
+    leaves: int = 31
     step: float = 0.05
     least_rows: int = 20
+    l2: float = 1e-3
     bins: int = 255
+    depth: int | None = None
 
-    def _common(self) -> dict:
-        return {"featuresCol": "features", "seed": self.seed, "maxIter": self.rounds, "maxDepth": self.depth, "stepSize": self.step, "minInstancesPerNode": self.least_rows, "maxBins": self.bins}
-
-    def classifier(self, rows: DataFrame, label: str) -> Adder:
-        """Adds P(label = 1). A single class gives a constant."""
-        facts = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(label).cast("double")).alias("m")).first()
-        require(facts["n"] > 0, f"no rows to learn {label} from")
-        if facts["m"] in (0.0, 1.0):
-            return lambda df, out: df.withColumn(out, F.lit(facts["m"]))
-        model = GBTClassifier(labelCol="__label", **self._common()).fit(rows.select("features", F.col(label).cast("double").alias("__label")))
-        return lambda df, out: model.transform(df).withColumn(out, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+    def grow(self, rows: DataFrame, goals: list[Goal], features: str = "features") -> Forest:
+        for name, least in (("rounds", 1), ("leaves", 2), ("least_rows", 1), ("bins", 2)):
+            check_whole(name, getattr(self, name), least)
+        check_range("bins", self.bins, 2, 255)
+        check_range("step", self.step, 0, 1)
+        check_range("l2", self.l2, 0, float("inf"))
+        return boosting.grow(rows, goals, boosting.Settings(self.rounds, self.leaves, self.step, self.least_rows, self.l2, self.bins, self.depth), features)
 
     def regressor(self, rows: DataFrame, label: str, features: str = "features") -> Adder:
-        """Adds the predicted label. Too few or constant labels give their mean."""
-        facts = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(label).alias("m"), F.stddev_pop(label).alias("s")).first()
-        require(facts["n"] > 0, f"no rows to learn {label} from")
-        if facts["n"] < 2 or facts["s"] < 1e-12:
-            return lambda df, out: df.withColumn(out, F.lit(facts["m"]))
-        model = GBTRegressor(labelCol=label, predictionCol="__p", **(self._common() | {"featuresCol": features})).fit(rows.select(features, label))
-        return lambda df, out: model.transform(df).withColumnRenamed("__p", out)
+        """Adds the predicted label; equal labels give their value."""
+        forest = self.grow(rows, [Goal(F.col(label), binary=False)], features)
+        return lambda df, out: forest.add(df, {out: 0}, features)
 
 
 @dataclass(frozen=True)
@@ -83,68 +80,75 @@ def constant_effect(train: DataFrame, trees: Trees = Trees()) -> Fitted:
     return Fitted("constant_ate", lambda df: df.withColumn("cate", F.lit(ate)), {})
 
 
+def check_clip(low: float) -> None:
+    require(0 < low < 0.5, "the propensity clip lies in (0, 0.5)")
+
+
+def by_arm(label: Column, where: Column | None = None) -> list[Goal]:
+    """A classifier for each arm, control first."""
+    return [Goal(label, (F.col("t") == a) if where is None else (F.col("t") == a) & where) for a in (0, 1)]
+
+
 def t_learner(train: DataFrame, trees: Trees = Trees()) -> Fitted:
-    mu0, mu1 = (trees.classifier(arm(train, a), "y") for a in (0, 1))
-    return Fitted("t_learner", lambda df: mu1(mu0(df, "__0"), "__1").withColumn("cate", F.col("__1") - F.col("__0")).drop("__0", "__1"), vars(trees))
+    forest = trees.grow(train, by_arm(F.col("y")))
+    return Fitted("t_learner", lambda df: forest.add(df, {"__0": 0, "__1": 1}).withColumn("cate", F.col("__1") - F.col("__0")).drop("__0", "__1"), vars(trees))
 
 
 def x_learner(train: DataFrame, trees: Trees = Trees()) -> Fitted:
-    mu0, mu1 = (trees.classifier(arm(train, a), "y") for a in (0, 1))
-    later = replace(trees, seed=trees.seed + 1)
-    tau0 = later.regressor(mu1(arm(train, 0), "__m").withColumn("__d", F.col("__m") - F.col("y")), "__d")
-    tau1 = later.regressor(mu0(arm(train, 1), "__m").withColumn("__d", F.col("y") - F.col("__m")), "__d")
+    means = trees.grow(train, by_arm(F.col("y")))
+    crossed = means.add(train, {"__m": 1 - F.col("t")})  # what the other arm's model expects
+    gap = F.when(F.col("t") == 1, F.col("y") - F.col("__m")).otherwise(F.col("__m") - F.col("y"))
+    effects = trees.grow(crossed, [Goal(gap, F.col("t") == a, binary=False) for a in (0, 1)])
     g = treated_share(train, 1e-3)
-    return Fitted("x_learner", lambda df: tau1(tau0(df, "__0"), "__1").withColumn("cate", g * F.col("__0") + (1 - g) * F.col("__1")).drop("__0", "__1"), vars(trees))
+    return Fitted("x_learner", lambda df: effects.add(df, {"__0": 0, "__1": 1}).withColumn("cate", g * F.col("__0") + (1 - g) * F.col("__1")).drop("__0", "__1"), vars(trees))
 
 
-def out_of_fold(train: DataFrame, folds: int, seed: int, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """`train` with what `fit` on the other folds adds to each fold."""
-    dealt = kfold(train, folds, seed).persist()
-    out = None
-    for k in range(folds):
-        part = fit(dealt.filter(F.col("fold") != k))(dealt.filter(F.col("fold") == k))
-        out = part if out is None else out.unionByName(part)
-    return out.drop("fold")
+def dealt(train: DataFrame, folds: int, seed: int) -> tuple[DataFrame, int]:
+    """(`train` with fold, written and reread; how many folds there are)."""
+    n = fold_count(train, folds)
+    return settled(kfold(train, n, seed), "folds"), n
 
 
-def outcome_means(trees: Trees, names: tuple[str, str] = ("mu0", "mu1")) -> Callable[[DataFrame], Callable[[DataFrame], DataFrame]]:
-    def fit(rows: DataFrame) -> Callable[[DataFrame], DataFrame]:
-        mu0, mu1 = (trees.classifier(arm(rows, a), "y") for a in (0, 1))
-        return lambda df: mu1(mu0(df, names[0]), names[1])
-
-    return fit
+def out_of_fold(train: DataFrame, folds: int, seed: int, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """`train` with what `fit` on the other folds adds to each fold."""
+    rows, n = dealt(train, folds, seed)
+    parts = [fit(rows.filter(F.col("fold") != k).drop("fold"))(rows.filter(F.col("fold") == k)) for k in range(n)]
+    return reduce(DataFrame.unionByName, parts).drop("fold")
 
 
 def pseudo_outcomes(train: DataFrame, trees: Trees, folds: int, low: float) -> DataFrame:
     """`train` with out-of-fold mu0, mu1 and the doubly robust pseudo-outcome."""
-    require(isinstance(folds, int) and not isinstance(folds, bool) and folds >= 2, "at least two folds")
-    require(0 < low < 0.5, "the propensity clip lies in (0, 0.5)")
+    check_whole("folds", folds, 2)
+    check_clip(low)
     require(train.groupBy("t", "y").count().filter("count < 2").isEmpty(), "cross-fitting needs two rows in every stratum")
     e = treated_share(train, low)
-    crossed = out_of_fold(train, fold_count(train, folds), trees.seed, outcome_means(trees))
+    rows, n = dealt(train, folds, trees.seed)
+    forest = trees.grow(rows, [goal for k in range(n) for goal in by_arm(F.col("y"), F.col("fold") != k)])
+    crossed = forest.add(rows, {"mu0": 2 * F.col("fold"), "mu1": 2 * F.col("fold") + 1}).drop("fold")
     return crossed.withColumn("pseudo", aipw(F.col("mu0"), F.col("mu1"), F.lit(e), F.col("t"), F.col("y")))
 
 
 def dr_learner(train: DataFrame, trees: Trees = Trees(), folds: int = 5, low: float = 0.02) -> Fitted:
-    effect = replace(trees, seed=trees.seed + 1).regressor(pseudo_outcomes(train, trees, folds, low), "pseudo")
+    effect = trees.regressor(pseudo_outcomes(train, trees, folds, low), "pseudo")
     return Fitted("dr_learner", lambda df: effect(df, "cate"), vars(trees) | {"folds": folds, "low": low})
 
 
 def q_learner(train: DataFrame, trees: Trees = Trees(), ratio: bool = False, least_converters: int = 50, low: float = 0.01) -> Fitted:
     """By the treatment propensity among all rows and among converters; on the difference or the ratio scale."""
-    converters = train.filter("y = 1")
-    facts = converters.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("t").alias("arms")).first()
+    check_whole("least_converters", least_converters, 1)
+    check_clip(low)
+    facts = train.filter("y = 1").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("t").alias("arms")).first()
     require(facts["n"] >= least_converters, f"at least {least_converters} converters; there are {facts['n']}")
     require(facts["arms"] == 2, "converters in both arms")
-    e, p, m = trees.classifier(train, "t"), replace(trees, seed=trees.seed + 1).classifier(converters, "t"), replace(trees, seed=trees.seed + 2).classifier(train, "y")
+    forest = trees.grow(train, [Goal(F.col("t")), Goal(F.col("t"), F.col("y") == 1), *([] if ratio else [Goal(F.col("y"))])])
 
     def add(df: DataFrame) -> DataFrame:
-        df = p(e(df, "__e"), "__p")
+        df = forest.add(df, {"__e": 0, "__p": 1} | ({} if ratio else {"__m": 2}))
         a, b = clip(F.col("__e"), low, 1 - low), clip(F.col("__p"), low, 1 - low)
         if ratio:
             return df.withColumn("cate", q_ratio(a, b)).drop("__e", "__p")
         mu1, mu0 = q_means(a, b, F.col("__m"))
-        return m(df, "__m").withColumn("cate", mu1 - mu0).drop("__e", "__p", "__m")
+        return df.withColumn("cate", mu1 - mu0).drop("__e", "__p", "__m")
 
     return Fitted("q_learner_ratio" if ratio else "q_learner", add, vars(trees) | {"n_converters": facts["n"], "least_converters": least_converters})
 
@@ -155,19 +159,20 @@ def residual_correction(train: DataFrame, base: Callable[[DataFrame], Fitted], t
     The correction's features are the rows' own with cate and both outcome means: out of fold in training, from models
     of all training rows in scoring. `centre` takes the correction's mean over the training rows off.
     """
-    outcomes = outcome_means(trees, ("__m0", "__m1"))
+    check_whole("folds", folds, 2)
+    check_clip(low)
+    check_range("strength", strength, 0, float("inf"))
+    check_range("trim", trim, 0, 0.49)
     assemble = VectorAssembler(inputCols=["features", "cate", "__m0", "__m1"], outputCol="__x").transform
-
-    def fit(rows: DataFrame):
-        inner, means = base(rows), outcomes(rows)
-        return lambda df: assemble(means(inner.predict(df)))
-
-    scorer, means = base(train), outcomes(train)
+    rows, n = dealt(train, folds, trees.seed)
+    forest = trees.grow(rows, [goal for k in range(n + 1) for goal in by_arm(F.col("y"), F.col("fold") != k)])  # the last pair is of all rows
+    scorer = base(train)
+    parts = [base(rows.filter(F.col("fold") != k).drop("fold")).predict(rows.filter(F.col("fold") == k)) for k in range(n)]
+    based = reduce(DataFrame.unionByName, parts)
     e = treated_share(train, low)
-    rows = out_of_fold(train, fold_count(train, folds), trees.seed, fit)
-    rows = rows.withColumn("__r", aipw(F.col("__m0"), F.col("__m1"), F.lit(e), F.col("t"), F.col("y")) - F.col("cate"))
-    bounds = rows.agg(F.percentile("__r", trim).alias("low"), F.percentile("__r", 1 - trim).alias("high"), F.min("__r").alias("least"), F.max("__r").alias("most")).first()
-    low_r, high_r = (bounds["low"], bounds["high"]) if trim else (bounds["least"], bounds["most"])
+    rows = assemble(forest.add(based, {"__m0": 2 * F.col("fold"), "__m1": 2 * F.col("fold") + 1})).drop("fold")
+    rows = settled(rows.withColumn("__r", aipw(F.col("__m0"), F.col("__m1"), F.lit(e), F.col("t"), F.col("y")) - F.col("cate")), "residuals")
+    low_r, high_r = percentiles(rows, ["__r"], [trim, 1 - trim])["__r"]
     seen = spreads(rows, ["__r", "cate"]).collect()
     rows = rows.withColumn("__r", clip(F.col("__r"), low_r, high_r))
     if linear:
@@ -177,38 +182,46 @@ def residual_correction(train: DataFrame, base: Callable[[DataFrame], Fitted], t
         correct = trees.regressor(rows, "__r", "__x")
     middle = correct(rows, "__c").agg(F.avg("__c")).first()[0] if centre else 0.0
     added = strength * clip(F.col("__c") - F.lit(middle), low_r, high_r)
-    return Fitted("residual_correction", lambda df: correct(assemble(means(scorer.predict(df))), "__c").withColumn("cate", F.col("cate") + added).drop("__c", "__x", "__m0", "__m1"), scorer.settings | {"strength": strength, "trim": trim, "centre": centre, "diagnostics": [r.asDict() for r in seen]})
+
+    def add(df: DataFrame) -> DataFrame:
+        inner = assemble(forest.add(scorer.predict(df), {"__m0": 2 * n, "__m1": 2 * n + 1}))
+        return correct(inner, "__c").withColumn("cate", F.col("cate") + added).drop("__c", "__x", "__m0", "__m1")
+
+    return Fitted("residual_correction", add, scorer.settings | {"strength": strength, "trim": trim, "centre": centre, "diagnostics": [r.asDict() for r in seen]})
 
 
 def cross_fitted_propensity(train: DataFrame, trees: Trees = Trees(), folds: int = 5) -> DataFrame:
     """`train` with the out-of-fold propensity e."""
-
-    def fit(rows: DataFrame):
-        e = trees.classifier(rows, "t")
-        return lambda df: e(df, "e")
-
-    return out_of_fold(train, fold_count(train, folds), trees.seed, fit)
+    rows, n = dealt(train, folds, trees.seed)
+    return trees.grow(rows, [Goal(F.col("t"), F.col("fold") != k) for k in range(n)]).add(rows, {"e": F.col("fold")}).drop("fold")
 
 
 def risk_scores(df: DataFrame, trees: Trees = Trees(), folds: int = 5) -> DataFrame:
     """`df` (with split) and risk, P(y = 1 | features): out of fold on train, by the full model elsewhere."""
     train = df.filter("split = 'train'")
     require(train.select("y").distinct().count() == 2, "a risk score needs both outcomes")
+    rows, n = dealt(train, folds, trees.seed)
+    forest = trees.grow(rows, [*(Goal(F.col("y"), F.col("fold") != k) for k in range(n)), Goal(F.col("y"))])
+    every = rows.unionByName(df.filter("split <> 'train'").withColumn("fold", F.lit(n)))
+    return forest.add(every, {"risk": F.col("fold")}).drop("fold")
 
-    def fit(rows: DataFrame):
-        m = trees.classifier(rows, "y")
-        return lambda part: m(part, "risk")
 
-    return out_of_fold(train, fold_count(train, folds), trees.seed, fit).unionByName(fit(train)(df.filter("split <> 'train'")))
+def natural_risk(df: DataFrame, column: str, most: int = 1000) -> Column:
+    """The same as a column, for at most `most` categories."""
+    if dict(df.dtypes)[column] in ("string", "boolean"):
+        places = frequency_ordinal(df, column).limit(most + 1).collect()
+        require(len(places) <= most, f"more than {most} categories: use with_natural_risk")
+        return F.create_map(*(F.lit(x) for r in places for x in (r["value"], r["ordinal"])))[F.coalesce(F.col(column).cast("string"), F.lit("__missing__"))].cast("double")
+    return F.coalesce(F.col(column).cast("double"), F.lit(percentiles(df, [column], [0.5])[column][0]))
 
 
-def natural_risk(df: DataFrame, column: str) -> Column:
-    """A column of the data as risk: numbers with gaps at their median over the rows given, else the place of the value by how often it occurs."""
+def with_natural_risk(df: DataFrame, column: str, out: str) -> DataFrame:
+    """`df` with a column as risk: numbers with gaps at their median over the rows given, else the place of the value by how often it occurs."""
     if dict(df.dtypes)[column] in ("string", "boolean"):
-        places = {r["value"]: r["ordinal"] for r in frequency_ordinal(df, column).collect()}  # one for each category
-        return F.create_map(*(F.lit(x) for pair in places.items() for x in pair))[F.coalesce(F.col(column).cast("string"), F.lit("__missing__"))].cast("double")
-    median = df.agg(F.percentile(F.col(column).cast("double"), 0.5)).first()[0]
-    return F.coalesce(F.col(column).cast("double"), F.lit(median))
+        places = frequency_ordinal(df, column).select(F.col("value").alias("__value"), F.col("ordinal").cast("double").alias(out))
+        return df.withColumn("__value", F.coalesce(F.col(column).cast("string"), F.lit("__missing__"))).join(places, "__value").drop("__value")
+    median = percentiles(df, [column], [0.5])[column][0]
+    return df.withColumn(out, F.coalesce(F.col(column).cast("double"), F.lit(median)))
 
 
 LEARNERS: dict[str, Callable[..., Fitted]] = {

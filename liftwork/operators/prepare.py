@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .quantiles import percentiles
+from .splits import in_order
 from .validate import check_features, require
 
 
@@ -57,13 +59,11 @@ def numeric(c: str, otherwise: float | None = None) -> Column:
 
 
 def numeric_statistics(train: DataFrame, columns: list[str]) -> DataFrame:
-    """name, median, mean, scale; mean and population scale after imputation with the exact median."""
-    long = train.select(F.explode(F.create_map(*(x for c in columns for x in (F.lit(c), numeric(c))))).alias("name", "value"))
-    medians = long.groupBy("name").agg(F.percentile("value", 0.5).alias("median"), F.count(F.lit(1)).alias("n"), F.count("value").alias("have"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
-    missing = (F.col("n") - F.col("have")).cast("double")
-    mean = (F.col("m") * F.col("have") + F.col("median") * missing) / F.col("n")
-    second = ((F.col("v") + (F.col("m") - mean) * (F.col("m") - mean)) * F.col("have") + (F.col("median") - mean) * (F.col("median") - mean) * missing) / F.col("n")
-    return medians.select("name", "median", mean.alias("mean"), F.sqrt(second).alias("scale"))
+    """name, median, mean, scale; mean and population scale after imputation with the exact median (see `quantiles`)."""
+    medians = {c: m for c, (m,) in percentiles(train, columns, [0.5]).items()}
+    filled = {c: F.coalesce(numeric(c), F.lit(medians[c])) for c in columns}
+    facts = [F.struct(F.lit(c).alias("name"), F.lit(medians[c]).cast("double").alias("median"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("scale")) for c, x in filled.items()]
+    return train.agg(F.array(*facts).alias("facts")).select(F.inline("facts"))
 
 
 def category_counts(train: DataFrame, columns: list[str]) -> DataFrame:
@@ -101,7 +101,7 @@ def prepare(df: DataFrame, numeric_columns: list[str], categorical_columns: list
 def frequency_ordinal(df: DataFrame, column: str) -> DataFrame:
     """value, n, ordinal: values by falling frequency, then by name; missing is a value of its own."""
     counts = df.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("__missing__")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("ordinal", F.row_number().over(Window.orderBy(F.desc("n"), "value")) - 1)
+    return in_order(counts.orderBy(F.desc("n"), "value"), "__nth").select("value", "n", (F.col("__nth") - 1).cast("int").alias("ordinal"))
 
 
 def principal_components(df: DataFrame, columns: list[str], k: int, keep: list[str]) -> DataFrame:

@@ -585,7 +585,7 @@ def pseudo_spreads(spark, d):
 @query("natural_risk", "SELECT epk_id, CAST(o.k AS DOUBLE) AS risk FROM trial JOIN (SELECT value, row_number() OVER (ORDER BY n DESC, value) - 1 AS k FROM (SELECT coalesce(segment, '__missing__') AS value, count(*) AS n FROM trial GROUP BY 1)) o ON o.value = coalesce(segment, '__missing__')", "trial")
 def natural_risk(spark, d):
     rows = trial(spark, d)
-    return rows.select("epk_id", learners.natural_risk(rows, "segment").alias("risk"))
+    return learners.with_natural_risk(rows, "segment", "risk").select("epk_id", "risk")
 
 
 @query("ordered_runs", "SELECT model, seed, axis, row_number() OVER (ORDER BY CASE model WHEN 'x_learner' THEN 0 WHEN 't_learner' THEN 1 ELSE 2 END, model, seed, axis, severity_tag) AS place FROM runs", "runs")

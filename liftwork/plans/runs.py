@@ -43,7 +43,7 @@ def degrade(rows: DataFrame, axis: str, severity, seed: int, risk: str | None =
 def with_risk(rows: DataFrame, numeric: list[str], categorical: list[str], risk: str) -> tuple[DataFrame, str]:
     """(`rows` with the risk that a conversion axis selects by, its name): "fitted" learns P(y | features) out of fold, another name is a column as it stands."""
     if risk != "fitted":
-        return rows.withColumn("row_risk", learners.natural_risk(rows, risk)), "row_risk"
+        return learners.with_natural_risk(rows, risk, "row_risk"), "row_risk"
     keep = ["epk_id", "split", "t", "y"]
     ready, fitted = prepare.prepare(rows, numeric, categorical, keep)
     scored = learners.risk_scores(VectorAssembler(inputCols=fitted.names(), outputCol="features").transform(ready))
