@@ -22,12 +22,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own in the shared folder, for `discard` to find."""
+    _made.append(f"{scratch_dir(spark)}/liftwork-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """`df` written to the shared folder as Parquet and reread."""
     spark = df.sparkSession
-    folder = f"{scratch_dir(spark)}/liftwork-{uuid.uuid4().hex}"
-    path = f"{folder}/{name}"
-    _made.append(folder)
+    path = f"{new_folder(spark)}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
