@@ -38,6 +38,8 @@ K, WORDS = 48, 5
 PERCENT, LEAST = 85, 28
 STAGE_PERCENT, STAGE_LEAST = 80, 24
 SHORT, BLOCK, CACHE, SLICE = 8, 256, 300_000, 2 << 20
+#: Shingles of a block, on average, where long texts would fill it with fewer rows than BLOCK.
+BLOCK_ITEMS = 1 << 19
 #: Classes up to which texts are picked by broadcast (five numbers each, 10 MB); beyond, the texts are shuffled.
 MOST_IDS = 250_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -213,7 +215,7 @@ def block_links(part: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def rest_links(posted: DataFrame, lists: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame | None:
+def rest_links(posted: DataFrame, lists: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, block_items: int = BLOCK_ITEMS) -> DataFrame | None:
     """Links between members of long lists that are still in different components.
 
     Lists that share members are worked off as one group, so that a pair in several of them meets once, unless
@@ -229,13 +231,15 @@ def rest_links(posted: DataFrame, lists: DataFrame, labels: DataFrame, docs: Dat
     rows = rows.join(chained, "id")
     extent = rows.groupBy("cluster").agg(F.count_distinct("id").alias("all"), F.max("n").alias("longest"))
     together = F.when(F.col("all") <= 4 * F.col("longest"), F.col("cluster")).otherwise(F.col("key"))
-    rows = scratch(rows.join(extent, "cluster").select(together.alias("grp"), "id", "label").distinct(), "grouped")
+    rows = rows.join(extent, "cluster").select(together.alias("grp"), "id", "label").distinct()
+    rows = scratch(rows.join(classes.select("id", F.col("n").alias("shingles")), "id"), "grouped")
 
-    sizes = rows.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("size"))
-    sizes = sizes.groupBy("grp").agg(F.max_by("label", F.struct("size", "label")).alias("most"), F.max("size").alias("size"), F.sum("size").alias("n"))
-    rows = rows.join(sizes, "grp").withColumn("main", F.col("label") == F.col("most"))
+    sizes = rows.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("size"), F.sum("shingles").alias("items"))
+    sizes = sizes.groupBy("grp").agg(F.max_by(F.struct("label", "size", "items"), F.struct("size", "label")).alias("top"), F.sum("size").alias("n"), F.sum("items").alias("items"))
+    rows = rows.join(sizes, "grp").withColumn("main", F.col("label") == F.col("top.label"))
     # blocks of the largest component, then blocks of the others; each of the latter meets all blocks
-    n_main, n_rest = F.ceil(F.col("size") / BLOCK), F.ceil((F.col("n") - F.col("size")) / BLOCK)
+    n_main = F.ceil(F.greatest(F.col("top.size") / BLOCK, F.col("top.items") / block_items))
+    n_rest = F.ceil(F.greatest((F.col("n") - F.col("top.size")) / BLOCK, (F.col("items") - F.col("top.items")) / block_items))
     own = F.when(F.col("main"), F.pmod(F.xxhash64("id"), n_main)).otherwise(n_main + F.pmod(F.xxhash64("id"), n_rest))
     meets = F.when(F.col("main"), F.sequence(n_main, n_main + n_rest - 1)).otherwise(F.sequence(F.lit(0), n_main + n_rest - 1))
     placed = rows.withColumn("own", own).withColumn("other", F.explode(meets)).select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label", "main")

@@ -25,6 +25,7 @@ values of their own; an empty table gives an empty result; repeated rows count a
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -246,7 +247,7 @@ def with_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def fit(rows: DataFrame, share: float = 0.75, least_rows: int = 5 * P, most_steps: int = 12) -> tuple[DataFrame, DataFrame]:
-    """(`rows` with __key, the model for each __key). rows: __lang, __source, __failed, __x0 ... and, unless counts are no matter, __v0 ..."""
+    """(`rows` with __key, the model for each __key); warns if `most_steps` concentration steps do not settle it. rows: __lang, __source, __failed, __x0 ... and, unless counts are no matter, __v0 ..."""
     rows = rows.withColumns({f"__v{i}": F.lit(0.0) for i in range(P) if f"__v{i}" not in rows.columns})
     rows = scratch(grouped(rows, least_rows), "rows")
     clean = rows.filter(~F.col("__failed") & F.col("__key").isNotNull()).select("__key", *(f"__{c}{i}" for c in "xv" for i in range(P)))
@@ -261,6 +262,8 @@ def fit(rows: DataFrame, share: float = 0.75, least_rows: int = 5 * P, most_step
         was = old.select("__key", "__start", F.col("__det").alias("was"))
         if step and model.join(was, ["__key", "__start"]).filter(F.abs(F.col("__det") - F.col("was")) > 1e-6 * F.col("was")).isEmpty():
             break
+    else:
+        warnings.warn(f"some determinants still fell after {most_steps} concentration steps; the last estimates are taken", stacklevel=2)
     best = model.groupBy("__key").agg(F.min(F.struct("__det", "__start")).getField("__start").alias("__start"))
     inner = clean.join(model.join(best, ["__key", "__start"]), "__key").filter(distance() <= chi2_quantile(0.975, P))
     return rows, scratch(moments(inner, group, consistency(0.975)), "model")

@@ -19,9 +19,9 @@ of ids before it. Readers map the files.
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -34,7 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, filesystem, held, partitions, scratch, scratch_dir, ship, slices
+from ..sources.scratch import new_folder
+from .common import documents, filesystem, held, partitions, scratch, ship, slices
 
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
 #: Distinct chunks, and bytes of them, that a Python worker keeps.
@@ -97,7 +98,8 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.separator, self.special = separator, special
         self.mark = self.library.encode(separator, add_special_tokens=False).ids
-        assert len(self.mark) == 1
+        if len(self.mark) != 1:
+            raise ValueError(f"{path} has no id of its own for {separator!r}")
         self.clear()
 
     def clear(self) -> None:
@@ -251,13 +253,33 @@ class ByteEncoder(Encoder):
         return starts, np.append(starts[1:], len(data)) if len(starts) else starts
 
 
+#: Fixed value: the pattern of words that `WordEncoder` cuts by.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 #: White space in the general punctuation block.
 WIDE = re.compile(b"\xe2\x80[\x80-\x8a\xa8\xa9\xaf]").search
 
 
+def encoder_for(path: str) -> Encoder:
+    """The encoder whose cuts agree with the file's own normaliser, pre-tokenizer and suffix, whatever the file is called; other kinds raise."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    before, cut, model = spec.get("normalizer"), spec.get("pre_tokenizer") or {}, spec.get("model", {})
+    steps = [n["type"] for n in (before or {}).get("normalizers", [])]
+    parts = [p["type"] for p in cut.get("pretokenizers", [])]
+    if model.get("type") == "BPE" and not model.get("dropout"):
+        if before is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not model.get("end_of_word_suffix"):
+            return ByteEncoder(path)
+        if steps == ["NFC", "Replace", "Lowercase"] and parts == ["Split", "ByteLevel"] and model.get("end_of_word_suffix") == "</w>":
+            split = cut["pretokenizers"][0]
+            if split["pattern"].get("Regex") == WORD_PATTERN and split["behavior"] == "Removed" and split["invert"] and not cut["pretokenizers"][1]["use_regex"]:
+                return WordEncoder(path)
+    raise ValueError(f"{path}: its normaliser and pre-tokenizer are of no kind that texts can be cut for")
+
+
 def encoder(path: str) -> Encoder:
     """The worker's encoder for `path`: it stays for later tasks."""
-    return held(f"tokens {path}", lambda: (WordEncoder if "word_bpe" in path else ByteEncoder)(path))
+    return held(f"tokens {path}", lambda: encoder_for(path))
 
 
 def tokenizer_path(name: str) -> str:
@@ -277,7 +299,7 @@ def token_files(df: DataFrame, path: str | None = None, end_id: int = 1, dtype:
     """
     spark = df.sparkSession
     ship(spark)
-    tokenizer, folder = path or tokenizer_path(WORDS), f"{scratch_dir(spark)}/liftwork-{uuid.uuid4().hex}/tokens"
+    tokenizer, folder = path or tokenizer_path(WORDS), f"{new_folder(spark)}/tokens"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()

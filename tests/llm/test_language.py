@@ -73,3 +73,21 @@ def test_planted_languages(spark):
     got = {r["doc_id"]: (r["__lang_pred"], r["__score"]) for r in language.with_language(docs, language.fit(docs, most_docs=40)).collect()}
     assert all(got[i] == (list(letters)[i % 3], pytest.approx(1)) for i, _, _ in rows)
     assert {got[i] for i in (900, 901, 902)} == {("und", 0.0)}
+
+
+def test_labels_and_scores_by_enumeration(spark, model):
+    """lang_pred and score from all segmentations of all runs of letters, one by one; `und` exactly where no character is a letter."""
+    vocab = model[0]
+    docs = [("the water of the sea", "en"), ("das wasser der see", "de"), ("la mer et le vent", "fr"), ("it was the house", "en"), ("es war das haus", "de"), ("le vent de la nuit", "fr")] * 3
+    asked = ["H₂O", "x²", "½cup", "CO₂ der See", "日本 the", "²³ ½", "१२ 1_2", None, "", "a_b-c ", "ǅ", "der7die7das", "le vent", "ﬁn the"]
+    rows = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate([*docs, *((a, None) for a in asked)])], "doc_id long, text string, lang string").repartition(3)
+    langs, p, priors = found = language.fit(rows)
+    for r in language.with_language(rows, found).collect():
+        words = "".join(c if c.isalpha() else " " for c in r["text"] or "").lower().split()
+        words = ["▁" + x for w in words for x in "".join(c if c.isalpha() else " " for c in w).split()]
+        if not words:
+            assert (r["__lang_pred"], r["__score"]) == ("und", 0.0), r["text"]
+            continue
+        log = priors + sum(np.log(sum(np.prod(p[s], axis=0) for s in segmentations(w, vocab))) for w in words)
+        assert r["__lang_pred"] == langs[int(np.argmax(log))], r["text"]
+        assert r["__score"] == pytest.approx(1 / np.exp(log - log.max()).sum())

@@ -75,3 +75,13 @@ def test_links_from_the_least_similarity_on(spark):
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[n:], *(f"v{i}y{k}" for k in range(n))]))]
     for how in ((85, 28), (80, 24)):
         assert grouped(spark, rows, *how) == brute_rows(rows, how[0])
+
+
+def test_blocks_by_shingles(spark, monkeypatch):
+    """Blocks of a few texts each give the links of large ones."""
+    draw = random.Random(4)
+    base = [f"w{draw.randint(0, 10**6)}" for _ in range(200)]
+    rows = [(i, changed(base, [draw.randint(4, 60), draw.randint(70, 120), draw.randint(130, 195)], i % 90)) for i in range(100)]
+    rows += [(2000 + i, changed(base, list(range(0, 60, 6)), 500 + i % 3)) for i in range(40)]
+    monkeypatch.setattr(near_dedup.rest_links, "__defaults__", (900,))
+    assert grouped(spark, rows) == brute_rows(rows, 85)

@@ -24,3 +24,23 @@ def test_chunks_with_one_hash(make, name):
     texts += [b"", b"plain words", thue_morse(2048, 97, 98)]
     want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
     assert own.ids(texts) == want and [own.ids([t])[0] for t in texts] == want
+
+
+def test_kind_is_read_from_the_file(tmp_path):
+    """A renamed copy is cut as the original; other kinds raise, whatever they are called."""
+    import json
+    import shutil
+
+    import pytest
+
+    from liftwork.llm import tokens
+
+    public = pytest.importorskip("public_tokenizers").path
+    for name, kind in (("word_bpe_49k.json", tokens.WordEncoder), ("byte_bpe_50k.json", tokens.ByteEncoder)):
+        shutil.copy(public(name), tmp_path / "copy.json")
+        assert type(tokens.encoder_for(str(tmp_path / "copy.json"))) is kind
+    spec = json.loads((tmp_path / "copy.json").read_text())
+    for change in ({"normalizer": {"type": "NFKC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": spec["model"] | {"type": "WordPiece"}}):
+        (tmp_path / "word_bpe_other.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match="no kind"):
+            tokens.encoder_for(str(tmp_path / "word_bpe_other.json"))
