@@ -9,18 +9,15 @@ numbers, whatever the number of rows, and all tasks come to the same split by th
 Gradients are rounded to whole multiples of a unit such that no sum is ever rounded. So trees do not depend on how rows are
 partitioned, and a stage that was lost and tried again gives the same ones.
 
-A task holds at most `TASK_ROWS` rows; the stage needs that many free slots at once, as every barrier stage does (and no
-dynamic allocation). A goal without rows raises; a goal with one class or equal labels gives that constant; features
+A goal without rows raises; a goal with one class or equal labels gives that constant; features
 that are not a number lie right of every cut; a forest's size is bounded by goals x rounds x leaves.
 """
 
 from __future__ import annotations
 
 import heapq
-import secrets
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
-from multiprocessing.connection import Client, Listener
 
 import numpy as np
 import pandas as pd
@@ -33,9 +30,10 @@ from pyspark.sql.types import ArrayType
 from ..shipping import ship
 from ..sources.scratch import settled
 from .quantiles import cut_points
+from .together import Peers, in_tasks
 from .validate import require
 
-TASK_ROWS, WORTH_A_TASK, CHUNK, LEAST_HESSIAN = 2_000_000, 50_000, 1 << 17, 1e-3
+CHUNK, LEAST_HESSIAN = 1 << 17, 1e-3
 NODES = "goal int, base double, rows long, tree int, node int, feature int, cut double, left int, right int, value double"
 
 
@@ -52,37 +50,6 @@ class Goal:
         return label if self.where is None else F.when(self.where, label)
 
 
-class Peers:
-    """The tasks of a barrier stage, joined along a binary tree of authenticated connections."""
-
-    def __init__(self, rank: int, hosts: list[str], exchange: Callable[[str], list[str]], key: bytes):
-        self.parent, self.children = None, []
-        if len(hosts) == 1:
-            return
-        below = [c for c in (2 * rank + 1, 2 * rank + 2) if c < len(hosts)]
-        with Listener(("", 0), authkey=key, backlog=2) as door:
-            ports = [int(p) for p in exchange(str(door.address[1]))]
-            if rank:
-                up = (rank - 1) // 2
-                self.parent = Client((hosts[up], ports[up]), authkey=key)
-            self.children = [door.accept() for _ in below]
-
-    def total(self, x: np.ndarray, join: Callable = np.add) -> np.ndarray:
-        """The sum (or what `join` makes) of the arrays of all tasks, in all tasks."""
-        for c in self.children:
-            x = join(x, np.frombuffer(c.recv_bytes(), x.dtype).reshape(x.shape))
-        if self.parent is not None:
-            self.parent.send_bytes(np.ascontiguousarray(x).tobytes())
-            x = np.frombuffer(self.parent.recv_bytes(), x.dtype).reshape(x.shape)
-        for c in self.children:
-            c.send_bytes(np.ascontiguousarray(x).tobytes())
-        return x
-
-    def close(self) -> None:
-        for c in [*self.children, *([self.parent] if self.parent else [])]:
-            c.close()
-
-
 @dataclass(frozen=True)
 class Settings:
     rounds: int = 150
@@ -274,7 +241,7 @@ class Forest:
 
 
 def grow(rows: DataFrame, goals: list[Goal], s: Settings, features: str = "features", tasks: int | None = None) -> Forest:
-    """The models of all goals on `rows`, grown together. tasks: by default one for every WORTH_A_TASK rows, at most the free slots."""
+    """The models of all goals on `rows`, grown together. tasks: how many share the rows."""
     spark = rows.sparkSession
     ship(spark)
     x = F.col(features) if isinstance(rows.schema[features].dataType, ArrayType) else vector_to_array(features)
@@ -285,26 +252,18 @@ def grow(rows: DataFrame, goals: list[Goal], s: Settings, features: str = "featu
     n, f = facts["n"], facts["f"]
     edges = cut_points(table.select(*(F.col("x")[i].alias(f"x{i}") for i in range(f))), [f"x{i}" for i in range(f)], s.bins)
     width = max(map(len, edges)) + 1
-    tasks = tasks or max(-(-n // TASK_ROWS), min(spark.sparkContext.defaultParallelism, -(-n // WORTH_A_TASK)))
-    binary, key, shared = [g.binary for g in goals], secrets.token_bytes(16), spark.sparkContext.broadcast(edges)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import BarrierTaskContext
+    binary, shared = [g.binary for g in goals], spark.sparkContext.broadcast(edges)
 
-        context = BarrierTaskContext.get()
+    def run(peers: Peers, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, labels = [np.zeros((0, f), np.uint8)], [np.zeros((0, len(binary)))]
         for batch in batches:
             values = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, f)
             bins.append(np.stack([np.searchsorted(e, values[:, i]) for i, e in enumerate(shared.value)], 1).astype(np.uint8))
             labels.append(batch.column("y").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(binary)))
-        rank = context.partitionId()
-        peers = Peers(rank, [i.address.rsplit(":", 1)[0] for i in context.getTaskInfos()], context.allGather, key)
         found = list(train(np.concatenate(bins), np.concatenate(labels), binary, width, s, peers))
-        peers.close()
-        if rank == 0:  # every task has the same trees
-            for at in range(0, len(found), 10_000):
-                part = [(k, b, m, t, node, feature, float(shared.value[feature][cut]) if feature >= 0 else 0.0, left, right, value) for k, b, m, t, (node, feature, cut, left, right, value) in found[at : at + 10_000]]
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(part, columns=[c.split()[0] for c in NODES.split(", ")]).astype({"goal": "int32", "tree": "int32", "node": "int32", "feature": "int32", "left": "int32", "right": "int32"}), preserve_index=False)
+        for at in range(0, len(found) if peers.rank == 0 else 0, 10_000):  # every task has the same trees
+            part = [(k, b, m, t, node, feature, float(shared.value[feature][cut]) if feature >= 0 else 0.0, left, right, value) for k, b, m, t, (node, feature, cut, left, right, value) in found[at : at + 10_000]]
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(part, columns=[c.split()[0] for c in NODES.split(", ")]).astype({"goal": "int32", "tree": "int32", "node": "int32", "feature": "int32", "left": "int32", "right": "int32"}), preserve_index=False)
 
-    nodes = table.repartition(tasks).mapInArrow(run, NODES, barrier=True).toPandas()  # goals x rounds x 2 leaves rows at most
+    nodes = in_tasks(table, n, run, NODES, tasks).toPandas()  # goals x rounds x 2 leaves rows at most
     return Forest(nodes, binary)

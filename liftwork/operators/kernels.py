@@ -1,14 +1,13 @@
-"""Learners that Spark has no algorithm for, as numpy in bounded tasks: Gaussian processes per arm, a two-headed
-network, and a nearest-neighbour stand-in for pretrained in-context scorers.
+"""Learners of other kinds than trees: Gaussian processes per arm, a network with two outcome heads, and nearest
+neighbours as a stand-in for pretrained in-context scorers.
 
-Each is fitted on a capped sample (a documented parameter) in one task, its model is sent to all tasks,
-and scoring runs over the partitions of any table. The stand-in is no pretrained model and says so in its name.
+All learn from every training row (see `gaussian`, `network` and `neighbours`); scoring runs over the partitions of any
+table. The stand-in is no pretrained model and says so in its name.
 """
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,212 +16,87 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..shipping import ship
+from . import gaussian, network
+from .boosting import Goal
 from .learners import Fitted, Trees, aipw, out_of_fold, treated_share
-from .splits import context_sample, per_arm_cap
-from .validate import require
+from .neighbours import nearest
+from .prepare import principal_axes
+from .validate import check_whole, require
 
-ROWS = "t int, y double, x array<double>"
 
-
-def _in_one_task(sample: DataFrame, columns: list[str], fit) -> dict:
-    """fit(x, t, y, and hold if it takes that) on a bounded sample, in an executor; returns its dict of arrays."""
-    ship(sample.sparkSession)
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["hold", "id"])
-        given = [np.array(part["x"].tolist(), float), part["t"].to_numpy(), part["y"].to_numpy(float), part["hold"].to_numpy(bool)]
-        return pd.DataFrame({"model": [pickle.dumps(fit(*given[: fit.__code__.co_argcount]))]})
-
-    rows = sample.select(F.lit(0).alias("one"), F.col("epk_id").cast("long").alias("id"), F.col("t").cast("int").alias("t"), F.col("y").cast("double").alias("y"), (F.coalesce("hold", F.lit(False)) if "hold" in sample.columns else F.lit(False)).alias("hold"), F.array(*(F.col(c).cast("double") for c in columns)).alias("x"))
-    return pickle.loads(rows.groupBy("one").applyInPandas(run, "model binary").first()[0])
-
-
-def _score(df: DataFrame, columns: list[str], model: dict, predict, names: tuple[str, ...] = ("cate",)) -> DataFrame:
+def _score(df: DataFrame, columns: list[str], predict: Callable[[np.ndarray], tuple[np.ndarray, ...]], names: tuple[str, ...] = ("cate",)) -> DataFrame:
+    """`df` with the columns that `predict` makes of a matrix of `columns`."""
     ship(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast(predict)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            found = predict(shared.value, part[columns].to_numpy(float))
-            yield part.assign(**dict(zip(names, found, strict=True)))
+            yield part.assign(**dict(zip(names, shared.value(part[columns].to_numpy(float)), strict=True)))
 
     return df.mapInPandas(run, StructType([*df.schema.fields, *(StructField(n, DoubleType()) for n in names)]))
 
 
-# ---- Gaussian processes
-
-
-def rbf(a: np.ndarray, b: np.ndarray, length: float) -> np.ndarray:
-    d = (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T
-    return np.exp(-np.maximum(d, 0) / (2 * length * length))
-
-
-def fit_gp(x: np.ndarray, y: np.ndarray) -> dict:
-    """Scale, length and noise of the largest marginal likelihood on a grid; the Cholesky factor of the best."""
-    mean, best = y.mean(), None
-    z = y - mean
-    spread = max(z.var(), 1e-6)
-    base = np.sqrt(max(1e-12, np.median(((x[:200, None] - x[None, :200]) ** 2).sum(-1))))
-    for length in base * np.array([0.5, 1.0, 2.0, 4.0]):
-        k = rbf(x, x, length)
-        for signal in (0.05, 0.2, 0.5):
-            chol = np.linalg.cholesky(spread * signal * k + (spread * (1 - signal) + 1e-9) * np.eye(len(x)))
-            alpha = np.linalg.solve(chol.T, np.linalg.solve(chol, z))
-            fitness = -0.5 * z @ alpha - np.log(np.diag(chol)).sum()
-            if best is None or fitness > best[0]:
-                best = (fitness, {"x": x, "alpha": alpha, "chol": chol, "length": length, "scale": spread * signal, "mean": mean})
-    return best[1]
-
-
-def gp_posterior(gp: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    k = gp["scale"] * rbf(x, gp["x"], gp["length"])
-    v = np.linalg.solve(gp["chol"], k.T)
-    return gp["mean"] + k @ gp["alpha"], np.maximum(gp["scale"] - (v * v).sum(0), 0)
-
-
-def _fit_arms(components: int):
-    def fit(x: np.ndarray, t: np.ndarray, y: np.ndarray) -> dict:
-        centre = x.mean(0)
-        axes = np.linalg.svd(x - centre, full_matrices=False)[2][:components].T
-        z = (x - centre) @ axes
-        return {"centre": centre, "axes": axes, "arms": [fit_gp(z[t == a], y[t == a]) for a in (0, 1)]}
-
-    return fit
-
-
-def _gp_effect(model: dict, x: np.ndarray) -> tuple[np.ndarray, ...]:
-    z = (x - model["centre"]) @ model["axes"]
-    (m0, v0), (m1, v1) = (gp_posterior(g, z) for g in model["arms"])
-    half = 1.96 * np.sqrt(v0 + v1)
-    return m1 - m0, m1 - m0 - half, m1 - m0 + half
-
-
-def gp_cate(train: DataFrame, columns: list[str], components: int = 8, most_control: int = 2000, most_treated: int = 500, seed: int = 0) -> Fitted:
-    """Adds cate with cate_low and cate_high, from one Gaussian process for each capped arm."""
-    sample = per_arm_cap(train, {0: most_control, 1: most_treated}, f"gp{seed}")
-    model = _in_one_task(sample, columns, _fit_arms(components))
-    return Fitted("gp_cate", lambda df: _score(df, columns, model, _gp_effect, ("cate", "cate_low", "cate_high")), {"components": components, "most_control": most_control, "most_treated": most_treated})
-
-
-# ---- a shared trunk with an outcome head for each arm and a propensity head
-
+class Effect:
+    """What a fitted model makes of a matrix, after a projection."""
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+    def __init__(self, how: Callable, model: dict, axes: np.ndarray | None = None, *more):
+        self.how, self.model, self.axes, self.more = how, model, axes, more
 
+    def __call__(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        return self.how(self.model, x if self.axes is None else x @ self.axes, *self.more)
 
-def _trunk(w: dict, x: np.ndarray) -> list[np.ndarray]:
-    layers = [(x - w["centre"]) / w["spread"]]
-    for k in (1, 2):
-        z = layers[-1] @ w[f"w{k}"] + w[f"b{k}"]
-        layers.append(np.where(z > 0, z, np.expm1(np.minimum(z, 0))))
-    return layers
 
+def gp_cate(train: DataFrame, columns: list[str], components: int = 20, most_control: int = 2000, most_treated: int = 500, seed: int = 0, level: float = 0.95, restarts: int = 1, inducing: int = 512) -> Fitted:
+    """Adds cate with cate_low and cate_high at the level, from one Gaussian process for each arm on the first principal components.
 
-def _fit_network(width: int, epochs: int, batch: int, step: float, decay: float, patience: int, seed: int):
-    def fit(x: np.ndarray, t: np.ndarray, y: np.ndarray, hold: np.ndarray) -> dict:
-        draw = np.random.default_rng(seed)
-        d = x.shape[1]
-        w = {"w1": draw.normal(0, d**-0.5, (d, width)), "b1": np.zeros(width), "w2": draw.normal(0, width**-0.5, (width, width)), "b2": np.zeros(width), "w3": draw.normal(0, width**-0.5, (width, 3)), "b3": np.zeros(3)}
-        own = x[~hold] if not hold.all() else x
-        fixed = {"centre": own.mean(0), "spread": np.where(own.std(0) > 1e-9, own.std(0), 1.0)}
-        if not hold.any():  # no validation rows were given
-            hold = draw.random(len(x)) < 0.15
-        rows, first, second = np.flatnonzero(~hold), {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
+    The caps bound the rows on which scale, length and noise are tuned, and up to which the posterior is exact.
+    """
+    for name, value in (("components", components), ("most_control", most_control), ("most_treated", most_treated)):
+        check_whole(name, value, 1)
+    require(0 < level < 1, "the level lies between 0 and 1")
+    k = min(components, len(columns))
+    axes = principal_axes(train, columns, k) if k < len(columns) else np.eye(len(columns))
+    x = F.array(*(sum((F.col(c).cast("double") * float(axes[i, j]) for i, c in enumerate(columns)), F.lit(0.0)) for j in range(k))).alias("x")
+    arms = gaussian.fit(train.select("epk_id", "t", "y", x), {0: most_control, 1: most_treated}, restarts, inducing, seed=seed)
+    settings = {"components": k, "most_control": most_control, "most_treated": most_treated, "restarts": restarts, "inducing": inducing, "level": level}
+    return Fitted("gp_cate", lambda df: _score(df, columns, Effect(gaussian.effect, arms, axes, level), ("cate", "cate_low", "cate_high")), settings)
 
-        def losses(some: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, float]:
-            layers = _trunk(w | fixed, x[some])
-            p = np.clip(_sigmoid(layers[-1] @ w["w3"] + w["b3"]), 1e-6, 1 - 1e-6)
-            goal = np.stack([y[some], y[some], t[some]], 1).astype(float)
-            use = np.stack([1 - t[some], t[some], np.ones(len(some))], 1)
-            return layers, use * (p - goal), float(-(use * (goal * np.log(p) + (1 - goal) * np.log(1 - p))).sum() / len(some))
-
-        best, since, n = (np.inf, w), 0, 0
-        for _ in range(epochs):
-            draw.shuffle(rows)
-            for low in range(0, len(rows), batch):  # each row once an epoch
-                some = rows[low : low + batch]
-                layers, error, _ = losses(some)
-                error = error / len(some)
-                grad = {"w3": layers[2].T @ error, "b3": error.sum(0)}
-                back = error @ w["w3"].T
-                for k in (2, 1):
-                    back = back * np.where(layers[k] > 0, 1, layers[k] + 1)
-                    grad[f"w{k}"], grad[f"b{k}"] = layers[k - 1].T @ back, back.sum(0)
-                    back = back @ w[f"w{k}"].T
-                n += 1
-                for k, g in grad.items():
-                    first[k], second[k] = 0.9 * first[k] + 0.1 * g, 0.999 * second[k] + 0.001 * g * g
-                    w[k] = w[k] - step * (first[k] / (1 - 0.9**n) / (np.sqrt(second[k] / (1 - 0.999**n)) + 1e-8) + decay * w[k])
-            loss = losses(np.flatnonzero(hold))[2] if hold.any() else losses(rows)[2]
-            best, since = ((loss, {k: v.copy() for k, v in w.items()}), 0) if loss < best[0] else (best, since + 1)
-            if since > patience:
-                break
-        return best[1] | fixed
-
-    return fit
-
-
-def _network_effect(w: dict, x: np.ndarray) -> tuple[np.ndarray, ...]:
-    p = _sigmoid(_trunk(w, x)[-1] @ w["w3"] + w["b3"])
-    return (p[:, 1] - p[:, 0],)
-
-
-def dragonnet(train: DataFrame, columns: list[str], width: int = 64, epochs: int = 60, batch: int = 512, step: float = 1e-3, decay: float = 1e-4, patience: int = 8, most_rows: int = 200_000, seed: int = 0, validation: DataFrame | None = None) -> Fitted:
-    """Fitted on at most `most_rows` rows of each arm. It stops by the loss on `validation` (at most a quarter as many rows), or on 15 % of the rows if none is given."""
-    sample = per_arm_cap(train, {0: most_rows, 1: most_rows}, f"dragon{seed}")
-    if validation is not None:
-        held = per_arm_cap(validation, {0: most_rows // 4, 1: most_rows // 4}, f"dragon{seed}")
-        sample = sample.select("epk_id", "t", "y", *columns).unionByName(held.select("epk_id", "t", "y", *columns).withColumn("hold", F.lit(True)), allowMissingColumns=True)
-    model = _in_one_task(sample, columns, _fit_network(width, epochs, batch, step, decay, patience, seed))
-    return Fitted("dragonnet", lambda df: _score(df, columns, model, _network_effect), {"width": width, "epochs": epochs, "most_rows": most_rows})
 
-
-# ---- nearest neighbours in a bounded context
-
-
-def _context(x: np.ndarray, t: np.ndarray, y: np.ndarray) -> dict:
-    spread = np.where(x.std(0) > 1e-9, x.std(0), 1.0)
-    return {"spread": spread, "x": x / spread, "t": t, "y": y}
+def dragonnet(train: DataFrame, columns: list[str], width: int = 128, epochs: int = 100, batch: int = 512, step: float = 1e-3, decay: float = 1e-4, patience: int = 12, seed: int = 42, validation: DataFrame | None = None) -> Fitted:
+    """Trained on all rows; it stops by the loss on `validation`, or on 15 % of the rows if none is given."""
+    net = network.Net(width, epochs, batch, step, decay, patience, seed)
+    w = network.fit(train, columns, net, validation)
+    return Fitted("dragonnet", lambda df: _score(df, columns, Effect(network.effect, w)), vars(net) | {"validation_loss": float(w["loss"][0]), "epochs_used": int(w["epochs"][0])})
 
 
-def neighbour_mean(context: dict, x: np.ndarray, a: int, k: int) -> np.ndarray:
-    own = context["t"] == a
-    have, y = context["x"][own], context["y"][own]
-    k, out, x = min(k, len(y)), np.empty(len(x)), x / context["spread"]
-    for low in range(0, len(x), 4096):
-        d = (have * have).sum(1) - 2 * x[low : low + 4096] @ have.T
-        out[low : low + 4096] = y[np.argpartition(d, k - 1, axis=1)[:, :k]].mean(1)
-    return out
-
-
-def neighbour_stand_in(train: DataFrame, columns: list[str], neighbours: int = 64, context: int = 4096, seed: int = 0) -> Fitted:
-    """Difference of the arms' mean outcomes among the nearest context rows. Adds cate, mu0 and mu1."""
-    sample = context_sample(train, context, f"context{seed}")
-    arms = {r["t"]: r["count"] for r in sample.groupBy("t").count().collect()}
+def neighbour_stand_in(train: DataFrame, columns: list[str], neighbours: int = 64) -> Fitted:
+    """Difference of the arms' mean outcomes among the nearest of all training rows. Adds cate, mu0 and mu1; rows are known by epk_id."""
+    check_whole("neighbours", neighbours, 1)
+    arms = {r["t"]: r["count"] for r in train.groupBy("t").count().collect()}
     require(len(arms) == 2, "the context lacks an arm")
-    k = max(1, min(neighbours, *arms.values(), context // 2))
-    model = _in_one_task(sample, columns, _context)
+    k = min(neighbours, *arms.values())
+    have = train.select("epk_id", "t", "y", *columns)
 
-    def predict(m: dict, x: np.ndarray) -> tuple[np.ndarray, ...]:
-        mu0, mu1 = neighbour_mean(m, x, 0, k), neighbour_mean(m, x, 1, k)
-        return mu1 - mu0, mu0, mu1
+    def predict(df: DataFrame) -> DataFrame:
+        near = nearest(df.select("epk_id", *columns), have, columns, k, "t")
+        mean = {a: F.avg(F.when(F.col("grp") == a, F.col("y"))) for a in (0, 1)}
+        found = near.groupBy(F.col("query").alias("epk_id")).agg((mean[1] - mean[0]).alias("cate"), mean[0].alias("mu0"), mean[1].alias("mu1"))
+        return df.join(found, "epk_id").select(*df.columns, "cate", "mu0", "mu1")
 
-    return Fitted("neighbour_stand_in", lambda df: _score(df, columns, model, predict, ("cate", "mu0", "mu1")), {"neighbours": k, "context": context})
+    return Fitted("neighbour_stand_in", predict, {"neighbours": k})
 
 
 def stand_in_pseudo_labels(train: DataFrame, columns: list[str], folds: int = 2, low: float = 0.02, seed: int = 0) -> DataFrame:
     """`train` with the cross-fitted doubly robust pseudo-label of the stand-in, clipped to [0, 1]."""
     e = treated_share(train, low)
-    crossed = out_of_fold(train, folds, seed, lambda rows: neighbour_stand_in(rows, columns, seed=seed).predict)
+    crossed = out_of_fold(train, folds, seed, lambda rows: neighbour_stand_in(rows, columns).predict)
     return crossed.withColumn("label", F.greatest(F.lit(0.0), F.least(F.lit(1.0), aipw(F.col("mu0"), F.col("mu1"), F.lit(e), F.col("t"), F.col("y")))))
 
 
 def x_over_stand_in(train: DataFrame, columns: list[str], folds: int = 2, seed: int = 0, trees: Trees = Trees()) -> Fitted:
     """X-learner whose outcome means come from the stand-in, out of fold, and whose effects are boosted trees on `features`."""
     g = treated_share(train, 1e-3)
-    crossed = out_of_fold(train, folds, seed, lambda rows: neighbour_stand_in(rows, columns, seed=seed).predict)
+    crossed = out_of_fold(train, folds, seed, lambda rows: neighbour_stand_in(rows, columns).predict)
     d = F.when(F.col("t") == 1, F.col("y") - F.col("mu0")).otherwise(F.col("mu1") - F.col("y"))
-    rows = crossed.withColumn("__d", d)
-    tau0, tau1 = (trees.regressor(rows.filter(F.col("t") == a), "__d") for a in (0, 1))
-    return Fitted("x_over_stand_in", lambda df: tau1(tau0(df, "__0"), "__1").withColumn("cate", g * F.col("__0") + (1 - g) * F.col("__1")).drop("__0", "__1"), {"folds": folds})
+    forest = trees.grow(crossed.withColumn("__d", d), [Goal(F.col("__d"), F.col("t") == a, binary=False) for a in (0, 1)])
+    return Fitted("x_over_stand_in", lambda df: forest.add(df, {"__0": 0, "__1": 1}).withColumn("cate", g * F.col("__0") + (1 - g) * F.col("__1")).drop("__0", "__1"), {"folds": folds})

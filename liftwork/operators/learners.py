@@ -56,11 +56,12 @@ class Trees:
 
 @dataclass(frozen=True)
 class Fitted:
-    """A learner after fit: adds cate, and knows its settings."""
+    """A learner after fit: adds cate, and knows its settings and whether cate is a difference or a ratio."""
 
     name: str
     add: Callable[[DataFrame], DataFrame]
     settings: dict
+    scale: str = "difference"
 
     def predict(self, df: DataFrame) -> DataFrame:
         return self.add(df)
@@ -150,7 +151,7 @@ def q_learner(train: DataFrame, trees: Trees = Trees(), ratio: bool = False, lea
         mu1, mu0 = q_means(a, b, F.col("__m"))
         return df.withColumn("cate", mu1 - mu0).drop("__e", "__p", "__m")
 
-    return Fitted("q_learner_ratio" if ratio else "q_learner", add, vars(trees) | {"n_converters": facts["n"], "least_converters": least_converters})
+    return Fitted("q_learner_ratio" if ratio else "q_learner", add, vars(trees) | {"n_converters": facts["n"], "least_converters": least_converters}, "ratio" if ratio else "difference")
 
 
 def residual_correction(train: DataFrame, base: Callable[[DataFrame], Fitted], trees: Trees = Trees(), folds: int = 3, low: float = 0.02, strength: float = 1.0, trim: float = 0.01, linear: bool = True, centre: bool = False) -> Fitted:

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .quantiles import percentiles
@@ -104,9 +106,13 @@ def frequency_ordinal(df: DataFrame, column: str) -> DataFrame:
     return in_order(counts.orderBy(F.desc("n"), "value"), "__nth").select("value", "n", (F.col("__nth") - 1).cast("int").alias("ordinal"))
 
 
-def principal_components(df: DataFrame, columns: list[str], k: int, keep: list[str]) -> DataFrame:
-    """`keep` and pc, the first k principal components of the columns."""
-    from pyspark.ml.feature import PCA, VectorAssembler
-
+def principal_axes(df: DataFrame, columns: list[str], k: int) -> np.ndarray:
+    """The directions of the first k principal components, one in each column."""
     rows = VectorAssembler(inputCols=columns, outputCol="__features").transform(df)
-    return PCA(k=k, inputCol="__features", outputCol="pc").fit(rows).transform(rows).select(*keep, "pc")
+    return PCA(k=k, inputCol="__features", outputCol="__pc").fit(rows.select("__features")).pc.toArray()
+
+
+def principal_components(df: DataFrame, columns: list[str], k: int, keep: list[str]) -> DataFrame:
+    """`keep` and pc, the first k principal components of the columns as an array."""
+    axes = principal_axes(df, columns, k)
+    return df.select(*keep, F.array(*(sum((F.col(c).cast("double") * float(axes[i, j]) for i, c in enumerate(columns)), F.lit(0.0)) for j in range(k))).alias("pc"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite, hparam_tag
-from ..functions.statistics import pearson, spearman
+from ..functions.statistics import student_two_sided
 from ..shipping import ship
+from ..sources.scratch import settled
 from .bootstrap import paired
 from .resample import severity_order
 
@@ -121,24 +121,61 @@ def effect_table(metrics: DataFrame) -> DataFrame:
     return good.groupBy("dataset", "axis", "severity_tag", "model").agg(F.avg("pehe").alias("pehe_mean"), F.stddev_samp("pehe").alias("pehe_std"), F.count("pehe").alias("pehe_count"), F.avg("qini").alias("qini_mean"), F.avg("abs_ate_error").alias("abs_ate_error_mean"))
 
 
-AGREEMENT = "dataset string, axis string, severity_tag string, n_methods int, spearman_rho double, p_value double, value_correlation double, pehe_order string, qini_order string"
+EXACT = 8
+
+
+def correlation(a: str, b: str) -> Column:
+    """Null where one of the two does not vary."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
+def _average_rank(value: Column, cell: list[str]) -> Column:
+    """Ranks from 1 within a cell, ties sharing their mean."""
+    return F.rank().over(Window.partitionBy(*cell).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*cell, value)) - 1) / 2
+
+
+def permutation_p_values(ranks: DataFrame, cell: list[str]) -> DataFrame:
+    """cell, p_value: how many orders of y agree with x at least as strongly as the given one. ranks: cell, n (at most EXACT), rho, x, y.
+
+    The orders of n values are the numbers below n!, written in the factorial number system: each digit picks one of the values left.
+    """
+
+    def pick(state: Column, left_over: Column) -> Column:
+        size = F.factorial(left_over - 1)
+        at = F.call_function("div", state["k"], size)
+        rest = F.concat(F.slice(state["rest"], 1, at.cast("int")), F.slice(state["rest"], at.cast("int") + 2, F.col("n")))
+        return F.struct(rest.alias("rest"), (state["k"] % size).alias("k"), (state["dot"] + F.get("x", F.col("n") - left_over) * F.get(state["rest"], at.cast("int"))).alias("dot"))
+
+    orders = ranks.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.factorial("n") - 1)))
+    first = F.struct(F.col("y").alias("rest"), F.col("k").alias("k"), F.lit(0.0).alias("dot"))
+    dot = F.reduce(F.sequence(F.col("n"), F.lit(1), F.lit(-1)), first, pick, lambda state: state["dot"])
+    middle = F.col("n") * (F.col("n") + 1.0) * (F.col("n") + 1.0) / 4
+    own = lambda c: F.sqrt(F.reduce(c, F.lit(0.0), lambda a, v: a + v * v) - middle)
+    rho = (dot - middle) / (own("x") * own("y"))
+    return orders.groupBy(*cell).agg(F.avg((F.abs(rho) >= F.abs("rho") - 1e-12).cast("double")).alias("p_value"))
 
 
 def rank_agreement(table: DataFrame) -> DataFrame:
-    """Whether a low error goes with a high Qini, over the methods of each cell (three at least)."""
+    """Whether a low error goes with a high Qini, over the methods of each cell (three at least): exact p-values up to EXACT methods, Student t beyond."""
     ship(table.sparkSession)
+    cell = ["dataset", "axis", "severity_tag"]
+    rows = table.filter(finite(F.col("pehe_mean")) & finite(F.col("qini_mean"))).withColumn("better", -F.col("pehe_mean"))
+    rows = rows.withColumns({"x": _average_rank(F.col("better"), cell), "y": _average_rank(F.col("qini_mean"), cell)})
+    listed = lambda *c: F.array_sort(F.collect_list(F.struct(*c)))
+    names = lambda by: F.array_join(F.transform(listed(by, F.col("model")), lambda r: r["model"]), " > ")
+    found = rows.groupBy(*cell).agg(
+        F.count(F.lit(1)).cast("int").alias("n"), correlation("x", "y").alias("rho"), correlation("better", "qini_mean").alias("value_correlation"), listed(F.col("model"), F.col("x"), F.col("y")).alias("all"),
+        names(F.col("pehe_mean")).alias("pehe_order"), names((-F.col("qini_mean")).alias("q")).alias("qini_order"),
+    )
+    found = settled(found.filter("n >= 3").select("*", F.col("all.x").alias("x"), F.col("all.y").alias("y")).drop("all"), "agreement")  # one row for each cell
+    exact = permutation_p_values(found.filter((F.col("n") <= EXACT) & F.col("rho").isNotNull()), cell)
+
+    @F.pandas_udf("double")
+    def student(rho: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([0.0 if abs(r) >= 1 else student_two_sided(r * ((m - 2) / (1 - r * r)) ** 0.5, m - 2) for r, m in zip(rho, n, strict=True)], dtype=float)
 
-    def agree(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("model")
-        pehe, qini = part["pehe_mean"].to_numpy(float), part["qini_mean"].to_numpy(float)
-        good = np.isfinite(pehe) & np.isfinite(qini)
-        if good.sum() < 3:
-            return pd.DataFrame(columns=[f.split()[0] for f in AGREEMENT.split(", ")])
-        names, pehe, qini = part["model"].to_numpy()[good], pehe[good], qini[good]
-        rho, p = spearman(-pehe, qini)
-        return pd.DataFrame([[*key, int(good.sum()), rho, p, pearson(-pehe, qini), " > ".join(names[np.argsort(pehe, kind="stable")]), " > ".join(names[np.argsort(-qini, kind="stable")])]], columns=[f.split()[0] for f in AGREEMENT.split(", ")])
-
-    return table.groupBy("dataset", "axis", "severity_tag").applyInPandas(agree, AGREEMENT)  # one row for each method of a cell
+    many = found.filter((F.col("n") > EXACT) & F.col("rho").isNotNull()).select(*cell, student("rho", "n").alias("p_value"))
+    return found.join(exact.unionByName(many), cell, "left").select(*cell, F.col("n").alias("n_methods"), F.col("rho").alias("spearman_rho"), "p_value", "value_correlation", "pehe_order", "qini_order")
 
 
 def with_series(metrics: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, sigmoid, uniform
+from ..sources.scratch import settled
 from .validate import require
 
 
@@ -25,7 +26,7 @@ class Spec:
 
 def standardised(df: DataFrame, signals: dict[str, Column]) -> DataFrame:
     """`df` with the signals scaled to mean 0 and population deviation 1 (constants become 0), by one aggregation."""
-    df = df.withColumns(signals)
+    df = settled(df.withColumns(signals), "signals")  # several passes follow
     facts = df.agg(*(F.avg(c).alias(f"m_{c}") for c in signals), *(F.stddev_pop(c).alias(f"s_{c}") for c in signals)).first()
     return df.withColumns({c: (F.col(c) - facts[f"m_{c}"]) / facts[f"s_{c}"] if facts[f"s_{c}"] > 1e-12 else F.lit(0.0) for c in signals})
 

@@ -18,6 +18,8 @@ from .validate import require
 
 SPLITS = ("train", "validation", "test")
 BUCKETS = 4096
+#: Rows of a bucket that are sorted; larger buckets are counted again by buckets of their own.
+LOOK_INTO = 100_000
 Cut = tuple[float, object]
 
 
@@ -37,21 +39,41 @@ def bucket_counts(df: DataFrame, u: Column, by: list[str]) -> dict[tuple, list[t
     return {k: sorted(v) for k, v in out.items()}
 
 
-def cuts(df: DataFrame, u: Column, ident: str, by: list[str], counts: dict[tuple, list[tuple[int, int]]], ranks: dict[tuple, list[int]]) -> dict[tuple[tuple, int], Cut]:
-    """(uniform, id) of the rows with the wanted ranks (from 1) in each stratum; ranks beyond its rows have none."""
-    wanted: dict[tuple, list[tuple[int, int]]] = {}  # (stratum, bucket) -> (rank, rank inside)
+def _holding(counts: dict[tuple, list[tuple[int, int]]], ranks: dict[tuple, list[int]]) -> tuple[dict[tuple, list[tuple[int, int]]], dict[tuple, int]]:
+    """((stratum, bucket) -> (rank, rank inside), rows of those buckets) for the buckets that hold a rank."""
+    wanted: dict[tuple, list[tuple[int, int]]] = {}
+    sizes: dict[tuple, int] = {}
     for key, many in ranks.items():
         for rank in set(many):
             below = 0
             for bucket, n in counts.get(key, []):
                 if below < rank <= below + n:
                     wanted.setdefault((*key, bucket), []).append((rank, rank - below))
+                    sizes[(*key, bucket)] = n
                     break
                 below += n
+    return wanted, sizes
+
+
+def cuts(df: DataFrame, u: Column, ident: str, by: list[str], counts: dict[tuple, list[tuple[int, int]]], ranks: dict[tuple, list[int]]) -> dict[tuple[tuple, int], Cut]:
+    """(uniform, id) of the rows with the wanted ranks (from 1) in each stratum; ranks beyond its rows have none."""
+    wanted, sizes = _holding(counts, ranks)
     if not wanted:
         return {}
+    bucket, scale = _bucket(u), BUCKETS
+    while max(sizes.values()) > LOOK_INTO and scale < BUCKETS**3:  # a bucket is counted again by its own buckets
+        here = reduce(lambda a, b: a | b, (_same(by, k[:-1]) & (bucket == k[-1]) for k in wanted))
+        scale, before = scale * BUCKETS, wanted
+        bucket = F.floor(u * scale).cast("long")
+        inner: dict[tuple, list[tuple[int, int]]] = {}
+        for r in df.filter(here).groupBy(*by, bucket.alias("bucket")).count().collect():  # BUCKETS for each wanted rank
+            inner.setdefault((*(r[c] for c in by), r["bucket"] // BUCKETS), []).append((r["bucket"], r["count"]))
+        finer, sizes = _holding({k: sorted(v) for k, v in inner.items()}, {k: [n for _, n in v] for k, v in before.items()})
+        outer = {k: dict((n, rank) for rank, n in v) for k, v in before.items()}
+        wanted = {(*k[:-2], k[-1]): [(outer[k[:-1]][n], inside) for n, inside in v] for k, v in finer.items()}
+        sizes = {(*k[:-2], k[-1]): n for k, n in sizes.items()}
     here = {k: _same([*by, "bucket"], k) for k in wanted}
-    rows = df.select(*by, F.col(ident).alias("id"), u.alias("u"), _bucket(u).alias("bucket")).filter(reduce(lambda a, b: a | b, here.values()))
+    rows = df.select(*by, F.col(ident).alias("id"), u.alias("u"), bucket.alias("bucket")).filter(reduce(lambda a, b: a | b, here.values()))
     ranked = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*by, "bucket").orderBy("u", "id")))
     hit = reduce(lambda a, b: a | b, (here[k] & F.col("nth").isin([n for _, n in v]) for k, v in wanted.items()))
     out = {}
@@ -102,10 +124,9 @@ def group_key(*columns: str) -> Column:
 
 
 def group_safe_split(df: DataFrame, group: str, seed: int, test: float = 0.2, validation: float = 0.2) -> DataFrame:
-    """`df` with split; all rows of a group share it. The fractions hold for groups, so row counts drift."""
-    groups = df.select(group).distinct().withColumn("u", uniform(group, f"group{seed}"))
-    split = F.when(F.col("u") < test, "test").when(F.col("u") < test + validation, "validation").otherwise("train")
-    return df.join(groups.select(group, split.alias("split")), group)
+    """`df` with split; all rows of a group share it, as it follows from the group alone. The fractions hold for groups, so row counts drift."""
+    u = uniform(group, f"group{seed}")
+    return df.withColumn("split", F.when(u < test, "test").when(u < test + validation, "validation").otherwise("train"))
 
 
 def group_exact_split(df: DataFrame, group: str, seed: int, test: float = 0.2, validation: float = 0.2) -> DataFrame:

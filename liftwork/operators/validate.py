@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +17,10 @@ def require(ok: bool, message: str) -> None:
         raise ValueError(message)
 
 
-def metric_inputs(df: DataFrame) -> DataFrame:
-    """One row of facts on t, y and score that metrics need: n, finite and binary counts, arms."""
+def metric_inputs(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """A row of facts on t, y and score that metrics need, for each key: n, finite and binary counts, arms."""
     y, t, s = F.col("y"), F.col("t"), F.col("score")
-    return df.agg(
+    return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(finite(s.cast("double"))).alias("finite_scores"), F.count_if(y.isin(0, 1)).alias("binary_y"),
         F.count_if(t.isin(0, 1)).alias("binary_t"), F.count_distinct("t").alias("arms"), F.count_distinct("y").alias("outcomes"),
     )

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as fn
-from ..operators import bootstrap, curves, diagnostics, kernels, learners, prepare, regimes, resample, semisynth, splits, trials, validate
+from ..operators import bootstrap, curves, diagnostics, kernels, learners, neighbours, prepare, regimes, resample, semisynth, splits, trials, validate
 from ..sources import tables
+from ..sources.scratch import settled
 from . import runs as runs_of
 from .views import draws, runs, scored, sql, sql_u, table, trial, truth
 
@@ -462,10 +463,20 @@ def pehe_table(spark, d):
     return rounded(regimes.effect_table(runs(spark, d)), 7)
 
 
-@query("spearman_rank")
+@query("spearman_rank", """+ RECURSIVE et AS (SELECT dataset, axis, severity_tag, model, avg(abs(qini - 0.01)) AS p, avg(qini) AS q FROM runs WHERE status = 'ok' AND isfinite(qini) GROUP BY ALL),
+r AS (SELECT *, rank() OVER (PARTITION BY dataset, axis, severity_tag ORDER BY -p) + (count(*) OVER (PARTITION BY dataset, axis, severity_tag, p) - 1) / 2.0::DOUBLE AS rp, rank() OVER (PARTITION BY dataset, axis, severity_tag ORDER BY q) + (count(*) OVER (PARTITION BY dataset, axis, severity_tag, q) - 1) / 2.0::DOUBLE AS rq FROM et),
+cells AS (SELECT dataset, axis, severity_tag, CAST(count(*) AS INT) AS n, corr(rp, rq) AS rho, corr(-p, q) AS v, list(rp ORDER BY model) AS x, list(rq ORDER BY model) AS y,
+  string_agg(model, ' > ' ORDER BY p, model) AS pehe_order, string_agg(model, ' > ' ORDER BY -q, model) AS qini_order FROM r GROUP BY ALL HAVING count(*) >= 3),
+orders AS (SELECT dataset, axis, severity_tag, n, []::INT[] AS o FROM cells UNION ALL
+  SELECT dataset, axis, severity_tag, n, list_append(o, i) FROM orders, range(1, 9) AS s(i) WHERE len(o) < n AND i <= n AND NOT list_contains(o, i)),
+picked AS (SELECT o.dataset, o.axis, o.severity_tag, row_number() OVER () AS k, rho, x, list_transform(o.o, lambda i: y[i]) AS y FROM orders o JOIN cells c ON c.dataset = o.dataset AND c.axis = o.axis AND c.severity_tag = o.severity_tag WHERE len(o.o) = o.n),
+flat AS (SELECT dataset, axis, severity_tag, k, rho, unnest(x) AS a, unnest(y) AS b FROM picked), each AS (SELECT dataset, axis, severity_tag, k, abs(corr(a, b)) >= abs(any_value(rho)) - 1e-12 AS hit FROM flat GROUP BY ALL),
+ps AS (SELECT dataset, axis, severity_tag, avg(CASE WHEN hit THEN 1.0::DOUBLE ELSE 0 END) AS p_value FROM each GROUP BY ALL)
+SELECT c.dataset, c.axis, c.severity_tag, n AS n_methods, round(rho, 6) + 0.0 AS spearman_rho, round(p_value, 6) AS p_value, round(v, 6) + 0.0 AS value_correlation, pehe_order, qini_order FROM cells c LEFT JOIN ps USING (dataset, axis, severity_tag)""", "runs")
 def spearman_rank(spark, d):
     scored_runs = runs(spark, d).withColumn("pehe", F.abs(F.col("qini") - 0.01))
-    return rounded(regimes.rank_agreement(regimes.effect_table(scored_runs)), 6)
+    found = regimes.rank_agreement(regimes.effect_table(scored_runs))
+    return found.select("dataset", "axis", "severity_tag", "n_methods", (F.round("spearman_rho", 6) + 0.0).alias("spearman_rho"), F.round("p_value", 6).alias("p_value"), (F.round("value_correlation", 6) + 0.0).alias("value_correlation"), "pehe_order", "qini_order")
 
 
 # ---- trials and sweeps
@@ -639,6 +650,7 @@ for _name, _fit in {
     "residual_correction": lambda rows: learners.residual_correction(rows, lambda some: kernels.neighbour_stand_in(some, FEATURES)),
     "gp_cate": lambda rows: kernels.gp_cate(rows, FEATURES),
     "dragonnet": lambda rows: kernels.dragonnet(rows, FEATURES),
+    "x_over_stand_in": lambda rows: kernels.x_over_stand_in(rows, FEATURES),
     "neighbour_stand_in": lambda rows: kernels.neighbour_stand_in(rows, FEATURES),
 }.items():
     _learner(_name, _fit)
@@ -654,6 +666,29 @@ def risk_scores(spark, d):
     return learners.risk_scores(learner_cell(spark, d)).select("epk_id", "split", F.round("risk", 6).alias("risk"))
 
 
+# ---- nearest rows of each arm
+
+NEAR = ["price", "balance", "order_month"]
+NEAR_SQL = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in NEAR)
+
+
+@query("nearest_means", f"""+{SPLIT}, z AS (SELECT epk_id, t, y, split, price / 1e5 AS price, coalesce(balance, 0.0::DOUBLE) / 1e4 AS balance, order_month / 12.0::DOUBLE AS order_month FROM split),
+d AS (SELECT a.epk_id, b.t, b.y, row_number() OVER (PARTITION BY a.epk_id, b.t ORDER BY {NEAR_SQL}, b.epk_id) AS k FROM z a JOIN z b ON a.split = 'test' AND b.split = 'train')
+SELECT epk_id, round(avg(y) FILTER (WHERE t = 0), 8) AS mu0, round(avg(y) FILTER (WHERE t = 1), 8) AS mu1 FROM d WHERE k <= 64 GROUP BY epk_id""", "trial")
+def nearest_means(spark, d):
+    price, balance, month = F.col("price") / 1e5, F.coalesce("balance", F.lit(0.0)) / 1e4, F.col("order_month") / 12.0
+    rows = splits.stratified_split(settled(trial(spark, d), "trial"), 7).select("epk_id", "t", "y", "split", price.alias("price"), balance.alias("balance"), month.alias("order_month"))
+    near = neighbours.nearest(rows.filter("split = 'test'"), rows.filter("split = 'train'"), NEAR, 64, "t")
+    mean = {a: F.round(F.avg(F.when(F.col("grp") == a, F.col("y"))), 8) for a in (0, 1)}
+    return near.groupBy(F.col("query").alias("epk_id")).agg(mean[0].alias("mu0"), mean[1].alias("mu1"))
+
+
+@query("validate_all_scorers", """SELECT model, count(*) AS n, count(*) FILTER (WHERE isfinite(score)) AS finite_scores, count(*) FILTER (WHERE y IN (0, 1)) AS binary_y,
+  count(*) FILTER (WHERE t IN (0, 1)) AS binary_t, count(DISTINCT t) AS arms, count(DISTINCT y) AS outcomes FROM scored GROUP BY model""", "scored")
+def validate_all_scorers(spark, d):
+    return validate.metric_inputs(scored(spark, d), ["model"])
+
+
 # ---- row by row what other queries only sum up
 
 @query("context_sample", f"SELECT epk_id FROM (SELECT epk_id, u, row_number() OVER (PARTITION BY t, y ORDER BY u, epk_id) AS k FROM (SELECT *, {sql_u('epk_id', 'context')} AS u FROM trial)) ORDER BY k > 1, u, epk_id LIMIT 400", "trial")

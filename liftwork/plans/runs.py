@@ -9,6 +9,7 @@ import json
 import os
 import time
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bootstrap, curves, diagnostics, learners, prepare, regimes, resample, splits, trials, validate
 from ..sources import tables
+from ..sources.scratch import settled
 
 METRICS = ("qini_auc_normalized", "qini_coefficient", "uplift_auc_normalized", "auuc", "uplift_at_10pct", "uplift_at_20pct", "ate_observed", "cate_mean", "cate_std")
 ROW = "dataset string, axis string, severity_tag string, severity double, seed int, model string, status string, message string, fit_seconds double, predict_seconds double, " + ", ".join(f"{m} double" for m in METRICS) + ", pehe double, abs_ate_error double"
@@ -58,7 +60,7 @@ def prepare_cell(rows: DataFrame, numeric: list[str], categorical: list[str], se
         diagnostics.precondition(rows.filter("split = 'train'"), numeric, alpha)
     if risk is not None and not resample.AXES[axis].is_anchor(severity) and resample.AXES[axis].kind == "lambda":
         rows, risk = with_risk(rows, numeric, categorical, risk)
-    rows = degrade(rows, axis, severity, seed, risk)
+    rows = settled(degrade(rows, axis, severity, seed, risk), "cell")  # every check and statistic reads it
     if equal_rows:
         rows, reached = resample.equalize(rows, equal_rows, f"equal{seed}")
         short = [r["split"] for r in reached.filter("NOT reached").collect()]
@@ -67,7 +69,7 @@ def prepare_cell(rows: DataFrame, numeric: list[str], categorical: list[str], se
     validate.require(not gate, f"degenerate_regime: too few events in {[r['split'] for r in gate]}")
     keep = ["epk_id", "split", "t", "y", *(["tau"] if "tau" in rows.columns else [])]
     ready, fitted = prepare.prepare(rows, numeric, categorical, keep)
-    return VectorAssembler(inputCols=fitted.names(), outputCol="features").transform(ready).persist()
+    return settled(VectorAssembler(inputCols=fitted.names(), outputCol="features").transform(ready), "prepared")
 
 
 def predictions(cell: DataFrame, model: learners.Fitted, split: str) -> DataFrame:
@@ -81,9 +83,11 @@ def score_row(cell: DataFrame, name: str, fit: Callable[[DataFrame], learners.Fi
     try:
         model = fit(cell.filter("split = 'train'"))
         fitted = time.time()
-        scored = predictions(cell, model, split).withColumn("model", F.lit(name)).persist()
+        scored = predictions(cell, model, split).withColumn("model", F.lit(name))
+        scored = settled(scored, "scored")
         found = curves.evaluate_uplift(scored, ["model"]).first().asDict()
-        found |= regimes.effect_error(scored, ["model"]).first().asDict() if "tau" in scored.columns else {}
+        if "tau" in scored.columns and model.scale == "difference":  # a ratio has no error against a difference
+            found |= regimes.effect_error(scored, ["model"]).first().asDict()
         return found | {"status": "ok", "fit_seconds": fitted - began, "predict_seconds": time.time() - fitted}, scored
     except Exception as e:
         return {"model": name, "status": "degenerate_regime" if "degenerate_regime" in str(e) else "error", "message": str(e)[:500]}, None
@@ -111,7 +115,6 @@ def sweep(spark: SparkSession, load: Callable[[str], DataFrame], datasets: Itera
         try:
             cell = prepare_cell(load(c["dataset"]), numeric, categorical, c["seed"], c["axis"], c["severity"], risk=risk)
             metrics, scored = compare(spark, cell, models, **where)
-            cell.unpersist()
         except ValueError as e:
             names = [f.split()[0] for f in ROW.split(", ")]
             bad = where | {"status": "degenerate_regime" if "degenerate_regime" in str(e) else "error", "message": str(e)[:500]}
@@ -123,12 +126,17 @@ def sweep(spark: SparkSession, load: Callable[[str], DataFrame], datasets: Itera
         tables.write_json(f"{folder}/done.json", where)
 
 
+def of_cell(scored: DataFrame, cell, keys: list[str]) -> DataFrame:
+    """The rows of a cell; nulls and quotes are values like others."""
+    return scored.filter(reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.lit(cell[k])) for k in keys)))
+
+
 def cell_draws(scored: DataFrame, draws: int, seed: int, most_rows: int | None = None) -> DataFrame:
     """Long bootstrap draws of all cells of a predictions table: dataset, axis, severity_tag, seed, model, metric, b, value."""
     keys = [*bootstrap.CELL, "seed"]
     out = []
     for c in scored.select(*keys).distinct().collect():  # one row for each cell
-        own = scored.filter(" AND ".join(f"{k} = {c[k]!r}" for k in keys)).select("epk_id", "model", "t", "y", "score")
+        own = of_cell(scored, c, keys).select("epk_id", "model", "t", "y", "score")
         if most_rows:
             own = own.join(splits.exact_cap(own.select("epk_id").distinct(), most_rows, f"boot{seed}"), "epk_id", "left_semi")
         validate.require(bootstrap.aligned(own).isEmpty(), "models score different rows")
@@ -141,14 +149,14 @@ def cell_table(scored: DataFrame, draws: int, seed: int, level: float = 0.95) ->
     """dataset, axis, severity_tag, seed, model, metric, point_estimate, n_rows, ci_low, ci_high, n_draws, n_failed_resamples of each cell."""
     keys, out = [*bootstrap.CELL, "seed"], []
     for c in scored.select(*keys).distinct().collect():  # one row for each cell
-        own = scored.filter(" AND ".join(f"{k} = {c[k]!r}" for k in keys)).select("epk_id", "model", "t", "y", "score")
+        own = of_cell(scored, c, keys).select("epk_id", "model", "t", "y", "score")
         out.append(bootstrap.draw_table(own, ["model"], draws, seed, level).select(*(F.lit(c[k]).alias(k) for k in keys), "*"))
     return trials.union(*out)
 
 
 def analyse(metrics: DataFrame, scored: DataFrame, reference: str, draws: int = 1000, seed: int = 0, level: float = 0.95, metric: str = "qini_auc_normalized") -> dict[str, DataFrame]:
     """The tables of a sweep: pooled, paired, breakpoints, robustness index, effect errors and rank agreement."""
-    long = cell_draws(scored, draws, seed).filter(F.col("metric") == metric).persist()
+    long = settled(cell_draws(scored, draws, seed).filter(F.col("metric") == metric), "draws")
     pairs = bootstrap.paired(long, reference, level)
     breaks = regimes.breakpoints(pairs, metrics)
     effects = regimes.effect_table(metrics.withColumn("qini", F.col("qini_auc_normalized")))

@@ -115,4 +115,7 @@ def sql(query: str, *parts: str) -> str:
         return [*(x for n in PARTS[name][1] for x in needed(n)), name]
 
     names = dict.fromkeys(x for p in parts for x in needed(p))
-    return "WITH " + reduce(lambda a, b: f"{a},\n{b}", (PARTS[n][0] for n in names)) + (",\n" if query.lstrip().startswith("+") else "\n") + query.lstrip().removeprefix("+")
+    body = query.lstrip()
+    recursive = body.startswith("+ RECURSIVE ")
+    query = body.replace("+ RECURSIVE ", "+ ", 1)
+    return ("WITH RECURSIVE " if recursive else "WITH ") + reduce(lambda a, b: f"{a},\n{b}", (PARTS[n][0] for n in names)) + (",\n" if query.lstrip().startswith("+") else "\n") + query.lstrip().removeprefix("+")

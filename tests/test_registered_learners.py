@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from liftwork.functions import statistics as st
-from liftwork.operators import boosting, kernels, learners
+from liftwork.operators import boosting, gaussian, kernels, learners, network
 from liftwork.plans import queries as q
 
 #: Tree models of each stage that a query grows.
@@ -42,21 +42,13 @@ def test_learners_rank_a_known_effect(spark, sf):
     assert min(rho.values()) > 0.05, rho
 
 
-class Stop(Exception):
-    pass
-
-
-def test_kernels(spark, sf, monkeypatch):
-    seen = []
-
-    def stop(sample, columns, fit):
-        raise Stop
-
-    monkeypatch.setattr(kernels, "_in_one_task", stop)
-    monkeypatch.setattr(kernels, "per_arm_cap", lambda train, caps, salt: seen.append(caps))
-    monkeypatch.setattr(kernels, "_fit_arms", lambda components: seen.append(components))
-    monkeypatch.setattr(kernels, "_fit_network", lambda width, epochs, *more: seen.append((width, epochs)))
-    for name in ("gp_cate", "dragonnet"):
-        with pytest.raises(Stop):
-            q.QUERIES[name](spark, sf)
-    assert seen == [{0: 2000, 1: 500}, 8, {0: 200_000, 1: 200_000}, (64, 60)]
+def test_other_learners(spark, sf, monkeypatch):
+    """The defaults that queries use, over all training rows."""
+    seen, nets, gps = [], network.fit, gaussian.fit
+    monkeypatch.setattr(kernels.network, "fit", lambda rows, columns, net, validation: seen.append((rows.count(), net)) or nets(rows, columns, net, validation))
+    monkeypatch.setattr(kernels.gaussian, "fit", lambda rows, caps, *more, **how: seen.append((rows.count(), caps, *more)) or gps(rows, caps, *more, **how))
+    n = q.learner_cell(spark, sf).filter("split = 'train'").count()
+    for name in ("gp_cate", "dragonnet", "neighbour_stand_in", "x_over_stand_in"):
+        got = q.QUERIES[name](spark, sf).toPandas()
+        assert len(got) > 0 and np.isfinite(got["cate"]).all() and got["cate"].nunique() > 10, name
+    assert seen == [(n, {0: 2000, 1: 500}, 1, 512), (n, network.Net(128, 100, 512, 1e-3, 1e-4, 12, 42))]
