@@ -192,6 +192,7 @@ class Forest:
     def __init__(self, nodes: pd.DataFrame, binary: list[bool]):
         self.binary = binary
         self.models = []
+        self.rows = [int(nodes[nodes["goal"] == k]["rows"].iloc[0]) for k in range(len(binary))]
         for k in range(len(binary)):
             own = nodes[nodes["goal"] == k]
             trees = own[own["tree"] >= 0].sort_values(["tree", "node"])

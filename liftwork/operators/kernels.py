@@ -59,6 +59,7 @@ def gp_cate(train: DataFrame, columns: list[str], components: int = 20, most_con
     x = F.array(*(sum((F.col(c).cast("double") * float(axes[i, j]) for i, c in enumerate(columns)), F.lit(0.0)) for j in range(k))).alias("x")
     arms = gaussian.fit(train.select("epk_id", "t", "y", x), {0: most_control, 1: most_treated}, restarts, inducing, seed=seed)
     settings = {"components": k, "most_control": most_control, "most_treated": most_treated, "restarts": restarts, "inducing": inducing, "level": level}
+    settings |= {"n_components_used": k} | {f"n_{name}_used": len(arms[a].points) for a, name in enumerate(("control", "treated"))}
     return Fitted("gp_cate", lambda df: _score(df, columns, Effect(gaussian.effect, arms, axes, level), ("cate", "cate_low", "cate_high")), settings)
 
 

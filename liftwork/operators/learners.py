@@ -90,9 +90,14 @@ def by_arm(label: Column, where: Column | None = None) -> list[Goal]:
     return [Goal(label, (F.col("t") == a) if where is None else (F.col("t") == a) & where) for a in (0, 1)]
 
 
+def used(forest: Forest) -> dict:
+    """The rows that a learner's first models had, whatever was asked for."""
+    return {"n_control_used": forest.rows[0], "n_treated_used": forest.rows[1]}
+
+
 def t_learner(train: DataFrame, trees: Trees = Trees()) -> Fitted:
     forest = trees.grow(train, by_arm(F.col("y")))
-    return Fitted("t_learner", lambda df: forest.add(df, {"__0": 0, "__1": 1}).withColumn("cate", F.col("__1") - F.col("__0")).drop("__0", "__1"), vars(trees))
+    return Fitted("t_learner", lambda df: forest.add(df, {"__0": 0, "__1": 1}).withColumn("cate", F.col("__1") - F.col("__0")).drop("__0", "__1"), vars(trees) | used(forest))
 
 
 def x_learner(train: DataFrame, trees: Trees = Trees()) -> Fitted:
@@ -101,7 +106,7 @@ def x_learner(train: DataFrame, trees: Trees = Trees()) -> Fitted:
     gap = F.when(F.col("t") == 1, F.col("y") - F.col("__m")).otherwise(F.col("__m") - F.col("y"))
     effects = trees.grow(crossed, [Goal(gap, F.col("t") == a, binary=False) for a in (0, 1)])
     g = treated_share(train, 1e-3)
-    return Fitted("x_learner", lambda df: effects.add(df, {"__0": 0, "__1": 1}).withColumn("cate", g * F.col("__0") + (1 - g) * F.col("__1")).drop("__0", "__1"), vars(trees))
+    return Fitted("x_learner", lambda df: effects.add(df, {"__0": 0, "__1": 1}).withColumn("cate", g * F.col("__0") + (1 - g) * F.col("__1")).drop("__0", "__1"), vars(trees) | used(means))
 
 
 def dealt(train: DataFrame, folds: int, seed: int) -> tuple[DataFrame, int]:

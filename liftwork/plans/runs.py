@@ -12,9 +12,10 @@ from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import seed_of
 from ..operators import bootstrap, curves, diagnostics, learners, prepare, regimes, resample, splits, trials, validate
 from ..sources import tables
 from ..sources.scratch import settled
@@ -23,13 +24,14 @@ METRICS = ("qini_auc_normalized", "qini_coefficient", "uplift_auc_normalized", "
 ROW = "dataset string, axis string, severity_tag string, severity double, seed int, model string, status string, message string, fit_seconds double, predict_seconds double, " + ", ".join(f"{m} double" for m in METRICS) + ", pehe double, abs_ate_error double"
 
 
-def degrade(rows: DataFrame, axis: str, severity, seed: int, risk: str | None = None) -> DataFrame:
-    """`rows` (with split) with the axis' splits resampled at the severity; the anchor changes nothing."""
+def degrade(rows: DataFrame, axis: str, severity, seed: int, risk: str | None = None, splits_to: str | None = None) -> DataFrame:
+    """`rows` (with split) with the axis' splits (or those of `splits_to`) resampled at the severity; the anchor changes nothing."""
     spec = resample.AXES[axis]
     if spec.is_anchor(severity):
         return rows
-    out = rows.filter(~F.col("split").isin(*resample.DEGRADED[spec.splits]))
-    for name in resample.DEGRADED[spec.splits]:
+    targets = resample.degraded_splits(spec, splits_to)
+    out = rows.filter(~F.col("split").isin(*targets))
+    for name in targets:
         part, salt = rows.filter(F.col("split") == name), f"{spec.tag(severity)}/{name}/{seed}"
         if spec.kind == "rows":
             part = resample.subsample(part, int(severity), salt)
@@ -52,22 +54,24 @@ def with_risk(rows: DataFrame, numeric: list[str], categorical: list[str], risk:
     return rows.join(scored.select("epk_id", F.col("risk").alias("row_risk")), "epk_id"), "row_risk"
 
 
-def prepare_cell(rows: DataFrame, numeric: list[str], categorical: list[str], seed: int, axis: str = "scale", severity=None, group: str | None = None, risk: str | None = None, equal_rows: int | None = None, alpha: float | None = None) -> DataFrame:
-    """epk_id, split, t, y, (tau,) features: split, check that covariates tell about the outcome (`alpha`), resample by the
-    axis, cap the splits alike (`equal_rows`), check the events, preprocess by the resampled train split."""
+def prepare_cell(rows: DataFrame, numeric: list[str], categorical: list[str], seed: int, axis: str = "scale", severity=None, group: str | None = None, risk: str | None = None, equal_rows: int | None = None, alpha: float | None = None, splits_to: str | None = None, star: Column | None = None, allow_confounding: bool = False) -> DataFrame:
+    """epk_id, split, t, y, (tau, confounded,) features: split, check that covariates tell about the outcome (`alpha`), resample by the
+    axis (its splits, or those of `splits_to`) or towards a treatment probability of covariates (`star`, by `allow_confounding` alone), cap the splits alike (`equal_rows`), check the events, preprocess by the resampled train split."""
     rows = splits.group_exact_split(rows, group, seed) if group else splits.stratified_split(rows, seed)
     if alpha is not None:
         diagnostics.precondition(rows.filter("split = 'train'"), numeric, alpha)
     if risk is not None and not resample.AXES[axis].is_anchor(severity) and resample.AXES[axis].kind == "lambda":
         rows, risk = with_risk(rows, numeric, categorical, risk)
-    rows = settled(degrade(rows, axis, severity, seed, risk), "cell")  # every check and statistic reads it
+    if star is not None:
+        rows = resample.confounded(rows, star, f"confounded{seed}", allow_confounding)
+    rows = settled(degrade(rows, axis, severity, seed, risk, splits_to), "cell")  # every check and statistic reads it
     if equal_rows:
         rows, reached = resample.equalize(rows, equal_rows, f"equal{seed}")
         short = [r["split"] for r in reached.filter("NOT reached").collect()]
         validate.require(not short, f"degenerate_regime: fewer than {equal_rows} rows in {short}")
     gate = validate.event_gate(rows, ["split"]).filter("degenerate").select("split").collect()
     validate.require(not gate, f"degenerate_regime: too few events in {[r['split'] for r in gate]}")
-    keep = ["epk_id", "split", "t", "y", *(["tau"] if "tau" in rows.columns else [])]
+    keep = ["epk_id", "split", "t", "y", *(c for c in ("tau", "confounded") if c in rows.columns)]
     ready, fitted = prepare.prepare(rows, numeric, categorical, keep)
     return settled(VectorAssembler(inputCols=fitted.names(), outputCol="features").transform(ready), "prepared")
 
@@ -107,11 +111,11 @@ def compare(spark: SparkSession, cell: DataFrame, models: dict[str, Callable[[Da
 
 def sweep(spark: SparkSession, load: Callable[[str], DataFrame], datasets: Iterable[str], axes: Iterable[str], seeds: Iterable[int], models: dict, numeric: list[str], categorical: list[str], out: str, risk: str | None = None) -> None:
     """Every cell of the matrix to `out`, one folder each; cells that are there already are skipped."""
-    for c in trials.sweep_matrix(spark, list(datasets), list(axes), list(seeds)).orderBy("dataset", "axis", "severity_tag", "seed").collect():
+    for c in trials.sweep_matrix(spark, list(datasets), list(axes), list(seeds)).withColumn("cell_seed", seed_of("dataset", "axis", "severity_tag", "seed")).orderBy("dataset", "axis", "severity_tag", "seed").collect():
         folder = f"{out}/{c['dataset']}/{c['axis']}/{c['severity_tag']}/seed_{c['seed']}"
         if os.path.exists(f"{folder}/done.json"):
             continue
-        where = c.asDict()
+        where = {k: v for k, v in c.asDict().items() if k != "cell_seed"}
         try:
             cell = prepare_cell(load(c["dataset"]), numeric, categorical, c["seed"], c["axis"], c["severity"], risk=risk)
             metrics, scored = compare(spark, cell, models, **where)
@@ -122,7 +126,7 @@ def sweep(spark: SparkSession, load: Callable[[str], DataFrame], datasets: Itera
         metrics.write.mode("overwrite").parquet(f"{folder}/metrics")
         if scored is not None:
             scored.write.mode("overwrite").parquet(f"{folder}/predictions")
-        tables.write_json(f"{folder}/run_config.json", where | {"models": sorted(models), "numeric": numeric, "categorical": categorical, "risk": risk, "status": {r["model"]: r["status"] for r in metrics.select("model", "status").collect()}, "made": tables.stamp()})
+        tables.write_json(f"{folder}/run_config.json", where | {"cell_seed": c["cell_seed"], "models": sorted(models), "numeric": numeric, "categorical": categorical, "risk": risk, "status": {r["model"]: r["status"] for r in metrics.select("model", "status").collect()}, "made": tables.stamp()})
         tables.write_json(f"{folder}/done.json", where)
 
 

@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-_made: list[str] = []
+class _Made(threading.local):
+    """The folders that this thread made: runs on threads of their own have marks of their own."""
+
+    def __init__(self) -> None:
+        self.folders: list[str] = []
+
+
+_made = _Made()
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -24,8 +32,8 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession) -> str:
     """A folder of its own in the shared folder, for `discard` to find."""
-    _made.append(f"{scratch_dir(spark)}/liftwork-{uuid.uuid4().hex}")
-    return _made[-1]
+    _made.folders.append(f"{scratch_dir(spark)}/liftwork-{uuid.uuid4().hex}")
+    return _made.folders[-1]
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
@@ -38,13 +46,13 @@ def settled(df: DataFrame, name: str) -> DataFrame:
 
 def made() -> int:
     """How many intermediate tables there are so far: a mark for `discard`."""
-    return len(_made)
+    return len(_made.folders)
 
 
 def discard(spark: SparkSession, since: int = 0, upto: int | None = None) -> None:
-    """Deletes the intermediate tables written between the marks; what still reads them must have been written itself. Not while another thread makes some."""
+    """Deletes the intermediate tables that this thread wrote between the marks; what still reads them must have been written itself."""
     files = spark._jvm.org.apache.hadoop.fs.Path  # the session's own file systems: the folder may be anywhere that Spark reads
-    for folder in _made[since:upto]:
+    for folder in _made.folders[since:upto]:
         path = files(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    del _made[since:upto]
+    del _made.folders[since:upto]
