@@ -7,13 +7,15 @@ keeps comparisons paired. Weighted score counts then go through the curve operat
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite, uniform
 from ..sources.scratch import settled
 from .curves import COUNTS, cumulative, evaluate_uplift, qini_gain, top_of, uplift_gain
-from .splits import numbered
+from .splits import in_order, numbered
 
 
 def draw_weights(spark, n: int, draws: int, seed: int) -> DataFrame:
@@ -23,19 +25,50 @@ def draw_weights(spark, n: int, draws: int, seed: int) -> DataFrame:
     return picks.repartition("idx").groupBy("b", "idx").agg(F.count(F.lit(1)).alias("w"))
 
 
+CHUNK = 100_000
+
+
+def weights_of_cells(sizes: DataFrame, cell: list[str], draws: int, seed: int) -> DataFrame:
+    """cell, b, idx, w for all cells at once, the same as `draw_weights` gives each. sizes: cell, n. Picks are made where chunks of their numbers are dealt to."""
+    n = F.col("n")
+    last = (n * draws).cast("long") - 1
+    chunks = sizes.select(*cell, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / CHUNK).cast("long"))).alias("chunk"))
+    first = F.col("chunk") * CHUNK
+    picks = chunks.repartition(*cell, "chunk").select(*cell, "n", F.explode(F.sequence(first, F.least(first + CHUNK - 1, last))).alias("id"))
+    pick = F.floor(uniform(F.col("id"), f"boot{seed}") * n).cast("long")
+    return picks.select(*cell, F.floor(F.col("id") / n).cast("int").alias("b"), pick.alias("idx")).groupBy(*cell, "b", "idx").agg(F.count(F.lit(1)).alias("w"))
+
+
+def placed_in_cells(rows: DataFrame, cell: list[str], ident: str) -> tuple[DataFrame, DataFrame]:
+    """(`rows` with idx, the place of their id in the cell from 0; cell, n ids)."""
+    ids = in_order(rows.select(*cell, ident).distinct().orderBy(*cell, ident), "__nth")
+    sizes = settled(ids.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.min("__nth").alias("__first")), "sizes")
+    same = reduce(lambda a, b: a & b, (F.col(f"__{c}").eqNullSafe(F.col(c)) for c in cell))
+    renamed = sizes.select(*(F.col(c).alias(f"__{c}") for c in cell), "__first")
+    ids = ids.join(renamed, same).select(*cell, ident, (F.col("__nth") - F.col("__first")).alias("idx"))
+    ids = settled(ids.select(*(F.col(c).alias(f"__{c}") for c in cell), F.col(ident).alias("__id"), "idx"), "ids")
+    placed = settled(rows.join(ids, same & (F.col(ident) == F.col("__id"))).drop("__id", *(f"__{c}" for c in cell)), "rows")
+    return placed, sizes.drop("__first")
+
+
 TOPS = {"uplift_at_10pct": 0.1, "uplift_at_20pct": 0.2}
 
 
-def metric_draws(rows: DataFrame, keys: list[str], draws: int, seed: int, ident: str = "epk_id", tops: bool = False) -> DataFrame:
+def metric_draws(rows: DataFrame, keys: list[str], draws: int, seed: int, ident: str = "epk_id", tops: bool = False, cell: list[str] | None = None) -> DataFrame:
     """keys, b, qini_auc_normalized, qini_coefficient, auuc, ate, and with `tops` uplift_at_10pct and uplift_at_20pct, of each draw that holds both arms.
 
     rows: keys (cell and model), ident, t, y, score, the same rows for each model. In an uplift@k a row counts as often as it was
-    drawn; rows of the last score are taken by ascending id.
+    drawn; rows of the last score are taken by ascending id. cell: those of the keys whose values have rows of their own, all
+    drawn in one plan; by default all rows are one cell.
     """
     spark = rows.sparkSession
-    ids = settled(numbered(rows.select(ident).distinct(), ident), "ids")
-    placed = settled(rows.join(ids, ident), "rows")
-    weighted = draw_weights(spark, ids.count(), draws, seed).join(placed, "idx")
+    if cell:
+        placed, sizes = placed_in_cells(rows, cell, ident)
+        weighted = weights_of_cells(sizes, cell, draws, seed).join(placed, [*cell, "idx"])
+    else:
+        ids = settled(numbered(rows.select(ident).distinct(), ident), "ids")
+        placed = settled(rows.join(ids, ident), "rows")
+        weighted = draw_weights(spark, ids.count(), draws, seed).join(placed, "idx")
     w, t, y = F.col("w"), F.col("t"), F.col("y")
     by = [*keys, "b"]
     counts = weighted.groupBy(*by, "score").agg(F.sum(w * t).alias("nt"), F.sum(w * (1 - t)).alias("nc"), F.sum(w * t * y).alias("yt"), F.sum(w * (1 - t) * y).alias("yc"))
@@ -71,7 +104,7 @@ def long_draws(drawn: DataFrame, keys: list[str]) -> DataFrame:
     return drawn.select(*keys, "b", F.explode(F.create_map(*(x for m in names for x in (F.lit(m), F.col(m))))).alias("metric", "value"))
 
 
-def draw_table(rows: DataFrame, keys: list[str], draws: int, seed: int, level: float = 0.95, ident: str = "epk_id") -> DataFrame:
+def draw_table(rows: DataFrame, keys: list[str], draws: int, seed: int, level: float = 0.95, ident: str = "epk_id", cell: list[str] | None = None) -> DataFrame:
     """keys, metric, point_estimate, n_rows, ci_low, ci_high, n_draws, n_failed_resamples: the metrics of the rows themselves beside those of the draws.
 
     A draw fails for a metric that it leaves undefined, or if it lacks an arm.
@@ -79,7 +112,7 @@ def draw_table(rows: DataFrame, keys: list[str], draws: int, seed: int, level: f
     seen = evaluate_uplift(rows, keys, ident).withColumnRenamed("ate_observed", "ate")
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
     points = seen.select(*keys, F.explode(F.create_map(*(x for m in METRICS for x in (F.lit(m), F.col(m))))).alias("metric", "point_estimate"))
-    drawn = long_draws(metric_draws(rows, keys, draws, seed, ident, True), keys).groupBy(*keys, "metric").agg(*interval(F.col("value"), level))
+    drawn = long_draws(metric_draws(rows, keys, draws, seed, ident, True, cell), keys).groupBy(*keys, "metric").agg(*interval(F.col("value"), level))
     out = points.join(sizes, keys).join(drawn, [*keys, "metric"], "left").withColumn("n_draws", F.coalesce("n_draws", F.lit(0)))
     return out.withColumn("n_failed_resamples", F.lit(draws) - F.col("n_draws"))
 
@@ -120,8 +153,12 @@ def paired(draws: DataFrame, reference: str, level: float = 0.95) -> DataFrame:
     return named.unionByName(top).select(*CELL, "metric", F.lit(reference).alias("reference"), "comparison", F.col("model").alias("comparison_model"), "mean_difference", "ci_low", "ci_high", "n_draws", excludes.alias("excludes_zero"))
 
 
-def aligned(scores: DataFrame, ident: str = "epk_id") -> DataFrame:
-    """Ids that some model lacks, or has more than once; empty when all models score the same rows."""
-    models = scores.agg(F.count_distinct("model").alias("models"))
-    each = scores.groupBy(ident).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("model").alias("m"))
-    return each.join(F.broadcast(models), (F.col("m") != F.col("models")) | (F.col("n") != F.col("models"))).select(ident)
+def aligned(scores: DataFrame, ident: str = "epk_id", cell: list[str] | None = None) -> DataFrame:
+    """Ids (of a cell) that some model lacks, or has more than once; empty when all models score the same rows."""
+    by = cell or []
+    models = scores.groupBy(*by).agg(F.count_distinct("model").alias("models"))
+    each = scores.groupBy(*by, ident).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("model").alias("m"))
+    wrong = (F.col("m") != F.col("models")) | (F.col("n") != F.col("models"))
+    if not by:
+        return each.join(F.broadcast(models), wrong).select(ident)
+    return each.join(models, by).filter(wrong).select(*by, ident)

@@ -1,9 +1,9 @@
 """Ranking curves and metrics of effect scores.
 
 Input is long: cell keys, t, y and score. Rows of one score make one vertex, so scores are counted
-first, and the cumulative counts come from a two-level prefix sum: scores fall in buckets between
+first, and the cumulative counts of a cell of many scores come from a two-level prefix sum: scores fall in buckets between
 approximate quantiles, a window runs inside each bucket, and the buckets' totals are summed
-before it. The result does not depend on the quantiles, and no cell is sorted in one task.
+before it. The result does not depend on the quantiles, and no cell of more than ONE_SORT scores is sorted in one task.
 
 Counts are written once and reread: all metrics of a cell come from one pass over its rows, and a second one over
 the rows of the last score of an uplift@k.
@@ -26,17 +26,25 @@ def score_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys, "score").agg(F.sum(t).alias("nt"), F.sum(1 - t).alias("nc"), F.sum(y * t).alias("yt"), F.sum(y * (1 - t)).alias("yc"))
 
 
-BUCKET_ROWS, MOST_BUCKETS = 10_000, 1024
+BUCKET_ROWS, MOST_BUCKETS, STEP = 10_000, 1024, 32
+#: Scores of a cell up to which one sort gives its sums; beyond, they fall in buckets.
+ONE_SORT = 250_000
 
 
-def cumulative(counts: DataFrame, keys: list[str], columns: tuple[str, ...] = COUNTS) -> DataFrame:
+def cumulative(counts: DataFrame, keys: list[str], columns: tuple[str, ...] = COUNTS, one_sort: int = ONE_SORT) -> DataFrame:
     """`counts` with c<column> for each of the columns: the sum over this and all higher scores of the cell. The largest cell sets the number of buckets."""
     counts = settled(counts, "counts")
     largest = counts.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest <= one_sort:
+        inside = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+        return counts.select(*keys, "score", *columns, *(F.sum(c).over(inside).alias(f"c{c}") for c in columns))
     buckets = max(4, min(MOST_BUCKETS, largest // BUCKET_ROWS))
     cuts = counts.groupBy(*keys).agg(F.percentile_approx("score", [k / buckets for k in range(1, buckets)], 10 * buckets).alias("cuts"))
-    placed = counts.join(cuts, keys).withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col("score")))).drop("cuts")
-    placed = settled(placed, "placed")
+    # every STEP-th cut first, then the cuts between two of them
+    cuts = cuts.withColumn("coarse", F.filter("cuts", lambda c, i: i % STEP == STEP - 1))
+    below = STEP * F.size(F.filter("coarse", lambda c: c < F.col("score")))
+    placed = counts.join(cuts, keys).withColumn("below", below)
+    placed = placed.withColumn("bucket", F.col("below") + F.size(F.filter(F.slice("cuts", F.col("below") + 1, F.lit(STEP)), lambda c: c < F.col("score")))).drop("cuts", "coarse", "below")
     above = Window.partitionBy(*keys).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy(*keys, "bucket").agg(*(F.sum(c).alias(c) for c in columns))
     totals = totals.select(*keys, "bucket", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"b{c}") for c in columns))
@@ -173,6 +181,8 @@ def top_of(rows: DataFrame, sums: DataFrame, keys: list[str], fractions: tuple[f
     """
     found = settled(top_cuts(sums, keys, fractions), "cuts")  # one row for each cell and fraction
     whole = found.filter("x = k").select(*keys, "fraction", *((F.col(f"b{c}") + F.col(c)).alias(c) for c in COUNTS))
+    if found.filter("x > k").isEmpty():  # no score is cut in two
+        return whole.select(*keys, "fraction", (divide(F.col("yt"), F.col("nt")) - divide(F.col("yc"), F.col("nc"))).alias("uplift"))
     part = found.filter("x > k").select(*keys, "fraction", "cut", (F.col("k") - F.col("bnt") - F.col("bnc")).alias("more"), *(f"b{c}" for c in COUNTS))
     w = F.lit(1) if weight is None else weight
     tied = rows.select(*keys, ident, "t", "y", "score", w.alias("w")).join(part.select(*keys, "fraction", "cut"), keys).filter(F.col("score") == F.col("cut"))

@@ -165,6 +165,14 @@ def kfold(df: DataFrame, k: int, seed: int, ident: str = "epk_id") -> DataFrame:
     return rows.withColumn("fold", (F.col("base") + F.col("nth") - 1) % k).select(*columns, "fold")
 
 
+def capped(df: DataFrame, most: dict[str, int], u: Column, ident: str = "epk_id") -> DataFrame:
+    """The rows of least u for each value of a column, {column: how many}: positions within sorted range partitions, less the value's first."""
+    (column, n), columns = next(iter(most.items())), df.columns
+    placed = in_order(df.withColumn("__u", u).orderBy(column, "__u", ident), "__nth")
+    first = placed.groupBy(F.col(column).alias("__of")).agg(F.min("__nth").alias("__first"))
+    return placed.join(first, F.col(column).eqNullSafe(F.col("__of"))).filter(F.col("__nth") < F.col("__first") + n).select(*columns)
+
+
 def per_arm_cap(df: DataFrame, caps: dict[int, int], salt: str, ident: str = "epk_id") -> DataFrame:
     """At most caps[arm] rows of each arm, by least hash; arms without a cap are left out."""
     u = uniform(ident, salt)

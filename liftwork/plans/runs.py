@@ -9,7 +9,6 @@ import json
 import os
 import time
 from collections.abc import Callable, Iterable
-from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -130,32 +129,31 @@ def sweep(spark: SparkSession, load: Callable[[str], DataFrame], datasets: Itera
         tables.write_json(f"{folder}/done.json", where)
 
 
-def of_cell(scored: DataFrame, cell, keys: list[str]) -> DataFrame:
-    """The rows of a cell; nulls and quotes are values like others."""
-    return scored.filter(reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.lit(cell[k])) for k in keys)))
+def with_cell(scored: DataFrame, most_rows: int | None, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(__cell, epk_id, model, t, y, score of a predictions table; __cell and what it stands for). Nulls and quotes are values like others."""
+    keys = [*bootstrap.CELL, "seed"]
+    rows = settled(scored.select(*keys, "epk_id", "model", "t", "y", "score").withColumn("__cell", F.to_json(F.struct(*keys))), "cells")
+    cells = rows.select("__cell", *keys).distinct()
+    validate.require(bootstrap.aligned(rows, "epk_id", ["__cell"]).isEmpty(), "models score different rows")
+    rows = rows.drop(*keys)
+    if most_rows:
+        u, ids = splits.uniform("epk_id", f"boot{seed}"), rows.select("__cell", "epk_id").distinct()
+        rows = rows.join(splits.capped(ids, {"__cell": most_rows}, u), ["__cell", "epk_id"], "left_semi")
+    return rows, cells
 
 
 def cell_draws(scored: DataFrame, draws: int, seed: int, most_rows: int | None = None) -> DataFrame:
-    """Long bootstrap draws of all cells of a predictions table: dataset, axis, severity_tag, seed, model, metric, b, value."""
-    keys = [*bootstrap.CELL, "seed"]
-    out = []
-    for c in scored.select(*keys).distinct().collect():  # one row for each cell
-        own = of_cell(scored, c, keys).select("epk_id", "model", "t", "y", "score")
-        if most_rows:
-            own = own.join(splits.exact_cap(own.select("epk_id").distinct(), most_rows, f"boot{seed}"), "epk_id", "left_semi")
-        validate.require(bootstrap.aligned(own).isEmpty(), "models score different rows")
-        drawn = bootstrap.long_draws(bootstrap.metric_draws(own, ["model"], draws, seed, tops=True), ["model"])
-        out.append(drawn.select(*(F.lit(c[k]).alias(k) for k in keys), "model", "b", "metric", "value"))
-    return trials.union(*out)
+    """Long bootstrap draws of all cells of a predictions table, in one plan: dataset, axis, severity_tag, seed, model, metric, b, value."""
+    rows, cells = with_cell(scored, most_rows, seed)
+    drawn = bootstrap.long_draws(bootstrap.metric_draws(rows, ["__cell", "model"], draws, seed, tops=True, cell=["__cell"]), ["__cell", "model"])
+    return drawn.join(cells, "__cell").select(*bootstrap.CELL, "seed", "model", "b", "metric", "value")
 
 
 def cell_table(scored: DataFrame, draws: int, seed: int, level: float = 0.95) -> DataFrame:
     """dataset, axis, severity_tag, seed, model, metric, point_estimate, n_rows, ci_low, ci_high, n_draws, n_failed_resamples of each cell."""
-    keys, out = [*bootstrap.CELL, "seed"], []
-    for c in scored.select(*keys).distinct().collect():  # one row for each cell
-        own = of_cell(scored, c, keys).select("epk_id", "model", "t", "y", "score")
-        out.append(bootstrap.draw_table(own, ["model"], draws, seed, level).select(*(F.lit(c[k]).alias(k) for k in keys), "*"))
-    return trials.union(*out)
+    rows, cells = with_cell(scored, None, seed)
+    found = bootstrap.draw_table(rows, ["__cell", "model"], draws, seed, level, cell=["__cell"])
+    return found.join(cells, "__cell").select(*bootstrap.CELL, "seed", *(c for c in found.columns if c != "__cell"))
 
 
 def analyse(metrics: DataFrame, scored: DataFrame, reference: str, draws: int = 1000, seed: int = 0, level: float = 0.95, metric: str = "qini_auc_normalized") -> dict[str, DataFrame]:

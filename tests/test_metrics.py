@@ -166,3 +166,20 @@ def test_trial_choice_and_settings(spark):
     assert trials.random_trial(space, base, 1, 0, 3) == trials.random_trial(space, base, 1, 0, 3)
     assert trials.compatible({"a": 0.1}, {"a": 0.1 + 1e-12, "b": 3, "c": None}) and not trials.compatible({"a": 1}, {"a": 2})
     assert trials.sweep_matrix(spark, ["d"], ["scale", "conversion"], [0, 1]).count() == 24
+
+
+def test_sums_in_buckets_equal_one_sort(spark):
+    """The way for cells of very many scores gives what one sort does."""
+    from liftwork.operators import curves
+
+    rows = spark.range(3000).select(F.expr("id % 2").alias("cell"), (F.pmod(F.xxhash64("id"), F.lit(700)) / 7.0).alias("score"), (F.col("id") % 3).alias("nt"), (F.col("id") % 5).alias("nc"), F.lit(1).alias("yt"), F.lit(2).alias("yc"))
+    counts = rows.groupBy("cell", "score").agg(*(F.sum(c).alias(c) for c in curves.COUNTS))
+    one = sorted(map(tuple, curves.cumulative(counts, ["cell"]).collect()))
+    was = curves.BUCKET_ROWS, curves.STEP
+    try:
+        curves.BUCKET_ROWS, curves.STEP = 5, 4
+        many = curves.cumulative(counts, ["cell"], one_sort=10)
+        got = sorted(map(tuple, many.select(*["cell", "score", *curves.COUNTS, *(f"c{c}" for c in curves.COUNTS)]).collect()))
+    finally:
+        curves.BUCKET_ROWS, curves.STEP = was
+    assert got == one and len(one) > 600

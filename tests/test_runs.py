@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from liftwork.operators import learners, semisynth
+from liftwork.operators import bootstrap, learners, semisynth
 from liftwork.plans import runs
 from liftwork.sources import tables
 
@@ -52,3 +52,23 @@ def test_tuning_resumes_and_is_sealed(spark, rows, tmp_path):
 def test_degenerate_cells_are_refused(rows):
     with pytest.raises(ValueError, match="degenerate_regime"):
         runs.prepare_cell(rows.withColumn("y", (F.col("epk_id") < 3).cast("int")), ["x0"], [], 0)
+
+
+def test_cells_are_drawn_in_one_plan_as_each_alone(spark):
+    """Cells of different sizes, one with a null tag and one with a quote in its name."""
+    rows = [(d, "scale", tag, seed, m, i, i * 7907 % 97 % 2, int(i * 7919 % 101 < 40), float(i * (3 if m == "a" else 5) % 11)) for d, tag, seed, n in (("x", "rows200", 1, 90), ("it's", "full", 1, 60), ("x", None, 2, 75)) for m in "ab" for i in range(n)]
+    scored = spark.createDataFrame(rows, "dataset string, axis string, severity_tag string, seed int, model string, epk_id long, t int, y int, score double").repartition(4)
+    got = {(r["dataset"], r["severity_tag"], r["model"], r["metric"], r["b"]): r["value"] for r in runs.cell_draws(scored, 5, 3).collect()}
+    table = {(r["dataset"], r["severity_tag"], r["model"], r["metric"]): r for r in runs.cell_table(scored, 5, 3).collect()}
+    for d, tag, n in (("x", "rows200", 90), ("it's", "full", 60), ("x", None, 75)):
+        own = scored.filter(F.col("dataset").eqNullSafe(F.lit(d)) & F.col("severity_tag").eqNullSafe(F.lit(tag))).select("epk_id", "model", "t", "y", "score")
+        alone = bootstrap.long_draws(bootstrap.metric_draws(own, ["model"], 5, 3, tops=True), ["model"]).collect()
+        for r in alone:
+            have = got.pop((d, tag, r["model"], r["metric"], r["b"]))
+            assert have == (None if r["value"] is None else pytest.approx(r["value"]))
+        assert table[d, tag, "a", "ate"]["n_rows"] == n
+    assert not got
+    few = runs.with_cell(scored, 20, 3)[0]
+    assert {r["n"] for r in few.groupBy("__cell").agg(F.count_distinct("epk_id").alias("n")).collect()} == {20}
+    with pytest.raises(ValueError, match="different rows"):
+        runs.cell_draws(scored.filter("NOT (model = 'a' AND epk_id = 5)"), 5, 3)
