@@ -137,7 +137,7 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, most_terms: int = MOST_
     langs = vocab.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("all").alias("lang_total"))
     shard = F.pmod(F.xxhash64("term"), F.ceil(F.col("v") / width)).cast("int")
     by = Window.partitionBy("lang", "shard")
-    ids = vocab.join(langs, "lang").withColumn("shard", shard)
+    ids = vocab.join(langs, "lang").withColumn("shard", shard).repartition("lang", "shard")  # or the join's dealing by language alone would stay
     ids = scratch(ids.withColumn("place", F.row_number().over(by.orderBy(F.desc("all"), "term")) - 1), "term_ids")
     leaves = scratch(counts.drop("docs").join(ids, ["lang", "term"]), "leaves")
     totals = leaves.groupBy("lang", "source").agg(F.sum("n").alias("had"))
