@@ -10,7 +10,8 @@ key has fewer than `least` code points have none. A `LineStore` holds three tabl
 Documents can be inserted and deleted in any order; the store is always that of the documents left. A cuckoo filter
 forgets single keys, as Bloom filters cannot, so a deletion costs the keys of the deleted documents alone. Keys that a
 filter does not know are not repeated, so their lines never reach the join with the exact counts; what a filter
-claims is decided by the join. A filter that overflows is made anew, larger, from the counts.
+claims is decided by the join. A filter that overflows is made anew, larger, from the counts; so are all of them, in
+more shards, when a store has outgrown its number.
 
 Keys that hold a large share of all lines (at most `HOT_SHARE` times as many as there are partitions) are counted by
 partial aggregation and decided by a broadcast; all other lines go to their shard, where the filter comes first.
@@ -24,7 +25,7 @@ columns pass through, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from hashlib import md5
 
 import numpy as np
@@ -187,7 +188,16 @@ class LineStore:
         merged = scratch(both.groupBy("shard", "key").agg(F.sum("n_docs").alias("n_docs"), F.min("first_doc").alias("first_doc"), F.sum("had").alias("had")), "counts")
         changes = merged.filter("n_docs > 1 AND had < 2").select("shard", "key", F.lit(True).alias("come"))
         counts = merged.drop("had")
-        return LineStore(self.refs.unionByName(new), counts, self._filtered(changes, counts), self.shards, self.least)
+        refs, n = self.refs.unionByName(new), counts.count()
+        if n > 2 * SHARD_KEYS * self.shards:
+            return replace(self, refs=refs, counts=counts).resharded(1 + n // SHARD_KEYS)
+        return LineStore(refs, counts, self._filtered(changes, counts), self.shards, self.least)
+
+    def resharded(self, shards: int) -> LineStore:
+        """The same store in another number of shards, its filters made anew from the counts."""
+        anew = replace(self, shards=shards, filters=self.filters.limit(0))
+        counts = scratch(self.counts.withColumn("shard", anew._shard()), "counts")
+        return replace(anew, counts=counts, filters=anew._filtered(counts.filter("n_docs > 1").select("shard", "key", F.lit(True).alias("come")), counts))
 
     def deleted(self, ids: DataFrame) -> LineStore:
         """The store without the documents of `ids` (doc_id)."""

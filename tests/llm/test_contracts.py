@@ -42,6 +42,9 @@ def awkward(spark, tmp_path_factory):
     talk = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     talk.write.parquet(f"{top}/full/conversations.parquet")
     talk.limit(0).write.parquet(f"{top}/none/conversations.parquet")
+    items = spark.createDataFrame([(1, "the of and"), (2, None), (None, "it was")], "item_id long, text string")
+    items.write.parquet(f"{top}/full/benchmark.parquet")
+    items.limit(0).write.parquet(f"{top}/none/benchmark.parquet")
     return top
 
 

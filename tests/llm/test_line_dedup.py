@@ -119,3 +119,13 @@ def test_awkward_rows_and_clashing_columns(spark):
     assert out.columns == [*df.columns, "__n_lines", "__n_dropped"]
     got = sorted(((r["doc_id"], r["text"], r["__n_lines"], r["__n_dropped"]) for r in out.collect()), key=repr)
     assert got == brute(rows)
+
+
+def test_store_that_outgrows_its_shards(spark, monkeypatch):
+    rows = corpus(40, seed=2)
+    store = line_dedup.line_store(frame(spark, rows[:4]))
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 10)
+    grown = store.inserted(frame(spark, rows[4:]))
+    assert store.shards == 1 and grown.shards > 4 and cleaned(grown, spark, rows) == brute(rows)
+    left = rows[10:]
+    assert cleaned(grown.deleted(frame(spark, rows[:10]).select("doc_id")), spark, left) == brute(left)
