@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import documents, partitions, scratch, ship, slices
 from .near_dedup import mix, word_hashes
 
-ALPHA, HOT, COMMON, GROUP_BYTES, SLICE = 0.4, 1 << 20, 1 << 20, 16 << 20, 3 << 20
+ALPHA, HOT, COMMON, GROUP_BYTES, SLICE = 0.4, 1 << 20, 1 << 20, 48 << 20, 3 << 20
 START, MASK = np.uint64(0x5354415254), np.uint64((1 << 48) - 1)
 
 
@@ -211,7 +211,7 @@ def exploded(docs: DataFrame, hot: Hot, buckets: int, apart: bool) -> DataFrame:
                 first, second, bucket = first[post][new], second[post][new], bucket[post][new]
                 if not train.all() and len(new):
                     trained = np.add.reduceat(train[doc] * times, new)
-                rows = [[-1, nth, *[None] * 9, total.tobytes(), backed.astype("<u4").tobytes(), part.column("doc_id").to_pylist(), sizes.tobytes()]]
+                rows = [[-1, nth, *[None] * 9, total.tobytes(), pack(backed.astype(np.int64)), part.column("doc_id").to_pylist(), sizes.tobytes()]]
                 names, starts = np.unique(bucket, return_index=True)
                 for b, low, high in zip(names.tolist(), starts, np.append(starts[1:], len(new))[: len(names)], strict=True):
                     at, some = slice(low, high), slice(new[low], new[high] if high < len(new) else len(doc))
@@ -291,7 +291,7 @@ def pair_scores(blocks: DataFrame, hot: Hot, common: Words, buckets: int, apart:
             mine = slice(low, low + m)
             here, which = np.unique(doc[mine], return_inverse=True)
             off = unseen[mine] * times[mine]
-            backed = np.bincount(which, off, len(here)).astype("<u4").tobytes() if off.any() else None
+            backed = pack(np.bincount(which, off, len(here)).astype(np.int64)) if off.any() else None
             rows.append([s, np.bincount(which, value[mine], len(here)).tobytes(), backed, -1, None, here.astype("<u2").tobytes(), *[None] * 6])
             low += m
         if left.any():  # one row for each bucket of second words, over all batches
@@ -353,7 +353,7 @@ def gathered(sums: DataFrame, total: int, apart: bool) -> DataFrame:
             at = np.frombuffer(d, "<u2") if d is not None else slice(None)
             sums[at] += np.frombuffer(t, "<f8")
             if b is not None:
-                backed[at] += np.frombuffer(b, "<u4")
+                backed[at] += unpack(b, len(t) // 8)
         sums -= backed * np.log(np.maximum(total - words if apart else np.full(len(words), total), 1))
         return pa.table([pa.array(ids, pa.int64()), pa.array(words), pa.array(backed), pa.array(sums)], ["doc_id", "n_words", "n_backed_off", "log_score"])
 
