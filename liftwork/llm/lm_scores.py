@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import documents, partitions, scratch, ship, slices
 from .near_dedup import mix, word_hashes
 
-ALPHA, HOT, COMMON, GROUP_BYTES, SLICE = 0.4, 1 << 20, 1 << 20, 48 << 20, 3 << 20
+ALPHA, HOT, COMMON, GROUP_BYTES, SLICE = 0.4, 1 << 20, 1 << 20, 32 << 20, 3 << 20
 START, MASK = np.uint64(0x5354415254), np.uint64((1 << 48) - 1)
 
 
@@ -62,6 +63,20 @@ def unpack(data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def squeezed(data: bytes) -> bytes:
+    """Small numbers are half as large with their entropy coded, which shuffles do not do."""
+    return zstandard.compress(data, 1)
+
+
+def _plain(column: pa.ChunkedArray) -> list:
+    return [None if x is None else zstandard.decompress(x) for x in column.to_pylist()]
+
+
+def places(here: np.ndarray) -> bytes:
+    """Ascending numbers of documents, by their differences."""
+    return squeezed(np.diff(here, prepend=0).astype("<u2").tobytes())
+
+
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words of each text, hashes of all words, number of the text of each)."""
     hashes = [word_hashes(t.split()) & MASK for t in texts]
@@ -211,14 +226,14 @@ def exploded(docs: DataFrame, hot: Hot, buckets: int, apart: bool) -> DataFrame:
                 first, second, bucket = first[post][new], second[post][new], bucket[post][new]
                 if not train.all() and len(new):
                     trained = np.add.reduceat(train[doc] * times, new)
-                rows = [[-1, nth, *[None] * 9, total.tobytes(), pack(backed.astype(np.int64)), part.column("doc_id").to_pylist(), sizes.tobytes()]]
+                rows = [[-1, nth, *[None] * 9, total.tobytes(), squeezed(pack(backed.astype(np.int64))), part.column("doc_id").to_pylist(), sizes.tobytes()]]
                 names, starts = np.unique(bucket, return_index=True)
                 for b, low, high in zip(names.tolist(), starts, np.append(starts[1:], len(new))[: len(names)], strict=True):
                     at, some = slice(low, high), slice(new[low], new[high] if high < len(new) else len(doc))
                     contexts, runs = np.unique(first[at], return_counts=True)  # sorted already: each context once, with its pairs
                     counted = trained[at].astype("<u4").tobytes() if trained is not None else None
-                    own = [pack(own_c[some]), pack(own_w[some])] if apart else [None, None]
-                    rows.append([b, nth, contexts.tobytes(), runs.astype("<u4").tobytes(), pack48(second[at]), counted, posts[at].astype("<u4").tobytes(), doc[some].astype("<u2").tobytes(), pack(times[some]), *own, None, None, None, None])
+                    own = [squeezed(pack(own_c[some])), squeezed(pack(own_w[some]))] if apart else [None, None]
+                    rows.append([b, nth, contexts.tobytes(), runs.astype("<u4").tobytes(), pack48(second[at]), counted, squeezed(posts[at].astype("<u4").tobytes()), squeezed(doc[some].astype("<u2").tobytes()), squeezed(pack(times[some])), *own, None, None, None, None])
                 nth += 1
                 types = [pa.int64(), pa.int64(), *[pa.binary()] * 11, pa.list_(pa.int64()), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [f.split()[0] for f in BLOCK.split(", ")])
@@ -226,9 +241,9 @@ def exploded(docs: DataFrame, hot: Hot, buckets: int, apart: bool) -> DataFrame:
     return docs.mapInArrow(explode, BLOCK)
 
 
-def _many(column: pa.ChunkedArray, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+def _many(column: list, dtype: str) -> tuple[np.ndarray, np.ndarray]:
     """All values of a binary column, and how many each row has."""
-    parts = [np.frombuffer(x, dtype) for x in column.to_pylist()]
+    parts = [np.frombuffer(x, dtype) for x in column]
     return np.concatenate(parts), np.array(list(map(len, parts)), np.int64)
 
 
@@ -238,9 +253,9 @@ def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(new) - 1, np.flatnonzero(new)
 
 
-def _counts(column: pa.ChunkedArray, sizes: np.ndarray) -> np.ndarray:
+def _counts(column: list, sizes: np.ndarray) -> np.ndarray:
     """All counts of a packed column whose rows have so many; zeros where it is not there."""
-    return np.concatenate([np.zeros(n, np.int64) if x is None else unpack(x, n) for x, n in zip(column.to_pylist(), sizes.tolist(), strict=True)])
+    return np.concatenate([np.zeros(n, np.int64) if x is None else unpack(x, n) for x, n in zip(column, sizes.tolist(), strict=True)])
 
 
 def _table(rows: list, schema: str) -> pa.Table:
@@ -257,10 +272,10 @@ def pair_scores(blocks: DataFrame, hot: Hot, common: Words, buckets: int, apart:
         if table["bucket"][0].as_py() < 0:
             columns = (table[c].to_pylist() for c in ("slice", "total", "backed", "doc_ids", "words"))
             return _table([[s, t, k, -1, *[None] * 6, d, w] for s, t, k, d, w in zip(*columns, strict=True)], SUMS)
-        first = np.repeat(_many(table["first"], "<u8")[0], _many(table["runs"], "<u4")[0])
+        first = np.repeat(_many(table["first"].to_pylist(), "<u8")[0], _many(table["runs"].to_pylist(), "<u4")[0])
         second = np.concatenate([unpack48(x) for x in table["second"].to_pylist()])
-        (posts, _), (doc, docs_of_row) = _many(table["posts"], "<u4"), _many(table["doc"], "<u2")
-        times, own_c, own_w = (_counts(table[c], docs_of_row) for c in ("times", "own_c", "own_w"))
+        (posts, _), (doc, docs_of_row) = _many(_plain(table["posts"]), "<u4"), _many(_plain(table["doc"]), "<u2")
+        times, own_c, own_w = (_counts(_plain(table[c]), docs_of_row) for c in ("times", "own_c", "own_w"))
         pair = np.repeat(np.arange(len(posts)), posts)
         occurs = np.bincount(pair, times, len(posts)).astype(np.int64)
         if table["trained"].null_count < table.num_rows:
@@ -291,8 +306,8 @@ def pair_scores(blocks: DataFrame, hot: Hot, common: Words, buckets: int, apart:
             mine = slice(low, low + m)
             here, which = np.unique(doc[mine], return_inverse=True)
             off = unseen[mine] * times[mine]
-            backed = pack(np.bincount(which, off, len(here)).astype(np.int64)) if off.any() else None
-            rows.append([s, np.bincount(which, value[mine], len(here)).tobytes(), backed, -1, None, here.astype("<u2").tobytes(), *[None] * 6])
+            backed = squeezed(pack(np.bincount(which, off, len(here)).astype(np.int64))) if off.any() else None
+            rows.append([s, np.bincount(which, value[mine], len(here)).tobytes(), backed, -1, None, places(here), *[None] * 6])
             low += m
         if left.any():  # one row for each bucket of second words, over all batches
             word = second[pair[left]]
@@ -302,7 +317,7 @@ def pair_scores(blocks: DataFrame, hot: Hot, common: Words, buckets: int, apart:
             names, starts = np.unique(target, return_index=True)
             for b, x, y in zip(names.tolist(), starts, np.append(starts[1:], len(turn)), strict=True):
                 which, runs = np.unique(batch[x:y], return_counts=True)
-                rows.append([None, None, None, b, pack48(word[x:y]), doc[x:y].astype("<u2").tobytes(), pack(times[x:y]), pack(own_w[x:y]) if apart else None, which.tobytes(), runs.astype("<u4").tobytes(), None, None])
+                rows.append([None, None, None, b, pack48(word[x:y]), squeezed(doc[x:y].astype("<u2").tobytes()), squeezed(pack(times[x:y])), squeezed(pack(own_w[x:y])) if apart else None, which.tobytes(), runs.astype("<u4").tobytes(), None, None])
         return _table(rows, SUMS)
 
     # as many partitions as buckets: both grow with the corpus
@@ -325,8 +340,8 @@ def backed_off(unseen: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
         rows = []
         if left.num_rows:
             words = np.concatenate([unpack48(x) for x in left["second"].to_pylist()])
-            (doc, sizes), (batches, _), (runs, _) = _many(left["doc"], "<u2"), _many(left["batches"], "<i8"), _many(left["runs"], "<u4")
-            times, own = _counts(left["times"], sizes), _counts(left["own_w"], sizes)
+            (doc, sizes), (batches, _), (runs, _) = _many(_plain(left["doc"]), "<u2"), _many(left["batches"].to_pylist(), "<i8"), _many(left["runs"].to_pylist(), "<u4")
+            times, own = _counts(_plain(left["times"]), sizes), _counts(_plain(left["own_w"]), sizes)
             at = np.minimum(np.searchsorted(h[:-1], words), len(h) - 1)
             value = np.log(ALPHA * np.maximum(np.where(h[at] == words, n[at], 0) - own, 1)) * times
             batch = np.repeat(batches, runs)
@@ -334,7 +349,7 @@ def backed_off(unseen: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
             names, starts = np.unique(batch[order], return_index=True)
             for s, x, y in zip(names.tolist(), starts, np.append(starts[1:], len(order)), strict=True):
                 here, which = np.unique(doc[order[x:y]], return_inverse=True)
-                rows.append([s, np.bincount(which, value[order[x:y]], len(here)).tobytes(), None, -1, None, here.astype("<u2").tobytes(), *[None] * 6])
+                rows.append([s, np.bincount(which, value[order[x:y]], len(here)).tobytes(), None, -1, None, places(here), *[None] * 6])
         return _table(rows, SUMS)
 
     table = counts.select("h", "n").mapInArrow(hashed, "bucket long, h long, n long")
@@ -350,10 +365,10 @@ def gathered(sums: DataFrame, total: int, apart: bool) -> DataFrame:
         sums, backed = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
         parts = [x for x in zip(*(table[c].to_pylist() for c in ("total", "doc", "backed")), strict=True) if x[0] is not None]
         for t, d, b in sorted(parts, key=lambda x: (x[0], x[1] or b"")):  # in one order, whatever came first
-            at = np.frombuffer(d, "<u2") if d is not None else slice(None)
+            at = np.cumsum(np.frombuffer(zstandard.decompress(d), "<u2"), dtype=np.int64) if d is not None else slice(None)
             sums[at] += np.frombuffer(t, "<f8")
             if b is not None:
-                backed[at] += unpack(b, len(t) // 8)
+                backed[at] += unpack(zstandard.decompress(b), len(t) // 8)
         sums -= backed * np.log(np.maximum(total - words if apart else np.full(len(words), total), 1))
         return pa.table([pa.array(ids, pa.int64()), pa.array(words), pa.array(backed), pa.array(sums)], ["doc_id", "n_words", "n_backed_off", "log_score"])
 
