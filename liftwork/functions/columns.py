@@ -52,6 +52,11 @@ def aipw(mu0: Column, mu1: Column, e: Column, t: Column, y: Column) -> Column:
     return mu1 - mu0 + t * (y - mu1) / e - (1 - t) * (y - mu0) / (1 - e)
 
 
+def aipw_outcomes(mu0: Column, mu1: Column, e: Column, t: Column, y: Column) -> tuple[Column, Column]:
+    """The doubly robust signals of both potential outcomes; their difference is `aipw`."""
+    return mu0 + (1 - t) * (y - mu0) / (1 - e), mu1 + t * (y - mu1) / e
+
+
 def q_means(e: Column, p: Column, m: Column) -> tuple[Column, Column]:
     """(mu1, mu0) from the treatment propensity e, that among converters p, and the outcome mean m, clipped to [0, 1]."""
     return clip(m * p / e, 0.0, 1.0), clip(m * (1 - p) / (1 - e), 0.0, 1.0)

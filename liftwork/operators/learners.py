@@ -14,7 +14,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import aipw, clip, q_means, q_ratio
+from ..functions.columns import aipw, aipw_outcomes, clip, q_means, q_ratio
 from ..sources.scratch import settled
 from . import boosting
 from .boosting import Forest, Goal
@@ -134,6 +134,20 @@ def pseudo_outcomes(train: DataFrame, trees: Trees, folds: int, low: float) -> D
     return crossed.withColumn("pseudo", aipw(F.col("mu0"), F.col("mu1"), F.lit(e), F.col("t"), F.col("y")))
 
 
+def potential_outcome_labels(train: DataFrame, trees: Trees = Trees(rounds=100), folds: int = 5, low: float = 0.02) -> DataFrame:
+    """`train` with label0 and label1, smoothed doubly robust labels of both potential outcomes in [0, 1].
+
+    The signals come from out-of-fold outcome means. A second deal of folds regresses them on the features, so that no
+    row's own noisy signal trains its label.
+    """
+    signals = pseudo_outcomes(train, trees, folds, low)
+    first, second = aipw_outcomes(F.col("mu0"), F.col("mu1"), F.lit(treated_share(train, low)), F.col("t"), F.col("y"))
+    rows, n = dealt(signals.withColumns({"__s0": first, "__s1": second}).select(*train.columns, "__s0", "__s1"), folds, trees.seed + 1)
+    forest = trees.grow(rows, [Goal(F.col(s), F.col("fold") != k, binary=False) for k in range(n) for s in ("__s0", "__s1")])
+    found = forest.add(rows, {"__l0": 2 * F.col("fold"), "__l1": 2 * F.col("fold") + 1})
+    return found.select(*train.columns, *(clip(F.col(f"__l{a}"), 0.0, 1.0).alias(f"label{a}") for a in (0, 1)))
+
+
 def dr_learner(train: DataFrame, trees: Trees = Trees(), folds: int = 5, low: float = 0.02) -> Fitted:
     effect = trees.regressor(pseudo_outcomes(train, trees, folds, low), "pseudo")
     return Fitted("dr_learner", lambda df: effect(df, "cate"), vars(trees) | {"folds": folds, "low": low})

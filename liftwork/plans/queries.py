@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as fn
-from ..operators import bootstrap, curves, diagnostics, kernels, learners, neighbours, prepare, regimes, resample, semisynth, splits, trials, validate
+from ..operators import bootstrap, curves, diagnostics, heads, kernels, learners, neighbours, prepare, regimes, resample, semisynth, splits, trials, validate
 from ..sources import tables
 from ..sources.scratch import settled
 from . import runs as runs_of
@@ -611,6 +611,12 @@ def dr_pseudo_outcome(spark, d):
     return trial(spark, d).select("epk_id", F.round(fn.aipw(F.lit(0.3), F.lit(0.35), F.lit(0.5), F.col("t"), F.col("y")), 8).alias("pseudo"))
 
 
+@query("dr_outcome_signals", "SELECT epk_id, round(0.3 + (1 - t) * (y - 0.3) / 0.4, 8) AS signal0, round(0.35 + t * (y - 0.35) / 0.6, 8) AS signal1 FROM trial", "trial")
+def dr_outcome_signals(spark, d):
+    first, second = fn.aipw_outcomes(F.lit(0.3), F.lit(0.35), F.lit(0.6), F.col("t"), F.col("y"))
+    return trial(spark, d).select("epk_id", F.round(first, 8).alias("signal0"), F.round(second, 8).alias("signal1"))
+
+
 @query("lineitem_qini", f"""+ li AS (SELECT CAST({sql_u("l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber", "T")} < 0.5 AS INT) AS t, CAST(l_returnflag = 'R' AS INT) AS y, floor(l_extendedprice / 100)::DOUBLE AS score FROM lineitem),
 s AS (SELECT *, sum(nt) OVER w AS cnt, sum(nc) OVER w AS cnc, sum(yt) OVER w AS cyt, sum(yc) OVER w AS cyc FROM (SELECT score, sum(t) AS nt, sum(1 - t) AS nc, sum(y * t) AS yt, sum(y * (1 - t)) AS yc FROM li GROUP BY score) WINDOW w AS (ORDER BY score DESC)),
 p AS (SELECT cnt + cnc AS x, CASE WHEN cnc > 0 THEN cyt - cyc::DOUBLE * cnt / cnc ELSE 0.0 END AS g FROM s UNION ALL SELECT 0, 0.0)
@@ -652,6 +658,7 @@ for _name, _fit in {
     "dragonnet": lambda rows: kernels.dragonnet(rows, FEATURES),
     "x_over_stand_in": lambda rows: kernels.x_over_stand_in(rows, FEATURES),
     "neighbour_stand_in": lambda rows: kernels.neighbour_stand_in(rows, FEATURES),
+    "tuned_stand_in": lambda rows: heads.tuned_stand_in(rows, FEATURES),
 }.items():
     _learner(_name, _fit)
 
@@ -661,6 +668,12 @@ def overlap_summary(spark, d):
     return rounded(diagnostics.overlap(learners.cross_fitted_propensity(learner_cell(spark, d).filter("split = 'train'"))), 4)
 
 
+@query("potential_outcome_labels")
+def potential_outcome_labels(spark, d):
+    found = learners.potential_outcome_labels(learner_cell(spark, d).filter("split = 'train'"))
+    return found.select("epk_id", F.round("label0", 6).alias("label0"), F.round("label1", 6).alias("label1"))
+
+
 @query("risk_scores")
 def risk_scores(spark, d):
     return learners.risk_scores(learner_cell(spark, d)).select("epk_id", "split", F.round("risk", 6).alias("risk"))

@@ -48,7 +48,7 @@ def test_other_learners(spark, sf, monkeypatch):
     monkeypatch.setattr(kernels.network, "fit", lambda rows, columns, net, validation: seen.append((rows.count(), net)) or nets(rows, columns, net, validation))
     monkeypatch.setattr(kernels.gaussian, "fit", lambda rows, caps, *more, **how: seen.append((rows.count(), caps, *more)) or gps(rows, caps, *more, **how))
     n = q.learner_cell(spark, sf).filter("split = 'train'").count()
-    for name in ("gp_cate", "dragonnet", "neighbour_stand_in", "x_over_stand_in"):
+    for name in ("gp_cate", "dragonnet", "neighbour_stand_in", "x_over_stand_in", "tuned_stand_in"):
         got = q.QUERIES[name](spark, sf).toPandas()
         assert len(got) > 0 and np.isfinite(got["cate"]).all() and got["cate"].nunique() > 10, name
     assert seen == [(n, {0: 2000, 1: 500}, 1, 512), (n, network.Net(128, 100, 512, 1e-3, 1e-4, 12, 42))]
