@@ -1,21 +1,31 @@
 """Paired bootstrap by count weights.
 
-A draw with replacement is how often each row occurs, so a draw needs only the rows' weights. The n picks
-of a draw are hash uniforms over the row numbers, counted by (draw, row): the same for all models, which
-keeps comparisons paired. Weighted score counts then go through the curve operators as they are.
+A draw with replacement is how often each row occurs, so a draw needs only the rows' weights: the same for all models,
+which keeps comparisons paired. Weighted score counts then go through the curve operators as they are.
+
+Weights come in two kinds. `hash`: the n picks of a draw are hash uniforms over the row numbers, counted by (draw, row),
+which SQL can repeat. `split`: a draw's n picks are split over a binary tree of blocks of rows, a binomial number to each
+left half, and spread evenly over the rows of a block, which is the same multinomial. The split of a node follows from seed,
+node and draws alone, so every task walks from the root to its own blocks and weighs its own rows: what is
+shuffled is the rows, once for each `DRAWS` draws, and no picks.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 from ..functions.columns import finite, uniform
+from ..shipping import ship
 from ..sources.scratch import settled
 from .curves import COUNTS, cumulative, evaluate_uplift, qini_gain, top_of, uplift_gain
 from .splits import in_order, numbered
+from .validate import check_whole, require
 
 
 def draw_weights(spark, n: int, draws: int, seed: int) -> DataFrame:
@@ -39,6 +49,39 @@ def weights_of_cells(sizes: DataFrame, cell: list[str], draws: int, seed: int) -
     return picks.select(*cell, F.floor(F.col("id") / n).cast("int").alias("b"), pick.alias("idx")).groupBy(*cell, "b", "idx").agg(F.count(F.lit(1)).alias("w"))
 
 
+BLOCK, DRAWS = 256, 256  # rows of a leaf of the tree; draws that are split together
+
+
+def block_weights(n: int, block: int, draws: int, seed: int, chunk: int = 0) -> np.ndarray:
+    """How often each row of a block (BLOCK rows, fewer in the last) of n is in each of the `draws` draws of a chunk."""
+    low, high, left = 0, -(-n // BLOCK), np.full(draws, n)
+    while high - low > 1:
+        middle = (low + high) // 2
+        first = np.random.default_rng([seed, chunk, low, high]).binomial(left, (middle - low) * BLOCK / (min(high * BLOCK, n) - low * BLOCK))
+        low, high, left = (low, middle, first) if block < middle else (middle, high, left - first)
+    rows = min(BLOCK, n - low * BLOCK)
+    return np.random.default_rng([seed, chunk, low, high]).multinomial(left, np.full(rows, 1 / rows))
+
+
+def with_split_weights(placed: DataFrame, n: Column, draws: int, seed: int, cell: list[str] | None = None) -> DataFrame:
+    """The rows of `placed` (idx from 0 to n - 1 in their cell, several rows to an idx if need be) once for each draw b that they are in, with w, how often."""
+    check_whole("draws", draws, 1)
+    check_whole("seed", seed, 0)
+    ship(placed.sparkSession)
+
+    def weigh(table: pa.Table) -> pa.Table:
+        chunk, block, size = (table[c][0].as_py() for c in ("__chunk", "__block", "__n"))
+        w = block_weights(size, block, min(DRAWS, draws - chunk * DRAWS), seed, chunk)[:, table["idx"].to_numpy() - block * BLOCK]
+        b, row = np.nonzero(w)
+        rows = table.drop(["__n", "__block", "__chunk"]).take(pa.array(row))
+        return rows.append_column("b", pa.array((b + chunk * DRAWS).astype(np.int32))).append_column("w", pa.array(w[b, row]))
+
+    chunks = F.explode(F.sequence(F.lit(0), F.lit(-(-draws // DRAWS) - 1)))
+    ready = placed.withColumns({"__n": n.cast("long"), "__block": F.floor(F.col("idx") / BLOCK)}).withColumn("__chunk", chunks)
+    schema = StructType([f for f in placed.schema.fields if f.name != "__n"]).add("b", IntegerType()).add("w", LongType())
+    return ready.groupBy(*(cell or []), "__block", "__chunk").applyInArrow(weigh, schema)
+
+
 def placed_in_cells(rows: DataFrame, cell: list[str], ident: str) -> tuple[DataFrame, DataFrame]:
     """(`rows` with idx, the place of their id in the cell from 0; cell, n ids)."""
     ids = in_order(rows.select(*cell, ident).distinct().orderBy(*cell, ident), "__nth")
@@ -54,21 +97,23 @@ def placed_in_cells(rows: DataFrame, cell: list[str], ident: str) -> tuple[DataF
 TOPS = {"uplift_at_10pct": 0.1, "uplift_at_20pct": 0.2}
 
 
-def metric_draws(rows: DataFrame, keys: list[str], draws: int, seed: int, ident: str = "epk_id", tops: bool = False, cell: list[str] | None = None) -> DataFrame:
+def metric_draws(rows: DataFrame, keys: list[str], draws: int, seed: int, ident: str = "epk_id", tops: bool = False, cell: list[str] | None = None, picks: str = "hash") -> DataFrame:
     """keys, b, qini_auc_normalized, qini_coefficient, auuc, ate, and with `tops` uplift_at_10pct and uplift_at_20pct, of each draw that holds both arms.
 
     rows: keys (cell and model), ident, t, y, score, the same rows for each model. In an uplift@k a row counts as often as it was
     drawn; rows of the last score are taken by ascending id. cell: those of the keys whose values have rows of their own, all
-    drawn in one plan; by default all rows are one cell.
+    drawn in one plan; by default all rows are one cell. picks: the kind of weights, hash or split.
     """
+    require(picks in ("hash", "split"), "picks are hash or split")
     spark = rows.sparkSession
     if cell:
         placed, sizes = placed_in_cells(rows, cell, ident)
-        weighted = weights_of_cells(sizes, cell, draws, seed).join(placed, [*cell, "idx"])
+        weighted = weights_of_cells(sizes, cell, draws, seed).join(placed, [*cell, "idx"]) if picks == "hash" else with_split_weights(placed.join(sizes, cell).withColumnRenamed("n", "__n"), F.col("__n"), draws, seed, cell)
     else:
         ids = settled(numbered(rows.select(ident).distinct(), ident), "ids")
         placed = settled(rows.join(ids, ident), "rows")
-        weighted = draw_weights(spark, ids.count(), draws, seed).join(placed, "idx")
+        n = ids.count()
+        weighted = draw_weights(spark, n, draws, seed).join(placed, "idx") if picks == "hash" else with_split_weights(placed, F.lit(n), draws, seed)
     w, t, y = F.col("w"), F.col("t"), F.col("y")
     by = [*keys, "b"]
     counts = weighted.groupBy(*by, "score").agg(F.sum(w * t).alias("nt"), F.sum(w * (1 - t)).alias("nc"), F.sum(w * t * y).alias("yt"), F.sum(w * (1 - t) * y).alias("yc"))
@@ -104,7 +149,7 @@ def long_draws(drawn: DataFrame, keys: list[str]) -> DataFrame:
     return drawn.select(*keys, "b", F.explode(F.create_map(*(x for m in names for x in (F.lit(m), F.col(m))))).alias("metric", "value"))
 
 
-def draw_table(rows: DataFrame, keys: list[str], draws: int, seed: int, level: float = 0.95, ident: str = "epk_id", cell: list[str] | None = None) -> DataFrame:
+def draw_table(rows: DataFrame, keys: list[str], draws: int, seed: int, level: float = 0.95, ident: str = "epk_id", cell: list[str] | None = None, picks: str = "hash") -> DataFrame:
     """keys, metric, point_estimate, n_rows, ci_low, ci_high, n_draws, n_failed_resamples: the metrics of the rows themselves beside those of the draws.
 
     A draw fails for a metric that it leaves undefined, or if it lacks an arm.
@@ -112,7 +157,7 @@ def draw_table(rows: DataFrame, keys: list[str], draws: int, seed: int, level: f
     seen = evaluate_uplift(rows, keys, ident).withColumnRenamed("ate_observed", "ate")
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
     points = seen.select(*keys, F.explode(F.create_map(*(x for m in METRICS for x in (F.lit(m), F.col(m))))).alias("metric", "point_estimate"))
-    drawn = long_draws(metric_draws(rows, keys, draws, seed, ident, True, cell), keys).groupBy(*keys, "metric").agg(*interval(F.col("value"), level))
+    drawn = long_draws(metric_draws(rows, keys, draws, seed, ident, True, cell, picks), keys).groupBy(*keys, "metric").agg(*interval(F.col("value"), level))
     out = points.join(sizes, keys).join(drawn, [*keys, "metric"], "left").withColumn("n_draws", F.coalesce("n_draws", F.lit(0)))
     return out.withColumn("n_failed_resamples", F.lit(draws) - F.col("n_draws"))
 

@@ -338,15 +338,14 @@ def bootstrap_draw_weights(spark, d):
 
 @query("bootstrap_ate", f"""+ ids AS (SELECT *, row_number() OVER (ORDER BY epk_id) - 1 AS idx FROM trial), n AS (SELECT count(*) AS n FROM trial),
 w AS (SELECT CAST(i // n AS INT) AS b, CAST(floor({sql_u("i", "boot11")} * n) AS BIGINT) AS idx, count(*) AS w FROM n, range((SELECT 10 * count(*) FROM trial)) AS r(i) GROUP BY 1, 2)
-SELECT b, round(sum(w * t * y)::DOUBLE / sum(w * t) - sum(w * (1 - t) * y)::DOUBLE / sum(w * (1 - t)), 8) AS ate FROM w JOIN ids USING (idx) GROUP BY b""", "trial")
+SELECT model, b, round(sum(w * s.t * s.y)::DOUBLE / sum(w * s.t) - sum(w * (1 - s.t) * s.y)::DOUBLE / sum(w * (1 - s.t)), 8) AS ate FROM w JOIN ids USING (idx) JOIN scored s USING (epk_id) GROUP BY model, b""", "scored")
 def bootstrap_ate(spark, d):
-    rows = scored(spark, d).filter("model = 'coarse'")
-    return rounded(bootstrap.metric_draws(rows, ["model"], 10, 11).select("b", "ate"))
+    return rounded(bootstrap.metric_draws(scored(spark, d), ["model"], 10, 11).select("model", "b", "ate"))
 
 
 DRAWN = f"""+ ids AS (SELECT epk_id, row_number() OVER (ORDER BY epk_id) - 1 AS idx FROM trial), n AS (SELECT count(*) AS n FROM trial),
 w AS (SELECT CAST(i // n AS INT) AS b, CAST(floor({sql_u("i", "boot11")} * n) AS BIGINT) AS idx, count(*) AS w FROM n, range((SELECT DRAWS * count(*) FROM trial)) AS r(i) GROUP BY 1, 2),
-rows AS (SELECT b, model, epk_id, t, y, score, w FROM w JOIN ids USING (idx) JOIN scored USING (epk_id) WHERE model <> 'constant'),
+rows AS (SELECT b, model, epk_id, t, y, score, w FROM w JOIN ids USING (idx) JOIN scored USING (epk_id)),
 counts AS (SELECT model, b, score, sum(w * t) AS nt, sum(w * (1 - t)) AS nc, sum(w * y * t) AS yt, sum(w * y * (1 - t)) AS yc FROM rows GROUP BY model, b, score),
 sums AS (SELECT *, sum(nt) OVER k AS cnt, sum(nc) OVER k AS cnc, sum(yt) OVER k AS cyt, sum(yc) OVER k AS cyc FROM counts WINDOW k AS (PARTITION BY model, b ORDER BY score DESC)),
 points AS (SELECT model, b, cnt + cnc AS x, CASE WHEN cnc > 0 THEN cyt - cyc::DOUBLE * cnt / cnc ELSE 0.0 END AS q,
@@ -360,14 +359,25 @@ ends AS (SELECT *, tr - cr * (tr + tn) / (cr + cn) AS e, CASE WHEN cn > 0 THEN t
 SELECT model, b, round((qa - n * e / 2) / ((tn + cn) * m / 2 + cr * (m + e) / 2 - n * e / 2), 8) AS qini_auc_normalized, round((qa - n * e / 2) / (n * n), 8) AS qini_coefficient,
   round(ua / (n * n), 8) AS auuc, round(tr / (tr + tn) - cr / (cr + cn), 8) AS ate FROM area JOIN ends USING (model, b)""", "scored")
 def bootstrap_qini(spark, d):
-    return rounded(bootstrap.metric_draws(scored(spark, d).filter("model <> 'constant'"), ["model"], 20, 11))
+    return rounded(bootstrap.metric_draws(scored(spark, d), ["model"], 20, 11))
+
+
+@query("bootstrap_qini_split")
+def bootstrap_qini_split(spark, d):
+    return rounded(bootstrap.metric_draws(scored(spark, d), ["model"], 20, 11, tops=True, picks="split"))
+
+
+@query("split_draw_totals", "SELECT b, CAST(count(*) AS BIGINT) AS total FROM trial, (SELECT CAST(unnest(range(20)) AS INT) AS b) GROUP BY b", "trial")
+def split_draw_totals(spark, d):
+    rows = splits.numbered(trial(spark, d).select("epk_id"))
+    return bootstrap.with_split_weights(rows, F.lit(rows.count()), 20, 11).groupBy("b").agg(F.sum("w").alias("total"))
 
 
 @query("bootstrap_uplift_at_k", DRAWN.replace("DRAWS", "5") + """, one AS (SELECT *, row_number() OVER (PARTITION BY model, b ORDER BY score DESC, epk_id, i) AS k, count(*) OVER (PARTITION BY model, b) AS size FROM (SELECT *, unnest(range(w)) AS i FROM rows))
 SELECT model, b, round(avg(y) FILTER (WHERE t = 1 AND k <= greatest(1, floor(size * 0.1::DOUBLE))) - avg(y) FILTER (WHERE t = 0 AND k <= greatest(1, floor(size * 0.1::DOUBLE))), 8) AS uplift_at_10pct,
   round(avg(y) FILTER (WHERE t = 1 AND k <= greatest(1, floor(size * 0.2::DOUBLE))) - avg(y) FILTER (WHERE t = 0 AND k <= greatest(1, floor(size * 0.2::DOUBLE))), 8) AS uplift_at_20pct FROM one GROUP BY model, b""", "scored")
 def bootstrap_uplift_at_k(spark, d):
-    return rounded(bootstrap.metric_draws(scored(spark, d).filter("model <> 'constant'"), ["model"], 5, 11, tops=True)).select("model", "b", *bootstrap.TOPS)
+    return rounded(bootstrap.metric_draws(scored(spark, d), ["model"], 5, 11, tops=True)).select("model", "b", *bootstrap.TOPS)
 
 
 @query("percentile_interval", "SELECT axis, model, round(quantile_cont(value, 0.025), 8) AS ci_low, round(quantile_cont(value, 0.975), 8) AS ci_high, count(value) AS n_draws FROM draws GROUP BY axis, model", "draws")

@@ -142,23 +142,23 @@ def with_cell(scored: DataFrame, most_rows: int | None, seed: int) -> tuple[Data
     return rows, cells
 
 
-def cell_draws(scored: DataFrame, draws: int, seed: int, most_rows: int | None = None) -> DataFrame:
-    """Long bootstrap draws of all cells of a predictions table, in one plan: dataset, axis, severity_tag, seed, model, metric, b, value."""
+def cell_draws(scored: DataFrame, draws: int, seed: int, most_rows: int | None = None, picks: str = "hash") -> DataFrame:
+    """Long bootstrap draws of all cells of a predictions table, in one plan: dataset, axis, severity_tag, seed, model, metric, b, value. picks: as in `metric_draws`."""
     rows, cells = with_cell(scored, most_rows, seed)
-    drawn = bootstrap.long_draws(bootstrap.metric_draws(rows, ["__cell", "model"], draws, seed, tops=True, cell=["__cell"]), ["__cell", "model"])
+    drawn = bootstrap.long_draws(bootstrap.metric_draws(rows, ["__cell", "model"], draws, seed, tops=True, cell=["__cell"], picks=picks), ["__cell", "model"])
     return drawn.join(cells, "__cell").select(*bootstrap.CELL, "seed", "model", "b", "metric", "value")
 
 
-def cell_table(scored: DataFrame, draws: int, seed: int, level: float = 0.95) -> DataFrame:
+def cell_table(scored: DataFrame, draws: int, seed: int, level: float = 0.95, picks: str = "hash") -> DataFrame:
     """dataset, axis, severity_tag, seed, model, metric, point_estimate, n_rows, ci_low, ci_high, n_draws, n_failed_resamples of each cell."""
     rows, cells = with_cell(scored, None, seed)
-    found = bootstrap.draw_table(rows, ["__cell", "model"], draws, seed, level, cell=["__cell"])
+    found = bootstrap.draw_table(rows, ["__cell", "model"], draws, seed, level, cell=["__cell"], picks=picks)
     return found.join(cells, "__cell").select(*bootstrap.CELL, "seed", *(c for c in found.columns if c != "__cell"))
 
 
 def analyse(metrics: DataFrame, scored: DataFrame, reference: str, draws: int = 1000, seed: int = 0, level: float = 0.95, metric: str = "qini_auc_normalized") -> dict[str, DataFrame]:
     """The tables of a sweep: pooled, paired, breakpoints, robustness index, effect errors and rank agreement."""
-    long = settled(cell_draws(scored, draws, seed).filter(F.col("metric") == metric), "draws")
+    long = settled(cell_draws(scored, draws, seed, picks="split").filter(F.col("metric") == metric), "draws")
     pairs = bootstrap.paired(long, reference, level)
     breaks = regimes.breakpoints(pairs, metrics)
     effects = regimes.effect_table(metrics.withColumn("qini", F.col("qini_auc_normalized")))
