@@ -183,3 +183,23 @@ def test_sums_in_buckets_equal_one_sort(spark):
     finally:
         curves.BUCKET_ROWS, curves.STEP = was
     assert got == one and len(one) > 600
+
+
+def test_parts_of_a_cell_stay_small_as_it_grows(spark, monkeypatch):
+    monkeypatch.setattr(curves, "BUCKET_ROWS", 20)
+    sizes = {}
+    settled = curves.settled
+
+    def seen(df, name):
+        out = settled(df, name)
+        if name == "placed":
+            sizes[df.count()] = [r["count"] for r in out.groupBy("__part").count().collect()]
+        return out
+
+    monkeypatch.setattr(curves, "settled", seen)
+    for n in (2_000, 25_000):  # more parts than the 1,024 buckets of before would hold
+        rows = spark.range(n).select(F.when(F.col("id") % 2 == 0, "a").alias("cell"), F.col("id").cast("double").alias("score"), F.lit(1).alias("nt"))
+        sums = curves.cumulative(rows, ["cell"], ("nt",), one_sort=10)
+        assert sums.filter("cnt <> floor((%d - 1 - score) / 2) + 1" % n).count() == 0
+        assert sums.count() == n
+    assert len(sizes[25_000]) > 1024 and max(sizes[25_000]) <= 3 * max(sizes[2_000])
