@@ -156,3 +156,12 @@ def test_exact_p_values(spark):
             assert got[k]["spearman_rho"] is None and got[k]["p_value"] is None
         else:
             assert got[k]["spearman_rho"] == pytest.approx(rho) and got[k]["p_value"] == pytest.approx(p)
+
+
+def test_a_query_is_written_once_for_each_group(spark):
+    draw = np.random.default_rng(8)
+    rows = spark.createDataFrame([(i, i % 2, 0.0, *map(float, draw.normal(size=2))) for i in range(3000)], "epk_id long, t int, y double, a double, b double")
+    filed, asked = neighbours._asked(rows.filter("epk_id % 3 = 0"), rows, ["a", "b"], 16, "t", "epk_id", "pivots")[:2]
+    assert filed.count() == 3000 and asked.count() == 2 * 1000
+    empty = rows.limit(0)
+    assert neighbours.nearest(rows, empty, ["a", "b"], 3, "t").isEmpty() and neighbours.nearest(empty, rows, ["a", "b"], 3, "t").isEmpty()
