@@ -12,6 +12,7 @@ shuffled is the rows, once for each `DRAWS` draws, and no picks.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -28,11 +29,15 @@ from .splits import in_order, numbered
 from .validate import check_whole, require
 
 
+#: Picks that are counted in one task: their counts stay in memory.
+PART = 2_000_000
+
+
 def draw_weights(spark, n: int, draws: int, seed: int) -> DataFrame:
-    """b, idx, w: how often row idx is in draw b. Picks are dealt by idx, which the join with the rows needs too."""
+    """b, idx, w: how often row idx is in draw b. Picks are dealt by idx, which the join with the rows needs too, over so many parts as keep one at about `PART` picks."""
     pick = F.floor(uniform(F.col("id"), f"boot{seed}") * n).cast("long")
     picks = spark.range(n * draws).select(F.floor(F.col("id") / n).cast("int").alias("b"), pick.alias("idx"))
-    return picks.repartition("idx").groupBy("b", "idx").agg(F.count(F.lit(1)).alias("w"))
+    return picks.repartition(max(1, -(-n * draws // PART)), "idx").groupBy("b", "idx").agg(F.count(F.lit(1)).alias("w"))
 
 
 CHUNK = 100_000
@@ -97,6 +102,25 @@ def placed_in_cells(rows: DataFrame, cell: list[str], ident: str) -> tuple[DataF
 TOPS = {"uplift_at_10pct": 0.1, "uplift_at_20pct": 0.2}
 
 
+def _weights(rows: DataFrame, draws: int, seed: int, ident: str, cell: list[str] | None, picks: str) -> Callable[[Callable[[DataFrame], DataFrame] | None], DataFrame]:
+    """What gives the rows, or those that a filter leaves of them, once for each draw b that they are in, with w."""
+    require(picks in ("hash", "split"), "picks are hash or split")
+    spark = rows.sparkSession
+    if cell:
+        placed, sizes = placed_in_cells(rows, cell, ident)
+    else:
+        ids = settled(numbered(rows.select(ident).distinct(), ident), "ids")
+        placed, n = settled(rows.join(ids, ident), "rows"), ids.count()
+
+    def weigh(keep: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+        some = keep(placed) if keep else placed
+        if cell:
+            return weights_of_cells(sizes, cell, draws, seed).join(some, [*cell, "idx"]) if picks == "hash" else with_split_weights(some.join(sizes, cell).withColumnRenamed("n", "__n"), F.col("__n"), draws, seed, cell)
+        return draw_weights(spark, n, draws, seed).join(some, "idx") if picks == "hash" else with_split_weights(some, F.lit(n), draws, seed)
+
+    return weigh
+
+
 def metric_draws(rows: DataFrame, keys: list[str], draws: int, seed: int, ident: str = "epk_id", tops: bool = False, cell: list[str] | None = None, picks: str = "hash") -> DataFrame:
     """keys, b, qini_auc_normalized, qini_coefficient, auuc, ate, and with `tops` uplift_at_10pct and uplift_at_20pct, of each draw that holds both arms.
 
@@ -104,16 +128,8 @@ def metric_draws(rows: DataFrame, keys: list[str], draws: int, seed: int, ident:
     drawn; rows of the last score are taken by ascending id. cell: those of the keys whose values have rows of their own, all
     drawn in one plan; by default all rows are one cell. picks: the kind of weights, hash or split.
     """
-    require(picks in ("hash", "split"), "picks are hash or split")
-    spark = rows.sparkSession
-    if cell:
-        placed, sizes = placed_in_cells(rows, cell, ident)
-        weighted = weights_of_cells(sizes, cell, draws, seed).join(placed, [*cell, "idx"]) if picks == "hash" else with_split_weights(placed.join(sizes, cell).withColumnRenamed("n", "__n"), F.col("__n"), draws, seed, cell)
-    else:
-        ids = settled(numbered(rows.select(ident).distinct(), ident), "ids")
-        placed = settled(rows.join(ids, ident), "rows")
-        n = ids.count()
-        weighted = draw_weights(spark, n, draws, seed).join(placed, "idx") if picks == "hash" else with_split_weights(placed, F.lit(n), draws, seed)
+    weighted_of = _weights(rows, draws, seed, ident, cell, picks)
+    weighted = weighted_of(None)
     w, t, y = F.col("w"), F.col("t"), F.col("y")
     by = [*keys, "b"]
     counts = weighted.groupBy(*by, "score").agg(F.sum(w * t).alias("nt"), F.sum(w * (1 - t)).alias("nc"), F.sum(w * t * y).alias("yt"), F.sum(w * (1 - t) * y).alias("yc"))
@@ -136,10 +152,18 @@ def metric_draws(rows: DataFrame, keys: list[str], draws: int, seed: int, ident:
     )
     if not tops:
         return out
-    top = top_of(weighted, totals, by, tuple(TOPS.values()), ident, w).groupBy(*by).agg(*(F.max(F.when(F.col("fraction") == f, F.col("uplift"))).alias(name) for name, f in TOPS.items()))
+    top = top_of(weighted_of, totals, by, tuple(TOPS.values()), ident, w).groupBy(*by).agg(*(F.max(F.when(F.col("fraction") == f, F.col("uplift"))).alias(name) for name, f in TOPS.items()))
     return out.join(top, by, "left")
 
 
+def ate_draws(rows: DataFrame, keys: list[str], draws: int, seed: int, ident: str = "epk_id", cell: list[str] | None = None, picks: str = "hash") -> DataFrame:
+    """keys, b, ate, the same as in `metric_draws`: from counts of the arms alone, without a score ranked."""
+    w, t, y = F.col("w"), F.col("t"), F.col("y")
+    n = {"nt": t, "nc": 1 - t, "yt": t * y, "yc": (1 - t) * y}
+    sums = _weights(rows, draws, seed, ident, cell, picks)(None).groupBy(*keys, "b").agg(*(F.sum(w * v).cast("double").alias(c) for c, v in n.items()))
+    return sums.filter("nt > 0 AND nc > 0").select(*keys, "b", (F.col("yt") / F.col("nt") - F.col("yc") / F.col("nc")).alias("ate"))
+
+
 METRICS = ("qini_auc_normalized", "qini_coefficient", "auuc", "ate", *TOPS)
 
 

@@ -203,3 +203,21 @@ def test_parts_of_a_cell_stay_small_as_it_grows(spark, monkeypatch):
         assert sums.filter("cnt <> floor((%d - 1 - score) / 2) + 1" % n).count() == 0
         assert sums.count() == n
     assert len(sizes[25_000]) > 1024 and max(sizes[25_000]) <= 3 * max(sizes[2_000])
+
+
+def test_picks_of_a_task_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(bootstrap, "PART", 50)
+    drawn = bootstrap.draw_weights(spark, 100, 4, 1)
+    assert drawn.rdd.getNumPartitions() == 8 and drawn.agg(F.sum("w")).first()[0] == 400
+
+
+@pytest.mark.parametrize("picks", ["hash", "split"])
+def test_effects_alone_and_tops_of_cut_scores(spark, monkeypatch, picks):
+    rows = spark.range(300).select(F.explode(F.array(*map(F.lit, "ab"))).alias("model"), F.col("id").alias("epk_id"), (F.col("id") % 2).cast("int").alias("t"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    rows = rows.withColumn("score", F.when(F.col("model") == "a", F.col("epk_id").cast("double")).otherwise(F.floor(F.col("epk_id") / 100).cast("double")))
+    kept, top_of = [], bootstrap.top_of
+    monkeypatch.setattr(bootstrap, "top_of", lambda given, *more: top_of(lambda keep: given(lambda some: (kept.append((some.count(), keep(some).count())), keep(some))[1]), *more))
+    whole = bootstrap.metric_draws(rows, ["model"], 3, 5, tops=True, picks=picks).collect()
+    assert kept and kept[0][0] == 600 and kept[0][1] < 150  # the weights of all rows were made again before
+    alone = {(r["model"], r["b"]): r["ate"] for r in bootstrap.ate_draws(rows, ["model"], 3, 5, picks=picks).collect()}
+    assert alone == {(r["model"], r["b"]): r["ate"] for r in whole}
