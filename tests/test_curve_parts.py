@@ -1,7 +1,8 @@
-"""uplift_at on cells of very many scores: parts that do not grow with the cell, whole and right results."""
+"""uplift_at and curve on cells of very many scores: parts that do not grow with the cell, whole and right results."""
 
 from functools import partial
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,3 +39,14 @@ def test_rows_of_one_score_are_cut_by_id_in_small_parts(spark, parts):
     want = top[top["t"] == 1]["y"].mean() - top[top["t"] == 0]["y"].mean()
     assert curves.uplift_at(df, ["model"], 0.2).first()["uplift"] == pytest.approx(want, abs=1e-12)
     assert len(parts) == 1 and sum(parts[0]) == N and len(parts[0]) > 1024 and max(parts[0]) <= 120
+
+
+def test_uplift_curve_of_distinct_scores_in_small_parts(spark, parts):
+    df = rows(spark, F.col("id") / 7.0)
+    got = {r["x"]: r["gain"] for r in curves.curve(df, ["model"], "uplift").collect()}
+    own = df.toPandas().sort_values("score", ascending=False)
+    t, y, x = own["t"].to_numpy(), own["y"].to_numpy(), np.arange(1, N + 1)
+    nt, nc = t.cumsum(), (1 - t).cumsum()
+    want = ((y * t).cumsum() / np.maximum(nt, 1) - (y * (1 - t)).cumsum() / np.maximum(nc, 1)) * x
+    assert got.pop(0) == 0 and list(sorted(got)) == list(x) and np.allclose([got[i] for i in x], want, atol=1e-9)
+    assert len(parts) == 1 and sum(parts[0]) == N and len(parts[0]) > 1024 and max(parts[0]) <= 120
