@@ -7,7 +7,8 @@ Weights come in two kinds. `hash`: the n picks of a draw are hash uniforms over
 which SQL can repeat. `split`: a draw's n picks are split over a binary tree of blocks of rows, a binomial number to each
 left half, and spread evenly over the rows of a block, which is the same multinomial. The split of a node follows from seed,
 node and draws alone, so every task walks from the root to its own blocks and weighs its own rows: what is
-shuffled is the rows, once for each `DRAWS` draws, and no picks.
+shuffled is the rows, once for each `DRAWS` draws, and no picks. Metrics of split weights are summed for all draws
+of a row at once (see `weighted`), those of hash weights from a row for each draw.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from ..sources.scratch import settled
 from .curves import COUNTS, cumulative, evaluate_uplift, qini_gain, top_of, uplift_gain
 from .splits import in_order, numbered
 from .validate import check_whole, require
+from .weighted import places, swept, weighed
 
 
 #: Picks that are counted in one task: their counts stay in memory.
@@ -121,13 +123,8 @@ def _weights(rows: DataFrame, draws: int, seed: int, ident: str, cell: list[str]
     return weigh
 
 
-def metric_draws(rows: DataFrame, keys: list[str], draws: int, seed: int, ident: str = "epk_id", tops: bool = False, cell: list[str] | None = None, picks: str = "hash") -> DataFrame:
-    """keys, b, qini_auc_normalized, qini_coefficient, auuc, ate, and with `tops` uplift_at_10pct and uplift_at_20pct, of each draw that holds both arms.
-
-    rows: keys (cell and model), ident, t, y, score, the same rows for each model. In an uplift@k a row counts as often as it was
-    drawn; rows of the last score are taken by ascending id. cell: those of the keys whose values have rows of their own, all
-    drawn in one plan; by default all rows are one cell. picks: the kind of weights, hash or split.
-    """
+def _hash_sums(rows: DataFrame, keys: list[str], draws: int, seed: int, ident: str, cell: list[str] | None, picks: str) -> tuple[Callable, DataFrame, DataFrame]:
+    """(what gives weighted rows, cumulative counts of each score and draw, the areas and counts of each draw), from a row for each draw."""
     weighted_of = _weights(rows, draws, seed, ident, cell, picks)
     weighted = weighted_of(None)
     w, t, y = F.col("w"), F.col("t"), F.col("y")
@@ -141,6 +138,44 @@ def metric_draws(rows: DataFrame, keys: list[str], draws: int, seed: int, ident:
         F.sum(width * (qini_gain(*now) + qini_gain(*was)) / 2).alias("qini_area"), F.sum(width * (uplift_gain(*now) + uplift_gain(*was)) / 2).alias("uplift_area"),
         *(F.sum(c).cast("double").alias(c) for c in COUNTS),
     )
+    return weighted_of, totals, sums
+
+
+def _split_sums(rows: DataFrame, keys: list[str], draws: int, seed: int, ident: str, cell: list[str], fractions: tuple[float, ...]) -> tuple[Callable, DataFrame, DataFrame, Callable]:
+    """(what gives rows with their weights in all draws, the score where each fraction ends, the areas and counts of each draw, how rows of such a score are counted)."""
+    check_whole("draws", draws, 1)
+    check_whole("seed", seed, 0)
+    placed = settled(places(rows.select(*keys, ident, "t", "y", "score"), cell, ident), "rows")
+    by = [*keys, "b"]
+    found = swept(weighed(placed, keys, ["score"], draws, seed), keys, "score", draws, fractions)
+    sums = found.filter("fraction IS NULL").groupBy(*by).agg(F.sum("qini_area").alias("qini_area"), F.sum("uplift_area").alias("uplift_area"), *(F.sum(c).cast("double").alias(c) for c in COUNTS))
+    above = [F.col(f"b{c}") for c in COUNTS]
+    cuts = found.filter("fraction IS NOT NULL").select(*by, "fraction", "k", "cut", (above[0] + above[1] + F.col("nt") + F.col("nc")).alias("x"), *above, *COUNTS)
+
+    def weighted_of(keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        return weighed(keep(placed).withColumn("__down", -F.col(ident).cast("long")), keys, ["score", "__down"], draws, seed)
+
+    def counted(tied: DataFrame, part: DataFrame) -> DataFrame:
+        asked = part.select(*keys, F.col("cut").alias("score"), "b", "fraction", "more")
+        last = swept(tied, [*keys, "score"], "__down", draws, fractions, asked).filter("fraction IS NOT NULL")
+        return last.select(*by, "fraction", *COUNTS, *((F.col(f"b{c}") + F.col(c)).alias(f"c{c}") for c in COUNTS))
+
+    return weighted_of, cuts, sums, counted
+
+
+def metric_draws(rows: DataFrame, keys: list[str], draws: int, seed: int, ident: str = "epk_id", tops: bool = False, cell: list[str] | None = None, picks: str = "hash") -> DataFrame:
+    """keys, b, qini_auc_normalized, qini_coefficient, auuc, ate, and with `tops` uplift_at_10pct and uplift_at_20pct, of each draw that holds both arms.
+
+    rows: keys (cell and model), ident, t, y, score, the same rows for each model. In an uplift@k a row counts as often as it was
+    drawn; rows of the last score are taken by ascending id. cell: those of the keys whose values have rows of their own, all
+    drawn in one plan; by default all rows are one cell. picks: the kind of weights, hash or split.
+    """
+    by = [*keys, "b"]
+    if picks == "split":
+        weighted_of, totals, sums, counted = _split_sums(rows, keys, draws, seed, ident, cell or [], tuple(TOPS.values()) if tops else ())
+    else:
+        weighted_of, totals, sums = _hash_sums(rows, keys, draws, seed, ident, cell, picks)
+        counted = None
     n = F.col("nt") + F.col("nc")
     end = F.col("yt") - F.col("yc") * F.col("nt") / F.col("nc")
     line = n * end / 2
@@ -152,7 +187,7 @@ def metric_draws(rows: DataFrame, keys: list[str], draws: int, seed: int, ident:
     )
     if not tops:
         return out
-    top = top_of(weighted_of, totals, by, tuple(TOPS.values()), ident, w).groupBy(*by).agg(*(F.max(F.when(F.col("fraction") == f, F.col("uplift"))).alias(name) for name, f in TOPS.items()))
+    top = top_of(weighted_of, totals, by, tuple(TOPS.values()), ident, F.col("w"), counted).groupBy(*by).agg(*(F.max(F.when(F.col("fraction") == f, F.col("uplift"))).alias(name) for name, f in TOPS.items()))
     return out.join(top, by, "left")
 
 
