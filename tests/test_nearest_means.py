@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
-from liftwork.operators import neighbours
+from liftwork.operators import heads, kernels, learners, neighbours
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
 
 
 @pytest.fixture(scope="module")
@@ -37,3 +39,30 @@ def test_places_are_asked_and_held_once(rows, monkeypatch):
     (asked, (filed, *_)), places = seen[0], len(np.unique(x, axis=0))
     assert asked == places  # all 600 rows were asked before
     assert filed.count() == len(np.unique(np.column_stack([x, t]), axis=0)) and max(len(r["ids"]) for r in filed.collect()) == 12
+
+
+@pytest.fixture
+def asked_places(monkeypatch):
+    seen, real = [], neighbours._asked
+    monkeypatch.setattr(neighbours, "_asked", lambda queries, *more: seen.append(queries.count()) or real(queries, *more))
+    return seen
+
+
+def test_residual_correction_asks_places(rows, asked_places):
+    """Its base scorer asks each place of a fold once, in training and in scoring; each row was asked before."""
+    x, _, _, df = rows
+    df = df.withColumn("features", array_to_vector(F.array("a", "b")))
+    base = lambda some: kernels.neighbour_stand_in(some, ["a", "b"], 12)
+    got = learners.residual_correction(df, base, learners.Trees(rounds=2), folds=2).predict(df)
+    assert got.count() == 600 and got.filter("cate IS NULL").isEmpty()
+    places = len(np.unique(x, axis=0))
+    assert len(asked_places) == 3 and max(asked_places) == places and all(n < 300 for n in asked_places[:2])
+
+
+def test_tuned_head_asks_places(rows, asked_places):
+    """Outcomes under an untuned head are the means of the nearest, one query for each place."""
+    x, _, _, df = rows
+    got = heads.with_outcomes(df, df, ["a", "b"], 12, {0: 0.4, 1: 0.6}, np.zeros((2, heads.WIDTH))).collect()
+    want = {r["epk_id"]: (r["mean_0_12"], r["mean_1_12"]) for r in neighbours.nearest_means(df, df, ["a", "b"], 12, "t", [12]).collect()}
+    assert {r["epk_id"]: (r["mu0"], r["mu1"]) for r in got} == want
+    assert asked_places[0] == len(np.unique(x, axis=0))
